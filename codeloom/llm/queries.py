@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from .mixing import OP7_SQL, op7_mixing
+from .near_dedup import op3_near_dedup
 from .suffix_dedup import op2_suffix_dedup
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_near_dedup": op3_near_dedup,
     "op7_mixing": op7_mixing,
     "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_dedup": op3_near_dedup,
     "op7_mixing": OP7_SQL,
     "op10_warc": OP10_SQL,
 }
