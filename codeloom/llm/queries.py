@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe
 from .mixing import OP7_SQL, op7_mixing
 from .near_dedup import op3_near_dedup
 from .suffix_dedup import op2_suffix_dedup
@@ -11,11 +12,13 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op7_mixing": op7_mixing,
+    "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_near_dedup": op3_near_dedup,
     "op7_mixing": OP7_SQL,
+    "op9_bpe": op9_bpe,
     "op10_warc": OP10_SQL,
 }
