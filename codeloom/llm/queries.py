@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op9_bpe
+from .huffman import op8_token_files
 from .mixing import OP7_SQL, op7_mixing
 from .near_dedup import op3_near_dedup
 from .suffix_dedup import op2_suffix_dedup
@@ -12,6 +13,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op7_mixing": op7_mixing,
+    "op8_token_files": op8_token_files,
     "op9_bpe": op9_bpe,
     "op10_warc": op10_warc,
 }
@@ -19,6 +21,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_near_dedup": op3_near_dedup,
     "op7_mixing": OP7_SQL,
+    "op8_token_files": op8_token_files,
     "op9_bpe": op9_bpe,
     "op10_warc": OP10_SQL,
 }
