@@ -5,7 +5,8 @@ move once, to the join with the groups of repeated digests. Groups with more
 rows than ``rows / 100 000`` (at least 1000) are at most 100 000, so their
 small rows are broadcast and such a group is never gathered; the others meet by
 digest. Archives are written by Spark's text writer whose line separator is the
-blank lines that end a record, so each part file is an archive by itself.
+blank lines that end a record, so each part file is an archive by itself, gzipped
+as a whole.
 
 Defined results: null html is an empty payload; null ids count as smaller than
 any id and read back as null; if the largest id of a group occurs in several
@@ -15,6 +16,7 @@ characters in a url become spaces.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -79,10 +81,10 @@ def records(resolved: DataFrame, date: str = DATE) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES, date: str = DATE) -> None:
-    """Write ``pages`` (page_id, url, html) as archives of ``file_bytes`` at most (or one record) below ``path``."""
+    """Write ``pages`` (page_id, url, html) as archives of ``file_bytes`` at most before compression (or one record) below ``path``."""
     largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
     rows = max(1, file_bytes // (largest + 2000))
-    records(resolve_revisits(pages, min_bytes), date).write.option("lineSep", END).option("maxRecordsPerFile", rows).text(path)
+    records(resolve_revisits(pages, min_bytes), date).write.option("lineSep", END).option("maxRecordsPerFile", rows).option("compression", "gzip").text(path)
 
 
 def _number(uri: str) -> int | None:
@@ -116,7 +118,7 @@ def parse_archive(raw: bytes):
 def _parse(batches):
     for batch in batches:
         for content in batch["content"]:
-            rows = list(parse_archive(content.as_py()))
+            rows = list(parse_archive(gzip.decompress(content.as_buffer())))
             cols = list(zip(*rows)) if rows else [[]] * 5
             types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["page_id", "record_type", "payload_digest", "payload_bytes", "refers_to"])
