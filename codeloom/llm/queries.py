@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from .anisotropic import op1_mips
 from .bpe import op9_bpe
 from .huffman import op8_token_files
+from .kd_search import OP4_SQL, op4_kd_search
 from .mixing import OP7_SQL, op7_mixing
 from .near_dedup import op3_near_dedup
 from .suffix_dedup import op2_suffix_dedup
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_mips": op1_mips,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_dedup": op3_near_dedup,
+    "op4_kd_search": op4_kd_search,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_bpe": op9_bpe,
@@ -19,9 +23,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_near_dedup": op3_near_dedup,
+    "op4_kd_search": OP4_SQL,
     "op7_mixing": OP7_SQL,
-    "op8_token_files": op8_token_files,
-    "op9_bpe": op9_bpe,
     "op10_warc": OP10_SQL,
 }
