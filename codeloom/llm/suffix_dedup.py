@@ -4,8 +4,9 @@ also starts anywhere else in the corpus, by a run-length index.
 Plan, with nothing held whole anywhere:
 
 1. ``pieces``: each text is cut by content-defined anchors (see ``anchors``).
-   Equal pieces meet by ``(anchor, fp)``, summed before the shuffle, so a text
-   with a million copies costs a row for each task.
+   Pieces whose anchor occurs once go at once. The others meet by
+   ``(anchor, fp)``, summed before the shuffle, so a text with a million copies
+   costs a row for each task.
 2. A piece that occurs twice is marked whole. Anchors with several *different*
    pieces may share only a part: their distinct pieces are gathered by anchor in
    blocks of bounded size, each block gets a run-compressed Burrows-Wheeler
@@ -25,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,12 +163,11 @@ def marks(keyed: DataFrame, window: int = WINDOW, hot: int = HOT, block: int = B
     if not anchors.K <= window:
         raise ValueError(f"window must be {anchors.K} bytes at least")
     cut = pieces(keyed, window)
-    distinct = cut.groupBy("anchor", "fp").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_th", "first", "last", "off")).alias("at"))
-    shared = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    known = stored(
-        distinct.join(shared, "anchor", "left").where("n > 1 or kinds > 1").select("anchor", "fp", "n", F.coalesce("kinds", F.lit(1)).alias("kinds"), "at.*"),
-        "repeats",
-    )
+    often = cut.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    met = stored(cut.join(often, "anchor", "left_semi"), "met")
+    distinct = met.groupBy("anchor", "fp").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_th", "first", "last", "off")).alias("at"))
+    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    known = stored(distinct.join(kinds, "anchor").where("n > 1 or kinds > 1").select("anchor", "fp", "n", "kinds", "at.*"), "repeats")
     partial = known.where("kinds > 1")
     wanted = partial.groupBy(*_KEY).agg(F.collect_set(F.struct("anchor", "fp", "first", "last", F.lit(window).alias("extra"))).alias("wanted"))
     texts = keyed.select(*_KEY, F.col("text").cast("binary").alias("text"))
@@ -178,9 +179,9 @@ def marks(keyed: DataFrame, window: int = WINDOW, hot: int = HOT, block: int = B
     twice = every.groupBy("anchor", "rel", "digest").agg(F.count("*").alias("k")).where("k > 1").drop("k")
     counted = every.join(twice, ["anchor", "rel", "digest"], "left_semi").select("anchor", "fp", F.col("at").alias("lo"), F.col("at").alias("hi"))
     once = found if known.where(F.col("kinds") > hot).isEmpty() else found.unionByName(counted)
-    # a piece that occurs once: its place is known; one that occurs more often: find every place again
+    # a piece that occurs once is marked where it stands, one that occurs more often at every place
     single = known.where("n = 1").join(once, ["anchor", "fp"]).select(*_KEY, (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + window).alias("b"))
-    places = cut.join(known.where("n > 1").select("anchor", "fp"), ["anchor", "fp"], "left_semi")
+    places = met.join(known.where("n > 1").select("anchor", "fp"), ["anchor", "fp"], "left_semi")
     whole = places.select(*_KEY, F.col("first").alias("a"), (F.col("last") + window).alias("b"))
     return single.unionByName(whole).groupBy(*_KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
