@@ -9,6 +9,7 @@ from .kd_search import OP4_SQL, op4_kd_search
 from .mixing import OP7_SQL, op7_mixing
 from .near_dedup import op3_near_dedup
 from .suffix_dedup import op2_suffix_dedup
+from .toxicity import op5_toxicity
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_kd_search": op4_kd_search,
+    "op5_toxicity": op5_toxicity,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_bpe": op9_bpe,
