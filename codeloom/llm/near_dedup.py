@@ -3,10 +3,14 @@
 Documents with equal shingle sets fall into one class before anything else, so
 a text with a million copies is one node. Classes meet in bands (32 bands of 4
 rows: a pair of similarity 0.75 misses all bands with probability 5e-6). In a
-band each class is first compared with the bucket's centre only. Most of a
-bucket is then one component; every class outside its centre's component is
-compared with all classes of the bucket that are not yet tied to it. So no pair
-inside a component is made, and no pair that could still link is left out.
+band each class is first compared with the bucket's centre only. Most buckets
+are then one component. In the others, every class outside its centre's
+component is compared with all classes of the bucket that are not yet tied to
+it, in blocks of at most BLOCK classes; a block holds the sets of its classes
+and yields links only, so no list of pairs is made and none that could still
+link is left out. A pair is looked at in the first band it shares, and its sets
+are compared where the signatures agree in ALIKE slots (a pair of similarity
+0.75 agrees in fewer with probability 1e-7).
 Links are confirmed on the full sets of 64-bit shingle hashes.
 
 Defined results: null text, and text without words, links with nothing; equal
@@ -16,6 +20,8 @@ component has no other id; extra columns stay out of the result of ``groups``.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +33,8 @@ from .shingles import band_keys, mix, shingle_sets, super_minhash
 
 WIDTH, SLOTS, BANDS = 5, 128, 32
 NUMERATOR, DENOMINATOR = 75, 100
+ALIKE = 71
+BLOCK = 2048
 
 
 def _class(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -46,12 +54,18 @@ def _sketch(batches):
 
 
 def _sets(batches):
+    """Set, band keys and the low bytes of the signature of each text."""
     for batch in batches:
         raw, offsets = text_bytes(batch["text"])
         for _, _, hashes, ends in shingle_sets(raw, offsets, WIDTH):
-            data = hashes.view(np.uint8)
-            column = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(_class(hashes, ends)), column], names=["cls", "set"])
+            signature = super_minhash(hashes, ends, SLOTS)
+            columns = [_binary(hashes, ends), _binary(band_keys(signature, BANDS), np.arange(len(ends)) * BANDS), _binary(signature.astype(np.uint8), np.arange(len(ends)) * SLOTS)]
+            yield pa.RecordBatch.from_arrays([pa.array(_class(hashes, ends)), *columns], names=["cls", "set", "bands", "sig"])
+
+
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    data = np.ascontiguousarray(values).reshape(-1)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * data.itemsize).astype(np.int32)), pa.py_buffer(data.tobytes())])
 
 
 def _confirm(batches):
@@ -74,6 +88,61 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirm, "u long, v long, linked boolean")
 
 
+def _blocks(batches):
+    """Tables of whole groups (key, bx, by) from rows in their order, as (table, first rows of the groups)."""
+    held = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) < BLOCK:
+                continue
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        name = np.stack([np.asarray(table[c]) for c in ("key", "bx", "by")])
+        first = np.flatnonzero(np.concatenate([[True], (name[:, 1:] != name[:, :-1]).any(axis=0)]))
+        if batch is None:
+            yield table, np.concatenate([first, [table.num_rows]])
+            return
+        if first[-1]:
+            yield table.slice(0, first[-1]), first
+        held = table.slice(first[-1]).combine_chunks().to_batches()
+
+
+def _block_links(batches):
+    for table, ends in _blocks(batches):
+        key, cls, n, root = (np.asarray(table[c]) for c in ("key", "cls", "n", "r"))
+        as_x, as_y, odd = (np.asarray(table[c]) for c in ("as_x", "as_y", "odd"))
+        sets, bands, sig = (text_bytes(table[c]) for c in ("set", "bands", "sig"))
+        elements, cut = np.frombuffer(sets[0].tobytes(), np.uint64), sets[1] // 8
+        bands = np.frombuffer(bands[0].tobytes(), np.int64).reshape(-1, BANDS)
+        sig = sig[0].reshape(-1, SLOTS)
+        found = []
+        for a, b in zip(ends[:-1], ends[1:]):
+            here, ys = key[a], a + np.flatnonzero(as_y[a:b])
+            for x in a + np.flatnonzero(as_x[a:b]):
+                fits = (root[ys] != root[x]) & (~odd[ys] | (cls[ys] > cls[x])) & (DENOMINATOR * np.minimum(n[ys], n[x]) >= NUMERATOR * np.maximum(n[ys], n[x]))
+                some = ys[fits]
+                if not len(some):
+                    continue
+                same = bands[some] == bands[x]
+                some = some[bands[x][same.argmax(axis=1)] == here]
+                some = some[(sig[some] == sig[x]).sum(axis=1) >= ALIKE]
+                if not len(some):
+                    continue
+                own, sizes = elements[cut[x] : cut[x + 1]], n[some]
+                of = np.repeat(np.arange(len(some)), sizes)
+                values = elements[np.arange(len(of)) + np.repeat(cut[some] - np.cumsum(sizes) + sizes, sizes)]
+                both = np.bincount(of[own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values], minlength=len(some))
+                linked = some[DENOMINATOR * both >= NUMERATOR * (n[x] + sizes - both)]
+                # one link for each component
+                _, one = np.unique(root[linked], return_index=True)
+                found += [(cls[x], cls[y]) for y in linked[one]]
+        cols = np.array(found, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(cols[:, 0]), pa.array(cols[:, 1])], names=["u", "v"])
+
+
 def _size_fits(n, m):
     return F.lit(DENOMINATOR) * F.least(n, m) >= F.lit(NUMERATOR) * F.greatest(n, m)
 
@@ -83,7 +152,7 @@ def class_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame
     at = rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     keys = at.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(keys, docs["doc_id"].eqNullSafe(keys["doc_id"]), "left_semi")
-    found = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "cls long, set binary")
+    found = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "cls long, set binary, bands binary, sig binary")
     return found.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
@@ -97,18 +166,22 @@ def groups(docs: DataFrame) -> DataFrame:
 
     stars = shared.where((F.col("cls") != F.col("c")) & _size_fits(F.col("n"), F.col("cn"))).select(F.col("c").alias("u"), F.col("cls").alias("v")).distinct()
     sets = stored(class_sets(docs, rows, shared.select("cls").distinct()), "sets")
-    first = stored(_verified(stars, sets), "links")
-    links = first.where("linked").select("u", "v")
+    links = stored(_verified(stars, sets.select("cls", "set")).where("linked").select("u", "v"), "links")
     roots = components(links)
 
     named = shared.join(roots.withColumnsRenamed({"node": "cls", "root": "r"}), "cls", "left").withColumn("r", F.coalesce("r", "cls"))
     central = roots.withColumnsRenamed({"node": "c", "root": "cr"})
-    named = stored(named.join(central, "c", "left").withColumn("cr", F.coalesce("cr", "c")), "named")
-    odd = named.where("r <> cr").select("key", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("r").alias("xr"))
-    other = named.select("key", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("r").alias("yr"), (F.col("r") != F.col("cr")).alias("yodd"))
-    rest = odd.join(other, (odd["key"] == other["key"]) & (F.col("xr") != F.col("yr")) & _size_fits(F.col("xn"), F.col("yn")) & (~F.col("yodd") | (F.col("x") < F.col("y"))))
-    rest = rest.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct().join(first, ["u", "v"], "left_anti")
-    more = stored(_verified(rest, sets), "links").where("linked").select("u", "v")
+    named = named.join(central, "c", "left").withColumn("odd", F.col("r") != F.coalesce("cr", "c"))
+    mixed = stored(named.select("key", "cls", "n", "r", "odd"), "named")
+    open_ = mixed.groupBy("key").agg(F.count("*").alias("size"), F.bool_or("odd").alias("any")).where("any").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    left = mixed.join(open_, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    single = left.where("blocks = 1").select("key", F.lit(0).alias("bx"), F.lit(0).alias("by"), "cls", "n", "r", "odd", F.col("odd").alias("as_x"), F.lit(True).alias("as_y"))
+    xs = left.where("blocks > 1 and odd").select("key", F.col("own").alias("bx"), others.alias("by"), "cls", "n", "r", "odd", F.lit(True).alias("as_x"), F.lit(False).alias("as_y"))
+    ys = left.where("blocks > 1").select("key", others.alias("bx"), F.col("own").alias("by"), "cls", "n", "r", "odd", F.lit(False).alias("as_x"), F.lit(True).alias("as_y"))
+    rest = single.unionByName(xs).unionByName(ys).join(sets, "cls")
+    rest = rest.repartition("key", "bx", "by").sortWithinPartitions("key", "bx", "by").mapInArrow(_block_links, "u long, v long")
+    more = stored(rest.distinct(), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
