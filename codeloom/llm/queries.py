@@ -6,6 +6,7 @@ from .anisotropic import op1_mips
 from .bpe import op9_bpe
 from .huffman import op8_token_files
 from .kd_search import OP4_SQL, op4_kd_search
+from .language_id import op6_language
 from .mixing import OP7_SQL, op7_mixing
 from .near_dedup import op3_near_dedup
 from .suffix_dedup import op2_suffix_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_kd_search": op4_kd_search,
     "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
     "op7_mixing": op7_mixing,
     "op8_token_files": op8_token_files,
     "op9_bpe": op9_bpe,

@@ -93,7 +93,7 @@ def choose(p: list[np.ndarray], u: list[np.ndarray], most: int = FEATURES) -> np
     other = np.where(in_u[at] == in_p, n_u[at], 0) if len(in_u) else np.zeros(len(in_p))
     share_p, share_u = n_p / len(p), (other + 1) / (len(u) + 2)
     z = (share_p - share_u) / np.sqrt(share_u * (1 - share_u) / len(p))
-    keep = np.flatnonzero((n_p >= 3 + 0.01 * len(p)) & (z > 6) & (share_p > 2 * share_u))
+    keep = np.flatnonzero((n_p >= max(3, 0.01 * len(p))) & (z > 6) & (share_p > 2 * share_u))
     return np.sort(in_p[keep[np.argsort(-z[keep], kind="stable")[:most]]])
 
 
