@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import pack, read, schema_of, unpack
+
 #: Words held by a worker before it starts anew: bounds its memory.
 CACHE_WORDS = 600_000
 _NONE = np.iinfo(np.int64).max
@@ -218,19 +220,17 @@ def _decoder(path: str):
     return run
 
 
-def _fields(df: DataFrame, without=()) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in without)
-
-
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with ``ids`` array<int> in place of ``text``. ``path``: the tokenizer's file, on every machine."""
-    rest = _fields(docs, ("text", "ids"))
-    return docs.select(*[c for c in docs.columns if c != "ids"]).mapInArrow(_encoder(path), f"{rest}{', ' if rest else ''}ids array<int>")
+    slim = pack(docs, "text")
+    encoded = slim.mapInArrow(_encoder(path), schema_of(slim, ("text",), ids="array<int>"))
+    return unpack(encoded, docs, ("text",), without=("text",), ids=F.col("ids"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` with ``decoded`` string, the text of ``ids``."""
-    return encoded.mapInArrow(_decoder(path), f"{_fields(encoded, ('decoded',))}, decoded string")
+    slim = pack(encoded, "ids")
+    return unpack(slim.mapInArrow(_decoder(path), schema_of(slim, decoded="string")), encoded, ("ids",), decoded=F.col("decoded"))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -243,6 +243,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 def op9_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .common import read
-
     return digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

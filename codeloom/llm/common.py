@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``: six code points, no others.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,6 +42,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def pack(docs: DataFrame, *own: str) -> DataFrame:
+    """The ``own`` columns of ``docs`` and all others in one column ``_rest``, so that no name of theirs can clash."""
+    rest = [F.col(f"`{c}`").alias(f"r{k}") for k, c in enumerate(c for c in docs.columns if c not in own)]
+    return docs.select(*own, F.struct(*rest, F.lit(0).alias("z")).alias("_rest"))
+
+
+def unpack(packed: DataFrame, docs: DataFrame, own: tuple[str, ...], without: tuple[str, ...] = (), **new) -> DataFrame:
+    """The columns of ``docs`` again, less ``without``, then the ``new`` ones, which take the place of columns of their names."""
+    rest = {c: F.col(f"_rest.r{k}") for k, c in enumerate(c for c in docs.columns if c not in own)}
+    kept = [(F.col(c) if c in own else rest[c]).alias(c) for c in docs.columns if c not in new and c not in without]
+    return packed.select(*kept, *(v.alias(n) for n, v in new.items()))
+
+
+def schema_of(df: DataFrame, without: tuple[str, ...] = (), **new: str) -> T.StructType:
+    """The fields of ``df`` less ``without``, then new ones (name to type)."""
+    kept = [f for f in df.schema.fields if f.name not in without]
+    return T.StructType([*kept, *(T.StructField(n, T.DataType.fromDDL(t)) for n, t in new.items())])
+
+
 def in_training(doc_id="doc_id"):
     """The rows whose labels may be learnt: crc32 of the id as text, mod 3, is not 1."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .anchors import mix
-from .common import in_training, read
+from .common import in_training, pack, read, schema_of, unpack
 
 ORDER = 5
 ROWS = 400
@@ -229,8 +229,9 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
             rest = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), pa.array(names), pa.array(score), pa.array(usual)], names=[*rest, "lang_pred", "lang_score", "lang_usual"])
 
-    rest = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    return docs.mapInArrow(run, f"{rest}, lang_pred string, lang_score double, lang_usual boolean")
+    slim = pack(docs, "text")
+    new = {"lang_pred": "string", "lang_score": "double", "lang_usual": "boolean"}
+    return unpack(slim.mapInArrow(run, schema_of(slim, ("text",), **new)), docs, ("text",), without=("text",), **{c: F.col(c) for c in new})
 
 
 def op6_language(spark, sf_dir: str) -> DataFrame:

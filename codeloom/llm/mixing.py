@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, read, stored
+from .common import WORD, pack, read, stored, unpack
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -81,18 +81,22 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     ``n_chars`` follows. ``docs`` and ``mixed`` meet by id, so ids must be unique
     here; rows of one id beyond the first copy of equal content follow the first.
     """
+    own = ("doc_id", "text")
     plan = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"])).drop("_id")
+    slim = pack(docs, *own)
+    joined = slim.join(plan, slim["doc_id"].eqNullSafe(plan["_id"])).drop("_id")
     whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(1).cast("int")
     rest = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0).cast("int")
     parts = F.flatten(F.array(F.array_repeat(F.lit(None).cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
-    rows = joined.withColumn("_part", F.explode(parts)).drop("_size", "_taken")
+    rows = joined.withColumn("_part", F.explode(parts))
     words = F.split(F.col("text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     text = F.when(F.col("_part").isNull(), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("_part")), ""))
     out = rows.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_part").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    if "n_chars" not in docs.columns:
+        return unpack(out, docs, own)
+    before = F.col(f"_rest.r{[c for c in docs.columns if c not in own].index('n_chars')}")
+    after = F.when(F.col("_part").isNull(), before).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return unpack(out, docs, own, n_chars=after).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import stored, text_bytes
+from .common import pack, read, schema_of, stored, text_bytes, unpack
 from .run_index import RunIndex
 
 WINDOW = 200
@@ -215,20 +215,40 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.binary()), pa.array(size), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=[*names, "_kept", "_size", "_removed", "_spans"])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
-    """``docs`` (doc_id, text, ...) without its repeated strings: columns ``keep``
-    (all but text by default), then ``_kept`` binary, ``_size``, ``_removed`` and
-    ``_spans`` long (bytes before, bytes and maximal runs removed)."""
-    keep = [c for c in docs.columns if c != "text"] if keep is None else keep
-    keyed = _keyed(docs)
-    spans = marks(keyed, window, hot, block)
-    joined = keyed.select(*_KEY, *keep, F.col("text").cast("binary").alias("text")).join(spans, _KEY, "left").drop(*_KEY)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "spans"))
-    return joined.mapInArrow(_remove, schema + (", " if schema else "") + "_kept binary, _size long, _removed long, _spans long")
+_OWN = ("doc_id", "text")
 
 
-def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    from .common import read
+def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+    """``docs`` (doc_id, text, ...) without its repeated strings: its columns but for text, then
+    ``kept`` binary, ``n_bytes``, ``n_removed`` and ``n_spans`` long (bytes before, bytes and
+    maximal runs removed)."""
+    keyed = _keyed(pack(docs, *_OWN))
+    spans = marks(keyed.select(*_KEY, "text"), window, hot, block)
+    joined = keyed.withColumn("text", F.col("text").cast("binary")).join(spans, _KEY, "left").drop(*_KEY)
+    left = joined.mapInArrow(_remove, schema_of(joined, ("text", "spans"), _kept="binary", _size="long", _removed="long", _spans="long"))
+    return unpack(left, docs, _OWN, without=("text",), kept=F.col("_kept"), n_bytes=F.col("_size"), n_removed=F.col("_removed"), n_spans=F.col("_spans"))
+
+
+def _clean(batches):
+    for batch in batches:
+        text = [b.decode("utf-8", "ignore") for b in batch["_kept"].to_pylist()]
+        names = [c for c in batch.schema.names if c != "_kept"]
+        yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(text, pa.string())], names=[*names, "_text"])
 
+
+def clean_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with the texts that ``remove_repeats`` leaves: a character that a cut splits goes
+    whole, ``n_chars`` (if there) follows, null texts stay null, and a text may end up empty."""
+    slim = pack(docs, *_OWN)
+    out = remove_repeats(slim.withColumn("_null", F.col("text").isNull()), window).select("doc_id", "_rest", "_null", F.col("kept").alias("_kept"), F.col("n_removed").alias("_removed"))
+    out = out.mapInArrow(_clean, schema_of(out, ("_kept",), _text="string")).withColumn("text", F.when(~F.col("_null"), F.col("_text")))
+    if "n_chars" not in docs.columns:
+        return unpack(out, docs, _OWN)
+    before = F.col(f"_rest.r{[c for c in docs.columns if c not in _OWN].index('n_chars')}")
+    after = F.when(F.col("_removed") > 0, F.length("text")).otherwise(before).cast(docs.schema["n_chars"].dataType)
+    return unpack(out, docs, _OWN, n_chars=after).select(*[f"`{c}`" for c in docs.columns])
+
+
+def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_size").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_training, read
+from .common import in_training, pack, read, schema_of, unpack
 
 P_ROWS, U_ROWS, FEATURES = 4096, 12_288, 768
 THRESHOLD = 0.7
@@ -156,13 +156,14 @@ def _scores(model: Model | None):
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """``docs`` with ``_score``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(_scores(model), f"{schema}, _score double")
+    """``docs`` with ``toxicity`` double."""
+    slim = pack(docs, "text")
+    scored = slim.mapInArrow(_scores(model), schema_of(slim, _score="double"))
+    return unpack(scored, docs, ("text",), toxicity=F.col("_score"))
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, read(spark, sf_dir, "labels"))
-    predicted = F.when(F.col("_score") >= THRESHOLD, 1).otherwise(0)
-    return score(docs, model).select("doc_id", (~in_training()).alias("held_out"), F.col("_score").alias("score"), predicted.alias("predicted"))
+    predicted = F.when(F.col("toxicity") >= THRESHOLD, 1).otherwise(0)
+    return score(docs, model).select("doc_id", (~in_training()).alias("held_out"), F.col("toxicity").alias("score"), predicted.alias("predicted"))
