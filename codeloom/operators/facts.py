@@ -79,7 +79,7 @@ class _Calls(ast.NodeVisitor):
 
     def visit_Call(self, node):
         self.generic_visit(node)
-        if name := _dotted(node.func):
+        if (name := _dotted(node.func)) and name != "super":
             self.found.setdefault(name, len(self.found))
 
     def visit_FunctionDef(self, node):
