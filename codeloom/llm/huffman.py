@@ -4,6 +4,7 @@ Files below a folder:
 
 * ``codes``: Parquet rows (id, length), the code lengths; codes are canonical
   (by length, then id), so the lengths say all.
+* ``kind``: no rows; its schema has the type of the ids of documents.
 * ``blocks``: Parquet rows of whole documents, in ascending order of ``start``:
   ``start`` (ids before the block), ``doc_ids``, ``sizes`` (ids of each
   document), ``bits`` (the codes, from the highest bit) and ``checkpoints``
@@ -260,6 +261,8 @@ class Decoder:
         return out
 
 
+_BLOCK = "start long, doc_ids array<{kind}>, sizes array<long>, bits binary, checkpoints array<long>, part int"
+
 # --- files ----------------------------------------------------------------------
 
 
@@ -326,7 +329,8 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, limit: int = LIMIT) ->
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id long, length int").coalesce(1).write.parquet(f"{path}/codes")
     placed = tokens.join(F.broadcast(before), "part").select("doc_id", "ids", "n", (F.col("base") + F.col("local")).alias("start"), "part")
-    blocks = placed.mapInArrow(_pack_blocks(lengths), f"start long, doc_ids array<{kind}>, sizes array<long>, bits binary, checkpoints array<long>, part int")
+    docs.select("doc_id").limit(0).coalesce(1).write.parquet(f"{path}/kind")
+    blocks = placed.mapInArrow(_pack_blocks(lengths), _BLOCK.format(kind=kind))
     blocks.write.option("compression", "none").partitionBy("part").parquet(f"{path}/blocks")
 
 
@@ -382,7 +386,9 @@ def _opened(spark, path: str) -> tuple[DataFrame, np.ndarray]:
     lengths = np.zeros(max((r["id"] for r in rows), default=0) + 1, np.int64)
     for r in rows:
         lengths[r["id"]] = r["length"]
-    return spark.read.parquet(f"{path}/blocks").select("start", "doc_ids", "sizes", "bits", "checkpoints"), lengths
+    kind = spark.read.parquet(f"{path}/kind").schema["doc_id"].dataType.simpleString()
+    blocks = spark.read.schema(_BLOCK.format(kind=kind)).parquet(f"{path}/blocks")
+    return blocks.select("start", "doc_ids", "sizes", "bits", "checkpoints"), lengths
 
 
 def read_ids(spark, path: str) -> DataFrame:

@@ -1,0 +1,25 @@
+"""Registered queries of the subpackage against their SQL, and the pipeline against its parts."""
+
+import pytest
+from helpers import same
+
+import corpus_pipeline
+from codeloom.llm.queries import ORACLE_SQL, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_equals_sql(spark, sf, duck, name):
+    same(QUERIES[name](spark, sf), duck.sql(ORACLE_SQL[name]).df())
+
+
+def test_pipeline_stages(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    names = docs.columns
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.common.stored(stage(spark, docs, sf), name)
+        assert docs.columns == names
+        sizes.append(docs.count())
+    assert 200 > sizes[0] > sizes[1] == sizes[2]
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert out.count() == sizes[3]
