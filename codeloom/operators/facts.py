@@ -12,6 +12,10 @@
   once (owner: function by qualified name in the module, value: dotted callee)
 * ``typed``: what a function's parameters, locals and ``self`` attributes hold,
   if it is said by annotation or constructor (owner: function or class)
+* ``excerpt``: the source of each function (value), its docstring cut to the
+  first paragraph, at most EXCERPT characters; flags: env if it reads the environment
+* ``outline``: a class's head, summary and the heads of its public methods
+  (value), at most OUTLINE characters
 * ``error``: the file doesn't parse
 
 Everything that needs more than one file is done by joins on these rows.
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+EXCERPT, OUTLINE = 2500, 1500
 SCHEMA = "kind string, ord int, name string, owner string, value string, line int, end_line int, flags string"
 
 
@@ -88,6 +93,50 @@ class _Calls(ast.NodeVisitor):
     visit_AsyncFunctionDef = visit_ClassDef = visit_FunctionDef
 
 
+def _cap(text: str, most: int) -> str:
+    return text if len(text) <= most else text[: text.rfind("\n", 0, most) + 1] + "..."
+
+
+def _summary(node) -> str:
+    return (ast.get_docstring(node) or "").split("\n\n")[0]
+
+
+def _excerpt(node, lines: list[str]) -> str:
+    doc = node.body[0] if ast.get_docstring(node) is not None else None
+    if doc is None:
+        return _cap("\n".join(lines[node.lineno - 1 : node.end_lineno]), EXCERPT)
+    mark = f'{" " * doc.col_offset}"""{_summary(node)}"""'
+    return _cap("\n".join([*lines[node.lineno - 1 : doc.lineno - 1], mark, *lines[doc.end_lineno : node.end_lineno]]), EXCERPT)
+
+
+def _head(node, lines: list[str]) -> str:
+    return "\n".join(lines[node.lineno - 1 : max(node.lineno, node.body[0].lineno - 1)]).rstrip()
+
+
+def _outline(node, lines: list[str]) -> str:
+    parts = [_head(node, lines)]
+    if summary := _summary(node):
+        parts.append(f'    """{summary}"""')
+    for inner in node.body:
+        if isinstance(inner, (ast.FunctionDef, ast.AsyncFunctionDef)) and (not inner.name.startswith("_") or inner.name == "__init__"):
+            parts.append(f"{_head(inner, lines)} ...")
+    return _cap("\n".join(parts), OUTLINE)
+
+
+def _reads_environment(node) -> bool:
+    return any(isinstance(n, ast.Attribute) and _dotted(n) in ("os.environ", "os.getenv") for n in ast.walk(node))
+
+
+def _texts(body, owner: str | None, lines: list[str]):
+    for k, node in enumerate(body):
+        name = f"{owner}.{node.name}" if owner and hasattr(node, "name") else getattr(node, "name", None)
+        if isinstance(node, ast.ClassDef):
+            yield "outline", k, name, owner, _outline(node, lines), node.lineno, node.end_lineno, None
+            yield from _texts(node.body, name, lines)
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            yield "excerpt", k, name, owner, _excerpt(node, lines), node.lineno, node.end_lineno, "env" if _reads_environment(node) else ""
+
+
 def _function(node, owner: str | None):
     name = f"{owner}.{node.name}" if owner else node.name
     visitor = _Calls()
@@ -138,6 +187,7 @@ def facts_of(content: str):
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             yield "entity", k, node.name, None, ast.get_docstring(node) or "", node.lineno, node.end_lineno, "function"
             yield from _function(node, None)
+    yield from _texts(tree.body, None, content.strip().split("\n"))
     k = 0
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):

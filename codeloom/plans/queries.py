@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import text
-from codeloom.operators import budget, calls, facts, graph, incremental, manifests, names, retrieval, sequence, usage, xref
+from codeloom.operators import budget, calls, facts, graph, incremental, manifests, names, retrieval, sequence, structure, usage, xref
 from codeloom.plans import diagrams, rules, tables
 from codeloom.plans.tables import table
 
@@ -417,6 +417,11 @@ def rule_verdicts(spark, sf):
     return rules.verdicts(lines, rules.validate(lines))
 
 
+def _facts(spark, sf):
+    """Facts of the derived modules, held: several joins read them."""
+    return facts.facts(tables.modules(spark, sf)).persist()
+
+
 _MODULES = """
 WITH p AS (SELECT p_brand AS project, p_partkey AS k, (p_partkey * 3 + p_size) % 200 AS o, 'pkg' || CAST(p_partkey % 5 AS VARCHAR) || '.m' || CAST(p_partkey AS VARCHAR) AS module, p_name AS n FROM part)
 """
@@ -426,7 +431,7 @@ WITH p AS (SELECT p_brand AS project, p_partkey AS k, (p_partkey * 3 + p_size) %
 SELECT project, module, 'Thing' || CAST(k AS VARCHAR) AS name, 'class' AS what, 'A ' || n || '.' AS docstring, 'Thing' || CAST(o AS VARCHAR) AS parent FROM p
 UNION ALL SELECT project, module, 'helper' || CAST(k AS VARCHAR), 'function', '', NULL FROM p""")
 def code_entities(spark, sf):
-    found = facts.of_kind(facts.facts(tables.modules(spark, sf)), "entity")
+    found = facts.of_kind(_facts(spark, sf), "entity")
     return found.select("project", "module", "name", F.col("flags").alias("what"), F.col("value").alias("docstring"), F.col("owner").alias("parent"))
 
 
@@ -434,7 +439,7 @@ def code_entities(spark, sf):
 SELECT t.project, t.module, x.target FROM t LEFT JOIN (SELECT DISTINCT a.project, a.module, a.target FROM t a JOIN p b ON a.project = b.project AND a.target = b.module WHERE a.module <> a.target) x USING (project, module)""")
 def module_imports(spark, sf):
     files = tables.modules(spark, sf)
-    rows = facts.of_kind(facts.facts(files), "import").select("project", "module", "is_package", F.col("name").alias("imported"))
+    rows = facts.of_kind(_facts(spark, sf), "import").select("project", "module", "is_package", F.col("name").alias("imported"))
     placed = names.place_imports(rows, files.select("project", "module"), ("project",)).where("kind = 'internal' and target <> module").select("project", "module", "target").distinct()
     return files.select("project", "module").join(placed, ["project", "module"], "left")
 
@@ -446,16 +451,51 @@ UNION ALL SELECT project, cls || '.run', cls || '.step', TRUE FROM b
 UNION ALL SELECT project, cls || '.step', CASE WHEN inside THEN full_base ELSE base END, inside FROM b
 UNION ALL SELECT project, module || '.helper' || CAST(k AS VARCHAR), 'getcwd', FALSE FROM p""")
 def call_edges(spark, sf):
-    return calls.call_edges(facts.facts(tables.modules(spark, sf))).drop("ord")
+    return calls.call_edges(_facts(spark, sf)).drop("ord")
 
 
 @query()
 def class_lineage(spark, sf):
-    rows = facts.facts(tables.modules(spark, sf))
+    rows = _facts(spark, sf)
     defined = calls.definitions(rows)
     return calls.lineage(calls.class_bases(rows, defined, calls.aliases(rows)))
 
 
+@query(_MODULES + """
+SELECT project, module, module || '.Thing' || CAST(k AS VARCHAR) AS full_name, 'outline' AS kind, md5('class Thing' || k || '(Thing' || o || '):' || chr(10) || '    \"\"\"A ' || n || '.\"\"\"' || chr(10) || '    def run(self, other: Thing' || o || '): ...' || chr(10) || '    def step(self): ...') AS digest, FALSE AS env FROM p
+UNION ALL SELECT project, module, module || '.Thing' || CAST(k AS VARCHAR) || '.run', 'excerpt', md5('    def run(self, other: Thing' || o || '):' || chr(10) || '        helper' || k || '()' || chr(10) || '        other.stop()' || chr(10) || '        return self.step()'), FALSE FROM p
+UNION ALL SELECT project, module, module || '.Thing' || CAST(k AS VARCHAR) || '.step', 'excerpt', md5('    def step(self):' || chr(10) || '        return Thing' || o || '()'), FALSE FROM p
+UNION ALL SELECT project, module, module || '.helper' || CAST(k AS VARCHAR), 'excerpt', md5('def helper' || k || '():' || chr(10) || '    return os.getcwd()'), FALSE FROM p""")
+def code_excerpts(spark, sf):
+    found = _facts(spark, sf).where("kind in ('outline', 'excerpt')")
+    return found.select("project", "module", F.concat_ws(".", "module", "name").alias("full_name"), "kind", F.md5("value").alias("digest"), (F.coalesce("flags", F.lit("")) == "env").alias("env"))
+
+
+@query()
+def code_documents(spark, sf):
+    files = tables.modules(spark, sf)
+    return structure.documents(_facts(spark, sf), files)
+
+
+@query()
+def section_contexts(spark, sf):
+    rows = _facts(spark, sf).where("kind = 'outline'")
+    return structure.section_context(rows.select("project", F.struct("module", "ord").alias("ord"), "name", F.col("value").alias("text")))
+
+
+@query(_MODULES + """, t AS (SELECT p.*, 'pkg' || CAST(o % 5 AS VARCHAR) AS head, 'pkg' || CAST(o % 5 AS VARCHAR) || '.m' || CAST(o AS VARCHAR) AS target FROM p)
+SELECT t.project, t.module, t.head AS names FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.project = t.project AND p.module = t.target)""")
+def third_party_map(spark, sf):
+    files = tables.modules(spark, sf)
+    return structure.third_party_map(_facts(spark, sf), files)
+
+
+@query()
+def most_used_classes(spark, sf):
+    rows = _facts(spark, sf)
+    return structure.most_used_classes(calls.call_edges(rows), calls.definitions(rows).where("what = 'class'"))
+
+
 @query()
 def architecture_diagram(spark, sf):
     files = tables.modules(spark, sf)
@@ -467,7 +507,7 @@ def architecture_diagram(spark, sf):
 @query()
 def dependency_diagram(spark, sf):
     files = tables.modules(spark, sf)
-    rows = facts.of_kind(facts.facts(files), "import").select("project", "module", "is_package", F.col("name").alias("imported"))
+    rows = facts.of_kind(_facts(spark, sf), "import").select("project", "module", "is_package", F.col("name").alias("imported"))
     placed = names.place_imports(rows, files.select("project", "module"), ("project",))
     package = lambda c: F.regexp_replace(c, r"\.[^.]+$", "")
     dst = F.when(F.col("kind") == "internal", package(F.col("target"))).otherwise(F.col("target"))
@@ -477,7 +517,7 @@ def dependency_diagram(spark, sf):
 
 @query()
 def class_diagrams(spark, sf):
-    rows = facts.facts(tables.modules(spark, sf))
+    rows = _facts(spark, sf)
     methods = facts.of_kind(rows, "method").groupBy("project", "module", F.col("owner").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("name").alias("m")))), lambda x: x["m"]).alias("methods"))
     found = facts.of_kind(rows, "entity").where("flags = 'class'").select("project", "module", "name", F.col("owner").alias("base"))
     found = found.join(methods, ["project", "module", "name"], "left").withColumn("methods", F.coalesce("methods", F.array().cast("array<string>")))
