@@ -110,7 +110,10 @@ def _excerpt(node, lines: list[str]) -> str:
 
 
 def _head(node, lines: list[str]) -> str:
-    return "\n".join(lines[node.lineno - 1 : max(node.lineno, node.body[0].lineno - 1)]).rstrip()
+    first = node.body[0]
+    if first.lineno == node.lineno:  # all on one line
+        return lines[node.lineno - 1].encode()[: first.col_offset].decode().rstrip()
+    return "\n".join(lines[node.lineno - 1 : first.lineno - 1]).rstrip()
 
 
 def _outline(node, lines: list[str]) -> str:

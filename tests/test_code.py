@@ -114,3 +114,23 @@ def test_stream_of_changes(spark, tmp_path):
     spark.createDataFrame([("a", "1", "one", 1)], schema).write.parquet(f"{tmp_path}/in")
     follow(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/mark").awaitTermination()
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/out/chunks/batch=0").collect()} == {("a", 0, "one")}
+
+
+def test_structure(spark, rows):
+    from codeloom.operators import structure
+
+    files = spark.createDataFrame([("p", "shop", True, "from .models import Order\nfrom shop.api import place, Order"), ("p", "shop.models", False, ""), ("p", "shop.api", False, "")], "project string, module string, is_package boolean, content string")
+    found = structure.exports(facts.facts(files), files)
+    assert [tuple(r) for r in structure.api_map(found).collect()] == [("p", "shop", "Order, place")]
+    order = spark.createDataFrame([("p", "B", 0, "B"), ("p", "B", 1, "A"), ("p", "C", 0, "C"), ("p", "C", 1, "A")], "project string, cls string, ord int, base string")
+    firsts = spark.createDataFrame([("p", 0, "B"), ("p", 1, "C")], "project string, ord int, cls string")
+    assert [r["cls"] for r in structure.key_classes(firsts, order).orderBy("ord").collect()] == ["B", "A", "C"]
+    texts = {(r["kind"], r["name"]): r["value"] for r in rows.where("kind in ('outline', 'excerpt')").collect()}
+    assert texts["outline", "Order"] == "class Order(Base):\n    def total(self): ...\n    def lines(self): ..."
+    assert texts["excerpt", "Base.save"] == "    def save(self): pass"
+
+
+def test_long_excerpts_are_cut_at_a_line():
+    body = "\n".join(f"    x{k} = {k}" for k in range(900))
+    found = [f for f in facts.facts_of(f'def f():\n    """First.\n\n    Second.\n    """\n{body}\n') if f[0] == "excerpt"]
+    assert len(found) == 1 and len(found[0][4]) <= facts.EXCERPT + 3 and '"""First."""' in found[0][4] and "Second" not in found[0][4] and found[0][4].endswith("\n...")
