@@ -62,8 +62,8 @@ def schema_of(df: DataFrame, without: tuple[str, ...] = (), **new: str) -> T.Str
 
 
 def in_training(doc_id="doc_id"):
-    """The rows whose labels may be learnt: crc32 of the id as text, mod 3, is not 1."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
+    """The rows whose labels may be learnt: crc32 of the id as text, mod 3, is not 1 (false for a null id)."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1, F.lit(False))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

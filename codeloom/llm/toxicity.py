@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import in_training, pack, read, schema_of, unpack
 
-P_ROWS, U_ROWS, FEATURES = 4096, 12_288, 768
+P_ROWS, U_ROWS, FEATURES = 2048, 6144, 768
 THRESHOLD = 0.7
 CACHE_WORDS = 500_000
 _WORDS = re.compile(r"\w+")
@@ -56,10 +56,19 @@ def _featured(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["f"])
 
 
+def _hash() -> F.Column:
+    return F.xxhash64(F.col("doc_id"), F.lit(5))
+
+
+def _features(docs: DataFrame, rows: int) -> list[np.ndarray]:
+    found = docs.limit(rows).select("text").mapInArrow(_featured, "f binary").collect()
+    return sorted((np.frombuffer(r["f"], np.uint32) for r in found), key=lambda f: f.tobytes())
+
+
 def _sample(docs: DataFrame, rows: int) -> list[np.ndarray]:
-    """Features of the ``rows`` documents of least hash."""
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64(F.col("doc_id"), F.lit(5)), "doc_id", "text").limit(rows)
-    return [np.frombuffer(r["f"], np.uint32) for r in some.select("text").mapInArrow(_featured, "f binary").collect()]
+    """Features of the ``rows`` documents of least hash; only their ids are sorted."""
+    last = docs.select(_hash().alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return _features(docs.where(_hash() <= F.lit(last)), rows) if last is not None else []
 
 
 class Model:
@@ -140,8 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, p_rows: int = P_ROWS, u_rows: int
     """Fit on the toxic labels of training rows and unlabelled text of ``docs`` (doc_id, text)."""
     said = labels.where(F.col("toxic").isNotNull() & in_training()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     shares = said.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    toxic = said.where("toxic = 1").select("doc_id")
-    p = _sample(docs.join(toxic, "doc_id", "left_semi"), p_rows)
+    toxic = said.where("toxic = 1").select("doc_id").orderBy(_hash(), "doc_id").limit(p_rows)
+    p = _features(docs.join(F.broadcast(toxic), "doc_id", "left_semi"), p_rows)  # p_rows ids at most
     u = _sample(docs, u_rows)
     return fit(p, u, float(np.clip(shares or 0.0, 0.001, 0.5)))
 
