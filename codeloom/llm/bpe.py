@@ -26,10 +26,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pack, read, schema_of, unpack
+from .common import pack, read, release, schema_of, unpack
 
 #: Words held by a worker before it starts anew: bounds its memory.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 150_000
 _NONE = np.iinfo(np.int64).max
 #: White space to Python but not to the tokenizers' patterns.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -207,6 +207,7 @@ def _encoder(path: str):
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
             rest = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), ids], names=[*rest, "ids"])
+        release()
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -38,12 +39,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not glibc
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Hand texts to Python in batches of at most ``rows``, here and in the JVM: whole texts can be long."""
+    if int(spark.conf.get(BATCH_ROWS)) > rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def pack(docs: DataFrame, *own: str) -> DataFrame:
     """The ``own`` columns of ``docs`` and all others in one column ``_rest``, so that no name of theirs can clash."""
+    small_batches(docs.sparkSession)
     rest = [F.col(f"`{c}`").alias(f"r{k}") for k, c in enumerate(c for c in docs.columns if c not in own)]
     return docs.select(*own, F.struct(*rest, F.lit(0).alias("z")).alias("_rest"))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_bytes
+from .common import release, small_batches, stored, text_bytes
 from .components import components
 from .shingles import band_keys, mix, shingle_sets, super_minhash
 
@@ -51,6 +51,7 @@ def _sketch(batches):
             keys = band_keys(super_minhash(hashes, ends, SLOTS), BANDS).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (d1 - d0 + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
             yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(d0, d1 - d0), pa.array(np.diff(ends)), pa.array(_class(hashes, ends)), bands], names=["doc_id", "n", "cls", "bands"])
+    release()
 
 
 def _sets(batches):
@@ -149,7 +150,7 @@ def _size_fits(n, m):
 
 def class_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, set) of the ``wanted`` classes (cls), from the text of each one's least document."""
-    at = rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    at = rows.groupBy("cls").agg(F.min("doc_id").alias("doc_id")).join(wanted, "cls", "left_semi")
     keys = at.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(keys, docs["doc_id"].eqNullSafe(keys["doc_id"]), "left_semi")
     found = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(_sets, "cls long, set binary, bands binary, sig binary")
@@ -158,6 +159,7 @@ def class_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame
 
 def groups(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_shingles, component_id, kept."""
+    small_batches(docs.sparkSession)
     rows = stored(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, cls long, bands array<long>"), "sketches")
     classes = rows.where("n > 0").groupBy("cls", "n").agg(F.first("bands").alias("bands"))
     members = classes.select("cls", "n", F.explode("bands").alias("key"))

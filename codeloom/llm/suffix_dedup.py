@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .common import pack, read, schema_of, stored, text_bytes, unpack
+from .common import pack, read, release, schema_of, small_batches, stored, text_bytes, unpack
 from .run_index import RunIndex
 
 WINDOW = 200
@@ -59,11 +59,13 @@ def _cut(window: int):
                 [batch["_id"].take(doc), batch["_th"].take(doc), *map(pa.array, (names["first"], names["last"], names["off"], found["anchor"], found["fp"]))],
                 names=["_id", "_th", "first", "last", "off", "anchor", "fp"],
             )
+        release()
 
     return run
 
 
 def pieces(keyed: DataFrame, window: int = WINDOW) -> DataFrame:
+    small_batches(keyed.sparkSession)
     return keyed.select("_id", "_th", F.col("text").cast("binary").alias("text")).mapInArrow(_cut(window), _PIECE)
 
 
@@ -139,21 +141,30 @@ def _slices(batches):
         yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(fp, pa.int64()), pa.array(out, pa.binary())], names=["anchor", "fp", "piece"])
 
 
-def _windows(window: int):
+def _windows(window: int, flush: int = 1 << 17):
     """Every window of a piece, by its distance from the anchor."""
 
+    def batch_of(pieces, digests):
+        anchor, fp, off, n = (np.array(c, np.int64) for c in zip(*pieces))
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        columns = [np.repeat(anchor, n), np.repeat(fp, n), at.astype(np.int32), (at - np.repeat(off, n)).astype(np.int32)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(digests, pa.binary())], names=["anchor", "fp", "at", "rel", "digest"])
+
     def run(batches):
         for batch in batches:
             raw, offsets = text_bytes(batch["piece"])
-            off = np.asarray(batch["off"])
+            anchor, fp, off = (np.asarray(batch[c]) for c in ("anchor", "fp", "off"))
+            pieces, digests = [], []
             for k in range(batch.num_rows):
                 piece = raw[offsets[k] : offsets[k + 1]].tobytes()
                 n = len(piece) - window + 1
-                digests = [hashlib.blake2b(piece[i : i + window], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(batch["anchor"][k], n), pa.repeat(batch["fp"][k], n), pa.array(np.arange(n, dtype=np.int32)), pa.array((np.arange(n) - off[k]).astype(np.int32)), pa.array(digests, pa.binary())],
-                    names=["anchor", "fp", "at", "rel", "digest"],
-                )
+                pieces.append((anchor[k], fp[k], off[k], n))
+                digests += [hashlib.blake2b(piece[i : i + window], digest_size=16).digest() for i in range(n)]
+                if len(digests) >= flush:
+                    yield batch_of(pieces, digests)
+                    pieces, digests = [], []
+            if pieces:
+                yield batch_of(pieces, digests)
 
     return run
 
@@ -163,7 +174,8 @@ def marks(keyed: DataFrame, window: int = WINDOW, hot: int = HOT, block: int = B
     if not anchors.K <= window:
         raise ValueError(f"window must be {anchors.K} bytes at least")
     cut = pieces(keyed, window)
-    often = cut.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    # stored, so that the join below has two plain shuffles, whose skewed partitions Spark can split
+    often = stored(cut.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "anchors")
     met = stored(cut.join(often, "anchor", "left_semi"), "met")
     distinct = met.groupBy("anchor", "fp").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_th", "first", "last", "off")).alias("at"))
     kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))

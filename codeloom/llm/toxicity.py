@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_training, pack, read, schema_of, unpack
+from .common import in_training, pack, read, release, schema_of, small_batches, unpack
 
-P_ROWS, U_ROWS, FEATURES = 2048, 6144, 768
+P_ROWS, U_ROWS, FEATURES = 2048, 4096, 768
 THRESHOLD = 0.7
-CACHE_WORDS = 500_000
+CACHE_WORDS = 100_000
 _WORDS = re.compile(r"\w+")
 _SIZES = (4, 5, 6)
 _LEVELS = (1, 2, 4)
@@ -61,6 +61,7 @@ def _hash() -> F.Column:
 
 
 def _features(docs: DataFrame, rows: int) -> list[np.ndarray]:
+    small_batches(docs.sparkSession)
     found = docs.limit(rows).select("text").mapInArrow(_featured, "f binary").collect()
     return sorted((np.frombuffer(r["f"], np.uint32) for r in found), key=lambda f: f.tobytes())
 
@@ -160,6 +161,9 @@ def _scores(model: Model | None):
         for batch in batches:
             scores = [model.score(t) if model else 0.0 for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "_score"])
+        if model:
+            model.known.clear()
+        release()
 
     return run
 
