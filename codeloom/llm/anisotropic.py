@@ -5,11 +5,13 @@ minimise |r|^2 + (eta - 1) (r . x / |x|)^2 over residuals r: the part of the
 error parallel to the vector, which moves its score with well-matched queries,
 costs eta times as much (Guo et al., 2020). Search: for each query a table of
 its products with all centroids; two codes make one byte, so a scan adds one
-entry of 256 for each byte. The ``shortlist`` best of every shard are scored
-exactly, and the best of all shards win.
+entry of 256 for each byte. The ``shortlist`` best of every shard, and all that
+tie with the last of them, are scored exactly, and the best of all shards win.
+Equal vectors are scanned as one, which carries its ``k`` + 1 least ids (one of
+them may be the query's), and only the winners' ids are listed.
 
-The codebook is fitted on the ``TRAIN`` vectors of least hash (a bounded
-sample); every vector is encoded and scanned. Defined results: vectors that are
+The codebook is fitted on the ``TRAIN`` distinct vectors of least hash (a
+bounded sample); every distinct vector is encoded and scanned. Defined results: vectors that are
 null, empty, zero, or hold null or non-finite components, and rows without an
 id take no part; a query meets vectors of its own length only, and no row of
 its own id; of a query id that repeats, the least vector is the query; a
@@ -22,9 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import vector_blocks
-from .common import read, vectors
+from .common import read, stored, vectors
 
 TRAIN = 4096
 PARALLEL_FROM = 0.2
@@ -114,6 +117,19 @@ class Codebook:
         return (four[0::2, :, None] + four[1::2, None, :]).reshape(len(four) // 2, 256, len(queries))
 
 
+def distinct(rows: DataFrame, k: int) -> DataFrame:
+    """(vec_id, v, dim, ids, times): each vector once, its ``k`` + 1 least ids in order, how often each occurs (``k`` at most), and the least as vec_id.
+
+    The row numbers are limited before rows move, so a vector that fills a
+    third of the table brings few rows of every partition to one task.
+    """
+    counted = rows.groupBy("dim", "v", "vec_id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    place = F.row_number().over(Window.partitionBy("dim", "v").orderBy("vec_id"))
+    least = counted.withColumn("place", place).where(F.col("place") <= k + 1)
+    held = least.groupBy("dim", "v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("held"))
+    return held.select(F.col("held.vec_id")[0].alias("vec_id"), "v", "dim", F.col("held.vec_id").alias("ids"), F.col("held.n").alias("times"))
+
+
 def _encoder(books: dict[int, Codebook]):
     def run(batches):
         for batch in batches:
@@ -133,27 +149,40 @@ def _encoder(books: dict[int, Codebook]):
 def _scan(books: dict[int, Codebook], k: int, shortlist: int):
     def run(table: pa.Table) -> pa.Table:
         rows, asked = vector_blocks.split(table)
-        ids, qids = np.asarray(rows["vec_id"]), np.asarray(asked["vec_id"])
+        qids = np.asarray(asked["vec_id"])
         found_q, found_v, found_s = [], [], []
-        if len(ids) and len(qids):
+        if rows.num_rows and len(qids):
             x, queries = vector_blocks.matrix(rows), vector_blocks.matrix(asked)
-            codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            ids, times = (np.asarray(rows[c].combine_chunks().flatten()) for c in ("ids", "times"))
+            size = np.asarray(rows["ids"].combine_chunks().value_lengths()).astype(np.int64)
+            start = np.cumsum(size) - size
+            first, second = ids[start], ids[start + (size > 1)]
+            codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(len(x), -1)
             book = books[x.shape[1]]
             for a in range(0, len(qids), 256):
                 tables = book.tables(queries[a : a + 256])
-                total = np.zeros((len(ids), tables.shape[2]), np.float32)
+                total = np.zeros((len(x), tables.shape[2]), np.float32)
                 for j in range(codes.shape[1]):
                     total += tables[j][codes[:, j]]
                 total = np.ascontiguousarray(total.T)
                 for q, line in enumerate(total, a):
-                    line[ids == qids[q]] = -np.inf
-                    near = np.argpartition(-line, shortlist)[:shortlist] if len(ids) > shortlist else np.arange(len(ids))
-                    near = near[ids[near] != qids[q]]
+                    alone = (size == 1) & (first == qids[q])
+                    line[alone] = -np.inf
+                    # equal codes have equal sums: all that tie with the last of the shortlist are scored
+                    near = np.flatnonzero(line >= np.partition(line, -shortlist)[-shortlist]) if len(x) > shortlist else np.arange(len(x))
+                    near = near[~alone[near]]
                     score = (x[near] * queries[q]).sum(axis=1)
-                    top = near[np.lexsort([ids[near], -score])[:k]]
+                    least = np.where(first[near] == qids[q], second[near], first[near])
+                    order = np.lexsort([least, -score])[:k]
+                    near, score = near[order], score[order]
+                    # the ids of these vectors, each as often as it occurs
+                    at = np.repeat(start[near] - (np.cumsum(size[near]) - size[near]), size[near]) + np.arange(size[near].sum())
+                    often = np.where(ids[at] == qids[q], 0, times[at])
+                    held, value = np.repeat(ids[at], often), np.repeat(np.repeat(score, size[near]), often)
+                    top = np.lexsort([held, -value])[:k]
                     found_q.append(np.full(len(top), qids[q]))
-                    found_v.append(ids[top])
-                    found_s.append((x[top] * queries[q]).sum(axis=1))
+                    found_v.append(held[top])
+                    found_s.append(value[top])
         join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         return pa.table({"query_id": join(found_q, np.int64), "vec_id": join(found_v, np.int64), "score": join(found_s, np.float64)})
 
@@ -163,13 +192,14 @@ def _scan(books: dict[int, Codebook], k: int, shortlist: int):
 def search(embeddings: DataFrame, step: int, k: int, shortlist: int = SHORTLIST, train: int = TRAIN) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of ``embeddings`` (vec_id, embedding) for every row whose id is divisible by ``step``."""
     rows = vector_blocks.usable(embeddings).where(F.exists("v", lambda x: x != 0))
+    queries = vector_blocks.every(rows, step)
+    rows = stored(distinct(rows, k), "mips")
     books = {}
     for r in rows.groupBy("dim").count().collect():  # one row for each length of vectors
         sample = rows.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(train).select("v").collect()
         books[r["dim"]] = Codebook.fit(np.array([s["v"] for s in sample]))
-    queries = vector_blocks.every(rows, step)
     deal = vector_blocks.Deal(rows, queries)
-    coded = rows.mapInArrow(_encoder(books), "vec_id long, v array<double>, dim int, code binary")
+    coded = rows.mapInArrow(_encoder(books), "vec_id long, v array<double>, dim int, ids array<long>, times array<int>, code binary")
     groups = deal.met(coded, queries, F.sequence(F.lit(0), F.lit(deal.shards - 1)))
     return vector_blocks.best(groups.applyInArrow(_scan(books, k, shortlist), "query_id long, vec_id long, score double"), k)
 

@@ -156,6 +156,22 @@ def test_inner_product_search_recall(spark):
     assert anisotropic.search(frame.limit(0), 20, 20).count() == 0
 
 
+def test_mips_ranks_equal_vectors_by_id(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [3.0] * 8 if i % 3 == 0 else rng.normal(size=8).tolist()) for i in range(1200)]
+    rows += [rows[0], rows[3]] * 2  # repeated rows of a query and of a candidate
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for q, group in anisotropic.search(frame, 60, 20).toPandas().groupby("query_id"):
+        # every query id is divisible by 3: its copies rank first, by id
+        want = sorted(i for i, _ in rows if i % 3 == 0 and i != q)[:20]
+        assert list(group.sort_values("rank")["vec_id"]) == want
+    near = [(i, [3.0 + 1e-9 * i] * 8 if i % 3 == 0 else v) for i, v in rows[:1200]]  # other vectors, equal codes
+    frame = spark.createDataFrame(near, "vec_id long, embedding array<double>")
+    for q, group in anisotropic.search(frame, 60, 20).toPandas().groupby("query_id"):
+        want = [i for i in range(1197, 0, -3) if i != q][:20]
+        assert list(group.sort_values("rank")["vec_id"]) == want
+
+
 def test_kd_search_is_exact(spark, monkeypatch):
     monkeypatch.setattr("codeloom.llm.vector_blocks.Deal.__init__.__defaults__", (100, 4))
     monkeypatch.setattr(kd_search, "LEAF", 16)
