@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -85,28 +89,73 @@ def provider(name: str):
         raise ValueError(f"unknown embedding provider {name!r}; known: {', '.join(sorted(PROVIDERS))}") from None
 
 
-def dot(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a, b):
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+SHARD_ROWS = 16_384
+BLOCK_QUESTIONS = 4_096
+
+
+def _matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(vectors, their lengths, which of them count): a vector of another size, or with null, not finite or only zero components, does not count."""
+    at = np.flatnonzero(np.asarray(pc.fill_null(pc.list_value_length(column), -1)) == dim)
+    out = np.zeros((len(column), dim))
+    out[at] = np.asarray(column.take(pa.array(at)).flatten().cast(pa.float64()).fill_null(np.nan)).reshape(len(at), dim)
+    norm = np.sqrt((out * out).sum(axis=1))
+    good = np.isfinite(norm) & (norm > 0)
+    out[~good], norm[~good] = 0, 1
+    return out, norm, good
+
+
+def _best(k: int, threshold: float | None):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        rows, asked = table.filter(pc.invert(table["asked"])), table.filter(table["asked"])
+        v, q = (c.combine_chunks() for c in (rows["v"], asked["q"]))
+        place = np.asarray(pc.rank(rows["vec_id"].combine_chunks(), null_placement="at_start", tiebreaker="dense")).astype(np.int64)
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(q), 0))
+        found_q, found_v, found_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for dim in np.unique(sizes) if len(place) else ():
+            x, x_norm, x_good = _matrix(v, int(dim))
+            unit = (x / x_norm[:, None]).T
+            mine = np.flatnonzero(sizes == dim)
+            y, y_norm, y_good = _matrix(q.take(pa.array(mine)), int(dim))
+            for a in range(0, len(mine), 128):
+                part = (y[a : a + 128] / y_norm[a : a + 128, None]) @ unit
+                part[:, ~x_good] = -np.inf
+                part[~y_good[a : a + 128]] = -np.inf
+                for line, j in zip(part, range(a, len(mine))):
+                    # all that may round to the k-th score, then their scores in one order of addition
+                    near = np.flatnonzero(line >= np.partition(line, -k)[-k] - 3e-9) if len(line) > k else np.arange(len(line))
+                    score = np.where(line[near] > -np.inf, np.round((x[near] * y[j]).sum(axis=1) / (x_norm[near] * y_norm[j]), 9), -np.inf)
+                    if threshold:
+                        near, score = near[score >= threshold], score[score >= threshold]
+                    top = np.lexsort([place[near], -score])[:k]
+                    found_q.append(np.full(len(top), mine[j]))
+                    found_v.append(near[top])
+                    found_s.append(score[top])
+        at, score = pa.array(np.concatenate(found_v)), np.concatenate(found_s)
+        score = pa.array(score, mask=np.isneginf(score))
+        return pa.table({"query_id": asked["query_id"].take(pa.array(np.concatenate(found_q))), "vec_id": rows["vec_id"].take(at), "score": score, "v": rows["v"].take(at)})
+
+    return run
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each of ``queries`` (query_id, q) the ``k`` most similar ``rows`` (vec_id, v), ties to smaller ids.
+    """(query_id, rank, vec_id, score, v): for each of ``queries`` (query_id, q) the ``k`` most similar ``rows`` (vec_id, v), ties to smaller ids.
 
-    ``queries`` are the few questions of a run and must be given as a list that
-    fits a broadcast: they are checked to be at most 1000. A threshold of 0
-    counts as none.
+    Rows are dealt to shards and questions to blocks, both of bounded size; a
+    shard returns the ``k`` best of its own for each question of a block. Vectors
+    that can't be compared (null, of other sizes, zero, with null or not finite
+    components) score null and come last. A threshold of 0 counts as none.
     """
-    if len(queries.take(1001)) > 1000:
-        raise ValueError("more than 1000 queries: use a blocked search")
-    met = rows.crossJoin(F.broadcast(queries)).withColumn("score", F.round(cosine(F.col("q"), F.col("v")), 9))
-    if threshold:
-        met = met.where(F.col("score") >= threshold)
+    shards = max(1, math.ceil(rows.count() / SHARD_ROWS))
+    blocks = max(1, math.ceil(queries.count() / BLOCK_QUESTIONS))
+    dealt = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("vec_id", "v", dealt(shards, "vec_id", "v").alias("shard"), each(blocks).alias("block"), F.lit(False).alias("asked"))
+    right = queries.select("query_id", "q", each(shards).alias("shard"), dealt(blocks, "query_id", "q").alias("block"), F.lit(True).alias("asked"))
+    schema = T.StructType([T.StructField(n, kind) for n, kind in (("query_id", queries.schema["query_id"].dataType), ("vec_id", rows.schema["vec_id"].dataType), ("score", T.DoubleType()), ("v", rows.schema["v"].dataType))])
+    found = left.unionByName(right, allowMissingColumns=True).groupBy("shard", "block").applyInArrow(_best(k, threshold), schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "v")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "v")
 
 
 def mmr(found: DataFrame, k: int, weight: float = 0.5) -> DataFrame:

@@ -296,9 +296,12 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 """
 
 
-def _questions(spark, sf):
+_NEAR_ALL = _NEAR.replace("q.vec_id < 3", "q.vec_id % 100 = 0")
+
+
+def _questions(spark, sf, which="vec_id < 3"):
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
-    return v.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), v
+    return v.where(which).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), v
 
 
 @query(_NEAR + "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10")
@@ -311,9 +314,19 @@ def similarity_threshold(spark, sf):
     return retrieval.nearest(*_questions(spark, sf), 10, 0.2).drop("v").withColumn("score", F.round("score", 6))
 
 
+@query(_NEAR_ALL + "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10")
+def similarity_top_k_all(spark, sf):
+    return retrieval.nearest(*_questions(spark, sf, "vec_id % 100 = 0"), 10).drop("v").withColumn("score", F.round("score", 6))
+
+
+@query(_NEAR_ALL + "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10 AND score >= 0.2")
+def similarity_threshold_all(spark, sf):
+    return retrieval.nearest(*_questions(spark, sf, "vec_id % 100 = 0"), 10, 0.2).drop("v").withColumn("score", F.round("score", 6))
+
+
 @query()
 def mmr(spark, sf):
-    return retrieval.mmr(retrieval.nearest(*_questions(spark, sf), 20), 10)
+    return retrieval.mmr(retrieval.nearest(*_questions(spark, sf, "vec_id % 100 = 0"), 20), 10)
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT p_brand AS project, p_partkey % 200 AS src, (3 * p_partkey + p_size) % 200 AS dst FROM part),

@@ -2,6 +2,7 @@
 
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,27 @@ def test_mmr_swaps_an_exact_copy(spark):
     assert retrieval.nearest(asked, rows, 3, 0.0).count() == 3
 
 
+def test_nearest_of_many_questions(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SHARD_ROWS", 700)
+    monkeypatch.setattr(retrieval, "BLOCK_QUESTIONS", 400)
+    rng = np.random.default_rng(2)
+    same = rng.normal(size=8).tolist()
+    rows = [(k, same if k % 3 == 0 else rng.normal(size=8).tolist()) for k in range(1800)]
+    odd = [(2000, None), (2001, [0.0] * 8), (2002, [1.0, None] + [1.0] * 6), (2003, [1.0, 2.0])]
+    frame = spark.createDataFrame(rows + odd, "vec_id long, v array<double>")
+    asked = frame.where("vec_id < 1200 or vec_id >= 2000").selectExpr("vec_id as query_id", "v as q")  # more than 1000
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    score = np.round((x[:1200, None] * x).sum(axis=2), 9)
+    want = {(q, r + 1, int(c)) for q in range(1200) for r, c in enumerate(np.lexsort([np.arange(1800), -score[q]])[:5])}
+    found = retrieval.nearest(asked, frame, 5).select("query_id", "rank", "vec_id", "score").collect()
+    assert {(q, r, c) for q, r, c, s in found if q < 1200} == want
+    assert {(q, c, s) for q, r, c, s in found if r == 1 and q >= 2000} == {(2000, 0, None), (2001, 0, None), (2002, 0, None), (2003, 2003, 1.0)}
+    few = retrieval.nearest(asked.where("query_id = 1"), frame.where("vec_id in (1, 2000, 2003)"), 5)
+    assert [(r["vec_id"], r["score"]) for r in few.orderBy("rank").collect()] == [(1, 1.0), (2000, None), (2003, None)]
+    assert retrieval.nearest(asked.limit(0), frame, 5).count() == retrieval.nearest(asked, frame.limit(0), 5).count() == 0
+
+
 def test_split_text():
     pieces = retrieval.split_text("para one\n\n" + "word " * 30 + "\n\nlast", 40, 10)
     assert all(len(p) <= 40 for p in pieces) and "para one" in pieces[0] and pieces[-1].endswith("last")
