@@ -337,6 +337,14 @@ def reach_counts(spark, sf):
     return graph.reach(tables.part_graph(spark, sf))
 
 
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS src, 3 * p_partkey + p_size AS dst FROM part),
+n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
+r AS (SELECT src AS node, dst AS seen FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.seen)
+SELECT 'all' AS project, n.node, count(r.seen) FILTER (r.seen <> n.node) AS reach FROM n LEFT JOIN r ON r.node = n.node GROUP BY n.node""")
+def reach_counts_all(spark, sf):
+    return graph.reach(tables.part_chain(spark, sf))
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT p_brand AS project, p_partkey % 200 AS src, (3 * p_partkey + p_size) % 200 AS dst FROM part),
 r AS (SELECT project, src AS node, dst AS seen FROM e UNION SELECT r.project, r.node, e.dst FROM r JOIN e ON e.project = r.project AND e.src = r.seen),
 c AS (SELECT project, node, count(*) FILTER (seen <> node) AS reach FROM r GROUP BY project, node),

@@ -28,6 +28,12 @@ def part_graph(spark, sf_dir) -> DataFrame:
     return p.select(F.col("p_brand").alias("project"), F.col("p_partkey").alias("ord"), (F.col("p_partkey") % 200).alias("src"), ((3 * F.col("p_partkey") + F.col("p_size")) % 200).alias("dst"))
 
 
+def part_chain(spark, sf_dir) -> DataFrame:
+    """(project, ord, src, dst): one project of all parts, each with an edge to a later key; grows with the table."""
+    p = table(spark, sf_dir, "part")
+    return p.select(F.lit("all").alias("project"), F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("src"), (3 * F.col("p_partkey") + F.col("p_size")).alias("dst"))
+
+
 def hosts(spark, sf_dir) -> DataFrame:
     """(page_id, name): the host of each page, its labels from the top down as a dotted name."""
     host = F.regexp_extract("url", "^[a-z]+://([^/?#:]+)", 1)

@@ -1,5 +1,7 @@
 """Facts, names and calls on small projects."""
 
+import random
+
 import pytest
 
 from codeloom.operators import calls, facts, graph, names
@@ -134,3 +136,24 @@ def test_long_excerpts_are_cut_at_a_line():
     body = "\n".join(f"    x{k} = {k}" for k in range(900))
     found = [f for f in facts.facts_of(f'def f():\n    """First.\n\n    Second.\n    """\n{body}\n') if f[0] == "excerpt"]
     assert len(found) == 1 and len(found[0][4]) <= facts.EXCERPT + 3 and '"""First."""' in found[0][4] and "Second" not in found[0][4] and found[0][4].endswith("\n...")
+
+
+def test_reach_takes_no_project_into_one_task(spark):
+    rng = random.Random(3)
+    pairs = [("p", k, k + 1) for k in range(12)] + [("p", rng.randrange(40), rng.randrange(40)) for _ in range(45)] + [("q", 1, 1), ("q", 1, 2), ("q", 1, 2)]
+    edges = spark.createDataFrame(pairs, "project string, src long, dst long")
+    want = set()
+    for project, node in {(p, n) for p, *ends in pairs for n in ends}:
+        seen, todo = {node}, [node]
+        while todo:
+            at = todo.pop()
+            fresh = {d for p, s, d in pairs if p == project and s == at} - seen
+            seen |= fresh
+            todo += fresh
+        want.add((project, node, len(seen) - 1))
+    found = graph.reach(edges)
+    assert {tuple(r) for r in found.collect()} == want
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+    capped = {(r["project"], r["node"]): r["reach"] for r in graph.reach(edges, 5).collect()}
+    assert all(capped[p, n] == r if r < 5 else 5 <= capped[p, n] <= r for p, n, r in want)
+    assert graph.reach(edges.limit(0)).count() == 0
