@@ -58,6 +58,36 @@ def edge_rollup_keep_isolated(spark, sf):
     return graph.roll_up(tables.nation_edges(spark, sf), nodes, "region")
 
 
+TRADE_SQL = """
+WITH e AS (SELECT DISTINCT 'c' || CAST(o_custkey AS VARCHAR) AS src, 's' || CAST(l_suppkey AS VARCHAR) AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+d AS (SELECT node, CAST(count(*) AS BIGINT) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node)
+"""
+
+
+@query(TRADE_SQL + "SELECT node, degree FROM d ORDER BY degree DESC, node LIMIT 10")
+def degree_top_k_all(spark, sf):
+    return graph.most_connected(tables.trade_edges(spark, sf), 10)
+
+
+@query(TRADE_SQL + ", top AS (SELECT node FROM d ORDER BY degree DESC, node LIMIT 2000) SELECT src, dst FROM e WHERE src IN (SELECT node FROM top) AND dst IN (SELECT node FROM top)")
+def induced_edges_all(spark, sf):
+    edges = tables.trade_edges(spark, sf)
+    return graph.induced(edges, graph.most_connected(edges, 2000))
+
+
+@query(TRADE_SQL + "SELECT count(*) AS n_nodes, count(*) > 10 AS truncated, CASE WHEN count(*) > 10 THEN 'Diagram truncated: showing top 10 nodes' END AS note FROM d")
+def truncation_note_all(spark, sf):
+    return graph.truncation(tables.trade_edges(spark, sf), 10)
+
+
+@query(TRADE_SQL + """, n AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS node, n_name AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey
+  UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT g.nation, x.target FROM (SELECT DISTINCT nation FROM n) g LEFT JOIN (
+  SELECT DISTINCT a.nation, b.nation AS target FROM e JOIN n a ON a.node = src JOIN n b ON b.node = dst WHERE a.nation <> b.nation) x ON x.nation = g.nation""")
+def edge_rollup_keep_isolated_all(spark, sf):
+    return graph.roll_up(tables.trade_edges(spark, sf), tables.traders(spark, sf), "nation")
+
+
 HOSTS_SQL = r"""
 WITH h AS (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS host,
              array_to_string(list_reverse(string_split(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), '.')), '.') AS name FROM pages)

@@ -11,7 +11,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def nation_edges(spark, sf_dir) -> DataFrame:
-    """(src, dst): nation of the customer to nation of the supplier, for every line of a finished order."""
+    """(src, dst): nation of the customer to nation of the supplier, for large lines of dear finished orders only, as its queries' SQL says."""
     t = lambda n: table(spark, sf_dir, n)
     orders = t("orders").where("o_orderstatus = 'F' and o_totalprice > 300000")
     buyers = orders.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
@@ -22,6 +22,21 @@ def nation_edges(spark, sf_dir) -> DataFrame:
     return sold.join(F.broadcast(a), "c_nationkey").join(F.broadcast(b), "s_nationkey").select("src", "dst")  # nation: 25 rows at every scale
 
 
+def trade_edges(spark, sf_dir) -> DataFrame:
+    """(src, dst): customer to supplier, for every line of every order; grows with the tables."""
+    t = lambda n: table(spark, sf_dir, n)
+    sold = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey").distinct()
+    return sold.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+
+
+def traders(spark, sf_dir) -> DataFrame:
+    """(node, nation): customers and suppliers, named as in ``trade_edges``."""
+    t = lambda n: table(spark, sf_dir, n)
+    named = lambda kind, n, key, nation: t(n).select(F.concat(F.lit(kind), F.col(key).cast("string")).alias("node"), F.col(nation).alias("n_nationkey"))
+    ends = named("c", "customer", "c_custkey", "c_nationkey").unionByName(named("s", "supplier", "s_suppkey", "s_nationkey"))
+    return ends.join(F.broadcast(t("nation").select("n_nationkey", F.col("n_name").alias("nation"))), "n_nationkey").select("node", "nation")  # nation: 25 rows at every scale
+
+
 def part_graph(spark, sf_dir) -> DataFrame:
     """(project, ord, src, dst): a digraph for each brand, part keys modulo 200."""
     p = table(spark, sf_dir, "part")

@@ -30,3 +30,10 @@ def test_every_oracle_has_a_query():
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_entry_counts_every_line(spark, sf, duck):
+    # every supplier's degree is its number of customers over all orders, whatever their price, quantity and status
+    want = dict(duck.sql("select 's' || l_suppkey, count(distinct o_custkey) from lineitem join orders on l_orderkey = o_orderkey group by 1").fetchall())
+    found = {r["node"]: r["degree"] for r in __spark_entry__.entry(spark).collect()}
+    assert sorted(found.values()) == sorted(want.values())[-10:] and all(want[n] == d for n, d in found.items())
