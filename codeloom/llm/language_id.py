@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .anchors import mix
-from .common import in_training, pack, read, schema_of, unpack
+from .common import in_training, pack, read, schema_of, small_batches, stored, unpack
 
 ORDER = 5
 ROWS = 400
@@ -166,11 +166,9 @@ class Models:
             a = b
         return out
 
-    def calibrate(self, texts: list[str], languages: list[str]) -> None:
-        entropies = self.entropies(texts)
+    def calibrate(self, entropies: np.ndarray, languages: list[str]) -> None:
+        """Set temperature and bar from the ``entropies`` of texts (a row each) of known ``languages``."""
         right = np.array([self.names.index(n) for n in languages])
-        good = np.isfinite(entropies[:, 0])
-        entropies, right = entropies[good], right[good]
         if not len(right):
             return
         losses = {t: -np.log(self._shares(entropies, t)[np.arange(len(right)), right] + 1e-12).mean() for t in (1, 2, 4, 8, 16, 32, 64)}
@@ -194,10 +192,24 @@ class Models:
         return names, np.where(good, self._shares(safe, self.temperature).max(axis=1), 0.0), good & (safe.min(axis=1) <= self.bar)
 
 
+def _chosen(docs: DataFrame, rows: int) -> DataFrame:
+    """(lang, text, k): the ``rows`` training rows of least hash of each language, numbered.
+
+    Rows are first thinned by hash to about 1.5 times as many, so that neither
+    texts nor rows of a language that holds most of the table move to one task.
+    """
+    taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training())
+    share = taught.groupBy("lang").agg((F.lit(1.5 * rows) / F.count("*")).alias("share"))
+    place = F.xxhash64(F.col("doc_id"), F.lit(6))
+    near = taught.join(share, "lang").where((F.shiftrightunsigned(place, 11) / F.lit(float(1 << 53))) < F.col("share"))
+    order = Window.partitionBy("lang").orderBy(place, "doc_id", "text")
+    return near.select("lang", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= rows)
+
+
 def train(docs: DataFrame, rows: int = ROWS) -> Models:
     """Models from the training rows of ``docs`` (doc_id, text, lang)."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id"), F.lit(6)), "doc_id", "text")
-    some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training()).select("lang", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= rows)
+    small_batches(docs.sparkSession)
+    some = stored(_chosen(docs, rows), "lang-sample")
 
     def learn(table: pa.Table) -> pa.Table:
         held = [t for t, k in zip(table["text"].to_pylist(), table["k"].to_pylist()) if k % 5]
@@ -214,8 +226,18 @@ def train(docs: DataFrame, rows: int = ROWS) -> Models:
         empty.names = []
         return empty
     models = Models(parts)
-    check = some.where("k % 5 = 0").select("text", "lang").collect()
-    models.calibrate([r["text"] for r in check], [r["lang"] for r in check])
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def measure(batches):
+        for batch in batches:
+            found = shared.value.entropies(batch["text"].to_pylist())
+            good = np.isfinite(found[:, 0])
+            yield pa.RecordBatch.from_arrays([batch["lang"].filter(pa.array(good)), pa.array(found[good].tolist(), pa.list_(pa.float64()))], names=["lang", "e"])
+
+    check = some.where("k % 5 = 0").select("lang", "text").mapInArrow(measure, "lang string, e array<double>").collect()  # a fifth of ``rows`` for each language
+    check.sort(key=lambda r: (r["lang"], r["e"]))
+    models.calibrate(np.array([r["e"] for r in check]).reshape(len(check), -1), [r["lang"] for r in check])
+    shared.unpersist()
     return models
 
 
