@@ -19,13 +19,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below the cluster's shared checkpoint folder.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a
-    temporary folder is made and set as the checkpoint folder.
+    Only where that is unset on a local master (tests on one machine) a
+    temporary folder is made and set as the checkpoint folder; a cluster must
+    name one, as its machines share no local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             base = tempfile.mkdtemp(prefix="spark-checkpoint-")
             spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -39,6 +42,41 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "left") -> DataFrame:
+    """``left`` joined with ``right``, in which each ``key`` occurs once; a key may fill most of ``left``.
+
+    Rows of a frequent key are dealt by the hash of ``by`` to as many tasks as
+    they need, and its row of ``right`` goes to each of them. Keys are frequent
+    from a thousand rows and a 100,000th of all rows on, so the broadcast list
+    of them (two numbers each) has at most 100,000 rows.
+    """
+    counts = left.groupBy(key).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    bound = max(1000, total // 100_000)
+    heavy = F.broadcast(counts.where(F.col("count") > bound).select(F.col(key).alias("_hk"), F.ceil(F.col("count") / bound).cast("int").alias("_times")))
+    spread = left.join(heavy, left[key] == heavy["_hk"], "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_times")), F.lit(0)).cast("int")).drop("_hk", "_times")
+    copied = right.join(heavy, right[key] == heavy["_hk"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_times", F.lit(1)) - 1))).drop("_hk", "_times")
+    return spread.join(copied, [key, "_salt"], how).drop("_salt")
+
+
+def text_key(text="text") -> F.Column:
+    """64 bits of a text; with the id it names a row, as ids may be null or repeat."""
+    return F.xxhash64(F.col(text))
+
+
+def met_by_row(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, ...) that ``plan`` names by ``_id`` and ``_th`` (``text_key``), with its other columns.
+
+    ``plan`` has one row for each name. Of rows with equal id and text one is
+    returned; ``_times`` of ``plan`` says how many there are.
+    """
+    keyed = docs.withColumn("_key", text_key())
+    met = keyed.join(plan, keyed["doc_id"].eqNullSafe(plan["_id"]) & (keyed["_key"] == plan["_th"])).drop("_id", "_th")
+    if plan.where("_times > 1").isEmpty():
+        return met.drop("_key")
+    return met.where("_times = 1").unionByName(met.where("_times > 1").dropDuplicates(["doc_id", "_key"])).drop("_key")
+
+
 def release() -> None:
     """Give memory that a task no longer needs back to the system: Python workers outlive their tasks."""
     pa.default_memory_pool().release_unused()

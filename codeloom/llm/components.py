@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import salted_join, stored
 
 
 def _forest(batches):
@@ -33,15 +33,16 @@ def components(edges: DataFrame) -> DataFrame:
     """(u, v) long edges to (node, root): every node of an edge with the least node it reaches.
 
     Each round contracts the edges of a hash partition by union-find, then ties
-    each node's neighbours to the least of them. Rounds end when the edges are
+    each node's neighbours to the least of them (a node of many neighbours is
+    dealt to many tasks). Rounds end when the edges are
     stars: one root for each node, and no root has a root.
     """
     now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     while True:
-        local = now.repartition("u").mapInArrow(_forest, "u long, v long")
+        local = stored(now.repartition("u").mapInArrow(_forest, "u long, v long"), "forest")
         both = local.unionByName(local.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("r"))
-        tied = both.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("r").alias("v")), F.struct("u", F.col("r").alias("v")))).alias("e")).select("e.*").where("u <> v")
+        tied = salted_join(both, least, "u", "v").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("r").alias("v")), F.struct("u", F.col("r").alias("v")))).alias("e")).select("e.*").where("u <> v")
         now = stored(tied.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         counts = now.agg(F.count("*"), F.count_distinct("u")).first()
         if counts[0] == counts[1] and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():

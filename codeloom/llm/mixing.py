@@ -12,8 +12,9 @@ behind that order has two levels (4096 hash buckets for each source, then the
 documents of a bucket), so no task holds a whole source.
 
 Defined results: a null source is a source of its own, last in order; null text
-has size 0; a source without words has target 0; rows that tie in id, hash and
-size are interchangeable; an empty table gives an empty result.
+has size 0; a source without words has target 0; ids may be null or repeat: a row
+is named by its id and text, and rows equal in both are interchangeable; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, pack, read, stored, unpack
+from .common import WORD, met_by_row, pack, read, stored, text_key, unpack
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -54,15 +55,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """``docs`` (doc_id, text, source) as doc_id, source, size, source_size, target, taken and ``_h`` (the seeded hash)."""
+    """``docs`` (doc_id, text, source) as doc_id, source, size, source_size, target, taken, ``_h`` (the seeded hash) and ``_th`` (``text_key``)."""
     place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sizes = stored(docs.select("doc_id", "source", word_count().alias("size"), place.alias("_h")), "mix-sizes")
+    sizes = stored(docs.select("doc_id", "source", word_count().alias("size"), place.alias("_h"), text_key().alias("_th")), "mix-sizes")
     targets = source_targets(sizes, weights, share, cap)
     slim = sizes.withColumn("_bucket", F.substring("_h", 1, 3))
     buckets = slim.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     run = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_start", F.coalesce(F.sum("_sum").over(run), F.lit(0))).withColumnRenamed("source", "_s").withColumnRenamed("_bucket", "_b").drop("_sum")
-    inner = Window.partitionBy("source", "_bucket").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("source", "_bucket").orderBy("_h", "doc_id", "size", "_th").rowsBetween(Window.unboundedPreceding, -1)
     slim = slim.withColumn("_within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     slim = slim.join(buckets, slim["source"].eqNullSafe(buckets["_s"]) & (slim["_bucket"] == buckets["_b"])).drop("_s", "_b")
     targets = targets.withColumnRenamed("source", "_t")
@@ -71,21 +72,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     quota = F.round("target").cast("long") - times * F.col("source_size")
     extra = F.greatest(F.lit(0), F.least("size", quota - F.col("_start") - F.col("_within")))
     taken = (times * F.col("size") + extra).cast("long")
-    return slim.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "_h")
+    return slim.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "_h", "_th")
 
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix as rows of ``docs``: a document taken 1.4 times its size comes once whole and once as its first 40 % of words; taken 0 times it goes.
 
     A document in part keeps its white space up to the last word taken, and its
-    ``n_chars`` follows. ``docs`` and ``mixed`` meet by id, so ids must be unique
-    here; rows of one id beyond the first copy of equal content follow the first.
+    ``n_chars`` follows. ``docs`` and ``mixed`` meet by id and text; what rows
+    equal in both take is added up and comes from one of them.
     """
     own = ("doc_id", "text")
-    plan = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("size").alias("_size"), F.max("taken").alias("_taken"))
-    slim = pack(docs, *own)
-    joined = slim.join(plan, slim["doc_id"].eqNullSafe(plan["_id"])).drop("_id")
-    whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(1).cast("int")
+    plan = mixed.groupBy(F.col("doc_id").alias("_id"), "_th").agg(F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count("*").alias("_times"))
+    joined = met_by_row(pack(docs, *own), plan)
+    whole = F.when(F.col("_size") > 0, F.floor(F.col("_taken") / F.col("_size"))).otherwise(F.col("_times")).cast("int")
     rest = F.when(F.col("_size") > 0, F.col("_taken") % F.col("_size")).otherwise(0).cast("int")
     parts = F.flatten(F.array(F.array_repeat(F.lit(None).cast("int"), whole), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
     rows = joined.withColumn("_part", F.explode(parts))
@@ -100,7 +100,7 @@ def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source", "_h")
+    return mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("source", "_h", "_th")
 
 
 OP7_SQL = r"""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, small_batches, stored, text_bytes
+from .common import release, salted_join, small_batches, stored, text_bytes, text_key
 from .components import components
 from .shingles import band_keys, mix, shingle_sets, super_minhash
 
@@ -50,7 +50,7 @@ def _sketch(batches):
         for d0, d1, hashes, ends in shingle_sets(raw, offsets, WIDTH):
             keys = band_keys(super_minhash(hashes, ends, SLOTS), BANDS).view(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, (d1 - d0 + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(d0, d1 - d0), pa.array(np.diff(ends)), pa.array(_class(hashes, ends)), bands], names=["doc_id", "n", "cls", "bands"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(d0, d1 - d0), batch["th"].slice(d0, d1 - d0), pa.array(np.diff(ends)), pa.array(_class(hashes, ends)), bands], names=["doc_id", "th", "n", "cls", "bands"])
     release()
 
 
@@ -86,7 +86,7 @@ def _confirm(batches):
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (u, v) with ``linked``."""
     a, b = sets.select(F.col("cls").alias("u"), F.col("set").alias("a")), sets.select(F.col("cls").alias("v"), F.col("set").alias("b"))
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirm, "u long, v long, linked boolean")
+    return salted_join(pairs, a, "u", "v", "inner").join(b, "v").select("u", "v", "a", "b").mapInArrow(_confirm, "u long, v long, linked boolean")
 
 
 def _blocks(batches):
@@ -158,9 +158,16 @@ def class_sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) to doc_id, n_shingles, component_id, kept."""
+    """``docs`` (doc_id, text) to doc_id, th (``text_key``), n_shingles, component_id, kept and first.
+
+    ``kept`` goes by id, ``first`` by row: of each component only the rows of
+    least id (null last) and, of those, of least text hash are first; rows
+    equal in both are alike.
+    """
     small_batches(docs.sparkSession)
-    rows = stored(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_sketch, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, cls long, bands array<long>"), "sketches")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.select("doc_id", text_key().alias("th"), F.col("text").cast("binary").alias("text"))
+    rows = stored(texts.mapInArrow(_sketch, f"doc_id {kind}, th long, n long, cls long, bands array<long>"), "sketches")
     classes = rows.where("n > 0").groupBy("cls", "n").agg(F.first("bands").alias("bands"))
     members = classes.select("cls", "n", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("cls", "n")).alias("centre")).where("size > 1")
@@ -187,14 +194,20 @@ def groups(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
-    named = rows.select("doc_id", "n", "cls").join(roots.withColumnsRenamed({"node": "cls", "root": "r"}), "cls", "left").withColumn("r", F.when(F.col("n") > 0, F.coalesce("r", "cls")))
-    least = named.where("n > 0").groupBy("r").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "r", "left")
-    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    # least row of each class, then of each component; copies and components may hold most rows
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    of_class = rows.where("n > 0").groupBy("cls").agg(F.min(name).alias("least"))
+    of_class = of_class.join(roots.withColumnsRenamed({"node": "cls", "root": "r"}), "cls", "left").withColumn("r", F.coalesce("r", "cls"))
+    of_class = stored(of_class, "classes")
+    least = salted_join(of_class.select("cls", "r"), of_class.groupBy("r").agg(F.min("least").alias("least")), "r", "cls")
+    nobody = F.xxhash64("doc_id").bitwiseOR(F.lit(-(1 << 63)))  # below zero as no class is, and not the same for all
+    out = salted_join(rows.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("cls")).otherwise(nobody).alias("cls")), least.select("cls", "least"), "cls", "doc_id")
+    component = F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id"))
+    first = F.when(F.col("n") > 0, F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("th") == F.col("least.th"))).otherwise(F.lit(True))
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), first.alias("first"))
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import read
 
-    return groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("th", "first")

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from codeloom.llm import anisotropic, bpe, components, huffman, kd_search, language_id, mixing, near_dedup, run_index, suffix_dedup, toxicity, warc
+from codeloom.llm import anisotropic, bpe, common, components, huffman, kd_search, language_id, mixing, near_dedup, run_index, suffix_dedup, toxicity, warc
 
 PASSAGE = " ".join(f"word{k}" for k in range(70))
 TEXTS = [
@@ -117,7 +117,7 @@ def test_groups_equal_brute_force(spark, monkeypatch, block):
         texts.append(" ".join(copy))
     docs = documents(spark, texts)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    assert sorted(repr(tuple(r)) for r in near_dedup.groups(docs).collect()) == brute_groups(rows)
+    assert sorted(repr(tuple(r)) for r in near_dedup.groups(docs).drop("th", "first").collect()) == brute_groups(rows)
     assert near_dedup.groups(empty(spark)).count() == 0
 
 
@@ -172,6 +172,31 @@ def test_mips_ranks_equal_vectors_by_id(spark):
         assert list(group.sort_values("rank")["vec_id"]) == want
 
 
+@pytest.mark.parametrize("noise", [0.3, 0.01, None])
+def test_mips_recall_on_full_shards(spark, noise):
+    rng = np.random.default_rng(9)
+    n, dim = 40_000, 16
+    x = rng.normal(size=(n, dim))
+    if noise:  # ten clusters
+        x = rng.normal(size=(10, dim))[rng.integers(10, size=n)] + noise * x
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x, hits = x.astype(float), []
+    for q, group in anisotropic.search(frame, 1000, 20).toPandas().groupby("query_id"):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits.append(len(set(np.argsort(-score)[:20]) & set(group.vec_id)) / 20)
+    assert len(hits) == 40 and np.mean(hits) >= 0.99
+
+
+def test_salted_join_of_a_hot_key(spark):
+    left = spark.range(6000).selectExpr("id", "if(id % 3 = 0, id, 7) AS k")
+    right = spark.range(5000).selectExpr("id AS k", "id * 2 AS v")
+    found = common.salted_join(left, right, "k", "id").collect()
+    assert len(found) == 6000 and all(r["v"] == (2 * r["k"] if r["k"] < 5000 else None) for r in found)
+    assert common.salted_join(left, right, "k", "id", "inner").count() == sum(r["v"] is not None for r in found)
+
+
 def test_kd_search_is_exact(spark, monkeypatch):
     monkeypatch.setattr("codeloom.llm.vector_blocks.Deal.__init__.__defaults__", (100, 4))
     monkeypatch.setattr(kd_search, "LEAF", 16)
@@ -257,10 +282,21 @@ def test_mix_meets_targets(spark):
 
 def test_repeated_documents(spark):
     docs = spark.createDataFrame([(1, "a b  c d", "s", 8), (2, "", "s", 0), (3, "x y", "s", 3)], "doc_id long, text string, source string, n_chars long")
-    plan = spark.createDataFrame([(1, 4, 7), (2, 0, 0), (3, 2, 0)], "doc_id long, size long, taken long")
+    plan = spark.createDataFrame([(1, 4, 7), (2, 0, 0), (3, 2, 0)], "doc_id long, size long, taken long").join(docs.select("doc_id", common.text_key().alias("_th")), "doc_id")
     assert sorted(tuple(r) for r in mixing.repeat_documents(docs, plan).collect()) == [(1, "a b  c", "s", 6), (1, "a b  c d", "s", 8), (2, "", "s", 0)]
 
 
+def test_repeated_documents_of_one_id(spark):
+    rows = [(7, "a b c"), (7, "d e"), (None, "f g h i"), (None, "j"), (7, "d e"), (1, None), (1, "")]
+    docs = spark.createDataFrame([(i, t, "s", len(t or "")) for i, t in rows], "doc_id long, text string, source string, n_chars long")
+    mixed = mixing.mix(docs.select("doc_id", "text", "source"))
+    want = sum(r["taken"] for r in mixed.collect())
+    out = mixing.repeat_documents(docs, mixed).collect()
+    assert sum(len((r["text"] or "").split()) for r in out) == want == 18  # 150 % of 12 words
+    assert {(r["doc_id"], (r["text"] or "")[:1]) for r in out} <= {(i, (t or "")[:1]) for i, t in rows}
+    assert sum(r["doc_id"] == 1 for r in out) == 2
+
+
 # --- tokens ---------------------------------------------------------------------
 
 
@@ -334,3 +370,23 @@ def test_archives(spark, tmp_path):
     assert raw.count(long.encode()) == 2 and raw.startswith(b"WARC/1.1\r\n")
     warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize("most", [600_000, 40])
+def test_pieces_equal_the_library(most):
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, encoder = Tokenizer.from_file(path), huffman.PieceEncoder(path, most)
+    rng = np.random.default_rng(8)
+    signs = [" ", " ", " ", "\n", "\t", "\r", "'", "s", "ll", "re", "A", "z", "é", "×", "²", "7", ".", "$", "—", "’", " ", "　", "日", "\x00", "\x1c", "\x85", "🎉", "_", "ǅ", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 60), p=np.array([4] * 3 + [1] * 26 + [0.1]) / 38.1)) for _ in range(3000)] + [*TEXTS, "", None]
+    for a in range(0, len(texts), 500):
+        some = texts[a : a + 500]
+        ids, sizes = encoder.encode(pa.array(some))
+        ends = np.cumsum(sizes)
+        for t, end, n in zip(some, ends, sizes):
+            assert ids[end - n : end].tolist() == library.encode(t or "", add_special_tokens=False).ids + [0]
+    assert encoder.encode(pa.array([None, ""]))[1].tolist() == [1, 1]
