@@ -6,8 +6,9 @@ last return the columns of ``docs`` and work on all that the stage before kept.
 again as the next stage's input.
 
 1. toxicity: documents scored THRESHOLD or more go.
-2. near_dedup: one document of each group of near copies stays, the one of
-   smallest id (of rows with that id, each text once).
+2. near_dedup: one row of each group of near copies stays, the one of smallest
+   id (null last) and, of rows with that id, of least text hash. Rows without
+   words group with nothing; of those equal in id and text one stays.
 3. suffix_dedup: strings of 200 bytes that occur again are removed from the
    texts; a character cut in part goes whole; n_chars follows.
 4. mixing: documents are left out, kept and repeated so that sources come near
@@ -32,9 +33,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dedup.groups(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    stay = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    first = near_dedup.groups(docs.select("doc_id", "text")).where("first").groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("_times"))
+    slim = common.pack(docs, "doc_id", "text")
+    return common.unpack(common.met_by_row(slim, common.stored(first, "first")), docs, ("doc_id", "text"))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
