@@ -1,65 +1,73 @@
 """WARC archives with revisit records for repeated payloads.
 
-Only headers (id, digest, length) are summed by payload digest; the payloads
-move once, to the join with the groups of repeated digests. Groups with more
-rows than ``rows / 100 000`` (at least 1000) are at most 100 000, so their
-small rows are broadcast and such a group is never gathered; the others meet by
-digest. Archives are written by Spark's text writer whose line separator is the
-blank lines that end a record, so each part file is an archive by itself, gzipped
-as a whole.
+Only headers (id, digest, length) move by payload digest: they are summed to
+one row for each repeated digest and joined with it again, a digest that fills
+much of the table dealt to many tasks. What comes out, the revisits, meets the
+payloads by id and digest, so payloads move once, and evenly, to about
+``file_bytes`` a task. A task writes one file, so files hold about that much
+before compression whatever single pages are like, and one page more at most
+where it is larger. Archives are written by Spark's text writer whose line
+separator is the blank lines that end a record, so each part file is an archive
+by itself, gzipped as a whole (the writer can't gzip record by record).
 
 Defined results: null html is an empty payload; null ids count as smaller than
 any id and read back as null; if the largest id of a group occurs in several
-rows, each of those rows is a response; other columns are ignored; control
-characters in a url become spaces.
+rows, each of those rows is a response; records are named by id and digest;
+other columns are ignored; control characters in a url become spaces.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import math
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, work_dir
+from .common import read, salted_join, work_dir
 
 MIN_BYTES = 1000
-FILE_BYTES = 64 << 20
-DATE = "2026-01-01T00:00:00Z"
+FILE_BYTES = 32 << 20
+HEADER_BYTES = 700
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 
 
 def with_payload(pages: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("html"), F.lit(""))
-    return pages.select("page_id", "url", body.alias("_body"), F.octet_length(body).cast("long").alias("_n"), F.sha1(body.cast("binary")).alias("_digest"))
+    name = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
+    return pages.select("page_id", name.alias("_name"), "url", body.alias("_body"), F.octet_length(body).cast("long").alias("_n"), F.sha1(body.cast("binary")).alias("_digest"))
 
 
-def resolve_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """(_name, _digest, _refers): the records that repeat the payload of a larger id, and that id."""
+    heads = with_payload(pages).where(F.col("_n") >= min_bytes).select("page_id", "_name", "_digest")
+    groups = heads.groupBy("_digest").agg(F.max("page_id").alias("_refers"), F.count("*").alias("_count")).where("_count > 1").drop("_count")
+    met = salted_join(heads, groups, "_digest", "_name", "inner")
+    return met.where(~F.col("page_id").eqNullSafe(F.col("_refers"))).select("_name", "_digest", "_refers").distinct()
+
+
+def resolve_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES, parts: int | None = None) -> DataFrame:
     """``pages`` with payload columns and ``_refers`` (the id of the response that a revisit refers to, null for a response)."""
-    rows = with_payload(pages)
-    groups = rows.where(F.col("_n") >= min_bytes).groupBy("_digest").agg(F.max("page_id").alias("_keeper"), F.count("*").alias("_count")).where("_count > 1")
-    bound = max(1000, pages.count() // 100_000)
-    hot = groups.where(F.col("_count") > bound).select("_digest", "_keeper")
-    cold = groups.where(F.col("_count") <= bound).select("_digest", "_keeper")
-    common = rows.join(F.broadcast(hot), "_digest")
-    others = rows.join(F.broadcast(hot.select("_digest")), "_digest", "left_anti").join(cold, "_digest", "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("_keeper")), F.col("_keeper"))
-    names = ["page_id", "url", "_body", "_n", "_digest"]
-    return common.unionByName(others).select(*names, refers.alias("_refers"))
+    key = ["_name", "_digest"]
+    rows, known = with_payload(pages), revisits(pages, min_bytes)
+    if parts is not None:
+        rows, known = rows.repartition(parts, *key), known.repartition(parts, *key)
+    return rows.join(known, key, "left")
 
 
 def _line(name: str, value) -> F.Column:
     return F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
 
 
-def _uri(page_id) -> F.Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
+def _uri(name) -> F.Column:
+    return F.concat(F.lit("<urn:page:"), name, F.lit(":"), F.col("_digest"), F.lit(">"))
 
 
-def records(resolved: DataFrame, date: str = DATE) -> DataFrame:
+def records(resolved: DataFrame, date: str) -> DataFrame:
     """One column ``value``: each record without the blank lines that end it."""
     is_revisit = F.col("_refers").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("_n").cast("string"), F.lit(END))
@@ -68,11 +76,11 @@ def records(resolved: DataFrame, date: str = DATE) -> DataFrame:
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         _line("WARC-Type", F.when(is_revisit, "revisit").otherwise("response")),
-        _line("WARC-Record-ID", _uri(F.col("page_id"))),
+        _line("WARC-Record-ID", _uri(F.col("_name"))),
         _line("WARC-Date", F.lit(date)),
         F.coalesce(_line("WARC-Target-URI", url), F.lit("")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("_digest"))),
-        F.when(is_revisit, F.concat(_line("WARC-Refers-To", _uri(F.col("_refers"))), _line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
+        F.when(is_revisit, F.concat(_line("WARC-Refers-To", _uri(F.col("_refers").cast("string"))), _line("WARC-Profile", F.lit(PROFILE)))).otherwise(F.lit("")),
         _line("Content-Type", F.lit("application/http; msgtype=response")),
         _line("Content-Length", length.cast("string")),
         F.lit("\r\n"),
@@ -80,15 +88,16 @@ def records(resolved: DataFrame, date: str = DATE) -> DataFrame:
     return resolved.select(F.concat(head, http, F.when(is_revisit, "").otherwise(F.col("_body"))).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES, date: str = DATE) -> None:
-    """Write ``pages`` (page_id, url, html) as archives of ``file_bytes`` at most before compression (or one record) below ``path``."""
-    largest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
-    rows = max(1, file_bytes // (largest + 2000))
-    records(resolve_revisits(pages, min_bytes), date).write.option("lineSep", END).option("maxRecordsPerFile", rows).option("compression", "gzip").text(path)
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES, date: str | None = None) -> None:
+    """Write ``pages`` (page_id, url, html) as archives of about ``file_bytes`` before compression below ``path``; ``date`` (now, if not given) goes to all headers."""
+    total = pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + HEADER_BYTES)).first()[0] or 0
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    resolved = resolve_revisits(pages, min_bytes, max(1, math.ceil(total / file_bytes)))
+    records(resolved, date).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def _number(uri: str) -> int | None:
-    text = uri.removeprefix("<urn:page:").removesuffix(">")
+    text = uri.removeprefix("<urn:page:").removesuffix(">").rpartition(":")[0]
     return None if text == "null" else int(text)
 
 

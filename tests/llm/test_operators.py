@@ -368,6 +368,7 @@ def test_archives(spark, tmp_path):
     assert found == want
     raw = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
     assert raw.count(long.encode()) == 2 and raw.startswith(b"WARC/1.1\r\n")
+    assert re.search(rb"WARC-Date: 20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", raw)
     warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
 
@@ -390,3 +391,15 @@ def test_pieces_equal_the_library(most):
         for t, end, n in zip(some, ends, sizes):
             assert ids[end - n : end].tolist() == library.encode(t or "", add_special_tokens=False).ids + [0]
     assert encoder.encode(pa.array([None, ""]))[1].tolist() == [1, 1]
+
+
+def test_archives_of_a_hot_payload_and_a_long_page(spark, tmp_path):
+    long = "<p>hot</p>" * 150
+    rows = [(k, "u", long) for k in range(1500)] + [(5000 + k, "u", f"page {k} " * 200) for k in range(300)] + [(9000, "u", "y" * 3_000_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(pages, f"file://{tmp_path}/w", file_bytes=1 << 20)
+    found = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    assert found == {k: ("revisit", 1499) if k < 1499 else ("response", None) for k, _, _ in rows}
+    # about file_bytes a file: one long page doesn't make one file for each record
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "w").glob("*.gz")]
+    assert len(sizes) <= 8 and max(sizes) < 3_000_000 + (4 << 20)
