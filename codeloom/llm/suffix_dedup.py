@@ -43,9 +43,9 @@ _PIECE = "_id long, _th int, first int, last int, off int, anchor long, fp long"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """A row's key follows from its content: id and 31 bits of the text's hash. Rows of equal key and text get equal marks."""
+    """A row's key follows from its content: id (for a null id 64 bits of the text's hash) and 31 bits of the text's hash. Rows of equal key and text get equal marks."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_th": F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int")})
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("null id"), text)), "_th": F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int")})
 
 
 def _cut(window: int):
