@@ -21,116 +21,201 @@ come first, equal ids stay side by side in order of their texts.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read, stored, work_dir
+from .bpe import byte_characters
+from .common import read, stored, text_bytes, work_dir
 
 LIMIT = 16
 STRIDE = 256
 BLOCK_IDS = 1 << 18
-CACHE_PIECES = 600_000
+#: Pieces, and bytes of pieces, held by a worker before it starts anew: bounds its memory.
+CACHE_PIECES, HELD_BYTES = 600_000, 64 << 20
 END_ID = 0
 
 # --- ids of texts -------------------------------------------------------------
 
-_CUT = re.compile(r" (?=\S)")
+#: First bytes of what surely isn't white space to any pattern: a blank is a cut only before these.
+_VISIBLE = np.ones(256, bool)
+_VISIBLE[[*range(0x00, 0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = False
+#: Texts of these signs alone have the same letters, numbers and white space in all versions of Unicode.
+_PLAIN = r"^[\n\r\t -~\x{A1}-\x{24F}\x{2010}-\x{2027}\x{2030}-\x{205E}]*$"
+#: An apostrophe, or white space beside white space: the pattern looks around there.
+_LOOKS = r"'|\s\s"
+_SPACE, _SIGN = 0, 3
+
+
+class _Pool:
+    """Runs of ids by number, held in one flat array."""
+
+    def __init__(self):
+        self.flat, self.start, self.size, self.used, self.rows = np.zeros(1 << 12, np.uint32), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64), 0, 0
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.rows + len(sizes) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start[self.rows : self.rows + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.rows : self.rows + len(sizes)] = sizes
+        self.used += len(flat)
+        self.rows += len(sizes)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these runs one after another, and each run's size."""
+        sizes = self.size[rows]
+        at = np.repeat(self.start[rows] - (np.cumsum(sizes) - sizes), sizes)
+        at += np.arange(len(at))
+        return self.flat[at], sizes
+
+
+def _objects(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _cut(raw: np.ndarray, start: np.ndarray) -> pa.DictionaryArray:
+    """The stretches of ``raw`` that begin at ``start``, as a dictionary."""
+    ends = np.append(start, len(raw)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
 
 
 class PieceEncoder:
     """The library's ids of texts, piece by piece.
 
     The pattern of a byte-level file always parts a text before a blank that a
-    visible sign follows. Pieces between such places are encoded by the library
-    once and held; a text with an added token goes to the library whole.
+    visible sign follows. Texts are cut there, the different pieces of a batch
+    are found by Arrow's dictionary, and only pieces not met before are encoded:
+    those of plain signs are parted where the kind of sign changes (by the
+    file's pattern, where that looks around), and the library's model gets each
+    different part once; all others go to the library as they are. A text with
+    an added token is one piece. Held ids are gathered by numpy.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = CACHE_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.most = Tokenizer.from_file(path), most
         self.library.no_truncation()
         self.library.no_padding()
-        added = self.library.get_added_tokens_decoder()
-        self.special = re.compile("|".join(re.escape(t.content) for t in added.values())) if added else None
-        names = {i: t for t, i in self.library.get_vocab().items()}
-        self.blank = np.array([names.get(i, "").startswith("\u0120") for i in range(max(names) + 1)])  # U+0120 stands for the byte 0x20
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of a blank and each piece, which holds no other blank.
-
-        The library gets many pieces as one text; a token that begins with a
-        blank begins a piece. Where that doesn't part them, each goes by itself.
-        """
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.parts = regex.compile(public_tokenizers.PATTERN).findall
+        kinds = [regex.compile(k) for k in (r"\s", r"\p{L}", r"\p{N}", r".")]
+        self.kind = np.array([next((k for k, c in enumerate(kinds) if c.match(chr(x))), _SIGN) for x in range(0x205F)], np.int8)
+        self.characters = dict(enumerate(byte_characters()))
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.known_parts: dict[bytes, int] = {}
+        self.pool, self.part_pool = _Pool(), _Pool()
+        self.pool.add(np.array([END_ID]), np.array([1]))  # run 0 ends a document
+        self.held = 0
+
+    def _whole(self, pieces: list[bytes]) -> None:
         for a in range(0, len(pieces), 256):
-            some = pieces[a : a + 256]
-            ids = np.array(self.library.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
-            begin = np.flatnonzero(self.blank[ids])
-            if len(begin) == len(some):
-                data, cuts = ids.tobytes(), [*(begin * 4).tolist(), len(ids) * 4]
-                for p, x, y in zip(some, cuts[:-1], cuts[1:]):
-                    self.known[p] = data[x:y]
-            else:
-                for p, e in zip(some, self.library.encode_batch_fast([" " + p for p in some], add_special_tokens=False)):
-                    self.known[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None], end: bytes) -> list[bytes]:
-        out: list = [None] * len(texts)
-        split = []
-        for k, text in enumerate(texts):
-            if not text or self.special is not None and self.special.search(text):
-                out[k] = self.whole(text) + end if text else end
-                split.append(())
-            else:
-                parts = text.split(" ")
-                out[k] = parts[0]  # the first piece has no blank before it
-                split.append(parts[1:])
-        distinct = set(chain.from_iterable(split))
-        if len(self.known) + len(distinct) > CACHE_PIECES:
-            self.known.clear()
-        new = distinct.difference(self.known)
-        odd = {p for p in new if not p or p[0].isspace()}  # white space goes on after a blank: such a text is cut with more care
-        if odd:
-            for k, parts in enumerate(split):
-                if not odd.isdisjoint(parts):
-                    out[k], *split[k] = _CUT.split(texts[k])
-                    careful = [p for p in split[k] if p not in self.known]
-                    for p, e in zip(careful, self.library.encode_batch_fast([" " + p for p in careful], add_special_tokens=False)):
-                        self.known[p] = np.array(e.ids, "<u4").tobytes()
-        self.learn(sorted(new - odd))
-        get, plain = self.known.__getitem__, {}
-        for k, parts in enumerate(split):
-            if isinstance(out[k], str):
-                head = out[k]
-                if head not in plain:
-                    plain[head] = self.whole(head) if head else b""
-                out[k] = b"".join(chain((plain[head],), map(get, parts), (end,)))
-        return out
+            found = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces[a : a + 256]], add_special_tokens=False)]
+            self._name(pieces[a : a + 256])
+            self.pool.add(np.fromiter(chain.from_iterable(found), np.uint32), np.array(list(map(len, found)), np.int64))
+
+    def _name(self, pieces: list[bytes]) -> None:
+        self.known.update(zip(pieces, range(self.pool.rows, self.pool.rows + len(pieces))))
+
+    def _plain(self, pieces: pa.Array) -> None:
+        """Encode ``pieces`` (large_binary) of plain signs."""
+        raw, offsets = text_bytes(pieces)
+        signs = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        place = np.cumsum(1 + (signs >= 0x80) + (signs >= 0x800)) - 1 - (signs >= 0x80) - (signs >= 0x800)  # first byte of each sign
+        kind = self.kind[signs]
+        begin = np.ones(len(signs), bool)
+        begin[1:] = (kind[1:] != kind[:-1]) & ((signs[:-1] != 0x20) | (kind[1:] == _SPACE))
+        ends = np.append(np.searchsorted(place, offsets[:-1]), len(signs))
+        begin[ends[:-1]] = True
+        for k in np.flatnonzero(pc.match_substring_regex(pieces.cast(pa.large_string()), _LOOKS)):
+            sizes = list(map(len, self.parts(raw[offsets[k] : offsets[k + 1]].tobytes().decode())))
+            begin[ends[k] : ends[k + 1]] = False
+            begin[ends[k] + np.cumsum([0, *sizes[:-1]])] = True
+        first = np.flatnonzero(begin)
+        coded = _cut(raw, place[first])
+        parts = _objects(coded.dictionary)
+        if len(self.known_parts) + len(parts) > self.most:
+            self.known_parts, self.part_pool = {}, _Pool()
+        new = [p for p in parts if p not in self.known_parts]
+        ids, sizes = [], []
+        for shown in b"\0".join(new).decode("latin-1").translate(self.characters).split(self.characters[0]) if new else ():
+            found = [t.id for t in self.library.model.tokenize(shown)]
+            ids += found
+            sizes.append(len(found))
+        self.known_parts.update(zip(new, range(self.part_pool.rows, self.part_pool.rows + len(new))))
+        self.part_pool.add(np.array(ids, np.uint32), np.array(sizes, np.int64))
+        rows = np.fromiter(map(self.known_parts.__getitem__, parts), np.int64, len(parts))[np.asarray(coded.indices)]
+        ids, sizes = self.part_pool.take(rows)
+        at = np.concatenate([[0], np.cumsum(sizes)])[np.searchsorted(first, ends)]
+        self._name(_objects(pieces))
+        self.pool.add(ids, np.diff(at))
+
+    def _rows(self, dictionary: pa.Array) -> np.ndarray:
+        """The run of each piece, new ones encoded first."""
+        pieces = _objects(dictionary)
+        if len(self.known) + len(pieces) > self.most or self.held > HELD_BYTES:
+            self._clear()
+        fresh = np.array([p not in self.known for p in pieces], bool)
+        if fresh.any():
+            new = dictionary.filter(pa.array(fresh))
+            self.held += new.nbytes
+            text = new.cast(pa.large_string())
+            plain = pc.match_substring_regex(text, _PLAIN)
+            for token in self.added:
+                plain = pc.and_not(plain, pc.match_substring(text, token))
+            own = new.filter(plain)
+            if len(own):
+                self._plain(own)
+            self._whole(_objects(new.filter(pc.invert(plain))))
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, and how many each has."""
+        raw, offsets = text_bytes(texts)
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        begin = np.zeros(len(raw) + 1, bool)
+        if len(raw):
+            begin[: len(raw) - 1] = (raw[:-1] == 0x20) & _VISIBLE[raw[1:]]
+        for token in self.added:
+            for k in np.flatnonzero(pc.fill_null(pc.match_substring(texts, token), False)):
+                begin[offsets[k] : offsets[k + 1]] = False
+        begin[offsets[:-1]] = True
+        begin[len(raw)] = False  # where empty texts at the end begin
+        start = np.flatnonzero(begin)
+        coded = _cut(raw, start)
+        rows = self._rows(coded.dictionary)[np.asarray(coded.indices)] if len(start) else np.zeros(0, np.int64)
+        # a document's pieces, then the end
+        last = np.searchsorted(start, offsets[1:])
+        ids, sizes = self.pool.take(np.insert(rows, last, 0))
+        ends = np.cumsum(sizes)[last + np.arange(len(last))]
+        return ids, np.diff(ends, prepend=0)
 
 
 _encoders: dict[str, PieceEncoder] = {}
 
 
-def _groups(texts: list[str | None], size: int = 1 << 21):
+def _groups(texts: pa.Array, size: int = 1 << 22):
+    """(first, end) of stretches of about ``size`` bytes."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
     a = 0
-    while a < len(texts):
-        b, total = a, 0
-        while b < len(texts) and (b == a or total < size):
-            total += len(texts[b] or "")
-            b += 1
+    while a < len(ends):
+        b = min(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "left")) + 1, len(ends))
         yield a, b
         a = b
 
@@ -141,15 +226,11 @@ def _tokenize(path: str):
     def run(batches):
         encoder = _encoders.setdefault(path, None) or PieceEncoder(path)
         _encoders[path] = encoder
-        narrow = encoder.library.get_vocab_size() <= 1 << 16
-        end, before = np.array([END_ID], "<u4").tobytes(), 0
+        narrow, before = encoder.library.get_vocab_size() <= 1 << 16, 0
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            for a, b in _groups(texts):
-                encoded = encoder.encode(texts[a:b], end)
-                sizes = np.array([len(e) // 4 for e in encoded], np.int64)
-                flat = np.frombuffer(b"".join(encoded), "<u4")
-                width, flat = (2, flat.astype("<u2")) if narrow else (4, flat)
+            for a, b in _groups(batch["text"]):
+                flat, sizes = encoder.encode(batch["text"].slice(a, b - a))
+                width, flat = (2, flat.astype("<u2")) if narrow else (4, flat.astype("<u4"))
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 column = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(flat.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), column, pa.array(sizes), pa.array(before + ends[:-1])], names=["doc_id", "ids", "n", "local"])
@@ -285,7 +366,7 @@ def _flat(batch) -> np.ndarray:
     """All ids of a batch of (ids, n)."""
     column = batch["ids"]
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
-    n = int(pa.compute.sum(batch["n"]).as_py() or 0)
+    n = int(pc.sum(batch["n"]).as_py() or 0)
     if not n:
         return np.zeros(0, np.int64)
     width = (int(offsets[-1]) - int(offsets[0])) // n
