@@ -261,10 +261,10 @@ def _fitted(table: pa.Table) -> pa.Table:
 
 
 def codebooks(rows: DataFrame, train: int = TRAIN, small: int = SMALL) -> dict[int, Codebook]:
-    """A codebook for each length of more than ``small`` of the distinct ``rows`` (vec_id, v, dim), fitted by one task each."""
+    """A codebook for each length of more than ``small`` of the distinct ``rows`` (vec_id, v, dim), fitted by one task each. What is broadcast and collected has one row for each such length."""
     often = rows.groupBy("dim").count().where(F.col("count") > small).withColumn("share", F.lit(1.5 * train) / F.col("count"))
     place = F.xxhash64("vec_id", F.lit(4))
-    thin = rows.join(often, "dim").where((F.shiftrightunsigned(place, 11) / F.lit(float(1 << 53))) < F.col("share"))
+    thin = rows.join(F.broadcast(often), "dim").where((F.shiftrightunsigned(place, 11) / F.lit(float(1 << 53))) < F.col("share"))
     order = Window.partitionBy("dim").orderBy(place, "vec_id")
     sample = thin.select("dim", "v", F.row_number().over(order).alias("k")).where(F.col("k") <= train).select("dim", "v")
     found = sample.groupBy("dim").applyInArrow(_fitted, "dim int, centres array<double>, centroids array<double>").collect()  # one row for each length

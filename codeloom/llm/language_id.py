@@ -197,11 +197,12 @@ def _chosen(docs: DataFrame, rows: int) -> DataFrame:
 
     Rows are first thinned by hash to about 1.5 times as many, so that neither
     texts nor rows of a language that holds most of the table move to one task.
+    The shares are broadcast: two numbers for each language, which gets a model.
     """
     taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & in_training())
     share = taught.groupBy("lang").agg((F.lit(1.5 * rows) / F.count("*")).alias("share"))
     place = F.xxhash64(F.col("doc_id"), F.lit(6))
-    near = taught.join(share, "lang").where((F.shiftrightunsigned(place, 11) / F.lit(float(1 << 53))) < F.col("share"))
+    near = taught.join(F.broadcast(share), "lang").where((F.shiftrightunsigned(place, 11) / F.lit(float(1 << 53))) < F.col("share"))
     order = Window.partitionBy("lang").orderBy(place, "doc_id", "text")
     return near.select("lang", "text", F.row_number().over(order).alias("k")).where(F.col("k") <= rows)
 
