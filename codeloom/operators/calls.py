@@ -2,8 +2,11 @@
 
 A callee's head decides: ``self`` is the function's class, ``super()`` the
 classes behind it, a name that a parameter, local or attribute holds is the one
-class said for it, anything else is looked up (own definition, import, unique
-suffix). A method is then the first along the class's lineage that has it.
+class found for it (by annotation, constructor, or the return annotation of the
+function that is called for it; what isn't found says nothing), anything else
+is looked up (own definition, import, unique suffix). Attributes are inherited,
+and a property is an attribute of the class that it is annotated to return. A
+method is then the first along the class's lineage that has it.
 """
 
 from __future__ import annotations
@@ -104,22 +107,29 @@ def call_edges(rows: DataFrame) -> DataFrame:
     has = order.join(methods, ["project", "base"]).groupBy("project", "cls", "method").agg(F.min_by("full", "ord").alias("full"))
     behind = order.where("ord > 0").join(methods, ["project", "base"]).groupBy("project", "cls", "method").agg(F.min_by("full", "ord").alias("full"))
 
-    sites = of_kind(rows, "call").select("project", "module", F.col("owner").alias("function"), "ord", F.col("value").alias("callee"))
+    sites = of_kind(rows, "call").select("project", "module", F.col("owner").alias("function"), "ord", F.col("value").alias("callee"), F.col("flags").alias("holder"))
     head, last = F.regexp_replace("callee", r"\.[^.]+$", ""), F.element_at(F.split("callee", r"\."), -1)
-    cls = F.when(F.col("function").contains("."), _qualified(F.col("module"), F.regexp_replace("function", r"\.[^.]+$", "")))
+    cls = F.when(F.col("holder").isNotNull(), _qualified(F.col("module"), F.col("holder")))
     sites = sites.withColumns({"head": F.when(F.col("callee").contains("."), head), "last": last, "cls": cls, "caller": _qualified(F.col("module"), F.col("function"))})
 
-    # the one class said for a name in a function, or for an attribute in the functions of a class
-    said = of_kind(rows, "typed").select("project", "module", F.col("owner").alias("function"), F.col("name").alias("head"), F.col("value").alias("name"))
+    # the one class found for a name in a function, or for an attribute in the functions of a class and of its bases
     classes = defined.where("what = 'class'")
-    said = owner_lookup(said.fillna({"name": ""}), classes, bound).withColumn("owner", F.coalesce("owner", F.lit("?")))
-    one = lambda keys: said.groupBy("project", "module", *keys).agg(F.count_distinct("owner").alias("n"), F.max("owner").alias("typed")).where("n = 1 and typed <> '?'").drop("n")
-    local = one(["function", "head"]).withColumnRenamed("typed", "local_class")
-    attribute = said.where("head like 'self.%'").withColumn("holder", F.when(F.col("function").contains("."), F.regexp_replace("function", r"\.[^.]+$", "")).otherwise(F.col("function")))
-    attribute = attribute.groupBy("project", "module", "holder", "head").agg(F.count_distinct("owner").alias("n"), F.max("owner").alias("attr_class")).where("n = 1 and attr_class <> '?'").drop("n")
-
-    sites = sites.withColumn("holder", F.regexp_replace("function", r"\.[^.]+$", ""))
-    sites = sites.join(local, ["project", "module", "function", "head"], "left").join(attribute, ["project", "module", "holder", "head"], "left")
+    given = owner_lookup(of_kind(rows, "returns").select("project", "module", "name", F.col("owner").alias("function")), classes, bound)
+    given = given.where("owner is not null").select("project", _qualified(F.col("module"), F.col("function")).alias("made_by"), F.col("owner").alias("made"))
+    said = of_kind(rows, "typed").where("value is not null").select("project", "module", F.col("owner").alias("function"), F.col("name").alias("head"), F.col("value").alias("name"), F.col("flags").alias("holder"))
+    said = owner_lookup(said, defined, bound).withColumnRenamed("owner", "named")
+    said = said.join(given.withColumnRenamed("made_by", "named"), ["project", "named"], "left")
+    known = classes.select("project", F.col("qualified").alias("named"), F.lit(True).alias("is_class")).distinct()
+    said = said.join(known, ["project", "named"], "left").withColumn("owner", F.when(F.col("is_class"), F.col("named")).otherwise(F.col("made"))).where("owner is not null")
+    one = lambda some, keys, name: some.groupBy(*keys).agg(F.count_distinct("owner").alias("n"), F.max("owner").alias(name)).where("n = 1").drop("n")
+    local = one(said, ["project", "module", "function", "head"], "local_class")
+    property_ = of_kind(rows, "method").where("flags = 'property'").select("project", F.concat(F.lit("self."), "name").alias("head"), _qualified(F.col("module"), F.col("owner")).alias("base"), _qualified(F.col("module"), F.concat_ws(".", "owner", "name")).alias("made_by"))
+    property_ = property_.join(given, ["project", "made_by"]).select("project", "base", "head", F.col("made").alias("owner"))
+    attribute = said.where("head like 'self.%' and holder is not null").select("project", _qualified(F.col("module"), F.col("holder")).alias("base"), "head", "owner").unionByName(property_)
+    attribute = order.join(one(attribute, ["project", "base", "head"], "attr_class"), ["project", "base"])
+    attribute = attribute.groupBy("project", "cls", "head").agg(F.min_by("attr_class", "ord").alias("attr_class"))
+
+    sites = sites.join(local, ["project", "module", "function", "head"], "left").join(attribute, ["project", "cls", "head"], "left")
     receiver = F.when(F.col("head").isin("self", "cls", "super()"), F.col("cls")).otherwise(F.coalesce("local_class", "attr_class"))
     sites = sites.withColumn("receiver", receiver)
     asked = F.when(F.col("receiver").isNull(), F.col("callee"))

@@ -9,7 +9,11 @@
 * ``import``: dotted names as written, leading dots kept
 * ``alias``: a name bound by an import (value: what it stands for)
 * ``call``: the calls of a function's body in order of evaluation, each callee
-  once (owner: function by qualified name in the module, value: dotted callee)
+  once (owner: function by qualified name in the module, value: dotted callee,
+  flags: the class whose method it is or stands in); a nested function is a
+  caller of its own, ``outer.inner``
+* ``returns``: the class that a function's return annotation names (owner:
+  function, name: the class)
 * ``typed``: what a function's parameters, locals and ``self`` attributes hold,
   if it is said by annotation or constructor (owner: function or class)
 * ``excerpt``: the source of each function (value), its docstring cut to the
@@ -18,6 +22,10 @@
   (value), at most OUTLINE characters
 * ``error``: the file doesn't parse
 
+Of definitions that share a name in one body the last counts for calls, types
+and bases; ``entity``, ``excerpt`` and ``outline`` list all. Lines are the
+file's own.
+
 Everything that needs more than one file is done by joins on these rows.
 """
 
@@ -140,45 +148,64 @@ def _texts(body, owner: str | None, lines: list[str]):
             yield "excerpt", k, name, owner, _excerpt(node, lines), node.lineno, node.end_lineno, "env" if _reads_environment(node) else ""
 
 
-def _function(node, owner: str | None):
+def _last(body) -> list:
+    """(place, node) of functions and classes of a body, without those that a later one replaces, and of all else."""
+    kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+    last = {n.name: k for k, n in enumerate(body) if isinstance(n, kinds)}
+    return [(k, n) for k, n in enumerate(body) if not isinstance(n, kinds) or last[n.name] == k]
+
+
+def _function(node, owner: str | None, cls: str | None = None):
     name = f"{owner}.{node.name}" if owner else node.name
     visitor = _Calls()
     for statement in node.body:
         visitor.visit(statement)
     for callee, k in visitor.found.items():
-        yield "call", k, callee.rpartition(".")[2], name, callee, node.lineno, node.end_lineno, None
+        yield "call", k, callee.rpartition(".")[2], name, callee, node.lineno, node.end_lineno, cls
+    if node.returns is not None and (said := _said(node.returns)):
+        yield "returns", 0, said, name, None, node.lineno, node.end_lineno, cls
     args = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
     held = [(a.arg, _said(a.annotation)) for a in args if a.annotation]
+    inside = []
     for inner in _own(node.body):
         if isinstance(inner, ast.AnnAssign):
             held.append((_dotted(inner.target), _said(inner.annotation)))
         elif isinstance(inner, ast.Assign):
             value = _dotted(inner.value.func) if isinstance(inner.value, ast.Call) else None
             held += [(_dotted(t), value) for t in inner.targets]
+        elif isinstance(inner, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            inside.append(inner)
     for k, (what, value) in enumerate(held):
         if what:
-            yield "typed", k, what, name, value, node.lineno, node.end_lineno, None
+            yield "typed", k, what, name, value, node.lineno, node.end_lineno, cls
+    for _, inner in _last(inside):
+        yield from _function(inner, name, cls)
 
 
 def _class(node, owner: str | None):
     name = f"{owner}.{node.name}" if owner else node.name
     for k, base in enumerate(node.bases):
         yield "base", k, _dotted(base) or ast.unparse(base), name, ast.unparse(base), node.lineno, node.end_lineno, None
-    for k, inner in enumerate(node.body):
+    for k, inner in _last(node.body):
         if isinstance(inner, (ast.FunctionDef, ast.AsyncFunctionDef)):
             said = {(_dotted(d.func) if isinstance(d, ast.Call) else _dotted(d) or "").rpartition(".")[2] for d in inner.decorator_list}
             flags = "static" if "staticmethod" in said else "property" if said & {"property", "cached_property"} else ""
             yield "method", k, inner.name, name, _said(inner.returns) if inner.returns else None, inner.lineno, inner.end_lineno, flags
-            yield from _function(inner, name)
+            yield from _function(inner, name, name)
         elif isinstance(inner, ast.ClassDef):
             yield from _class(inner, name)
         elif isinstance(inner, ast.AnnAssign):
-            yield "typed", k, f"self.{_dotted(inner.target)}", name, _said(inner.annotation), inner.lineno, inner.end_lineno, None
+            yield "typed", k, f"self.{_dotted(inner.target)}", name, _said(inner.annotation), inner.lineno, inner.end_lineno, name
+        elif isinstance(inner, ast.Assign):
+            value = _dotted(inner.value.func) if isinstance(inner.value, ast.Call) else None
+            for t in inner.targets:
+                if isinstance(t, ast.Name):
+                    yield "typed", k, f"self.{t.id}", name, value, inner.lineno, inner.end_lineno, name
 
 
 def facts_of(content: str):
     try:
-        tree = ast.parse(content.strip() + "\n")
+        tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError) as e:
         yield "error", 0, type(e).__name__, None, str(e), 0, 0, None
         return
@@ -186,11 +213,14 @@ def facts_of(content: str):
         if isinstance(node, ast.ClassDef):
             first = ast.unparse(node.bases[0]) if node.bases else None
             yield "entity", k, node.name, first, ast.get_docstring(node) or "", node.lineno, node.end_lineno, "class"
-            yield from _class(node, None)
         elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             yield "entity", k, node.name, None, ast.get_docstring(node) or "", node.lineno, node.end_lineno, "function"
+    for _, node in _last(tree.body):
+        if isinstance(node, ast.ClassDef):
+            yield from _class(node, None)
+        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             yield from _function(node, None)
-    yield from _texts(tree.body, None, content.strip().split("\n"))
+    yield from _texts(tree.body, None, content.split("\n"))
     k = 0
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):

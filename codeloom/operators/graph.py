@@ -46,7 +46,7 @@ def truncation(edges: DataFrame, k: int = 50, inclusive: bool = False) -> DataFr
     """(n_nodes, truncated, note): whether ``k`` nodes cut the graph (or, ``inclusive``, filled the limit)."""
     n = degrees(edges).agg(F.count("*").alias("n_nodes"))
     cut = F.col("n_nodes") >= k if inclusive else F.col("n_nodes") > k
-    note = F.when(cut, F.lit(f"Diagram truncated: showing top {k} nodes"))
+    note = F.when(cut, F.lit(f"the {k} most connected nodes"))
     return n.select("n_nodes", cut.alias("truncated"), note.alias("note"))
 
 

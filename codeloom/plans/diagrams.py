@@ -43,7 +43,7 @@ def _edge(a, b) -> F.Column:
 
 def _note(edges: DataFrame, limit: int) -> DataFrame:
     n = graph.degrees(edges, ("project",)).groupBy("project").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    return _line(n, 9, [], F.lit(f'    truncation_notice["Diagram truncated: showing top {limit} nodes"]'))
+    return _line(n, 9, [], F.lit(f'    truncation_notice["the {limit} most connected nodes"]'))
 
 
 def grouped_graph(edges: DataFrame, groups: DataFrame, header: str = "graph TD", limit: int = LIMIT) -> DataFrame:
@@ -97,7 +97,7 @@ def class_diagram(classes: DataFrame, limit: int = LIMIT) -> DataFrame:
         _line(shown.select("project", "k", F.posexplode("methods").alias("m", "method")), 1, [key, F.lit("1"), F.lpad(F.col("m").cast("string"), 9, "0")], F.concat(F.lit("        +"), "method", F.lit("()"))),
         _line(shown, 1, [key, F.lit("2")], F.lit("    }")),
         _line(first.where("base is not null"), 2, [key], F.concat(F.lit("    "), clean_identifier("base"), F.lit(" <|-- "), "id")),
-        _line(first.groupBy("project").agg(F.count("*").alias("n")).where(F.col("n") >= limit), 9, [], F.lit(f'    note "Diagram truncated: showing top {limit} classes"')),
+        _line(first.groupBy("project").agg(F.count("*").alias("n")).where(F.col("n") >= limit), 9, [], F.lit(f'    note "the first {limit} classes"')),
     ]
     return _ordered(parts)
 

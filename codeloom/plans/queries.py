@@ -45,7 +45,7 @@ def induced_edges(spark, sf):
     return graph.induced(edges, graph.most_connected(edges, 10))
 
 
-@query(NATION_SQL + "SELECT count(*) AS n_nodes, count(*) > 10 AS truncated, CASE WHEN count(*) > 10 THEN 'Diagram truncated: showing top 10 nodes' END AS note FROM d")
+@query(NATION_SQL + "SELECT count(*) AS n_nodes, count(*) > 10 AS truncated, CASE WHEN count(*) > 10 THEN 'the 10 most connected nodes' END AS note FROM d")
 def truncation_note(spark, sf):
     return graph.truncation(tables.nation_edges(spark, sf), 10)
 
@@ -75,7 +75,7 @@ def induced_edges_all(spark, sf):
     return graph.induced(edges, graph.most_connected(edges, 2000))
 
 
-@query(TRADE_SQL + "SELECT count(*) AS n_nodes, count(*) > 10 AS truncated, CASE WHEN count(*) > 10 THEN 'Diagram truncated: showing top 10 nodes' END AS note FROM d")
+@query(TRADE_SQL + "SELECT count(*) AS n_nodes, count(*) > 10 AS truncated, CASE WHEN count(*) > 10 THEN 'the 10 most connected nodes' END AS note FROM d")
 def truncation_note_all(spark, sf):
     return graph.truncation(tables.trade_edges(spark, sf), 10)
 
@@ -497,7 +497,7 @@ def module_imports(spark, sf):
 
 @query(_MODULES + """, b AS (SELECT a.project, a.module || '.Thing' || CAST(a.k AS VARCHAR) AS cls, 'Thing' || CAST(a.o AS VARCHAR) AS base, c.module || '.Thing' || CAST(a.o AS VARCHAR) AS full_base, c.k IS NOT NULL AS inside, a.* EXCLUDE (project) FROM p a LEFT JOIN p c ON c.project = a.project AND c.k = a.o)
 SELECT project, module || '.Thing' || CAST(k AS VARCHAR) || '.run' AS caller, module || '.helper' || CAST(k AS VARCHAR) AS callee, TRUE AS is_internal FROM p
-UNION ALL SELECT project, cls || '.run', CASE WHEN inside AND FALSE THEN '' ELSE 'stop' END, FALSE FROM b
+UNION ALL SELECT project, cls || '.run', 'stop', FALSE FROM b
 UNION ALL SELECT project, cls || '.run', cls || '.step', TRUE FROM b
 UNION ALL SELECT project, cls || '.step', CASE WHEN inside THEN full_base ELSE base END, inside FROM b
 UNION ALL SELECT project, module || '.helper' || CAST(k AS VARCHAR), 'getcwd', FALSE FROM p""")

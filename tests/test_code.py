@@ -47,6 +47,62 @@ def test_call_edges(rows):
     }
 
 
+MORE = """
+
+import shop.models
+from shop.models import Order
+
+
+def make() -> Order: ...
+
+
+def first(x: Order):
+    def inner():
+        make()
+    x = unknown()
+    x.save()
+    y = make()
+    y.total()
+    inner()
+
+
+def twice():
+    json.old()
+
+
+def twice():
+    make()
+
+
+class Api:
+    order = Order()
+    @property
+    def latest(self) -> "Order": ...
+    def old(self): make()
+    def old(self): self.order.total()
+
+
+class Sub(Api):
+    def run(self):
+        self.order.save()
+        self.latest.lines()
+"""
+
+
+def test_calls_of_nested_replaced_and_inherited(spark):
+    data = [("p", "shop.models", False, FILES["shop.models"]), ("p", "shop.more", False, MORE), ("p", "bad", False, "  x = 1\n")]
+    rows = facts.facts(spark.createDataFrame(data, "project string, module string, is_package boolean, content string")).cache()
+    found = {(r["caller"].removeprefix("shop.more."), r["callee"], r["is_internal"]) for r in calls.call_edges(rows).where("caller like 'shop.more.%'").collect()}
+    save, total, lines, made = (("shop.models.Base.save", True), ("shop.models.Order.total", True), ("shop.models.Order.lines", True), ("shop.more.make", True))
+    assert found == {
+        ("first.inner", *made), ("first", *save), ("first", *total), ("first", "unknown", False), ("first", *made), ("first", "inner", False),
+        ("twice", *made), ("Api.old", *total), ("Sub.run", *save), ("Sub.run", *lines),
+    }
+    at = {r["name"]: r["line"] for r in facts.of_kind(rows, "entity").where("module = 'shop.more'").collect()}
+    assert at["make"] == MORE.split("\n").index("def make() -> Order: ...") + 1
+    assert facts.of_kind(rows, "error").select("module").collect() == [("bad",)]
+
+
 def test_a_broken_file_is_an_error_row(spark):
     bad = spark.createDataFrame([("p", "m", False, "def (")], "project string, module string, is_package boolean, content string")
     assert [r["kind"] for r in facts.facts(bad).collect()] == ["error"]
