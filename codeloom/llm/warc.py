@@ -26,6 +26,7 @@ from datetime import datetime, timezone
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import read, salted_join, work_dir
 
@@ -53,10 +54,10 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 def resolve_revisits(pages: DataFrame, min_bytes: int = MIN_BYTES, parts: int | None = None) -> DataFrame:
     """``pages`` with payload columns and ``_refers`` (the id of the response that a revisit refers to, null for a response)."""
     key = ["_name", "_digest"]
-    rows, known = with_payload(pages), revisits(pages, min_bytes)
-    if parts is not None:
-        rows, known = rows.repartition(parts, *key), known.repartition(parts, *key)
-    return rows.join(known, key, "left")
+    # headers come along in the payloads' own shuffle; a join would deal payloads anew for its own number of tasks
+    both = with_payload(pages).unionByName(revisits(pages, min_bytes), allowMissingColumns=True)
+    both = both if parts is None else both.repartition(parts, *key)
+    return both.withColumn("_refers", F.max("_refers").over(Window.partitionBy(*key))).where(F.col("_body").isNotNull())
 
 
 def _line(name: str, value) -> F.Column:
