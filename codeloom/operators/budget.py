@@ -6,17 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import stored
+
 
 def greedy_fill(rows: DataFrame, group: str, order: str, key: str, size: str, budget: int, limit: int | None = None) -> DataFrame:
     """(``group``, taken): keys in order; one that is empty or no longer fits is skipped, and later ones may still fit.
 
     A skipped item uses no budget, so a running sum would be wrong; the state is
     folded over the group's ordered items (key and size only), of which
-    ``limit`` are looked at.
+    ``limit`` are looked at. Items over the whole budget, and without a
+    ``limit`` empty ones, are gone before anything is gathered; so a group's
+    list is as long as its items that could fit, which is not bounded unless
+    there is a ``limit``.
     """
-    items = F.array_sort(F.collect_list(F.struct(order, key, size)))
+    rows = rows.where(F.col(size).isNotNull())
     if limit is not None:
-        items = F.slice(items, 1, limit)
+        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(order, key, size))).where(F.col("_place") <= limit)
+    groups = rows.select(group).distinct()
+    rows = rows.where(F.col(size).between(1, budget))
+    items = F.array_sort(F.collect_list(F.struct(order, key, size)))
     kind = rows.schema[key].dataType.simpleString()
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("taken"))
 
@@ -27,15 +35,22 @@ def greedy_fill(rows: DataFrame, group: str, order: str, key: str, size: str, bu
             F.when(fits, F.concat(state["taken"], F.array(item[key]))).otherwise(state["taken"]).alias("taken"),
         )
 
-    return rows.where(F.col(size).isNotNull()).groupBy(group).agg(F.aggregate(items, start, step, lambda s: s["taken"]).alias("taken"))
+    found = rows.groupBy(F.col(group).alias("_g")).agg(F.aggregate(items, start, step, lambda s: s["taken"]).alias("taken"))
+    return groups.join(found, groups[group].eqNullSafe(found["_g"]), "left").select(group, F.coalesce("taken", F.array().cast(f"array<{kind}>")).alias("taken"))
 
 
 def running_cut(rows: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
     """``rows`` with ``before`` and ``kept`` (of its size): whole while the sum fits, the one that crosses cut to what is left, none after."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(size).over(w), F.lit(0))
+    # the running sum has two levels, so that no task holds a whole group: ranges of the order, then rows of a range
+    ranged = stored(rows.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sums = ranged.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.sum(size).alias("_sum"))
+    earlier = Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_g", "_r", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumn("_within", F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    out = within.join(sums, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
     kept = F.greatest(F.lit(0), F.least(F.col(size), F.lit(budget) - F.col("before")))
-    return rows.withColumn("before", before).withColumn("kept", kept)
+    return out.withColumn("before", F.col("_start") + F.col("_within")).withColumn("kept", kept).select(*rows.columns, "before", "kept")
 
 
 def cut_at_line(text, budget: int):

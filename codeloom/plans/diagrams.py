@@ -49,13 +49,16 @@ def _note(edges: DataFrame, limit: int) -> DataFrame:
 def grouped_graph(edges: DataFrame, groups: DataFrame, header: str = "graph TD", limit: int = LIMIT) -> DataFrame:
     """A graph of ``edges`` (project, src, dst) whose nodes stand in subgraphs by ``groups`` (project, node, group): architecture and call graphs.
 
-    The ``limit`` most connected nodes of each project stay; a project without edges gets a line that says so.
+    The ``limit`` most connected nodes of each project stay; nodes and projects without edges aren't drawn.
     """
     top = graph.most_connected(edges, limit, ("project",))
     kept = graph.induced(edges, top, ("project",))
     shown = top.join(groups, ["project", "node"], "left").withColumn("group", F.coalesce("group", "node"))
-    opens = _line(shown, 1, [F.col("group"), F.lit("0")], F.concat(F.lit("    subgraph group_"), clean_identifier(F.col("group")), F.lit('["'), quoted_label("group"), F.lit('"]')))
-    nodes = _line(shown, 1, [F.col("group"), F.lit("1"), F.col("node")], _node(F.col("node"), F.col("node")))
+    # a group's own node is its package; others are named within it
+    inside = F.col("node").startswith(F.concat("group", F.lit(".")))
+    within = F.when(inside, F.expr("substring(node, length(`group`) + 2)")).when(F.col("node") == F.col("group"), F.lit("__init__")).otherwise(F.col("node"))
+    opens = _line(shown, 1, [F.col("group"), F.lit("0")], F.concat(F.lit("    subgraph "), clean_identifier(F.col("group")), F.lit('__group["'), quoted_label("group"), F.lit('"]')))
+    nodes = _line(shown, 1, [F.col("group"), F.lit("1"), F.col("node")], _node(F.col("node"), within))
     ends = _line(shown, 1, [F.col("group"), F.lit("2")], F.lit("    end"))
     arrows = _line(kept, 2, [F.col("src"), F.col("dst")], _edge(F.col("src"), F.col("dst")))
     return _ordered([_heads(edges, header), opens, nodes, ends, arrows, _note(edges, limit)])

@@ -505,7 +505,10 @@ def call_edges(spark, sf):
     return calls.call_edges(_facts(spark, sf)).drop("ord")
 
 
-@query()
+@query(_MODULES.replace("WITH p", "WITH RECURSIVE p") + """, b AS (SELECT project, k, o, module || '.Thing' || CAST(k AS VARCHAR) AS cls FROM p),
+w AS (SELECT project, cls, CAST(0 AS INTEGER) AS ord, cls AS base, o, [cls] AS path FROM b
+  UNION ALL SELECT w.project, w.cls, w.ord + 1, b.cls, b.o, list_append(path, b.cls) FROM w JOIN b ON b.project = w.project AND b.k = w.o WHERE NOT list_contains(path, b.cls))
+SELECT project, cls, ord, base FROM w""")
 def class_lineage(spark, sf):
     rows = _facts(spark, sf)
     defined = calls.definitions(rows)
@@ -522,7 +525,11 @@ def code_excerpts(spark, sf):
     return found.select("project", "module", F.concat_ws(".", "module", "name").alias("full_name"), "kind", F.md5("value").alias("digest"), (F.coalesce("flags", F.lit("")) == "env").alias("env"))
 
 
-@query()
+@query(_MODULES + """, t AS (SELECT project, module AS source, CAST(k AS VARCHAR) AS k, CAST(o AS VARCHAR) AS o, 'pkg' || CAST(o % 5 AS VARCHAR) || '.m' || CAST(o AS VARCHAR) AS target, n, chr(10) AS nl, repeat('"', 3) AS q FROM p)
+SELECT project, source, -1 AS ord, concat('File: ', source, nl, q, n, '.', q, nl, 'import os', nl, 'from ', target, ' import Thing', o, nl, nl, nl, 'class Thing', k, '(Thing', o, '):', nl, '    ', q, 'A ', n, '.', q, nl, nl,
+  '    def run(self, other: Thing', o, '):', nl, '        helper', k, '()', nl, '        other.stop()', nl, '        return self.step()', nl, nl, '    def step(self):', nl, '        return Thing', o, '()', nl, nl, nl, 'def helper', k, '():', nl, '    return os.getcwd()', nl) AS text FROM t
+UNION ALL SELECT project, source, 3, concat('Class: Thing', k, nl, 'File: ', source, nl, 'Lines: 6-15', nl, 'Base: Thing', o, nl, 'Methods: run, step', nl, 'Docstring: A ', n, '.') FROM t
+UNION ALL SELECT project, source, 4, concat('Function: helper', k, nl, 'File: ', source, nl, 'Lines: 18-19') FROM t""")
 def code_documents(spark, sf):
     files = tables.modules(spark, sf)
     return structure.documents(_facts(spark, sf), files)
@@ -541,13 +548,29 @@ def third_party_map(spark, sf):
     return structure.third_party_map(_facts(spark, sf), files)
 
 
-@query()
+@query(_MODULES + """, u AS (SELECT a.project, c.module || '.Thing' || CAST(c.k AS VARCHAR) AS cls, count(*) AS users FROM p a JOIN p c ON c.project = a.project AND c.k = a.o AND c.k <> a.k GROUP BY ALL)
+SELECT project, cls, users FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY users DESC, cls) AS nth FROM u) WHERE nth <= 10""")
 def most_used_classes(spark, sf):
     rows = _facts(spark, sf)
     return structure.most_used_classes(calls.call_edges(rows), calls.definitions(rows).where("what = 'class'"))
 
 
-@query()
+_TOP = """, d AS (SELECT project, node, count(*) AS n FROM (SELECT project, src AS node FROM e UNION ALL SELECT project, dst FROM e) GROUP BY ALL),
+top AS (SELECT project, node FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, node) AS nth FROM d) WHERE nth <= 50),
+kept AS (SELECT e.* FROM e JOIN top a ON a.project = e.project AND a.node = src JOIN top b ON b.project = e.project AND b.node = dst),
+note AS (SELECT project, 9 AS s, '' AS a, '' AS b, '' AS c, '    truncation_notice["the 50 most connected nodes"]' AS line FROM d GROUP BY project HAVING count(*) > 50)
+"""
+
+
+@query(_MODULES + """, e AS (SELECT DISTINCT a.project, a.module AS src, c.module AS dst FROM p a JOIN p c ON c.project = a.project AND c.k = a.o AND c.k <> a.k)""" + _TOP + """,
+g AS (SELECT project, node, split_part(node, '.', 1) AS grp FROM top),
+l AS (SELECT project, 0 AS s, '' AS a, '' AS b, '' AS c, 'graph TD' AS line FROM e
+  UNION SELECT project, 1, grp, '0', '', '    subgraph ' || grp || '__group["' || grp || '"]' FROM g
+  UNION SELECT project, 1, grp, '1', node, '        ' || replace(node, '.', '_') || '["' || split_part(node, '.', 2) || '"]' FROM g
+  UNION SELECT project, 1, grp, '2', '', '    end' FROM g
+  UNION SELECT project, 2, src, dst, '', '    ' || replace(src, '.', '_') || ' --> ' || replace(dst, '.', '_') FROM kept
+  UNION SELECT * FROM note)
+SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY s, a, b, c, line) AS INTEGER) AS ord, line FROM l""")
 def architecture_diagram(spark, sf):
     files = tables.modules(spark, sf)
     edges = module_imports(spark, sf).where("target is not null").select("project", F.col("module").alias("src"), F.col("target").alias("dst"))
@@ -555,7 +578,18 @@ def architecture_diagram(spark, sf):
     return diagrams.grouped_graph(edges, groups)
 
 
-@query()
+@query(_MODULES + """, x AS (SELECT DISTINCT a.project, 'pkg' || CAST(a.k % 5 AS VARCHAR) AS src, 'pkg' || CAST(a.o % 5 AS VARCHAR) AS dst, c.k IS NULL AS outside FROM p a LEFT JOIN p c ON c.project = a.project AND c.k = a.o WHERE a.k % 5 <> a.o % 5),
+e AS (SELECT DISTINCT project, src, dst FROM x)""" + _TOP + """,
+o AS (SELECT DISTINCT project, dst AS node FROM x WHERE outside),
+t AS (SELECT top.*, o.node IS NOT NULL AS outside FROM top LEFT JOIN o USING (project, node)),
+l AS (SELECT project, 0 AS s, '' AS a, '' AS b, '' AS c, 'graph LR' AS line FROM e
+  UNION SELECT project, 1, node, '', '', '        ' || node || '["' || node || '"]' FROM t WHERE NOT outside
+  UNION SELECT project, 2, '0', '', '', '    subgraph third_party["Third-party"]' FROM t WHERE outside
+  UNION SELECT project, 2, '1', node, '', '        ' || node || '["' || node || '"]' FROM t WHERE outside
+  UNION SELECT project, 2, '2', '', '', '    end' FROM t WHERE outside
+  UNION SELECT project, 3, src, dst, '', '    ' || src || ' --> ' || dst FROM kept
+  UNION SELECT * FROM note)
+SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY s, a, b, c, line) AS INTEGER) AS ord, line FROM l""")
 def dependency_diagram(spark, sf):
     files = tables.modules(spark, sf)
     rows = facts.of_kind(_facts(spark, sf), "import").select("project", "module", "is_package", F.col("name").alias("imported"))
@@ -566,7 +600,15 @@ def dependency_diagram(spark, sf):
     return diagrams.dependency(edges)
 
 
-@query()
+@query(_MODULES + """, f AS (SELECT project, 'Thing' || CAST(k AS VARCHAR) AS id, 'Thing' || CAST(o AS VARCHAR) AS base, row_number() OVER (PARTITION BY project ORDER BY module, 'Thing' || CAST(k AS VARCHAR)) AS r FROM p),
+l AS (SELECT DISTINCT project, 0 AS s, 0 AS r, 0 AS a, 'classDiagram' AS line FROM p
+  UNION ALL SELECT project, 1, r, 0, '    class ' || id || ' {' FROM f WHERE r <= 20
+  UNION ALL SELECT project, 1, r, 1, '        +run()' FROM f WHERE r <= 20
+  UNION ALL SELECT project, 1, r, 2, '        +step()' FROM f WHERE r <= 20
+  UNION ALL SELECT project, 1, r, 3, '    }' FROM f WHERE r <= 20
+  UNION ALL SELECT project, 2, r, 0, '    ' || base || ' <|-- ' || id FROM f
+  UNION ALL SELECT project, 9, 0, 0, '    note "the first 20 classes"' FROM f GROUP BY project HAVING count(*) >= 20)
+SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY s, r, a) AS INTEGER) AS ord, line FROM l""")
 def class_diagrams(spark, sf):
     rows = _facts(spark, sf)
     methods = facts.of_kind(rows, "method").groupBy("project", "module", F.col("owner").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("name").alias("m")))), lambda x: x["m"]).alias("methods"))
