@@ -238,6 +238,47 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["toxicity"] for r in toxicity.score(docs, nothing).collect()} == {0.0}
 
 
+def test_toxicity_features_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHUNK", 40)
+    texts = [None, "", "Vile viler VILEST vile!", "ünïcode_word ünïco ünïcorn 12345 1234", "x" * 100 + " tail tails", "a b c", "stem stems stemmed stemming " * 3]
+    word = re.compile(r"\w+")
+    want = []
+    for k, t in enumerate(texts):
+        count = Counter(f for w in set(word.findall((t or "").lower())) for f in [("=", w), *((n, w[:n]) for n in (4, 5, 6) if len(w) >= n)])
+        want += [(k, level) for c in count.values() for level in (1, 2, 4) if c >= level]
+    doc, keys = toxicity.text_features(texts)
+    assert Counter(zip(doc.tolist(), (1 << (keys & np.uint64(3)).astype(int)).tolist())) == Counter(want)
+    # equal features have equal hashes, different ones don't
+    both = Counter()
+    for k, t in enumerate(texts):
+        both.update({(n, b, level) for level in (1, 2, 4) for (n, b), c in Counter(f for w in set(word.findall((t or "").lower())) for f in [("=", w), *((n, w[:n]) for n in (4, 5, 6) if len(w) >= n)]).items() if c >= level})
+    assert sorted(Counter(keys.tolist()).values()) == sorted(both.values())
+    some = np.unique(keys)[::3]
+    d, at = toxicity.text_features(texts, toxicity.Lookup(some))
+    assert sorted(zip(d.tolist(), some[at].tolist())) == sorted((x, y) for x, y in zip(doc.tolist(), keys.tolist()) if y in set(some.tolist()))
+
+
+@pytest.mark.parametrize("bias,sign", [(1.0, 1), (-6.0, -1)])
+def test_risk_equals_its_definition(bias, sign):
+    rng = np.random.default_rng(6)
+    n, prior = 5, 0.4 if sign < 0 else 0.1
+    pack = lambda rows: toxicity._distinct([np.flatnonzero(r).astype("<u2").tobytes() for r in rows])
+    p = rng.random((30, n)) < (0.1 if sign < 0 else 0.5)
+    u = np.zeros((40, n), bool) if sign < 0 else rng.random((40, n)) < 0.3
+    theta = np.append(rng.random(n) * (9 if sign < 0 else 1), bias)
+    loss = lambda z: np.log1p(np.exp(-z))
+
+    def parts(t):
+        zp, zu = p @ t[:-1] + t[-1], u @ t[:-1] + t[-1]
+        return prior * loss(zp).mean(), loss(-zu).mean() - prior * loss(-zp).mean()
+
+    plus, minus, grad = toxicity.risk(theta, pack(p), pack(u), prior)
+    assert np.allclose((plus, minus), parts(theta)) and np.sign(minus) == sign
+    step = lambda t: sum(parts(t)) if sign > 0 else -parts(t)[1]
+    want = [(step(theta + e) - step(theta - e)) / 2e-6 for e in np.eye(n + 1) * 1e-6]
+    assert np.allclose(grad, want, atol=1e-6)
+
+
 def test_language_on_held_out_rows(spark):
     rng = np.random.default_rng(4)
     parts = {"aa": ["ka", "to", "mi", "ru"], "bb": ["sch", "ein", "ung", "ver"], "cc": ["eau", "oui", "ré", "ent"]}
