@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text
 from codeloom.operators import budget, calls, facts, graph, incremental, manifests, names, retrieval, sequence, structure, usage, xref
+from codeloom.operators.store import stored
 from codeloom.plans import diagrams, rules, tables
 from codeloom.plans.tables import table
 
@@ -469,8 +470,8 @@ def rule_verdicts(spark, sf):
 
 
 def _facts(spark, sf):
-    """Facts of the derived modules, held: several joins read them."""
-    return facts.facts(tables.modules(spark, sf)).persist()
+    """Facts of the derived modules, written once: several joins read them."""
+    return stored(facts.facts(tables.modules(spark, sf)), "facts")
 
 
 _MODULES = """
