@@ -6,7 +6,8 @@ and for each run end the text position there (the sample) with the length of the
 match to its neighbour in suffix order. Matching statistics stream from the
 samples: between two samples in text order the match to the neighbour gets one
 symbol shorter for each position, because a position that is not at a run end
-has the same neighbour as the position before it.
+has the same neighbour as the position before it. Other strings are streamed
+through the runs themselves (``occur``), by backward steps.
 """
 
 from __future__ import annotations
@@ -113,3 +114,51 @@ class RunIndex:
         if self.n == 0:
             return np.zeros(0, np.int64)
         return np.maximum(self._stream(self.first_at, self.first_match), self._stream(self.last_at, self.last_match))
+
+    def occur(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """For each of some strings (symbols up to 255, back to back in ``raw``): does it occur in the text?
+
+        All strings are streamed together, last symbol first; one step maps the
+        rows that a suffix matches through heads and lengths of the runs. Rows
+        inside one run with the right head stay side by side, so that most
+        steps look up one run.
+        """
+        sizes = np.diff(offsets)
+        if self.n == 0 or not len(sizes):
+            return sizes == 0
+        runs = self.runs
+        starts = np.cumsum(self.lengths) - self.lengths
+        by = np.argsort(self.heads, kind="stable")
+        keys = self.heads[by] * runs + by
+        # rows whose suffixes begin with lesser symbols, or come from earlier runs of the symbol; the run of -1 is no suffix
+        ahead = np.concatenate([[0], np.cumsum(self.lengths[by])]) - 1
+        target = np.empty(runs, np.int64)
+        target[by] = ahead[:-1]
+
+        def rank(symbol, row):
+            run = np.searchsorted(starts, row, "right") - 1
+            part = np.where(self.heads[run] == symbol, row - starts[run], 0)
+            return ahead[np.searchsorted(keys, symbol * runs + run)] + part
+
+        order = np.argsort(-sizes, kind="stable")
+        ends, sizes = offsets[1:][order], sizes[order]
+        low, high = np.zeros(len(order), np.int64), np.full(len(order), self.n)
+        live = order[:0]
+        for step in range(int(sizes[0])):
+            count = int(np.searchsorted(-sizes, -step, "left"))
+            if step == 0 or count != len(live):
+                live = np.arange(count)
+            symbol = raw[ends[:count] - 1 - step].astype(np.int64)
+            at, to = low[:count], high[:count]
+            run = np.searchsorted(starts, np.minimum(at, self.n - 1), "right") - 1
+            inside = (self.heads[run] == symbol) & (to <= starts[run] + self.lengths[run])
+            new = target[run] + at - starts[run]
+            width = to - at
+            split = live[~inside & (width > 0)]
+            if len(split):
+                new[split] = rank(symbol[split], at[split])
+                width[split] = rank(symbol[split], to[split]) - new[split]
+            low[:count], high[:count] = np.where(width > 0, new, 0), np.where(width > 0, new + width, 0)
+        found = np.empty(len(order), bool)
+        found[order] = high > low
+        return found

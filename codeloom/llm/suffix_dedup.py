@@ -7,13 +7,21 @@ Plan, with nothing held whole anywhere:
    Pieces whose anchor occurs once go at once. The others meet by
    ``(anchor, fp)``, summed before the shuffle, so a text with a million copies
    costs a row for each task.
-2. A piece that occurs twice is marked whole. Anchors with several *different*
-   pieces may share only a part: their distinct pieces are gathered by anchor in
-   blocks of bounded size, each block gets a run-compressed Burrows-Wheeler
-   transform (``run_index``), and matching statistics mark long matches.
-3. An anchor with more than ``hot`` different pieces would make a block without
-   a bound; its windows are counted one by one with a map-side sum instead.
-4. Marked pieces go back to their documents, ranges become bytes.
+2. Pieces that meet often name two places, the first and the last. Neighbours
+   with the same two documents are put together (``regions``), the bytes of both
+   places are fetched, the first ones of a block get a run-compressed
+   Burrows-Wheeler transform (``run_index``), and the last ones are streamed
+   through its runs. What is found there is marked at every place.
+3. Anchors with several *different* pieces may share only a part: their distinct
+   pieces are gathered by anchor in blocks of bounded size, each block gets its
+   transform, and matching statistics mark long matches.
+4. An anchor with more than ``hot`` different pieces would make a block without
+   a bound. Its windows meet by digest, with a map-side sum; two places of each
+   that occurs again go through the index as in step 2.
+5. Marked pieces go back to their documents, ranges become bytes.
+
+Hashes only name candidates; bytes are removed where the index finds them. Two
+places that share 128 bits of hashes but not their bytes would stay.
 
 Defined results: null text counts as empty; a text under ``window`` bytes loses
 nothing; two rows with equal text match each other, whatever their ids; an id
@@ -29,6 +37,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import anchors
 from .common import pack, read, release, schema_of, small_batches, stored, text_bytes, unpack
@@ -37,6 +46,7 @@ from .run_index import RunIndex
 WINDOW = 200
 HOT = 2048
 BLOCK = 1 << 20
+SPAN = 1024  # window starts in a region at most
 
 _KEY = ["_id", "_th"]
 _PIECE = "_id long, _th int, first int, last int, off int, anchor long, fp long"
@@ -132,13 +142,34 @@ def _slices(batches):
     """Bytes of the listed pieces of each text."""
     for batch in batches:
         raw, offsets = text_bytes(batch["text"])
-        anchor, fp, out = [], [], []
+        anchor, fp, side, out = [], [], [], []
         for k, wanted in enumerate(batch["wanted"].to_pylist()):
             for w in wanted:
                 anchor.append(w["anchor"])
                 fp.append(w["fp"])
+                side.append(w["side"])
                 out.append(raw[offsets[k] + w["first"] : offsets[k] + w["last"] + w["extra"]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(fp, pa.int64()), pa.array(out, pa.binary())], names=["anchor", "fp", "piece"])
+        yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(fp, pa.int64()), pa.array(side, pa.int32()), pa.array(out, pa.binary())], names=["anchor", "fp", "side", "piece"])
+
+
+def regions(places: DataFrame, by: list[str]) -> DataFrame:
+    """``places`` (``by``, first, last, member) that follow each other under equal ``by``, put together up to SPAN window starts: region, ``by``, first, last, members."""
+    inside = Window.partitionBy(*by, F.expr(f"first div {SPAN}").alias("_part")).orderBy("first")
+    fresh = F.coalesce((F.lag("last").over(inside) + 1 != F.col("first")).cast("int"), F.lit(1))
+    island = places.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(inside))
+    met = island.groupBy(*by, F.expr(f"first div {SPAN}").alias("_part"), "_island").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.collect_list("member").alias("members"))
+    return stored(met.drop("_part", "_island").withColumn("region", F.monotonically_increasing_id()), "regions")
+
+
+def _found(batches):
+    """Regions whose last place (b) the index of the first places (a) finds."""
+    for batch in batches:
+        raw, offsets = text_bytes(batch["a"])
+        lengths = np.diff(offsets)
+        symbols = np.full(len(raw) + len(lengths), 256, np.uint64)  # 256 ends each string and equals no byte
+        symbols[np.arange(len(raw)) + np.repeat(np.arange(len(lengths)), lengths)] = raw
+        again = RunIndex(symbols).occur(*text_bytes(batch["b"]))
+        yield pa.RecordBatch.from_arrays([batch["region"].filter(pa.array(again))], names=["region"])
 
 
 def _windows(window: int, flush: int = 1 << 17):
@@ -177,27 +208,54 @@ def marks(keyed: DataFrame, window: int = WINDOW, hot: int = HOT, block: int = B
     # stored, so that the join below has two plain shuffles, whose skewed partitions Spark can split
     often = stored(cut.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "anchors")
     met = stored(cut.join(often, "anchor", "left_semi"), "met")
-    distinct = met.groupBy("anchor", "fp").agg(F.count("*").alias("n"), F.min(F.struct("_id", "_th", "first", "last", "off")).alias("at"))
+    place = F.struct("_id", "_th", "first", "last", "off")
+    distinct = met.groupBy("anchor", "fp").agg(F.count("*").alias("n"), F.min(place).alias("at"), F.max(place).alias("to"))
     kinds = distinct.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    known = stored(distinct.join(kinds, "anchor").where("n > 1 or kinds > 1").select("anchor", "fp", "n", "kinds", "at.*"), "repeats")
+    known = stored(distinct.join(kinds, "anchor").where("n > 1 or kinds > 1").select("anchor", "fp", "n", "kinds", "at.*", "to"), "repeats")
+    again = known.where("n > 1").select(*_KEY, F.col("to._id").alias("_id2"), F.col("to._th").alias("_th2"), (F.col("to.first") - F.col("first")).alias("shift"), "first", "last", F.struct("anchor", "fp").alias("member"))
+    pairs = regions(again, [*_KEY, "_id2", "_th2", "shift"])
     partial = known.where("kinds > 1")
-    wanted = partial.groupBy(*_KEY).agg(F.collect_set(F.struct("anchor", "fp", "first", "last", F.lit(window).alias("extra"))).alias("wanted"))
+
+    # all bytes that the index needs, fetched at once; side -1 is a piece, 0 and 1 the two places of a region
+    ask = lambda anchor, fp, first, last, side: F.struct(F.expr(anchor).alias("anchor"), F.expr(fp).alias("fp"), F.expr(first).alias("first"), F.expr(last).alias("last"), F.lit(window).alias("extra"), F.lit(side).alias("side"))
+    asked = partial.select(*_KEY, ask("anchor", "fp", "first", "last", -1).alias("w"))
+    asked = asked.unionByName(pairs.select(*_KEY, ask("region", "0L", "first", "last", 0).alias("w")))
+    asked = asked.unionByName(pairs.select(F.col("_id2").alias("_id"), F.col("_th2").alias("_th"), ask("region", "0L", "first + shift", "last + shift", 1).alias("w")))
+    wanted = asked.groupBy(*_KEY).agg(F.collect_set("w").alias("wanted"))
     texts = keyed.select(*_KEY, F.col("text").cast("binary").alias("text"))
-    strings = texts.join(wanted, _KEY).select("text", "wanted").mapInArrow(_slices, "anchor long, fp long, piece binary").dropDuplicates(["anchor", "fp"])
+    fetched = stored(texts.join(wanted, _KEY).select("text", "wanted").mapInArrow(_slices, "anchor long, fp long, side int, piece binary"), "strings")
+
+    sides = fetched.where("side >= 0").groupBy(F.col("anchor").alias("region")).agg(F.max(F.when(F.col("side") == 0, F.col("piece"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("piece"))).alias("b"))
+    sure = pairs.join(sides.mapInArrow(_found, "region long"), "region").select(F.explode("members").alias("m")).select("m.*")
+    places = met.join(sure, ["anchor", "fp"], "left_semi")
+    whole = places.select(*_KEY, F.col("first").alias("a"), (F.col("last") + window).alias("b"))
+
+    strings = fetched.where("side < 0").drop("side").dropDuplicates(["anchor", "fp"])
     ordinary = strings.join(partial.where(F.col("kinds") <= hot).select("anchor", "fp"), ["anchor", "fp"], "left_semi")
-    found = ordinary.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_match(window, block), "anchor long, fp long, lo int, hi int")
-    hot_rows = strings.join(partial.where(F.col("kinds") > hot).select("anchor", "fp", "off"), ["anchor", "fp"])
-    every = hot_rows.mapInArrow(_windows(window), "anchor long, fp long, at int, rel int, digest binary")
-    twice = every.groupBy("anchor", "rel", "digest").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    counted = every.join(twice, ["anchor", "rel", "digest"], "left_semi").select("anchor", "fp", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    once = found if known.where(F.col("kinds") > hot).isEmpty() else found.unionByName(counted)
+    once = ordinary.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_match(window, block), "anchor long, fp long, lo int, hi int")
+    many = partial.where(F.col("kinds") > hot).select("anchor", "fp", "off")
+    if not many.isEmpty():
+        once = once.unionByName(_hot_matches(stored(strings.join(many, ["anchor", "fp"]), "hot"), window))
     # a piece that occurs once is marked where it stands, one that occurs more often at every place
     single = known.where("n = 1").join(once, ["anchor", "fp"]).select(*_KEY, (F.col("first") + F.col("lo")).alias("a"), (F.col("first") + F.col("hi") + window).alias("b"))
-    places = met.join(known.where("n > 1").select("anchor", "fp"), ["anchor", "fp"], "left_semi")
-    whole = places.select(*_KEY, F.col("first").alias("a"), (F.col("last") + window).alias("b"))
     return single.unionByName(whole).groupBy(*_KEY).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
 
 
+def _hot_matches(strings: DataFrame, window: int) -> DataFrame:
+    """(anchor, fp, lo, hi) of the windows of ``strings`` (anchor, fp, off, piece) that stand at one distance from the anchor in several pieces."""
+    every = strings.mapInArrow(_windows(window), "anchor long, fp long, at int, rel int, digest binary")
+    place = F.struct("fp", "at")
+    twice = every.groupBy("anchor", "rel", "digest").agg(F.count("*").alias("k"), F.min(place).alias("x"), F.max(place).alias("y")).where("k > 1")
+    twice = twice.select("anchor", F.col("x.fp").alias("fp"), F.col("y.fp").alias("fp2"), (F.col("y.at") - F.col("x.at")).alias("shift"), F.col("x.at").alias("first"), F.col("x.at").alias("last"), F.struct("rel", "digest").alias("member"))
+    pairs = regions(twice, ["anchor", "fp", "fp2", "shift"])
+    piece = strings.select("anchor", "fp", "piece")
+    size = F.col("last") - F.col("first") + window
+    sides = pairs.join(piece, ["anchor", "fp"]).withColumn("a", F.substring("piece", F.col("first") + 1, size)).drop("piece")
+    sides = sides.join(piece.withColumnRenamed("fp", "fp2"), ["anchor", "fp2"]).select("region", "a", F.substring("piece", F.col("first") + F.col("shift") + 1, size).alias("b"))
+    sure = pairs.join(sides.mapInArrow(_found, "region long"), "region").select("anchor", F.explode("members").alias("m")).select("anchor", "m.*")
+    return every.join(sure, ["anchor", "rel", "digest"], "left_semi").select("anchor", "fp", F.col("at").alias("lo"), F.col("at").alias("hi"))
+
+
 def _merged(spans) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted((s["a"], s["b"]) for s in spans or ()):

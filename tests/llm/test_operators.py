@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codeloom.llm import anisotropic, bpe, common, components, huffman, kd_search, language_id, mixing, near_dedup, run_index, suffix_dedup, toxicity, warc
@@ -78,6 +79,23 @@ def test_matching_statistics():
             assert found[i] == best
 
 
+def test_streamed_strings():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 5, 200):
+        text = rng.integers(97, 99, n)
+        some = [bytes(rng.integers(97, 100, k).tolist()) for k in (0, 1, 1, 2, 3, 4, 7) for _ in range(8)]
+        some += [bytes(text[k : k + 40].tolist()) for k in range(0, n, 9)]
+        index = run_index.RunIndex(np.append(text, 256).astype(np.uint64))
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in some])])
+        found = index.occur(np.frombuffer(b"".join(some), np.uint8), offsets)
+        assert found.tolist() == [x in bytes(text.tolist()) for x in some]
+
+
+def test_only_what_the_index_finds_counts():
+    batch = pa.RecordBatch.from_pydict({"region": [4, 5, 6], "a": [b"xyz" * 90, b"abc" * 90, b""], "b": [b"xyz" * 90, b"abd" * 90, b""]})
+    assert [b["region"].to_pylist() for b in suffix_dedup._found([batch, batch.slice(1, 1)])] == [[4, 6], []]
+
+
 # --- near dedup -----------------------------------------------------------------
 
 
