@@ -1,8 +1,10 @@
 """A sequence of messages from a project's entry point, planned level by level.
 
-Each level is a join of the functions reached so far with their calls in order;
-messages inside one participant are folded into it. Depth is bounded, so the
-loop has two joins whatever the data.
+A level begins with the functions that a drawn message calls. Calls inside one
+participant are folded into it: they are followed by joins until nothing new
+comes, without a new level, and each function keeps its first place in call
+order. Calls to others are the level's messages. Rounds of a level are as many
+as its longest chain of own calls; levels are bounded.
 """
 
 from __future__ import annotations
@@ -11,28 +13,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import stored
+
 DEPTH = 2
 
 
-def participants(functions: DataFrame) -> DataFrame:
-    """(project, function, participant): the class of a method, else the module."""
-    return functions.select("project", "function", F.regexp_replace("function", r"\.[^.]+$", "").alias("participant"))
+def participant(function) -> F.Column:
+    """The class of a method, else the module."""
+    return F.regexp_replace(function, r"\.[^.]+$", "")
+
+
+def _folded(front: DataFrame, calls: DataFrame) -> DataFrame:
+    """(project, caller, path): ``front`` and all that own calls reach from it, each function at its least path."""
+    own = calls.where(participant(F.col("caller")) == participant(F.col("callee")))
+    known = front = stored(front.groupBy("project", "caller").agg(F.min("path").alias("path")), "front")
+    while not front.isEmpty():
+        step = front.join(own, ["project", "caller"]).select("project", F.col("callee").alias("caller"), F.concat("path", F.array("ord")).alias("path"))
+        step = step.groupBy("project", "caller").agg(F.min("path").alias("path"))
+        before = known.withColumnRenamed("path", "before")
+        front = stored(step.join(before, ["project", "caller"], "left").where("before is null or path < before").drop("before"), "front")
+        known = stored(known.unionByName(front).groupBy("project", "caller").agg(F.min("path").alias("path")), "folded")
+    return known
 
 
 def plan(calls: DataFrame, entries: DataFrame, limit: int = 30) -> DataFrame:
-    """(project, ord, level, sender, receiver, label) from ``calls`` (project, caller, ord, callee) of known functions and ``entries`` (project, node).
+    """(project, ord, level, sender, receiver, label, truncated) from ``calls`` (project, caller, ord, callee) of known functions and ``entries`` (project, node).
 
-    Calls to the own participant are not drawn but followed at the same level's
-    end; each (sender, receiver, label) is drawn once; ``limit`` messages stay.
+    Calls to the own participant are not drawn but followed at the same level;
+    each (sender, receiver, label) is drawn once, where it comes first;
+    ``limit`` messages stay, and ``truncated`` says whether there were more.
     """
-    part = lambda c: F.regexp_replace(c, r"\.[^.]+$", "")
-    front = entries.select("project", F.col("node").alias("caller"), F.array(F.lit(0)).alias("path"), F.array(F.lit("")).alias("seen"))
+    calls = calls.withColumn("ord", F.col("ord").cast("long"))
+    front = entries.select("project", F.col("node").alias("caller"), F.array(F.lit(0).cast("long")).alias("path"))
     found = None
     for level in range(1, DEPTH + 1):
-        step = front.join(calls, ["project", "caller"]).where(~F.array_contains("seen", F.col("callee")))
-        step = step.select("project", F.lit(level).alias("level"), part(F.col("caller")).alias("sender"), part(F.col("callee")).alias("receiver"), F.element_at(F.split("callee", r"\."), -1).alias("label"), F.concat("path", F.array(F.col("ord"))).alias("path"), F.col("callee").alias("caller"), F.concat("seen", F.array("caller")).alias("seen"))
+        step = _folded(front, calls).join(calls, ["project", "caller"]).where(participant(F.col("caller")) != participant(F.col("callee")))
+        step = stored(step.select("project", "caller", "callee", F.concat("path", F.array("ord")).alias("path"), F.lit(level).alias("level")), "level")
         found = step if found is None else found.unionByName(step)
-        front = step.select("project", "caller", "path", "seen")
-    drawn = found.where("sender <> receiver").groupBy("project", "sender", "receiver", "label").agg(F.min(F.struct("path", "level")).alias("m"))
-    w = Window.partitionBy("project").orderBy("m.path", "sender", "receiver", "label")
-    return drawn.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= limit).select("project", "ord", "m.level", "sender", "receiver", "label")
+        front = step.select("project", F.col("callee").alias("caller"), "path")
+    names = {"sender": participant(F.col("caller")), "receiver": participant(F.col("callee")), "label": F.element_at(F.split("callee", r"\."), -1)}
+    drawn = found.withColumns(names).groupBy("project", *names).agg(F.min(F.struct("path", "level")).alias("m"))
+    w = Window.partitionBy("project").orderBy("m.path", *names)
+    first = drawn.withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= limit + 1)
+    first = first.withColumn("truncated", F.max("ord").over(Window.partitionBy("project")) > limit).where(F.col("ord") <= limit)
+    return first.select("project", "ord", "m.level", *names, "truncated")

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from codeloom.operators import calls, facts, graph, names
+from codeloom.operators import calls, facts, graph, names, sequence
 from codeloom.sources.code_tree import read_tree
 from codeloom.streaming.changes import apply_batch, follow
 
@@ -213,3 +213,41 @@ def test_reach_takes_no_project_into_one_task(spark):
     capped = {(r["project"], r["node"]): r["reach"] for r in graph.reach(edges, 5).collect()}
     assert all(capped[p, n] == r if r < 5 else 5 <= capped[p, n] <= r for p, n, r in want)
     assert graph.reach(edges.limit(0)).count() == 0
+
+
+def planned(calls, entry, limit):
+    follow, seen, walked = {}, {}, set()
+    for caller, ord_, callee in sorted(calls):
+        follow.setdefault(caller, []).append(callee)
+    own = lambda f: f.rpartition(".")[0]
+
+    def walk(f, level):
+        if (f, level) in walked:
+            return
+        walked.add((f, level))
+        for callee in follow.get(f, ()):
+            if own(callee) == own(f):
+                walk(callee, level)
+                continue
+            message = (own(f), own(callee), callee.rpartition(".")[2])
+            if message not in seen:
+                seen[message] = level
+            if level < sequence.DEPTH:
+                walk(callee, level + 1)
+
+    walk(entry, 1)
+    return [(k + 1, level, *m, len(seen) > limit) for k, (m, level) in enumerate(seen.items())][:limit]
+
+
+def test_sequence_equals_a_walk(spark):
+    rng = random.Random(7)
+    chains = {"fold": [("A.main", 1, "A.one"), ("A.one", 1, "A.two"), ("A.two", 1, "B.x"), ("A.two", 2, "C.y"), ("C.y", 1, "C.z"), ("C.z", 1, "A.main")]}
+    for n in (1, 2, 3):
+        chains[f"random{n}"] = [("A.main" if k == 0 else f"{rng.choice('ABC')}.f{rng.randrange(5)}", k, f"{rng.choice('ABC')}.f{rng.randrange(5)}") for k in range(12 * n)]
+    calls = spark.createDataFrame([(p, *c) for p, some in chains.items() for c in some], "project string, caller string, ord int, callee string")
+    entries = spark.createDataFrame([(p, "A.main") for p in [*chains, "none"]], "project string, node string")
+    for limit in (30, 4):
+        got = sequence.plan(calls, entries, limit).orderBy("project", "ord").collect()
+        for p, some in chains.items():
+            assert [tuple(r)[1:] for r in got if r["project"] == p] == planned(some, "A.main", limit), p
+    assert [tuple(r)[3:6] for r in got if r["project"] == "fold"] == [("A", "B", "x"), ("A", "C", "y"), ("C", "A", "main")]
