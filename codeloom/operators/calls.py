@@ -94,10 +94,11 @@ def class_bases(rows: DataFrame, defined: DataFrame, bound: DataFrame) -> DataFr
 
 
 def call_edges(rows: DataFrame) -> DataFrame:
-    """(project, caller, ord, callee, is_internal): every call site of ``rows`` (facts) with what it calls.
+    """(project, caller, ord, callee, named, is_internal): every call site of ``rows`` (facts) with what it calls.
 
     A callee that isn't found stays as its last name and is not internal; a
-    class that is called means its (inherited) ``__init__`` if there is one.
+    class that is called means its (inherited) ``__init__`` if there is one,
+    and ``named`` is the class itself.
     """
     defined, bound = definitions(rows), aliases(rows)
     order = lineage(class_bases(rows, defined, bound))
@@ -151,8 +152,8 @@ def call_edges(rows: DataFrame) -> DataFrame:
     init = has.where("method = '__init__'").select("project", F.col("cls").alias("found"), F.col("full").alias("init"))
     out = out.join(init, ["project", "found"], "left")
     callee = F.coalesce("init", "found", "last")
-    rank = Window.partitionBy("project", "caller", "callee").orderBy("ord")
-    edges = out.select("project", "caller", "ord", callee.alias("callee"), F.col("found").isNotNull().alias("is_internal"))
+    rank = Window.partitionBy("project", "caller", "callee", "named").orderBy("ord")
+    edges = out.select("project", "caller", "ord", callee.alias("callee"), F.coalesce("found", "last").alias("named"), F.col("found").isNotNull().alias("is_internal"))
     return edges.withColumn("_k", F.row_number().over(rank)).where("_k = 1").drop("_k")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from codeloom.functions.text import clean_identifier, quoted_label
 from codeloom.operators import graph
+from codeloom.operators import names as names_module
 
 LIMIT = 50
 
@@ -105,16 +106,42 @@ def class_diagram(classes: DataFrame, limit: int = LIMIT) -> DataFrame:
     return _ordered(parts)
 
 
+def participant_labels(messages: DataFrame, modules: DataFrame, classes: DataFrame) -> DataFrame:
+    """(project, name, label) of the senders and receivers of ``messages``: the last part of a class or module, a function's name within its module; the full name where labels clash.
+
+    ``modules``: (project, known); ``classes``: (project, name).
+    """
+    names = messages.select("project", F.explode(F.array("sender", "receiver")).alias("name")).distinct()
+    held = names_module.longest_prefix(names, modules, "name", ("project",))
+    whole = classes.select("project", "name").unionByName(modules.select("project", F.col("known").alias("name"))).distinct().withColumn("whole", F.lit(True))
+    last, rest = F.element_at(F.split("name", r"\."), -1), F.expr("substring(name, length(match) + 2)")
+    some = names.join(held, ["project", "name"], "left").join(whole, ["project", "name"], "left")
+    some = some.withColumn("short", F.when(F.col("whole"), last).when(F.col("match").isNotNull(), rest).otherwise(F.col("name")))
+    clash = F.count("*").over(Window.partitionBy("project", "short")) > 1
+    return some.select("project", "name", F.when(clash, F.col("name")).otherwise(F.col("short")).alias("label"))
+
+
 def sequence_diagram(messages: DataFrame, labels: DataFrame) -> DataFrame:
-    """``messages`` (project, ord, sender, receiver, label) with ``labels`` (project, name, label): participants in order of appearance, then arrows."""
+    """``messages`` (project, ord, level, sender, receiver, label, truncated) with ``labels`` (project, name, label): participants in order of appearance, then arrows.
+
+    A message that others are nested in activates its receiver until the last of them; a note ends what was truncated.
+    """
     seen = messages.select("project", F.explode(F.array(F.struct((F.col("ord") * 2).alias("at"), F.col("sender").alias("name")), F.struct((F.col("ord") * 2 + 1).alias("at"), F.col("receiver").alias("name")))).alias("x")).select("project", "x.*")
     first = seen.groupBy("project", "name").agg(F.min("at").alias("at")).join(labels.withColumnRenamed("label", "shown"), ["project", "name"], "left")
     pad = lambda c: F.lpad(F.col(c).cast("string"), 9, "0")
+    # messages are in order of calls, so those nested in one follow it up to the next of the first level
+    outer = F.last(F.when(F.col("level") == 1, F.struct("ord", "receiver")), ignorenulls=True).over(Window.partitionBy("project").orderBy("ord"))
+    nested = messages.withColumn("outer", outer).where("level > 1").groupBy("project", F.col("outer.ord").alias("ord"), F.col("outer.receiver").alias("opened")).agg(F.max("ord").alias("until"))
+    arrows = messages.join(nested.select("project", "ord", "opened"), ["project", "ord"], "left")
+    start = messages.where("truncated").groupBy("project").agg(F.min_by("sender", "ord").alias("start"), F.count("*").alias("n"))
+    sign = F.when(F.col("opened").isNotNull(), "->>+").otherwise("->>")
     return _ordered(
         [
             _heads(messages, "sequenceDiagram"),
             _line(first, 1, [pad("at")], F.concat(F.lit("    participant "), clean_identifier("name"), F.lit(" as "), F.coalesce("shown", "name"))),
-            _line(messages, 2, [pad("ord")], F.concat(F.lit("    "), clean_identifier("sender"), F.lit("->>"), clean_identifier("receiver"), F.lit(": "), "label", F.lit("()"))),
+            _line(arrows, 2, [pad("ord"), F.lit("0")], F.concat(F.lit("    "), clean_identifier("sender"), sign, clean_identifier("receiver"), F.lit(": "), "label", F.lit("()"))),
+            _line(nested, 2, [pad("until"), F.lit("1")], F.concat(F.lit("    deactivate "), clean_identifier("opened"))),
+            _line(start, 9, [], F.concat(F.lit("    Note over "), clean_identifier("start"), F.lit(": the first "), F.col("n").cast("string"), F.lit(" calls"))),
         ]
     )
 

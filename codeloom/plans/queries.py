@@ -459,7 +459,7 @@ UNION ALL SELECT diagram_id, 'class_declaration', 1 FROM p WHERE t = 1 AND s % 1
 UNION ALL SELECT diagram_id, 'participant_references', 1 FROM p WHERE t = 2 AND s % 11 <> 0
 """)
 def rule_issues(spark, sf):
-    found = rules.validate(tables.diagram_lines(spark, sf), off=frozenset({"special_characters"}))
+    found = rules.validate(tables.diagram_lines(spark, sf))
     return found.groupBy("diagram_id", "rule").agg(F.count("*").alias("n"))
 
 
@@ -503,7 +503,7 @@ UNION ALL SELECT project, cls || '.run', cls || '.step', TRUE FROM b
 UNION ALL SELECT project, cls || '.step', CASE WHEN inside THEN full_base ELSE base END, inside FROM b
 UNION ALL SELECT project, module || '.helper' || CAST(k AS VARCHAR), 'getcwd', FALSE FROM p""")
 def call_edges(spark, sf):
-    return calls.call_edges(_facts(spark, sf)).drop("ord")
+    return calls.call_edges(_facts(spark, sf)).drop("ord", "named").distinct()
 
 
 @query(_MODULES.replace("WITH p", "WITH RECURSIVE p") + """, b AS (SELECT project, k, o, module || '.Thing' || CAST(k AS VARCHAR) AS cls FROM p),
@@ -618,6 +618,78 @@ def class_diagrams(spark, sf):
     return diagrams.class_diagram(found.withColumn("ord", F.col("module")), 20)
 
 
+_TREES = """
+WITH p AS (SELECT 'tree' || CAST(p_partkey // 50 AS VARCHAR) AS project, CAST(p_partkey % 50 AS INTEGER) AS j FROM part),
+t AS (SELECT p.*, l.j AS a, r.j AS b, 'app.m' || p.j || '.' AS m, 'app.m' || l.j || '.Part' || l.j AS pa, 'app.m' || r.j || '.build' || r.j AS bb, 'app.m' || r.j || '.Part' || r.j AS pb, 2 * p.j + 1 AS na, 2 * p.j + 2 AS nb
+  FROM p LEFT JOIN p l ON l.project = p.project AND l.j = 2 * p.j + 1 LEFT JOIN p r ON r.project = p.project AND r.j = 2 * p.j + 2),
+c AS (SELECT project, m || 'Part' || j || '.__init__' AS caller, coalesce(pa, 'Part' || na) AS named FROM t WHERE j % 2 = 0
+  UNION SELECT project, m || 'Part' || j || '.run', m || 'Part' || j || '.check' FROM t WHERE j % 2 = 0
+  UNION SELECT project, m || 'Part' || j || '.run', coalesce(pa || '.run', 'run') FROM t
+  UNION SELECT project, m || 'Part' || j || '.run', coalesce(bb, 'build' || nb) FROM t WHERE j % 2 = 0
+  UNION SELECT project, m || 'Part' || j || '.run', coalesce(pb || '.run', 'run') FROM t WHERE j % 2 = 0
+  UNION SELECT project, m || 'Part' || j || '.run', m || 'helper' || j FROM t WHERE j % 2 = 1
+  UNION SELECT project, m || 'build' || j, m || 'Part' || j FROM t)
+"""
+
+
+def _tree_facts(spark, sf):
+    rows = stored(facts.facts(tables.part_trees(spark, sf).drop("j")), "facts")
+    defined = calls.definitions(rows)
+    return stored(calls.call_edges(rows), "edges"), defined, calls.lineage(calls.class_bases(rows, defined, calls.aliases(rows)))
+
+
+@query(_TREES + "SELECT project, caller, named, contains(named, '.') AS is_internal FROM c")
+def tree_calls(spark, sf):
+    """Calls through attributes, constructors, annotated results, super() and functions of other modules."""
+    return _tree_facts(spark, sf)[0].select("project", "caller", "named", "is_internal")
+
+
+@query(_TREES + """, e AS (SELECT project, caller AS src, named AS dst FROM c WHERE contains(named, '.'))""" + _TOP + """,
+g AS (SELECT project, node, 'app.' || split_part(node, '.', 2) AS grp, replace(node, '.', '_') AS id FROM top),
+l AS (SELECT project, 0 AS s, '' AS a, '' AS b, '' AS c, 'graph TD' AS line FROM e
+  UNION SELECT project, 1, grp, '0', '', '    subgraph ' || replace(grp, '.', '_') || '__group["' || grp || '"]' FROM g
+  UNION SELECT project, 1, grp, '1', node, '        ' || regexp_replace(id, '_+', '_', 'g').rtrim('_') || '["' || substr(node, length(grp) + 2) || '"]' FROM g
+  UNION SELECT project, 1, grp, '2', '', '    end' FROM g
+  UNION SELECT project, 2, src, dst, '', '    ' || regexp_replace(replace(src, '.', '_'), '_+', '_', 'g').rtrim('_') || ' --> ' || replace(dst, '.', '_') FROM kept
+  UNION SELECT * FROM note)
+SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY s, a, b, c, line) AS INTEGER) AS ord, line FROM l""")
+def call_graph_diagram(spark, sf):
+    """Traced calls between functions, each in the subgraph of its module."""
+    files = tables.part_trees(spark, sf)
+    edges = _tree_facts(spark, sf)[0].where(F.contains("named", F.lit("."))).select("project", F.col("caller").alias("src"), F.col("named").alias("dst"))
+    ends = edges.select("project", F.explode(F.array("src", "dst")).alias("node"))
+    groups = names.longest_prefix(ends, files.select("project", F.col("module").alias("known")), "node", ("project",)).withColumnRenamed("match", "group")
+    return diagrams.grouped_graph(edges, groups)
+
+
+_PLANS = _TREES + """, n AS (SELECT project, count(*) AS n FROM p GROUP BY project),
+d AS (SELECT * FROM (VALUES (2, 1, 1, 0, 1, 'run'), (3, 2, 1, 0, 2, 'Part2'), (3, 3, 1, 0, 2, 'run'), (6, 4, 2, 2, 5, 'run'), (7, 5, 2, 2, 6, 'Part6'), (7, 6, 2, 2, 6, 'run')) AS v(needs, ord, level, s, r, label)),
+s AS (SELECT project, ord, level, 'app.m' || s || '.Part' || s AS sender, 'app.m' || r || '.Part' || r AS receiver, label, s, r, needs, n FROM n JOIN d ON n >= needs)
+"""
+
+
+@query(_PLANS + """SELECT project, 'classes' AS kind, ord, level, sender, receiver, label, FALSE AS truncated FROM s
+UNION ALL SELECT project, 'functions', 1, 1, 'app.m0.Part0.run', 'app.m0.Part0.check', 'check', FALSE FROM n WHERE n = 1""")
+def project_sequences(spark, sf):
+    """The messages of each project from the method that reaches most; classes inherited from take no part of their own."""
+    edges, defined, order = _tree_facts(spark, sf)
+    return sequence.project_plan(edges, defined, order)
+
+
+@query(_PLANS + """, x AS (SELECT project, 0 AS k, 0 AS o, 0 AS z, 'sequenceDiagram' AS line FROM s
+  UNION SELECT project, 1, min(o), 0, '    participant app_m' || w || '_Part' || w || ' as Part' || w FROM (SELECT project, 2 * ord AS o, s AS w FROM s UNION ALL SELECT project, 2 * ord + 1, r FROM s) GROUP BY project, w
+  UNION SELECT project, 2, ord, 0, '    app_m' || s || '_Part' || s || CASE WHEN ord = 3 AND n >= 6 THEN '->>+' ELSE '->>' END || 'app_m' || r || '_Part' || r || ': ' || label || '()' FROM s
+  UNION SELECT project, 2, max(ord), 1, '    deactivate app_m2_Part2' FROM s WHERE level = 2 GROUP BY project)
+SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY k, o, z) AS INTEGER) AS ord, line FROM x WHERE project IN (SELECT project FROM n WHERE n > 1)""")
+def sequence_diagrams(spark, sf):
+    """Sequence diagrams of ``project_sequences`` where participants are classes."""
+    edges, defined, order = _tree_facts(spark, sf)
+    plan = stored(sequence.project_plan(edges, defined, order).where("kind = 'classes'"), "plan")
+    modules = tables.part_trees(spark, sf).select("project", F.col("module").alias("known"))
+    classes = defined.where("what = 'class'").select("project", F.col("qualified").alias("name"))
+    return diagrams.sequence_diagram(plan, diagrams.participant_labels(plan, modules, classes))
+
+
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
 def page_sanitize(spark, sf):
     """Text of pages without scripts, styles, comments and tags."""

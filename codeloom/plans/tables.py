@@ -67,6 +67,27 @@ def modules(spark, sf_dir) -> DataFrame:
     return p.select("project", F.format_string("pkg%d.m%d", F.col("k") % 5, "k").alias("module"), F.lit(False).alias("is_package"), text.alias("content"), "k", "s", "n")
 
 
+def part_trees(spark, sf_dir) -> DataFrame:
+    """(project, module, is_package, content, j): a Python module for each part, fifty in a project; module j uses 2j + 1 and 2j + 2.
+
+    Even ones build, hold and call parts through attributes, constructors and
+    return annotations; odd ones inherit and call their bases.
+    """
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(F.format_string("tree%d", F.floor(k / 50)).alias("project"), (k % 50).cast("int").alias("j"))
+    a, b = 2 * F.col("j") + 1, 2 * F.col("j") + 2
+    build = "\n\ndef build%d() -> Part%d:\n    return Part%d()\n"
+    even = F.format_string(
+        "from app.m%d import Part%d\nfrom app.m%d import build%d\n\n\nclass Part%d:\n    def __init__(self):\n        self.left = Part%d()\n\n    def run(self):\n        self.check()\n        self.left.run()\n        right = build%d()\n        right.run()\n\n    def check(self):\n        return 0\n" + build,
+        a, a, b, b, "j", a, b, "j", "j", "j",
+    )
+    odd = F.format_string(
+        "from app.m%d import Part%d\n\n\nclass Part%d(Part%d):\n    def run(self):\n        super().run()\n        return helper%d()\n\n\ndef helper%d():\n    return 0\n" + build,
+        a, a, "j", a, "j", "j", "j", "j", "j",
+    )
+    return p.select("project", F.format_string("app.m%d", "j").alias("module"), F.lit(False).alias("is_package"), F.when(F.col("j") % 2 == 0, even).otherwise(odd).alias("content"), "j")
+
+
 def diagram_lines(spark, sf_dir) -> DataFrame:
     """(diagram_id, diagram_type, line_no, line): a small diagram for each part, flawed by turns."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("diagram_id"), F.col("p_partkey").alias("k"), F.col("p_size").alias("s"), F.col("p_name").alias("n"))

@@ -251,3 +251,62 @@ def test_sequence_equals_a_walk(spark):
         for p, some in chains.items():
             assert [tuple(r)[1:] for r in got if r["project"] == p] == planned(some, "A.main", limit), p
     assert [tuple(r)[3:6] for r in got if r["project"] == "fold"] == [("A", "B", "x"), ("A", "C", "y"), ("C", "A", "main")]
+
+
+def walked(follow, classes, entry, limit):
+    """A depth-first planner: classes, else modules, else functions."""
+    module = lambda f: f.split(".")[0]
+    owner = lambda f: f.rpartition(".")[0] if f.rpartition(".")[0] in classes else None
+    for kind, who in (("classes", owner), ("modules", module), ("functions", lambda f: f)):
+        drawn, states = {}, set()
+
+        def walk(f, me, level, stack):
+            if (f, me, level) in states:
+                return
+            states.add((f, me, level))
+            for callee in follow.get(f, ()):
+                made = callee in classes
+                if made and not classes[callee]["made"]:
+                    continue
+                receiver = module(callee) if kind == "modules" else callee if made else who(callee)
+                if receiver is None or receiver == me or receiver in classes.get(me, {}).get("above", ()):
+                    if not made and callee not in stack:
+                        walk(callee, me, level, stack | {callee})
+                    continue
+                message = (me, receiver, callee.rpartition(".")[2])
+                if message not in drawn:
+                    drawn[message] = level
+                    if level < sequence.DEPTH and not made and callee not in stack:
+                        walk(callee, receiver, level + 1, stack | {callee})
+
+        walk(entry, who(entry) or module(entry), 1, frozenset({entry}))
+        if drawn:
+            return [(kind, k + 1, level, *m, len(drawn) > limit) for k, (m, level) in enumerate(drawn.items())][:limit]
+    return []
+
+
+def test_plan_equals_a_depth_first_planner(spark):
+    rng = random.Random(11)
+    classes = {"m.A": {"made": True, "above": ("n.C",)}, "m.B": {"made": False, "above": ()}, "n.C": {"made": True, "above": ()}}
+    names = [f"{c}.{f}" for c in classes for f in ("x", "y", "z")] + ["m.f", "n.g", "o.h", *classes]
+    projects = {f"p{n}": {} for n in range(12)} | {"alone": {"o.h": ["o.i"]}, "plain": {"m.f": ["n.g"], "n.g": ["o.h"]}}
+    for n in range(12):
+        # later names only, so that what is reached first doesn't hang on which functions are being run
+        for caller in ["m.f", *names[:9]]:
+            later = names[names.index(caller) + 1 :] if caller != "m.f" else names[:9]
+            projects[f"p{n}"][caller] = list(dict.fromkeys(rng.choice(later) for _ in range(rng.randrange(1, 4))))
+    calls = [(p, caller, k, callee) for p, some in projects.items() for caller, found in some.items() for k, callee in enumerate(found)]
+    known = [(p, f, f.split(".")[0], f.rpartition(".")[0] if f.rpartition(".")[0] in classes else None, f in classes, classes.get(f, {}).get("made", False)) for p in projects for f in [*names, "o.i"]]
+    above = [(p, c, b) for p in projects for c, has in classes.items() for b in has["above"]]
+    starts = {p: "o.h" if p == "alone" else "m.f" for p in projects}
+    args = (
+        spark.createDataFrame(calls, "project string, caller string, ord int, callee string"),
+        spark.createDataFrame(known, "project string, name string, module string, cls string, is_class boolean, made boolean"),
+        spark.createDataFrame(above, "project string, cls string, base string"),
+        spark.createDataFrame(list(starts.items()), "project string, node string"),
+    )
+    for limit in (30, 2):
+        got = sequence.plan_calls(*args, limit).orderBy("project", "ord").collect()
+        for p, some in projects.items():
+            assert [tuple(r)[1:] for r in got if r["project"] == p] == walked(some, classes, starts[p], limit), (p, some)
+    assert {r["kind"] for r in got} == {"classes", "modules", "functions"}
