@@ -16,6 +16,7 @@
   function, name: the class)
 * ``typed``: what a function's parameters, locals and ``self`` attributes hold,
   if it is said by annotation or constructor (owner: function or class)
+* ``component``: the bare name that a class attribute is set to, or to a call of (owner: class)
 * ``excerpt``: the source of each function (value), its docstring cut to the
   first paragraph, at most EXCERPT characters; flags: env if it reads the environment
 * ``outline``: a class's head, summary and the heads of its public methods
@@ -194,7 +195,11 @@ def _class(node, owner: str | None):
             yield from _function(inner, name, name)
         elif isinstance(inner, ast.ClassDef):
             yield from _class(inner, name)
-        elif isinstance(inner, ast.AnnAssign):
+        if isinstance(inner, (ast.Assign, ast.AnnAssign)):
+            held = inner.value.func if isinstance(inner.value, ast.Call) else inner.value
+            if isinstance(held, ast.Name):
+                yield "component", k, held.id, name, None, inner.lineno, inner.end_lineno, None
+        if isinstance(inner, ast.AnnAssign):
             yield "typed", k, f"self.{_dotted(inner.target)}", name, _said(inner.annotation), inner.lineno, inner.end_lineno, name
         elif isinstance(inner, ast.Assign):
             value = _dotted(inner.value.func) if isinstance(inner.value, ast.Call) else None

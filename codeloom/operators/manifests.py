@@ -38,3 +38,19 @@ def nearest(folders: DataFrame, manifests: DataFrame, stops: DataFrame) -> DataF
     stop = up.join(stops.select(F.col("folder").alias("above")), "above", "left_semi").groupBy("folder").agg(F.max("depth").alias("stop"))
     held = up.join(manifests.select(F.col("folder").alias("above")).distinct(), "above", "left_semi").join(stop, "folder", "left")
     return held.where("stop is null or depth >= stop").groupBy("folder").agg(F.max_by("above", "depth").alias("found"))
+
+
+def roots(folders: DataFrame, packages: DataFrame) -> DataFrame:
+    """(folder, root): where module names start, the nearest folder at or above each of ``folders`` (folder) that is none of ``packages`` (folder, holding an ``__init__.py``)."""
+    parts = F.split("folder", "/")
+    up = folders.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(parts)))).withColumn("above", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
+    free = up.join(packages.select(F.col("folder").alias("above")).distinct(), "above", "left_anti")
+    return free.groupBy("folder").agg(F.max_by("above", "depth").alias("root"))
+
+
+def project_name(folder) -> F.Column:
+    """The last part of an absolute path, or the one before it where that is a layout folder."""
+    parts = F.filter(F.split(folder, "/"), lambda x: x != "")
+    last, before = F.try_element_at(parts, F.lit(-1)), F.try_element_at(parts, F.lit(-2))
+    # fixed values: folders that hold code and don't name it
+    return F.coalesce(F.when(last.isin("src", "lib"), before), last, F.lit("/"))

@@ -56,3 +56,8 @@ def neighbours(rows: DataFrame, group: str, order: str, value: str) -> DataFrame
     """``rows`` with ``previous`` and ``next`` of ``value`` in order."""
     w = Window.partitionBy(group).orderBy(order)
     return rows.withColumns({"previous": F.lag(value).over(w), "next": F.lead(value).over(w)})
+
+
+def find(components: DataFrame, name: str | None = None, kind: str | None = None) -> DataFrame:
+    """The rows of ``registry`` of a name, of a type, or of both."""
+    return components.where(F.lit(True) if name is None else F.col("name") == name).where(F.lit(True) if kind is None else F.col("type") == kind)

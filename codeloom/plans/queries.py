@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codeloom.functions import text
-from codeloom.operators import budget, calls, facts, graph, incremental, manifests, names, retrieval, sequence, structure, usage, xref
+from codeloom.operators import budget, calls, facts, graph, incremental, manifests, names, retrieval, sections, sequence, structure, usage, xref
 from codeloom.operators.store import stored
 from codeloom.plans import diagrams, rules, tables
 from codeloom.plans.tables import table
@@ -690,6 +690,16 @@ def sequence_diagrams(spark, sf):
     return diagrams.sequence_diagram(plan, diagrams.participant_labels(plan, modules, classes))
 
 
+@query()
+def section_excerpts(spark, sf):
+    """For each section of a project's documentation, the excerpts that it is given, in order."""
+    files = stored(tables.part_trees(spark, sf).drop("j"), "files")
+    rows = stored(facts.facts(files), "facts")
+    defined = stored(calls.definitions(rows), "defined")
+    order = stored(calls.lineage(calls.class_bases(rows, defined, calls.aliases(rows))), "order")
+    return sections.contexts(sections.candidates(rows, files, stored(calls.call_edges(rows), "edges"), defined, order))
+
+
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
 def page_sanitize(spark, sf):
     """Text of pages without scripts, styles, comments and tags."""

@@ -72,9 +72,12 @@ class _Reader(DataSourceReader):
         self.root = options["path"]
         self.patterns = [p for p in options.get("exclude", "").split(",") if p]
         self.names = [p for p in options.get("names", "*.py").split(",") if p]
+        self.required = options.get("required", "false").lower() == "true"
 
     def partitions(self):
         paths = walk(self.root, self.patterns, self.names)
+        if not paths and self.required:
+            raise FileNotFoundError(f"{self.root} holds none of {', '.join(self.names)}")
         return [_Files(paths[a : a + FILES]) for a in range(0, len(paths), FILES)] or [_Files([])]
 
     def read(self, partition: _Files):
@@ -94,8 +97,14 @@ class CodeTree(DataSource):
         return _Reader(self.options)
 
 
-def read_tree(spark, root: str, exclude: tuple[str, ...] = (), names: tuple[str, ...] = ("*.py",)):
-    """(good, rejected) rows of a source tree."""
+def read_tree(spark, root: str, exclude: tuple[str, ...] = (), names: tuple[str, ...] = ("*.py",), most: int | None = None, required: bool = False):
+    """(good, rejected) rows of a source tree.
+
+    ``most``: only so many good rows, the first by path. ``required``: a tree
+    without any such file is an error.
+    """
     spark.dataSource.register(CodeTree)
-    rows = spark.read.format("code_tree").option("path", root).option("exclude", ",".join(exclude)).option("names", ",".join(names)).load()
-    return rows.where("error is null").drop("error"), rows.where("error is not null").select("path", "error")
+    options = {"path": root, "exclude": ",".join(exclude), "names": ",".join(names), "required": str(required)}
+    rows = spark.read.format("code_tree").options(**options).load()
+    good = rows.where("error is null").drop("error")
+    return good if most is None else good.orderBy("path").limit(most), rows.where("error is not null").select("path", "error")
