@@ -5,7 +5,8 @@ classes behind it, a name that a parameter, local or attribute holds is the one
 class found for it (by annotation, constructor, or the return annotation of the
 function that is called for it; what isn't found says nothing), anything else
 is looked up (own definition, import, unique suffix). Attributes are inherited,
-and a property is an attribute of the class that it is annotated to return. A
+and a property is an attribute of the class that it is annotated to return; an
+attribute of what such a name holds is looked for one level deep. A
 method is then the first along the class's lineage that has it.
 """
 
@@ -130,8 +131,17 @@ def call_edges(rows: DataFrame) -> DataFrame:
     attribute = order.join(one(attribute, ["project", "base", "head"], "attr_class"), ["project", "base"])
     attribute = attribute.groupBy("project", "cls", "head").agg(F.min_by("attr_class", "ord").alias("attr_class"))
 
+    # an attribute of what a name or attribute holds: the class of all but the last part, then its attribute
+    deep = sites.where(F.col("head").contains(".")).select("project", "module", "function", "cls", "head").distinct()
+    deep = deep.withColumns({"outer": F.regexp_replace("head", r"\.[^.]+$", ""), "leaf": F.concat(F.lit("self."), F.element_at(F.split("head", r"\."), -1))})
+    deep = deep.join(local.withColumnsRenamed({"head": "outer", "local_class": "_l"}), ["project", "module", "function", "outer"], "left")
+    deep = deep.join(attribute.withColumnsRenamed({"head": "outer", "attr_class": "_a"}), ["project", "cls", "outer"], "left").withColumn("at", F.coalesce("_l", "_a"))
+    deep = deep.join(attribute.select("project", F.col("cls").alias("at"), F.col("head").alias("leaf"), F.col("attr_class").alias("deep_class")), ["project", "at", "leaf"])
+    deep = deep.select("project", "module", "function", "head", "deep_class").distinct()
+
     sites = sites.join(local, ["project", "module", "function", "head"], "left").join(attribute, ["project", "cls", "head"], "left")
-    receiver = F.when(F.col("head").isin("self", "cls", "super()"), F.col("cls")).otherwise(F.coalesce("local_class", "attr_class"))
+    sites = sites.join(deep, ["project", "module", "function", "head"], "left")
+    receiver = F.when(F.col("head").isin("self", "cls", "super()"), F.col("cls")).otherwise(F.coalesce("local_class", "attr_class", "deep_class"))
     sites = sites.withColumn("receiver", receiver)
     asked = F.when(F.col("receiver").isNull(), F.col("callee"))
     looked = owner_lookup(sites.withColumn("name", F.coalesce(asked, F.lit("?"))), defined, bound)

@@ -15,7 +15,8 @@
 * ``returns``: the class that a function's return annotation names (owner:
   function, name: the class)
 * ``typed``: what a function's parameters, locals and ``self`` attributes hold,
-  if it is said by annotation or constructor (owner: function or class)
+  if it is said by annotation or constructor, and what a call gives that others
+  are made on, ``make()`` in ``make().total()`` (owner: function or class)
 * ``component``: the bare name that a class attribute is set to, or to a call of (owner: class)
 * ``excerpt``: the source of each function (value), its docstring cut to the
   first paragraph, at most EXCERPT characters; flags: env if it reads the environment
@@ -54,6 +55,17 @@ def _dotted(node) -> str | None:
     return None
 
 
+def _chain(node) -> str | None:
+    """``_dotted`` that goes on behind calls, which are marked: ``make().total``."""
+    if plain := _dotted(node):
+        return plain
+    if isinstance(node, ast.Attribute) and (before := _chain(node.value)):
+        return f"{before}.{node.attr}"
+    if isinstance(node, ast.Call) and (before := _chain(node.func)):
+        return f"{before}()"
+    return None
+
+
 def _said(node) -> str | None:
     """The class that an annotation names: its own name, or the one member of an optional."""
     if isinstance(node, ast.Constant) and isinstance(node.value, str):
@@ -93,7 +105,7 @@ class _Calls(ast.NodeVisitor):
 
     def visit_Call(self, node):
         self.generic_visit(node)
-        if (name := _dotted(node.func)) and name != "super":
+        if (name := _chain(node.func)) and name != "super":
             self.found.setdefault(name, len(self.found))
 
     def visit_FunctionDef(self, node):
@@ -163,6 +175,9 @@ def _function(node, owner: str | None, cls: str | None = None):
         visitor.visit(statement)
     for callee, k in visitor.found.items():
         yield "call", k, callee.rpartition(".")[2], name, callee, node.lineno, node.end_lineno, cls
+        made = callee.rpartition(".")[0]
+        if made.endswith("()") and made != "super()":  # what a call gives holds what a name would that it is assigned to
+            yield "typed", k, made, name, made[:-2], node.lineno, node.end_lineno, cls
     if node.returns is not None and (said := _said(node.returns)):
         yield "returns", 0, said, name, None, node.lineno, node.end_lineno, cls
     args = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]

@@ -47,12 +47,29 @@ def _note(edges: DataFrame, limit: int) -> DataFrame:
     return _line(n, 9, [], F.lit(f'    truncation_notice["the {limit} most connected nodes"]'))
 
 
-def grouped_graph(edges: DataFrame, groups: DataFrame, header: str = "graph TD", limit: int = LIMIT) -> DataFrame:
+def grouped_graph(edges: DataFrame, groups: DataFrame, header: str = "graph TD", limit: int = LIMIT, nodes: DataFrame | None = None) -> DataFrame:
     """A graph of ``edges`` (project, src, dst) whose nodes stand in subgraphs by ``groups`` (project, node, group): architecture and call graphs.
 
-    The ``limit`` most connected nodes of each project stay; nodes and projects without edges aren't drawn.
+    The ``limit`` most connected nodes of each project stay. Nodes and projects
+    without edges aren't drawn but with ``nodes`` (project, node): then all count
+    as nodes, and a project whose only node is null gets a note instead.
     """
-    top = graph.most_connected(edges, limit, ("project",))
+    if nodes is not None:
+        return _with_lone(edges, groups, header, limit, nodes)
+    return _grouped(edges, groups, header, graph.most_connected(edges, limit, ("project",)), edges, _note(edges, limit))
+
+
+def _with_lone(edges: DataFrame, groups: DataFrame, header: str, limit: int, nodes: DataFrame) -> DataFrame:
+    every = nodes.where("node is not null").select("project", "node").distinct().join(graph.degrees(edges, ("project",)), ["project", "node"], "left").fillna({"degree": 0})
+    top = every.withColumn("_k", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("degree"), "node"))).where(F.col("_k") <= limit).drop("_k")
+    many = every.groupBy("project").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    note = _line(many, 9, [], F.lit(f'    truncation_notice["the {limit} most connected nodes"]'))
+    bare = nodes.select("project").distinct().join(every.select("project").distinct(), "project", "left_anti")
+    nothing = _line(bare, 9, [], F.lit('    note["nothing to draw"]'))
+    return _grouped(edges, groups, header, top, nodes, note.unionByName(nothing))
+
+
+def _grouped(edges: DataFrame, groups: DataFrame, header: str, top: DataFrame, projects: DataFrame, notes: DataFrame) -> DataFrame:
     kept = graph.induced(edges, top, ("project",))
     shown = top.join(groups, ["project", "node"], "left").withColumn("group", F.coalesce("group", "node"))
     # a group's own node is its package; others are named within it
@@ -62,7 +79,7 @@ def grouped_graph(edges: DataFrame, groups: DataFrame, header: str = "graph TD",
     nodes = _line(shown, 1, [F.col("group"), F.lit("1"), F.col("node")], _node(F.col("node"), within))
     ends = _line(shown, 1, [F.col("group"), F.lit("2")], F.lit("    end"))
     arrows = _line(kept, 2, [F.col("src"), F.col("dst")], _edge(F.col("src"), F.col("dst")))
-    return _ordered([_heads(edges, header), opens, nodes, ends, arrows, _note(edges, limit)])
+    return _ordered([_heads(projects, header), opens, nodes, ends, arrows, notes])
 
 
 def dependency(edges: DataFrame, limit: int = LIMIT) -> DataFrame:

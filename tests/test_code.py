@@ -310,3 +310,60 @@ def test_plan_equals_a_depth_first_planner(spark):
         for p, some in projects.items():
             assert [tuple(r)[1:] for r in got if r["project"] == p] == walked(some, classes, starts[p], limit), (p, some)
     assert {r["kind"] for r in got} == {"classes", "modules", "functions"}
+
+
+CHAINS = """
+from shop.models import Order
+
+
+class Shop:
+    def __init__(self):
+        self.order = Order()
+
+
+class Mall:
+    def __init__(self):
+        self.shop = Shop()
+    def run(self):
+        self.shop.order.save()
+
+
+def make() -> Order: ...
+
+
+def go(s: Shop):
+    s.order.total()
+    make().lines()
+    Order().save()
+    unknown().other()
+    s.order.missing()
+"""
+
+
+def test_calls_behind_attributes_and_calls(spark):
+    data = [("p", "shop.models", False, FILES["shop.models"]), ("p", "shop.chains", False, CHAINS)]
+    rows = facts.facts(spark.createDataFrame(data, "project string, module string, is_package boolean, content string"))
+    found = {(r["caller"].removeprefix("shop.chains."), r["callee"], r["is_internal"]) for r in calls.call_edges(rows).where("caller like 'shop.chains.%'").collect()}
+    order = "shop.models.Order"
+    assert found == {
+        ("Shop.__init__", order, True), ("Mall.__init__", "shop.chains.Shop.__init__", True), ("Mall.run", "shop.models.Base.save", True),
+        ("go", f"{order}.total", True), ("go", "shop.chains.make", True), ("go", f"{order}.lines", True), ("go", order, True), ("go", "shop.models.Base.save", True),
+        ("go", "unknown", False), ("go", "other", False), ("go", "missing", False),
+    }
+
+
+def test_graphs_with_lone_nodes(spark):
+    from codeloom.plans import diagrams
+
+    edges = spark.createDataFrame([("p", "a.x", "b.y")], "project string, src string, dst string")
+    nodes = spark.createDataFrame([("p", "a.x"), ("p", "b.y"), ("p", "a.lone"), ("q", "c"), ("none", None)], "project string, node string")
+    groups = spark.createDataFrame([("p", "a.x", "a"), ("p", "a.lone", "a"), ("p", "b.y", "b")], "project string, node string, group string")
+    lines = {}
+    for r in diagrams.grouped_graph(edges, groups, nodes=nodes).orderBy("project", "ord").collect():
+        lines.setdefault(r["project"], []).append(r["line"].strip())
+    assert lines == {
+        "p": ["graph TD", 'subgraph a__group["a"]', 'a_lone["lone"]', 'a_x["x"]', "end", 'subgraph b__group["b"]', 'b_y["y"]', "end", "a_x --> b_y"],
+        "q": ["graph TD", 'subgraph c__group["c"]', 'c["__init__"]', "end"],
+        "none": ["graph TD", 'note["nothing to draw"]'],
+    }
+    assert all(r["project"] == "p" and "lone" not in r["line"] for r in diagrams.grouped_graph(edges, groups).collect())
