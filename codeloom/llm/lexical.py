@@ -54,14 +54,22 @@ _POSTINGS = "segment long, term string, docs array<int>, tfs array<int>"
 _SEGMENTS = "segment long, ids array<long>, hashes array<long>, m array<int>"
 
 
-def terms_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All terms of the texts one after another, and the text each is from."""
+def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes, where terms begin in them, and where texts begin and end."""
     raw, ends = text_bytes(column)
     inside = _SIGN[raw]
     # a term begins where a sign follows none, or another text begins
     fresh = np.zeros(len(raw) + 1, bool)
     fresh[ends] = True
-    begins = np.flatnonzero(inside & (fresh[:-1] | ~np.concatenate([[False], inside[:-1]]))) if len(raw) else np.zeros(0, np.int64)
+    begins = inside & fresh[:-1]
+    begins[1:] |= inside[1:] & ~inside[:-1]
+    return raw, np.flatnonzero(begins), ends
+
+
+def terms_of(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of the texts one after another, and the text each is from."""
+    raw, begins, ends = _places(column)
+    inside = _SIGN[raw]
     kept = np.cumsum(inside)
     offsets = np.concatenate([kept[begins] - 1, kept[-1:] if len(raw) else [0]]).astype(np.int32) if len(begins) else np.zeros(1, np.int32)
     words = pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(_LOWER[raw[inside]]))
@@ -138,10 +146,18 @@ class Index:
         self.postings, self.segments, self.documents, self.words = postings, segments, documents, words
 
 
+def _lengths(batches):
+    """For each batch: texts with terms, and their terms."""
+    for batch in batches:
+        _, begins, ends = _places(batch.column("text"))
+        n = np.diff(np.searchsorted(begins, ends))
+        yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([len(begins)])], names=["documents", "words"])
+
+
 def build(docs: DataFrame) -> Index:
     """The index of ``docs`` (doc_id, text), stored in the shared folder."""
-    count = F.coalesce(F.regexp_count("text", F.lit(TERM)), F.lit(0)).cast("long")
-    documents, words = docs.select(count.alias("n")).where("n > 0").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    sums = docs.select("text").mapInArrow(_lengths, "documents long, words long").agg(F.sum("documents"), F.sum("words")).first()
+    documents, words = (s or 0 for s in sums)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
     rows = stored(slim.mapInArrow(_segments(documents, words), f"{_POSTINGS}, ids array<long>, hashes array<long>"), "lexical-index")
     segments = rows.where("term is null").select("segment", "ids", "hashes", F.col("docs").alias("m"))
