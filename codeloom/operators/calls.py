@@ -1,67 +1,23 @@
 """Who calls whom: callees of call sites as joins over facts.
 
-A callee's head decides: ``self`` is the function's class, ``super()`` the
-classes behind it, a name that a parameter, local or attribute holds is the one
-class found for it (by annotation, constructor, or the return annotation of the
-function that is called for it; what isn't found says nothing), anything else
-is looked up (own definition, import, unique suffix). Attributes are inherited,
-and a property is an attribute of the class that it is annotated to return; an
-attribute of what such a name holds is looked for one level deep. A
-method is then the first along the class's lineage that has it.
+A call of a dotted name means what the name means in its module (``names.Lookup``);
+a call on something that a name, attribute or call holds means the method of the
+class that ``receivers`` finds for it, the first along the class's lineage; ``super()``
+means the classes behind. A name that the function binds hides what the module calls
+by it, whether or not its class is known.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .facts import of_kind
-from .names import owner_lookup
-
-
-def merge_c3(orders: list[list[str]]) -> list[str] | None:
-    """The C3 merge of some orders, None if they conflict."""
-    out, orders = [], [o for o in orders if o]
-    while orders:
-        head = next((o[0] for o in orders if not any(o[0] in p[1:] for p in orders)), None)
-        if head is None:
-            return None
-        out.append(head)
-        orders = [q for o in orders if (q := [x for x in o if x != head])]
-    return out
-
-
-def lineage(bases: DataFrame) -> DataFrame:
-    """(project, cls, ord, base): each class (ord 0) and its bases in resolution order.
-
-    ``bases``: (project, cls, ord, base), resolved, base null for a class
-    without any. Conflicting orders fall back to depth first; cycles end.
-    One project's classes meet in one task.
-    """
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        direct = {c: [b for b in g.sort_values("ord")["base"] if isinstance(b, str)] for c, g in pdf.groupby("cls")}
-        known: dict[str, list[str]] = {}
-
-        def order(c: str, above: frozenset) -> list[str]:
-            if c in known:
-                return known[c]
-            own = [b for b in direct.get(c, []) if b not in above and b != c]
-            parts = [order(b, above | {c}) for b in own]
-            merged = merge_c3([*parts, own])
-            if merged is None:
-                merged = list(dict.fromkeys(x for p in parts for x in p))
-            found = [c, *[x for x in merged if x != c]]
-            if not above:
-                known[c] = found
-            return found
-
-        rows = [(key[0], c, k, b) for c in sorted(direct) for k, b in enumerate(order(c, frozenset()))]
-        return pd.DataFrame(rows, columns=["project", "cls", "ord", "base"])
-
-    return bases.groupBy("project").applyInPandas(run, "project string, cls string, ord int, base string")
+from .lineage import lineage
+from .names import Lookup
+from .receivers import receivers
+from .store import stored
 
 
 def _qualified(module, name) -> F.Column:
@@ -85,12 +41,19 @@ def aliases(rows: DataFrame) -> DataFrame:
     return found.withColumn("target", target).groupBy("project", "module", "name").agg(F.max_by("target", "ord").alias("target"))
 
 
+def lookup_of(rows: DataFrame, defined: DataFrame | None = None, bound: DataFrame | None = None) -> Lookup:
+    """What names mean in the modules of ``rows`` (facts)."""
+    defined = definitions(rows) if defined is None else defined
+    top = defined.where("what in ('class', 'function') or length(name) - length(replace(name, '.', '')) = 1")
+    return Lookup(top, rows.select("project", "module").distinct(), aliases(rows) if bound is None else bound)
+
+
 def class_bases(rows: DataFrame, defined: DataFrame, bound: DataFrame) -> DataFrame:
     """(project, cls, ord, base) for ``lineage``: bases that are no known class are left out."""
     classes = defined.where("what = 'class'").select("project", F.col("qualified").alias("cls"))
-    uses = of_kind(rows, "base").select("project", "module", "name", "owner", F.col("ord").alias("k")).withColumnRenamed("owner", "holder")
-    found = owner_lookup(uses, defined.where("what = 'class'"), bound)
-    found = found.where("owner is not null").select("project", _qualified(F.col("module"), F.col("holder")).alias("cls"), F.col("k").alias("ord"), F.col("owner").alias("base"))
+    uses = of_kind(rows, "base").where("not contains(owner, '.')").select("project", "module", F.col("name"), F.col("owner").alias("holder"), F.col("ord").alias("k"))
+    found = lookup_of(rows, defined, bound).resolved(uses).where("is_class")
+    found = found.select("project", _qualified(F.col("module"), F.col("holder")).alias("cls"), F.col("k").alias("ord"), F.col("owner").alias("base"))
     return classes.join(found, ["project", "cls"], "left")
 
 
@@ -101,71 +64,27 @@ def call_edges(rows: DataFrame) -> DataFrame:
     class that is called means its (inherited) ``__init__`` if there is one,
     and ``named`` is the class itself.
     """
-    defined, bound = definitions(rows), aliases(rows)
-    order = lineage(class_bases(rows, defined, bound))
-    methods = defined.where("what = 'method'").select("project", "qualified")
-    methods = methods.select("project", F.regexp_replace("qualified", r"\.[^.]+$", "").alias("base"), F.element_at(F.split("qualified", r"\."), -1).alias("method"), F.col("qualified").alias("full"))
-    # the first class of a lineage that has a method
-    has = order.join(methods, ["project", "base"]).groupBy("project", "cls", "method").agg(F.min_by("full", "ord").alias("full"))
-    behind = order.where("ord > 0").join(methods, ["project", "base"]).groupBy("project", "cls", "method").agg(F.min_by("full", "ord").alias("full"))
-
-    sites = of_kind(rows, "call").select("project", "module", F.col("owner").alias("function"), "ord", F.col("value").alias("callee"), F.col("flags").alias("holder"))
-    head, last = F.regexp_replace("callee", r"\.[^.]+$", ""), F.element_at(F.split("callee", r"\."), -1)
-    cls = F.when(F.col("holder").isNotNull(), _qualified(F.col("module"), F.col("holder")))
-    sites = sites.withColumns({"head": F.when(F.col("callee").contains("."), head), "last": last, "cls": cls, "caller": _qualified(F.col("module"), F.col("function"))})
-
-    # the one class found for a name in a function, or for an attribute in the functions of a class and of its bases
-    classes = defined.where("what = 'class'")
-    given = owner_lookup(of_kind(rows, "returns").select("project", "module", "name", F.col("owner").alias("function")), classes, bound)
-    given = given.where("owner is not null").select("project", _qualified(F.col("module"), F.col("function")).alias("made_by"), F.col("owner").alias("made"))
-    said = of_kind(rows, "typed").where("value is not null").select("project", "module", F.col("owner").alias("function"), F.col("name").alias("head"), F.col("value").alias("name"), F.col("flags").alias("holder"))
-    said = owner_lookup(said, defined, bound).withColumnRenamed("owner", "named")
-    said = said.join(given.withColumnRenamed("made_by", "named"), ["project", "named"], "left")
-    known = classes.select("project", F.col("qualified").alias("named"), F.lit(True).alias("is_class")).distinct()
-    said = said.join(known, ["project", "named"], "left").withColumn("owner", F.when(F.col("is_class"), F.col("named")).otherwise(F.col("made"))).where("owner is not null")
-    one = lambda some, keys, name: some.groupBy(*keys).agg(F.count_distinct("owner").alias("n"), F.max("owner").alias(name)).where("n = 1").drop("n")
-    local = one(said, ["project", "module", "function", "head"], "local_class")
-    property_ = of_kind(rows, "method").where("flags = 'property'").select("project", F.concat(F.lit("self."), "name").alias("head"), _qualified(F.col("module"), F.col("owner")).alias("base"), _qualified(F.col("module"), F.concat_ws(".", "owner", "name")).alias("made_by"))
-    property_ = property_.join(given, ["project", "made_by"]).select("project", "base", "head", F.col("made").alias("owner"))
-    attribute = said.where("head like 'self.%' and holder is not null").select("project", _qualified(F.col("module"), F.col("holder")).alias("base"), "head", "owner").unionByName(property_)
-    attribute = order.join(one(attribute, ["project", "base", "head"], "attr_class"), ["project", "base"])
-    attribute = attribute.groupBy("project", "cls", "head").agg(F.min_by("attr_class", "ord").alias("attr_class"))
-
-    # an attribute of what a name or attribute holds: the class of all but the last part, then its attribute
-    deep = sites.where(F.col("head").contains(".")).select("project", "module", "function", "cls", "head").distinct()
-    deep = deep.withColumns({"outer": F.regexp_replace("head", r"\.[^.]+$", ""), "leaf": F.concat(F.lit("self."), F.element_at(F.split("head", r"\."), -1))})
-    deep = deep.join(local.withColumnsRenamed({"head": "outer", "local_class": "_l"}), ["project", "module", "function", "outer"], "left")
-    deep = deep.join(attribute.withColumnsRenamed({"head": "outer", "attr_class": "_a"}), ["project", "cls", "outer"], "left").withColumn("at", F.coalesce("_l", "_a"))
-    deep = deep.join(attribute.select("project", F.col("cls").alias("at"), F.col("head").alias("leaf"), F.col("attr_class").alias("deep_class")), ["project", "at", "leaf"])
-    deep = deep.select("project", "module", "function", "head", "deep_class").distinct()
-
-    sites = sites.join(local, ["project", "module", "function", "head"], "left").join(attribute, ["project", "cls", "head"], "left")
-    sites = sites.join(deep, ["project", "module", "function", "head"], "left")
-    receiver = F.when(F.col("head").isin("self", "cls", "super()"), F.col("cls")).otherwise(F.coalesce("local_class", "attr_class", "deep_class"))
-    sites = sites.withColumn("receiver", receiver)
-    asked = F.when(F.col("receiver").isNull(), F.col("callee"))
-    looked = owner_lookup(sites.withColumn("name", F.coalesce(asked, F.lit("?"))), defined, bound)
-    # an imported module or class with more behind it: head first, then the rest
-    heads = owner_lookup(looked.select("project", "module", F.col("head").alias("name")).where("name is not null").distinct(), defined.unionByName(_modules(rows), allowMissingColumns=True), bound)
-    heads = heads.where("owner is not null").select("project", "module", F.col("name").alias("head"), F.col("owner").alias("head_owner"))
-    looked = looked.join(heads, ["project", "module", "head"], "left")
-
-    by_method = has.select("project", F.col("cls").alias("receiver"), F.col("method").alias("last"), F.col("full").alias("of_receiver"))
-    by_super = behind.select("project", F.col("cls").alias("receiver"), F.col("method").alias("last"), F.col("full").alias("of_super"))
-    by_head = has.select("project", F.col("cls").alias("head_owner"), F.col("method").alias("last"), F.col("full").alias("of_class"))
-    exact = defined.select("project", F.col("qualified").alias("of_module")).distinct()
-    out = looked.join(by_method, ["project", "receiver", "last"], "left").join(by_super, ["project", "receiver", "last"], "left").join(by_head, ["project", "head_owner", "last"], "left")
-    out = out.withColumn("of_module", F.concat_ws(".", "head_owner", "last")).join(exact.withColumn("is_known", F.lit(True)), ["project", "of_module"], "left")
-    found = F.when(F.col("head") == "super()", F.col("of_super")).when(F.col("receiver").isNotNull(), F.col("of_receiver"))
-    found = found.otherwise(F.coalesce("owner", "of_class", F.when(F.col("is_known"), F.col("of_module"))))
-    out = out.withColumn("found", found)
+    defined, bound = stored(definitions(rows), "defined"), stored(aliases(rows), "aliases")
+    order = stored(lineage(class_bases(rows, defined, bound)), "lineage")
+    lookup = lookup_of(rows, defined, bound)
+    methods = defined.where("what = 'method'").select("project", F.regexp_replace("qualified", r"\.[^.]+$", "").alias("base"), F.substring_index("qualified", ".", -1).alias("method"), F.col("qualified").alias("full"))
+    along = order.join(methods, ["project", "base"]).groupBy("project", "cls", "method")
+    # the first class of a lineage that has a method, and the first behind the class itself
+    both = stored(along.agg(F.min_by("full", "ord").alias("full"), F.min_by("full", F.when(F.col("ord") > 0, F.col("ord"))).alias("behind")), "methods")
+    has, behind = both.select("project", "cls", "method", "full"), both.where("behind is not null").select("project", "cls", "method", F.col("behind").alias("full"))
+    held = receivers(rows, lookup, order, has, behind)
+
+    sites = of_kind(rows, "call").select("project", "module", _qualified(F.col("module"), F.col("owner")).alias("caller"), "ord", F.col("name").alias("last"), F.col("value").alias("ref"), F.col("flags").alias("mode"))
+    own, method = ["project", "module", "caller", "ord"], ["project", "cls", "last"]
+    of_class = has.withColumnsRenamed({"method": "last", "full": "found"})
+    static = lookup.resolved(sites.where("mode = 'static'").select(*own, F.col("ref").alias("name")))
+    static = static.join(of_class.withColumnRenamed("cls", "through"), ["project", "through", "last"], "left").select(*own, F.coalesce("owner", "found").alias("found"))
+    path = sites.where("mode = 'path'").withColumn("step", F.col("ref").cast("int")).join(held.final, ["project", "module", "step"]).join(of_class, method).select(*own, "found")
+    above = sites.where("mode = 'super'").withColumn("cls", _qualified(F.col("module"), F.col("ref"))).join(behind.withColumnsRenamed({"method": "last", "full": "found"}), method).select(*own, "found")
+    met = static.unionByName(path).unionByName(above).where("found is not null")
+    out = sites.join(met, own, "left")
     init = has.where("method = '__init__'").select("project", F.col("cls").alias("found"), F.col("full").alias("init"))
     out = out.join(init, ["project", "found"], "left")
-    callee = F.coalesce("init", "found", "last")
-    rank = Window.partitionBy("project", "caller", "callee", "named").orderBy("ord")
-    edges = out.select("project", "caller", "ord", callee.alias("callee"), F.coalesce("found", "last").alias("named"), F.col("found").isNotNull().alias("is_internal"))
-    return edges.withColumn("_k", F.row_number().over(rank)).where("_k = 1").drop("_k")
-
-
-def _modules(rows: DataFrame) -> DataFrame:
-    return rows.select("project", "module", F.col("module").alias("name"), F.col("module").alias("qualified")).distinct()
+    out = out.select("project", "caller", "ord", F.coalesce("init", "found", "last").alias("callee"), F.coalesce("found", "last").alias("named"), F.col("found").isNotNull().alias("is_internal"))
+    first = Window.partitionBy("project", "caller", "callee", "named").orderBy("ord")
+    return out.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")

@@ -1,4 +1,4 @@
-"""Facts of Python source, one table function call for each file.
+"""Facts of Python source, read file by file in Arrow batches.
 
 ``facts(files)`` (project, path, module, is_package, content) gives rows
 (project, module, kind, ord, name, owner, value, line, end_line, flags):
@@ -9,14 +9,12 @@
 * ``import``: dotted names as written, leading dots kept
 * ``alias``: a name bound by an import (value: what it stands for)
 * ``call``: the calls of a function's body in order of evaluation, each callee
-  once (owner: function by qualified name in the module, value: dotted callee,
-  flags: the class whose method it is or stands in); a nested function is a
+  once (owner: function by qualified name in the module, name: last part, flags
+  and value: how it is looked up, see ``flow.Flow.site``); a nested function is a
   caller of its own, ``outer.inner``
-* ``returns``: the class that a function's return annotation names (owner:
-  function, name: the class)
-* ``typed``: what a function's parameters, locals and ``self`` attributes hold,
-  if it is said by annotation or constructor, and what a call gives that others
-  are made on, ``make()`` in ``make().total()`` (owner: function or class)
+* ``step``, ``slot``, ``returns``: what names, attributes (owner: class, name:
+  attribute) and calls of functions (owner: function) hold, see ``flow``; ord is
+  the step's number
 * ``component``: the bare name that a class attribute is set to, or to a call of (owner: class)
 * ``excerpt``: the source of each function (value), its docstring cut to the
   first paragraph, at most EXCERPT characters; flags: env if it reads the environment
@@ -26,7 +24,7 @@
 
 Of definitions that share a name in one body the last counts for calls, types
 and bases; ``entity``, ``excerpt`` and ``outline`` list all. Lines are the
-file's own.
+file's own. A file nested too deeply to walk has no ``call``, ``step`` and ``slot``.
 
 Everything that needs more than one file is done by joins on these rows.
 """
@@ -35,83 +33,27 @@ from __future__ import annotations
 
 import ast
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+
+from .flow import FUNCTIONS, Flow, decorators, members
 
 EXCERPT, OUTLINE = 2500, 1500
 SCHEMA = "kind string, ord int, name string, owner string, value string, line int, end_line int, flags string"
 
 
+#: What a group of kinds is read for; a query that needs one group doesn't make the others.
+GROUPS = ("entities", "calls", "texts", "imports")
+BATCH = 8192
+
+
 def _dotted(node) -> str | None:
     parts = []
     while isinstance(node, ast.Attribute):
         parts.append(node.attr)
         node = node.value
-    if isinstance(node, ast.Name):
-        return ".".join([node.id, *reversed(parts)])
-    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "super" and len(parts) == 1:
-        return f"super().{parts[0]}"
-    return None
-
-
-def _chain(node) -> str | None:
-    """``_dotted`` that goes on behind calls, which are marked: ``make().total``."""
-    if plain := _dotted(node):
-        return plain
-    if isinstance(node, ast.Attribute) and (before := _chain(node.value)):
-        return f"{before}.{node.attr}"
-    if isinstance(node, ast.Call) and (before := _chain(node.func)):
-        return f"{before}()"
-    return None
-
-
-def _said(node) -> str | None:
-    """The class that an annotation names: its own name, or the one member of an optional."""
-    if isinstance(node, ast.Constant) and isinstance(node.value, str):
-        try:
-            node = ast.parse(node.value, mode="eval").body
-        except SyntaxError:
-            return None
-    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.BitOr):
-        members = [m for m in (node.left, node.right) if not (isinstance(m, ast.Constant) and m.value is None)]
-        return _said(members[0]) if len(members) == 1 else None
-    if isinstance(node, ast.Subscript):
-        outer = (_dotted(node.value) or "").rpartition(".")[2]
-        if outer == "Optional":
-            return _said(node.slice)
-        if outer == "Union" and isinstance(node.slice, ast.Tuple):
-            members = [m for m in node.slice.elts if not (isinstance(m, ast.Constant) and m.value is None)]
-            return _said(members[0]) if len(members) == 1 else None
-        return None
-    return _dotted(node)
-
-
-def _own(body):
-    """Nodes of a body in order, without those of nested functions, classes and lambdas."""
-    todo = list(reversed(body))
-    while todo:
-        node = todo.pop()
-        yield node
-        if not isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
-            todo.extend(reversed(list(ast.iter_child_nodes(node))))
-
-
-class _Calls(ast.NodeVisitor):
-    """Callees in order of evaluation: what stands inside a call comes before it."""
-
-    def __init__(self):
-        self.found: dict[str, int] = {}
-
-    def visit_Call(self, node):
-        self.generic_visit(node)
-        if (name := _chain(node.func)) and name != "super":
-            self.found.setdefault(name, len(self.found))
-
-    def visit_FunctionDef(self, node):
-        pass
-
-    visit_AsyncFunctionDef = visit_ClassDef = visit_FunctionDef
+    return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
 
 
 def _cap(text: str, most: int) -> str:
@@ -168,79 +110,44 @@ def _last(body) -> list:
     return [(k, n) for k, n in enumerate(body) if not isinstance(n, kinds) or last[n.name] == k]
 
 
-def _function(node, owner: str | None, cls: str | None = None):
-    name = f"{owner}.{node.name}" if owner else node.name
-    visitor = _Calls()
-    for statement in node.body:
-        visitor.visit(statement)
-    for callee, k in visitor.found.items():
-        yield "call", k, callee.rpartition(".")[2], name, callee, node.lineno, node.end_lineno, cls
-        made = callee.rpartition(".")[0]
-        if made.endswith("()") and made != "super()":  # what a call gives holds what a name would that it is assigned to
-            yield "typed", k, made, name, made[:-2], node.lineno, node.end_lineno, cls
-    if node.returns is not None and (said := _said(node.returns)):
-        yield "returns", 0, said, name, None, node.lineno, node.end_lineno, cls
-    args = [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]
-    held = [(a.arg, _said(a.annotation)) for a in args if a.annotation]
-    inside = []
-    for inner in _own(node.body):
-        if isinstance(inner, ast.AnnAssign):
-            held.append((_dotted(inner.target), _said(inner.annotation)))
-        elif isinstance(inner, ast.Assign):
-            value = _dotted(inner.value.func) if isinstance(inner.value, ast.Call) else None
-            held += [(_dotted(t), value) for t in inner.targets]
-        elif isinstance(inner, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            inside.append(inner)
-    for k, (what, value) in enumerate(held):
-        if what:
-            yield "typed", k, what, name, value, node.lineno, node.end_lineno, cls
-    for _, inner in _last(inside):
-        yield from _function(inner, name, cls)
-
-
 def _class(node, owner: str | None):
     name = f"{owner}.{node.name}" if owner else node.name
     for k, base in enumerate(node.bases):
         yield "base", k, _dotted(base) or ast.unparse(base), name, ast.unparse(base), node.lineno, node.end_lineno, None
     for k, inner in _last(node.body):
-        if isinstance(inner, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            said = {(_dotted(d.func) if isinstance(d, ast.Call) else _dotted(d) or "").rpartition(".")[2] for d in inner.decorator_list}
+        if isinstance(inner, FUNCTIONS):
+            said = decorators(inner)
             flags = "static" if "staticmethod" in said else "property" if said & {"property", "cached_property"} else ""
-            yield "method", k, inner.name, name, _said(inner.returns) if inner.returns else None, inner.lineno, inner.end_lineno, flags
-            yield from _function(inner, name, name)
+            named = members(inner.returns) if inner.returns else []
+            yield "method", k, inner.name, name, named[0] if len(named) == 1 else None, inner.lineno, inner.end_lineno, flags
         elif isinstance(inner, ast.ClassDef):
             yield from _class(inner, name)
         if isinstance(inner, (ast.Assign, ast.AnnAssign)):
             held = inner.value.func if isinstance(inner.value, ast.Call) else inner.value
             if isinstance(held, ast.Name):
                 yield "component", k, held.id, name, None, inner.lineno, inner.end_lineno, None
-        if isinstance(inner, ast.AnnAssign):
-            yield "typed", k, f"self.{_dotted(inner.target)}", name, _said(inner.annotation), inner.lineno, inner.end_lineno, name
-        elif isinstance(inner, ast.Assign):
-            value = _dotted(inner.value.func) if isinstance(inner.value, ast.Call) else None
-            for t in inner.targets:
-                if isinstance(t, ast.Name):
-                    yield "typed", k, f"self.{t.id}", name, value, inner.lineno, inner.end_lineno, name
 
 
-def facts_of(content: str):
-    try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError, RecursionError) as e:
-        yield "error", 0, type(e).__name__, None, str(e), 0, 0, None
-        return
+def _entities(tree):
     for k, node in enumerate(tree.body):
         if isinstance(node, ast.ClassDef):
             first = ast.unparse(node.bases[0]) if node.bases else None
             yield "entity", k, node.name, first, ast.get_docstring(node) or "", node.lineno, node.end_lineno, "class"
-        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
+        elif isinstance(node, FUNCTIONS):
             yield "entity", k, node.name, None, ast.get_docstring(node) or "", node.lineno, node.end_lineno, "function"
     for _, node in _last(tree.body):
         if isinstance(node, ast.ClassDef):
             yield from _class(node, None)
-        elif isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            yield from _function(node, None)
-    yield from _texts(tree.body, None, content.split("\n"))
+
+
+def _calls(tree):
+    try:
+        yield from list(Flow().rows(tree))
+    except RecursionError:
+        return
+
+
+def _imports(tree):
     k = 0
     for node in ast.walk(tree):
         if isinstance(node, ast.Import):
@@ -258,18 +165,49 @@ def facts_of(content: str):
                 k += 1
 
 
-@udtf(returnType=SCHEMA)
-class FileFacts:
-    def eval(self, content: str):
-        yield from facts_of(content or "")
-
-
-def facts(files: DataFrame) -> DataFrame:
-    """All facts of ``files`` (project, module, is_package, content)."""
-    spark = files.sparkSession
-    spark.udtf.register("file_facts", FileFacts)
-    files.select("project", "module", "is_package", "content").createOrReplaceTempView("_codeloom_files")
-    return spark.sql("SELECT s.project, s.module, s.is_package, t.* FROM _codeloom_files s, LATERAL file_facts(s.content) t")
+def facts_of(content: str, groups: tuple[str, ...] = GROUPS):
+    try:
+        tree = ast.parse(content)
+    except (SyntaxError, ValueError, RecursionError) as e:
+        yield "error", 0, type(e).__name__, None, str(e), 0, 0, None
+        return
+    if "entities" in groups:
+        yield from _entities(tree)
+    if "calls" in groups:
+        yield from _calls(tree)
+    if "texts" in groups:
+        yield from _texts(tree.body, None, content.split("\n"))
+    if "imports" in groups:
+        yield from _imports(tree)
+
+
+def facts(files: DataFrame, *groups: str) -> DataFrame:
+    """Facts of ``files`` (project, module, is_package, content), all or those of some GROUPS."""
+    slim = files.select("project", "module", F.col("is_package").cast("boolean").alias("is_package"), "content")
+    types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def read(batches):
+        for batch in batches:
+            found, of = [], []
+
+            def full():
+                files_ = batch.select(["project", "module", "is_package"]).take(pa.array(of, pa.int32()))
+                columns = [pa.array(c, t) for c, t in zip(zip(*found), types)]
+                return pa.RecordBatch.from_arrays([*files_.columns, *columns], names=[*files_.schema.names, *names])
+
+            for k, content in enumerate(batch.column("content").to_pylist()):
+                some = list(facts_of(content or "", groups or GROUPS))
+                found += some
+                of += [k] * len(some)
+                if len(found) >= BATCH:
+                    yield full()
+                    found, of = [], []
+            if found:
+                yield full()
+
+    kind = files.schema["project"].dataType.simpleString()
+    return slim.mapInArrow(read, f"project {kind}, module string, is_package boolean, {SCHEMA}")
 
 
 def of_kind(rows: DataFrame, kind: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Graphs of edges (src, dst): degrees, top nodes, induced edges, reach, walks.
 
-Degrees, top-k and induced edges are plain aggregations and semi-joins. Reach
-joins a frontier of pairs with the edges, round by round. Best-first walks are
+Degrees, top-k and induced edges are plain aggregations and semi-joins; ``reach``
+is in a module of its own. Best-first walks are
 sequential inside one project, so they run as grouped maps; the limit is that
 one project's edges fit one Python worker.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import stored
+from .reach import reach
 
 
 def degrees(edges: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -58,27 +58,6 @@ def roll_up(edges: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
     return nodes.select(group).distinct().join(found, group, "left")
 
 
-def reach(edges: DataFrame, most: int | None = None) -> DataFrame:
-    """(project, node, reach): how many other nodes each node reaches over ``edges`` (project, src, dst); counting ends past ``most``.
-
-    Each round joins the pairs found last with the edges and keeps the new ones,
-    so a project's graph is never in one task; there are as many rounds as the
-    longest shortest path has edges.
-    """
-    some = stored(edges.select("project", "src", "dst").distinct(), "edges")
-    nodes = some.select("project", F.explode(F.array("src", "dst")).alias("node")).distinct()
-    sums = lambda pairs: pairs.groupBy("project", "node").agg(F.count("*").alias("reach"))
-    front = pairs = some.where("src <> dst").select("project", F.col("src").alias("node"), F.col("dst").alias("seen"))
-    follow = pairs.select("project", F.col("node").alias("seen"), F.col("seen").alias("next"))
-    while not front.isEmpty():
-        if most is not None:
-            front = front.join(sums(pairs).where(F.col("reach") >= most), ["project", "node"], "left_anti")
-        step = front.join(follow, ["project", "seen"]).where(F.col("next") != F.col("node")).select("project", "node", F.col("next").alias("seen")).distinct()
-        front = stored(step.join(pairs, ["project", "node", "seen"], "left_anti"), "reach")
-        pairs = pairs.unionByName(front)
-    return nodes.join(sums(pairs), ["project", "node"], "left").select("project", "node", F.coalesce("reach", F.lit(0)).alias("reach"))
-
-
 def entry_points(edges: DataFrame, reached: DataFrame, is_test=None) -> DataFrame:
     """(project, node, reach): of the nodes that nothing else calls and that reach another, the one that reaches most, ties by name.
 

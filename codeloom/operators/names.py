@@ -65,17 +65,58 @@ def place_imports(imports: DataFrame, modules: DataFrame, scope: tuple[str, ...]
     return out.select(*imports.columns, kind.alias("kind"), target.alias("target"))
 
 
-def owner_lookup(uses: DataFrame, definitions: DataFrame, aliases: DataFrame, standard: list[str] | None = None) -> DataFrame:
-    """``uses`` (project, module, name) with ``owner``: the module's own definition,
-    else what it imports under that name if known, else the one definition with
-    that suffix unless the name is the standard library's."""
-    standard = standard_library() if standard is None else standard
-    known = definitions.select("project", F.col("qualified").alias("owner")).distinct()
-    own = definitions.select("project", "module", F.col("name"), F.col("qualified").alias("_own")).groupBy("project", "module", "name").agg(F.max("_own").alias("_own"))
-    imported = aliases.select("project", "module", "name", "target")
-    imported = imported.join(known, (imported["project"] == known["project"]) & (imported["target"] == known["owner"])).select(imported["project"], "module", "name", F.col("owner").alias("_imported"))
-    tails = unique_suffixes(known.withColumnRenamed("owner", "full"), "full", ("project",)).select("project", F.col("suffix").alias("name"), F.col("owner").alias("_tail"))
-    out = uses.join(own, ["project", "module", "name"], "left").join(imported, ["project", "module", "name"], "left").join(tails, ["project", "name"], "left")
-    top = F.element_at(_parts(F.col("name")), 1)
-    owner = F.coalesce("_own", "_imported", F.when(~top.isin(standard), F.col("_tail")))
-    return out.select(*uses.columns, owner.alias("owner"))
+class Lookup:
+    """What dotted names mean in a module, by joins that take each name once.
+
+    The head of a name is the module's own class or function, else what the module
+    imports under it: the target itself if it is known, else, unless the target is
+    the standard library's, the one known name that ends in it. Each further part
+    must be known in turn; the last may also be a method of the class before it,
+    which ``through`` names, inherited ones included.
+    """
+
+    def __init__(self, definitions: DataFrame, modules: DataFrame, aliases: DataFrame, standard: list[str] | None = None):
+        """``definitions`` (project, module, name, qualified, what), ``modules`` (project, module), ``aliases`` (project, module, name, target)."""
+        own = definitions.where("not contains(name, '.')")
+        known = definitions.select("project", "qualified", "what").unionByName(modules.select("project", F.col("module").alias("qualified"), F.lit("module").alias("what")))
+        self.known = known.groupBy("project", "qualified").agg(F.max(F.col("what") == "class").alias("is_class"), F.max(F.col("what").isin("function", "method")).alias("is_function"))
+        self.own = own.groupBy("project", "module", "name").agg(F.max("qualified").alias("_own"))
+        self.aliases = aliases
+        self.standard = [*standard_library(), "_typeshed"] if standard is None else standard
+
+    def heads(self, uses: DataFrame) -> DataFrame:
+        """(project, module, head, base): what single names mean; those that mean nothing known are left out."""
+        asked = uses.join(self.own.withColumnRenamed("name", "head"), ["project", "module", "head"], "left").join(self.aliases.withColumnRenamed("name", "head"), ["project", "module", "head"], "left")
+        exact = self.known.select("project", F.col("qualified").alias("target"), F.lit(True).alias("_is"))
+        asked = asked.withColumn("target", F.when(F.col("_own").isNull(), F.col("target"))).join(exact, ["project", "target"], "left")
+        open_ = F.col("target").isNotNull() & F.col("_is").isNull() & ~F.element_at(_parts(F.col("target")), 1).isin(self.standard)
+        wanted = asked.where(open_).select("project", F.col("target").alias("suffix")).distinct()
+        size = F.size(_parts(F.col("qualified")))
+        tails = self.known.where(size > 1).select("project", "qualified", F.explode(F.sequence(F.lit(2), size)).alias("k"))
+        tails = tails.select("project", "qualified", F.array_join(F.slice(_parts(F.col("qualified")), F.col("k"), size), ".").alias("suffix")).join(wanted, ["project", "suffix"], "left_semi")
+        tails = tails.groupBy("project", "suffix").agg(F.count("*").alias("n"), F.min("qualified").alias("_tail")).where("n = 1").select("project", F.col("suffix").alias("target"), "_tail")
+        asked = asked.join(tails, ["project", "target"], "left")
+        base = F.coalesce("_own", F.when(F.col("_is"), F.col("target")), F.when(open_, F.col("_tail")))
+        return asked.select("project", "module", "head", base.alias("base")).where("base is not null")
+
+    def resolved(self, uses: DataFrame) -> DataFrame:
+        """``uses`` (project, module, name, ...) with ``owner``, ``is_class``, ``is_function`` (null where nothing is known) and ``through``, ``last``."""
+        names = uses.select("project", "module", "name").distinct().withColumns({"head": F.substring_index("name", ".", 1), "_n": F.size(_parts(F.col("name")))})
+        heads = self.heads(names.select("project", "module", "head").distinct())
+        names = names.join(heads, ["project", "module", "head"]).withColumn("full", F.concat("base", F.expr("substr(name, length(head) + 1)")))
+        names = names.withColumns({"up": F.when(F.col("_n") > 1, F.expr("substr(full, 1, length(full) - 1 - length(substring_index(name, '.', -1)))")), "last": F.substring_index("name", ".", -1)})
+        # parts between the head and the last but one have to be known as well; few names have any
+        deep = names.where("_n > 3").select("project", "module", "name", "full", "base", F.explode(F.sequence(F.lit(1), F.col("_n") - 3)).alias("k"))
+        deep = deep.withColumn("qualified", F.concat_ws(".", "base", F.array_join(F.slice(_parts(F.col("name")), F.lit(2), F.col("k")), ".")))
+        missing = deep.join(self.known, ["project", "qualified"], "left_anti").select("project", "module", "name").distinct()
+        names = names.join(missing, ["project", "module", "name"], "left_anti")
+        full = self.known.select("project", F.col("qualified").alias("full"), "is_class", "is_function")
+        up = self.known.select("project", F.col("qualified").alias("up"), F.col("is_class").alias("_of_class"))
+        names = names.join(full, ["project", "full"], "left").join(up, ["project", "up"], "left")
+        # a name of two parts hangs on its head, which is known; of more parts the last but one must be
+        met = F.col("is_class").isNotNull() & (F.col("_n").isin(1, 2) | F.col("_of_class").isNotNull())
+        names = names.select(
+            "project", "module", "name", F.when(met, F.col("full")).alias("owner"), F.when(met, F.col("is_class")).alias("is_class"), F.when(met, F.col("is_function")).alias("is_function"),
+            F.when(~met & F.col("_of_class"), F.col("up")).alias("through"), "last",
+        )
+        return uses.join(names, ["project", "module", "name"], "left")
