@@ -20,6 +20,10 @@ from .receivers import receivers
 from .store import stored
 
 
+#: Groups of facts that ``call_edges`` reads.
+GROUPS = ("entities", "calls", "imports")
+
+
 def _qualified(module, name) -> F.Column:
     return F.concat_ws(".", module, name)
 
@@ -41,22 +45,29 @@ def aliases(rows: DataFrame) -> DataFrame:
     return found.withColumn("target", target).groupBy("project", "module", "name").agg(F.max_by("target", "ord").alias("target"))
 
 
-def lookup_of(rows: DataFrame, defined: DataFrame | None = None, bound: DataFrame | None = None) -> Lookup:
-    """What names mean in the modules of ``rows`` (facts)."""
-    defined = definitions(rows) if defined is None else defined
+def lookup_of(rows: DataFrame, defined: DataFrame, bound: DataFrame) -> Lookup:
+    """What the names of bases, annotations and calls mean in the modules of ``rows`` (facts); each name is looked up once."""
     top = defined.where("what in ('class', 'function') or length(name) - length(replace(name, '.', '')) = 1")
-    return Lookup(top, rows.select("project", "module").distinct(), aliases(rows) if bound is None else bound)
+    asked = of_kind(rows, "base").select("project", "module", "name")
+    asked = asked.unionByName(of_kind(rows, "call").where("flags = 'static'").select("project", "module", F.col("value").alias("name")))
+    asked = asked.unionByName(of_kind(rows, "step").where("flags in ('said', 'made')").select("project", "module", F.explode(F.split("name", ",")).alias("name")))
+    return Lookup(top, of_kind(rows, "module").select("project", "module"), bound, asked)
 
 
-def class_bases(rows: DataFrame, defined: DataFrame, bound: DataFrame) -> DataFrame:
+def bases_by(lookup: Lookup, rows: DataFrame, defined: DataFrame) -> DataFrame:
     """(project, cls, ord, base) for ``lineage``: bases that are no known class are left out."""
     classes = defined.where("what = 'class'").select("project", F.col("qualified").alias("cls"))
     uses = of_kind(rows, "base").where("not contains(owner, '.')").select("project", "module", F.col("name"), F.col("owner").alias("holder"), F.col("ord").alias("k"))
-    found = lookup_of(rows, defined, bound).resolved(uses).where("is_class")
+    found = lookup.resolved(uses).where("is_class")
     found = found.select("project", _qualified(F.col("module"), F.col("holder")).alias("cls"), F.col("k").alias("ord"), F.col("owner").alias("base"))
     return classes.join(found, ["project", "cls"], "left")
 
 
+def class_bases(rows: DataFrame, defined: DataFrame, bound: DataFrame) -> DataFrame:
+    """``bases_by`` for ``rows`` (facts) that may hold no calls."""
+    return bases_by(lookup_of(rows, defined, bound), rows, defined)
+
+
 def call_edges(rows: DataFrame) -> DataFrame:
     """(project, caller, ord, callee, named, is_internal): every call site of ``rows`` (facts) with what it calls.
 
@@ -64,9 +75,9 @@ def call_edges(rows: DataFrame) -> DataFrame:
     class that is called means its (inherited) ``__init__`` if there is one,
     and ``named`` is the class itself.
     """
-    defined, bound = stored(definitions(rows), "defined"), stored(aliases(rows), "aliases")
-    order = stored(lineage(class_bases(rows, defined, bound)), "lineage")
+    defined, bound = stored(definitions(rows), "defined"), aliases(rows)
     lookup = lookup_of(rows, defined, bound)
+    order = lineage(bases_by(lookup, rows, defined))
     methods = defined.where("what = 'method'").select("project", F.regexp_replace("qualified", r"\.[^.]+$", "").alias("base"), F.substring_index("qualified", ".", -1).alias("method"), F.col("qualified").alias("full"))
     along = order.join(methods, ["project", "base"]).groupBy("project", "cls", "method")
     # the first class of a lineage that has a method, and the first behind the class itself
@@ -82,7 +93,7 @@ def call_edges(rows: DataFrame) -> DataFrame:
     path = sites.where("mode = 'path'").withColumn("step", F.col("ref").cast("int")).join(held.final, ["project", "module", "step"]).join(of_class, method).select(*own, "found")
     above = sites.where("mode = 'super'").withColumn("cls", _qualified(F.col("module"), F.col("ref"))).join(behind.withColumnsRenamed({"method": "last", "full": "found"}), method).select(*own, "found")
     met = static.unionByName(path).unionByName(above).where("found is not null")
-    out = sites.join(met, own, "left")
+    out = sites.where("mode = 'bare'").withColumn("found", F.lit(None).cast("string")).unionByName(sites.where("mode <> 'bare'").join(met, own, "left").select(*sites.columns, "found"))
     init = has.where("method = '__init__'").select("project", F.col("cls").alias("found"), F.col("full").alias("init"))
     out = out.join(init, ["project", "found"], "left")
     out = out.select("project", "caller", "ord", F.coalesce("init", "found", "last").alias("callee"), F.coalesce("found", "last").alias("named"), F.col("found").isNotNull().alias("is_internal"))

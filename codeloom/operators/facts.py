@@ -20,7 +20,7 @@
   first paragraph, at most EXCERPT characters; flags: env if it reads the environment
 * ``outline``: a class's head, summary and the heads of its public methods
   (value), at most OUTLINE characters
-* ``error``: the file doesn't parse
+* ``module``, ``error``: the file parses, or it doesn't
 
 Of definitions that share a name in one body the last counts for calls, types
 and bases; ``entity``, ``excerpt`` and ``outline`` list all. Lines are the
@@ -171,6 +171,7 @@ def facts_of(content: str, groups: tuple[str, ...] = GROUPS):
     except (SyntaxError, ValueError, RecursionError) as e:
         yield "error", 0, type(e).__name__, None, str(e), 0, 0, None
         return
+    yield "module", 0, None, None, None, 0, 0, None
     if "entities" in groups:
         yield from _entities(tree)
     if "calls" in groups:
@@ -206,6 +207,10 @@ def facts(files: DataFrame, *groups: str) -> DataFrame:
             if found:
                 yield full()
 
+    # few input partitions would leave most cores without work: parsing costs far more than moving
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    if slim.rdd.getNumPartitions() < cores:
+        slim = slim.repartition(cores, "project", "module")
     kind = files.schema["project"].dataType.simpleString()
     return slim.mapInArrow(read, f"project {kind}, module string, is_package boolean, {SCHEMA}")
 

@@ -7,6 +7,8 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import stored
+
 
 def _parts(name) -> F.Column:
     return F.split(name, r"\.")
@@ -75,38 +77,35 @@ class Lookup:
     which ``through`` names, inherited ones included.
     """
 
-    def __init__(self, definitions: DataFrame, modules: DataFrame, aliases: DataFrame, standard: list[str] | None = None):
-        """``definitions`` (project, module, name, qualified, what), ``modules`` (project, module), ``aliases`` (project, module, name, target)."""
-        own = definitions.where("not contains(name, '.')")
-        known = definitions.select("project", "qualified", "what").unionByName(modules.select("project", F.col("module").alias("qualified"), F.lit("module").alias("what")))
-        self.known = known.groupBy("project", "qualified").agg(F.max(F.col("what") == "class").alias("is_class"), F.max(F.col("what").isin("function", "method")).alias("is_function"))
-        self.own = own.groupBy("project", "module", "name").agg(F.max("qualified").alias("_own"))
-        self.aliases = aliases
+    def __init__(self, definitions: DataFrame, modules: DataFrame, aliases: DataFrame, names: DataFrame, standard: list[str] | None = None):
+        """``definitions`` (project, module, name, qualified, what), ``modules`` (project, module), ``aliases`` (project, module, name, target); ``names`` (project, module, name) are all that will be asked."""
         self.standard = [*standard_library(), "_typeshed"] if standard is None else standard
-
-    def heads(self, uses: DataFrame) -> DataFrame:
-        """(project, module, head, base): what single names mean; those that mean nothing known are left out."""
-        asked = uses.join(self.own.withColumnRenamed("name", "head"), ["project", "module", "head"], "left").join(self.aliases.withColumnRenamed("name", "head"), ["project", "module", "head"], "left")
-        exact = self.known.select("project", F.col("qualified").alias("target"), F.lit(True).alias("_is"))
-        asked = asked.withColumn("target", F.when(F.col("_own").isNull(), F.col("target"))).join(exact, ["project", "target"], "left")
-        open_ = F.col("target").isNotNull() & F.col("_is").isNull() & ~F.element_at(_parts(F.col("target")), 1).isin(self.standard)
-        wanted = asked.where(open_).select("project", F.col("target").alias("suffix")).distinct()
+        known = definitions.select("project", "qualified", "what").unionByName(modules.select("project", F.col("module").alias("qualified"), F.lit("module").alias("what")))
+        known = known.groupBy("project", "qualified").agg(F.max(F.col("what") == "class").alias("is_class"), F.max(F.col("what").isin("function", "method")).alias("is_function"))
+        self.known = stored(known, "known")
+        own = definitions.where("not contains(name, '.')").select("project", "module", F.col("name").alias("head"), F.col("qualified").alias("own"), F.lit(None).cast("string").alias("target"))
+        bound = aliases.select("project", "module", F.col("name").alias("head"), F.lit(None).cast("string").alias("own"), "target")
+        self.found = stored(self._found(names.distinct(), own.unionByName(bound)), "names")
+
+    def _heads(self, scope: DataFrame) -> DataFrame:
+        """(project, module, head, base): what the single names of ``scope`` (own, else target) mean; those that mean nothing known are left out."""
+        scope = scope.groupBy("project", "module", "head").agg(F.max("own").alias("own"), F.max("target").alias("target"))
+        inside, outside = scope.where("own is not null").select("project", "module", "head", F.col("own").alias("base")), scope.where("own is null")
+        met = outside.join(self.known.select("project", F.col("qualified").alias("target"), F.lit(True).alias("_is")), ["project", "target"], "left")
+        exact = met.where("_is").select("project", "module", "head", F.col("target").alias("base"))
+        open_ = met.where(F.col("_is").isNull() & ~F.element_at(_parts(F.col("target")), 1).isin(self.standard)).select("project", "module", "head", F.col("target").alias("suffix"))
         size = F.size(_parts(F.col("qualified")))
         tails = self.known.where(size > 1).select("project", "qualified", F.explode(F.sequence(F.lit(2), size)).alias("k"))
-        tails = tails.select("project", "qualified", F.array_join(F.slice(_parts(F.col("qualified")), F.col("k"), size), ".").alias("suffix")).join(wanted, ["project", "suffix"], "left_semi")
-        tails = tails.groupBy("project", "suffix").agg(F.count("*").alias("n"), F.min("qualified").alias("_tail")).where("n = 1").select("project", F.col("suffix").alias("target"), "_tail")
-        asked = asked.join(tails, ["project", "target"], "left")
-        base = F.coalesce("_own", F.when(F.col("_is"), F.col("target")), F.when(open_, F.col("_tail")))
-        return asked.select("project", "module", "head", base.alias("base")).where("base is not null")
+        tails = tails.select("project", "qualified", F.array_join(F.slice(_parts(F.col("qualified")), F.col("k"), size), ".").alias("suffix")).join(open_.select("project", "suffix").distinct(), ["project", "suffix"], "left_semi")
+        tails = tails.groupBy("project", "suffix").agg(F.count("*").alias("n"), F.min("qualified").alias("base")).where("n = 1").drop("n")
+        return inside.unionByName(exact).unionByName(open_.join(tails, ["project", "suffix"]).drop("suffix"))
 
-    def resolved(self, uses: DataFrame) -> DataFrame:
-        """``uses`` (project, module, name, ...) with ``owner``, ``is_class``, ``is_function`` (null where nothing is known) and ``through``, ``last``."""
-        names = uses.select("project", "module", "name").distinct().withColumns({"head": F.substring_index("name", ".", 1), "_n": F.size(_parts(F.col("name")))})
-        heads = self.heads(names.select("project", "module", "head").distinct())
-        names = names.join(heads, ["project", "module", "head"]).withColumn("full", F.concat("base", F.expr("substr(name, length(head) + 1)")))
+    def _found(self, names: DataFrame, scope: DataFrame) -> DataFrame:
+        names = names.withColumns({"head": F.substring_index("name", ".", 1), "_n": F.size(_parts(F.col("name")))})
+        names = names.join(self._heads(scope), ["project", "module", "head"]).withColumn("full", F.concat("base", F.expr("substr(name, length(head) + 1)")))
         names = names.withColumns({"up": F.when(F.col("_n") > 1, F.expr("substr(full, 1, length(full) - 1 - length(substring_index(name, '.', -1)))")), "last": F.substring_index("name", ".", -1)})
         # parts between the head and the last but one have to be known as well; few names have any
-        deep = names.where("_n > 3").select("project", "module", "name", "full", "base", F.explode(F.sequence(F.lit(1), F.col("_n") - 3)).alias("k"))
+        deep = names.where("_n > 3").select("project", "module", "name", "base", F.explode(F.sequence(F.lit(1), F.col("_n") - 3)).alias("k"))
         deep = deep.withColumn("qualified", F.concat_ws(".", "base", F.array_join(F.slice(_parts(F.col("name")), F.lit(2), F.col("k")), ".")))
         missing = deep.join(self.known, ["project", "qualified"], "left_anti").select("project", "module", "name").distinct()
         names = names.join(missing, ["project", "module", "name"], "left_anti")
@@ -115,8 +114,11 @@ class Lookup:
         names = names.join(full, ["project", "full"], "left").join(up, ["project", "up"], "left")
         # a name of two parts hangs on its head, which is known; of more parts the last but one must be
         met = F.col("is_class").isNotNull() & (F.col("_n").isin(1, 2) | F.col("_of_class").isNotNull())
-        names = names.select(
+        return names.select(
             "project", "module", "name", F.when(met, F.col("full")).alias("owner"), F.when(met, F.col("is_class")).alias("is_class"), F.when(met, F.col("is_function")).alias("is_function"),
             F.when(~met & F.col("_of_class"), F.col("up")).alias("through"), "last",
-        )
-        return uses.join(names, ["project", "module", "name"], "left")
+        ).where("owner is not null or through is not null")
+
+    def resolved(self, uses: DataFrame) -> DataFrame:
+        """``uses`` (project, module, name, ...) whose names mean something known, with ``owner``, ``is_class``, ``is_function`` or else ``through`` and ``last``."""
+        return uses.join(self.found, ["project", "module", "name"])

@@ -50,7 +50,7 @@ def receivers(rows: DataFrame, lookup: Lookup, order: DataFrame, has: DataFrame,
     gives = stored(gives.join(said, _STEP).select("project", "function", "cls"), "gives")
 
     receiver = steps.where("kind = 'known'").withColumn("cls", F.concat_ws(".", "module", "name")).join(classes, ["project", "cls"], "left_semi").select(*_STEP, "cls")
-    made = lookup.resolved(steps.where("kind = 'made'").select(*_STEP, "name"))
+    made = lookup.resolved(steps.where("kind = 'made'").select(*_STEP, "name"))  # a name that means nothing known makes nothing known
     made = made.join(has.select("project", F.col("cls").alias("through"), F.col("method").alias("last"), "full"), ["project", "through", "last"], "left")
     made = made.withColumn("function", F.coalesce(F.when(F.col("is_function"), F.col("owner")), F.when(F.col("owner").isNull(), F.col("full"))))
     made = made.join(gives, ["project", "function"], "left").select(*_STEP, F.when(F.col("is_class"), F.col("owner")).otherwise(F.col("cls")).alias("cls"))

@@ -8,8 +8,11 @@ import uuid
 from pyspark.sql import DataFrame
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the cluster's shared checkpoint folder (a temporary one only where none is set on a local master) and read it again."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` below the cluster's shared checkpoint folder (a temporary one only where none is set on a local master) and read it again.
+
+    ``by`` parts the table into folders by a column of few values, so that readers of some values open only theirs.
+    """
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
@@ -18,5 +21,5 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write if by is None else df.write.partitionBy(by)).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])

@@ -490,9 +490,9 @@ def rule_verdicts(spark, sf):
     return rules.verdicts(lines, rules.validate(lines))
 
 
-def _facts(spark, sf):
+def _facts(spark, sf, *groups):
     """Facts of the derived modules, written once: several joins read them."""
-    return stored(facts.facts(tables.modules(spark, sf)), "facts")
+    return stored(facts.facts(tables.modules(spark, sf), *groups), "facts", by="kind")
 
 
 _MODULES = """
@@ -504,7 +504,7 @@ WITH p AS (SELECT p_brand AS project, p_partkey AS k, (p_partkey * 3 + p_size) %
 SELECT project, module, 'Thing' || CAST(k AS VARCHAR) AS name, 'class' AS what, 'A ' || n || '.' AS docstring, 'Thing' || CAST(o AS VARCHAR) AS parent FROM p
 UNION ALL SELECT project, module, 'helper' || CAST(k AS VARCHAR), 'function', '', NULL FROM p""")
 def code_entities(spark, sf):
-    found = facts.of_kind(_facts(spark, sf), "entity")
+    found = facts.of_kind(facts.facts(tables.modules(spark, sf), "entities"), "entity")
     return found.select("project", "module", "name", F.col("flags").alias("what"), F.col("value").alias("docstring"), F.col("owner").alias("parent"))
 
 
@@ -512,7 +512,7 @@ def code_entities(spark, sf):
 SELECT t.project, t.module, x.target FROM t LEFT JOIN (SELECT DISTINCT a.project, a.module, a.target FROM t a JOIN p b ON a.project = b.project AND a.target = b.module WHERE a.module <> a.target) x USING (project, module)""")
 def module_imports(spark, sf):
     files = tables.modules(spark, sf)
-    rows = facts.of_kind(_facts(spark, sf), "import").select("project", "module", "is_package", F.col("name").alias("imported"))
+    rows = facts.of_kind(_facts(spark, sf, "imports"), "import").select("project", "module", "is_package", F.col("name").alias("imported"))
     placed = names.place_imports(rows, files.select("project", "module"), ("project",)).where("kind = 'internal' and target <> module").select("project", "module", "target").distinct()
     return files.select("project", "module").join(placed, ["project", "module"], "left")
 
@@ -524,7 +524,7 @@ UNION ALL SELECT project, cls || '.run', cls || '.step', TRUE FROM b
 UNION ALL SELECT project, cls || '.step', CASE WHEN inside THEN full_base ELSE base END, inside FROM b
 UNION ALL SELECT project, module || '.helper' || CAST(k AS VARCHAR), 'getcwd', FALSE FROM p""")
 def call_edges(spark, sf):
-    return calls.call_edges(_facts(spark, sf)).drop("ord", "named").distinct()
+    return calls.call_edges(_facts(spark, sf, *calls.GROUPS)).drop("ord", "named").distinct()
 
 
 @query(_MODULES.replace("WITH p", "WITH RECURSIVE p") + """, b AS (SELECT project, k, o, module || '.Thing' || CAST(k AS VARCHAR) AS cls FROM p),
@@ -532,7 +532,7 @@ w AS (SELECT project, cls, CAST(0 AS INTEGER) AS ord, cls AS base, o, [cls] AS p
   UNION ALL SELECT w.project, w.cls, w.ord + 1, b.cls, b.o, list_append(path, b.cls) FROM w JOIN b ON b.project = w.project AND b.k = w.o WHERE NOT list_contains(path, b.cls))
 SELECT project, cls, ord, base FROM w""")
 def class_lineage(spark, sf):
-    rows = _facts(spark, sf)
+    rows = _facts(spark, sf, "entities", "imports")
     defined = calls.definitions(rows)
     return calls.lineage(calls.class_bases(rows, defined, calls.aliases(rows)))
 
@@ -543,7 +543,7 @@ UNION ALL SELECT project, module, module || '.Thing' || CAST(k AS VARCHAR) || '.
 UNION ALL SELECT project, module, module || '.Thing' || CAST(k AS VARCHAR) || '.step', 'excerpt', md5('    def step(self):' || chr(10) || '        return Thing' || o || '()'), FALSE FROM p
 UNION ALL SELECT project, module, module || '.helper' || CAST(k AS VARCHAR), 'excerpt', md5('def helper' || k || '():' || chr(10) || '    return os.getcwd()'), FALSE FROM p""")
 def code_excerpts(spark, sf):
-    found = _facts(spark, sf).where("kind in ('outline', 'excerpt')")
+    found = facts.facts(tables.modules(spark, sf), "texts").where("kind in ('outline', 'excerpt')")
     return found.select("project", "module", F.concat_ws(".", "module", "name").alias("full_name"), "kind", F.md5("value").alias("digest"), (F.coalesce("flags", F.lit("")) == "env").alias("env"))
 
 
@@ -554,12 +554,12 @@ UNION ALL SELECT project, source, 3, concat('Class: Thing', k, nl, 'File: ', sou
 UNION ALL SELECT project, source, 4, concat('Function: helper', k, nl, 'File: ', source, nl, 'Lines: 18-19') FROM t""")
 def code_documents(spark, sf):
     files = tables.modules(spark, sf)
-    return structure.documents(_facts(spark, sf), files)
+    return structure.documents(_facts(spark, sf, "entities"), files)
 
 
 @query()
 def section_contexts(spark, sf):
-    rows = _facts(spark, sf).where("kind = 'outline'")
+    rows = facts.facts(tables.modules(spark, sf), "texts").where("kind = 'outline'")
     return structure.section_context(rows.select("project", F.struct("module", "ord").alias("ord"), "name", F.col("value").alias("text")))
 
 
@@ -567,13 +567,13 @@ def section_contexts(spark, sf):
 SELECT t.project, t.module, t.head AS names FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.project = t.project AND p.module = t.target)""")
 def third_party_map(spark, sf):
     files = tables.modules(spark, sf)
-    return structure.third_party_map(_facts(spark, sf), files)
+    return structure.third_party_map(_facts(spark, sf, "imports"), files)
 
 
 @query(_MODULES + """, u AS (SELECT a.project, c.module || '.Thing' || CAST(c.k AS VARCHAR) AS cls, count(*) AS users FROM p a JOIN p c ON c.project = a.project AND c.k = a.o AND c.k <> a.k GROUP BY ALL)
 SELECT project, cls, users FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY users DESC, cls) AS nth FROM u) WHERE nth <= 10""")
 def most_used_classes(spark, sf):
-    rows = _facts(spark, sf)
+    rows = _facts(spark, sf, *calls.GROUPS)
     return structure.most_used_classes(calls.call_edges(rows), calls.definitions(rows).where("what = 'class'"))
 
 
@@ -614,7 +614,7 @@ l AS (SELECT project, 0 AS s, '' AS a, '' AS b, '' AS c, 'graph LR' AS line FROM
 SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY s, a, b, c, line) AS INTEGER) AS ord, line FROM l""")
 def dependency_diagram(spark, sf):
     files = tables.modules(spark, sf)
-    rows = facts.of_kind(_facts(spark, sf), "import").select("project", "module", "is_package", F.col("name").alias("imported"))
+    rows = facts.of_kind(_facts(spark, sf, "imports"), "import").select("project", "module", "is_package", F.col("name").alias("imported"))
     placed = names.place_imports(rows, files.select("project", "module"), ("project",))
     package = lambda c: F.regexp_replace(c, r"\.[^.]+$", "")
     dst = F.when(F.col("kind") == "internal", package(F.col("target"))).otherwise(F.col("target"))
@@ -632,7 +632,7 @@ l AS (SELECT DISTINCT project, 0 AS s, 0 AS r, 0 AS a, 'classDiagram' AS line FR
   UNION ALL SELECT project, 9, 0, 0, '    note "the first 20 classes"' FROM f GROUP BY project HAVING count(*) >= 20)
 SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY s, r, a) AS INTEGER) AS ord, line FROM l""")
 def class_diagrams(spark, sf):
-    rows = _facts(spark, sf)
+    rows = _facts(spark, sf, "entities")
     methods = facts.of_kind(rows, "method").groupBy("project", "module", F.col("owner").alias("name")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.col("name").alias("m")))), lambda x: x["m"]).alias("methods"))
     found = facts.of_kind(rows, "entity").where("flags = 'class'").select("project", "module", "name", F.col("owner").alias("base"))
     found = found.join(methods, ["project", "module", "name"], "left").withColumn("methods", F.coalesce("methods", F.array().cast("array<string>")))
@@ -654,7 +654,7 @@ c AS (SELECT project, m || 'Part' || j || '.__init__' AS caller, coalesce(pa, 'P
 
 
 def _tree_facts(spark, sf):
-    rows = stored(facts.facts(tables.part_trees(spark, sf).drop("j")), "facts")
+    rows = stored(facts.facts(tables.part_trees(spark, sf).drop("j"), *calls.GROUPS), "facts", by="kind")
     defined = calls.definitions(rows)
     return stored(calls.call_edges(rows), "edges"), defined, calls.lineage(calls.class_bases(rows, defined, calls.aliases(rows)))
 
@@ -715,7 +715,7 @@ def sequence_diagrams(spark, sf):
 def section_excerpts(spark, sf):
     """For each section of a project's documentation, the excerpts that it is given, in order."""
     files = stored(tables.part_trees(spark, sf).drop("j"), "files")
-    rows = stored(facts.facts(files), "facts")
+    rows = stored(facts.facts(files), "facts", by="kind")
     defined = stored(calls.definitions(rows), "defined")
     order = stored(calls.lineage(calls.class_bases(rows, defined, calls.aliases(rows))), "order")
     return sections.contexts(sections.candidates(rows, files, stored(calls.call_edges(rows), "edges"), defined, order))
