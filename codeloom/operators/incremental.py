@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from .store import stored
+
 FRESH_SECONDS = 2.0
 
 
@@ -131,7 +133,7 @@ def run_sections(cache: Store, sections: DataFrame, generate, refresh: bool = Fa
     held = cache.read()
     old = None if held is None or refresh else held.join(sections.select("section", "key_hash"), ["section", "key_hash"], "left_semi")
     due = sections if old is None else missing(sections, old)
-    made = generate(due)
+    made = stored(generate(due), "made")  # a model is asked once; what is cached is what is returned
     whole = made.where("not truncated").select("section", "key_hash", "content")
     kept = whole if held is None else held.join(whole.select("section"), "section", "left_anti").select("section", "key_hash", "content").unionByName(whole)
     cache.write(kept)

@@ -49,10 +49,9 @@ def entry_path(edges: DataFrame, defined: DataFrame) -> DataFrame:
 
 
 def key_classes(path: DataFrame, exported: DataFrame, used: DataFrame, main: DataFrame, order: DataFrame) -> DataFrame:
-    """(project, ord, cls): main classes that are ``exported`` (project, ord, cls), in projects without any the most ``used`` (project, cls, users), then those that hold functions of ``path``; each followed by its bases, first mention only."""
-    keys = main.select("project", "cls")
-    shown = exported.join(keys, ["project", "cls"], "left_semi")
-    ranked = used.join(keys, ["project", "cls"], "left_semi").join(shown.select("project").distinct(), "project", "left_anti")
+    """(project, ord, cls): classes that are ``exported`` (project, ord, cls), in projects without any the most ``used`` (project, cls, users), then main ones that hold functions of ``path``; each followed by its bases, first mention only."""
+    keys, shown = main.select("project", "cls"), exported
+    ranked = used.join(shown.select("project").distinct(), "project", "left_anti")
     ranked = ranked.withColumn("ord", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("users"), "cls")))
     held = path.withColumn("cls", participant(F.col("node"))).join(keys, ["project", "cls"], "left_semi")
     place = lambda some, side: some.select("project", F.struct(F.lit(side).alias("side"), F.col("ord").cast("long").alias("at")).alias("ord"), "cls")
@@ -69,37 +68,50 @@ def component_classes(keys: DataFrame, defined: DataFrame, rows: DataFrame, orde
     return structure.key_classes(found.groupBy("project", "cls").agg(F.min(F.struct("at", "k")).alias("ord")), order)
 
 
-def candidates(rows: DataFrame, files: DataFrame, edges: DataFrame, defined: DataFrame, order: DataFrame) -> DataFrame:
+def share(chunks: int = 10, chunk_size: int = 2000) -> int:
+    """Most characters of excerpts for a section that is also given so many chunks."""
+    return int(structure.SHARE * chunks * chunk_size)
+
+
+def candidates(rows: DataFrame, files: DataFrame, edges: DataFrame, defined: DataFrame, order: DataFrame, limit: int | None = None) -> DataFrame:
     """(project, section, ord, name, text): all that a section could be given, in order of priority.
 
-    The overview sees the map of exports, the head of the entry path and the key
-    classes; data flow the whole path; integration points the map, the path's
-    head, the components of key classes and what reads the environment.
+    The overview sees the map of exports, the head of the entry path (its first
+    functions that have a source) and the key classes; data flow the whole path;
+    integration points the map, the path's head, the components of key classes and
+    what reads the environment. Test code gives nothing.
     """
+    limit = share() if limit is None else limit
     full = F.concat_ws(".", "module", "name")
+    tested = ~is_test_name(F.col("module"))
+    every, rows, defined = defined, rows.where(tested), defined.where(tested)
     texts = rows.where("kind in ('outline', 'excerpt')").select("project", "kind", full.alias("name"), F.col("value").alias("text"), F.coalesce(F.col("flags") == "env", F.lit(False)).alias("env"))
-    path = stored(entry_path(edges, defined), "path")
+    path = stored(entry_path(edges, every), "path")
     classes = defined.where("what = 'class'").select("project", F.col("qualified").alias("cls"))
     shown = structure.exports(rows, files)
-    exported = class_named(shown, classes, rows).where("cls is not null").groupBy("project", "cls").agg(F.min("ord").alias("ord"))
-    used = structure.most_used_classes(edges, defined.where("what = 'class'"))
-    keys = stored(key_classes(path, exported, used, main_classes(defined, rows), order), "keys")
+    nth = F.row_number().over(Window.partitionBy("project").orderBy("at"))
+    exported = shown.withColumnRenamed("name", "cls").join(classes, ["project", "cls"], "left_semi").select("project", "cls", nth.alias("ord"))
+    main = stored(main_classes(defined, rows), "main")
+    used = structure.most_used_classes(edges, main.withColumnRenamed("cls", "qualified"))
+    keys = key_classes(path, exported, used, main, order).join(classes, ["project", "cls"], "left_semi")
+    keys = stored(keys, "keys")
     parts = component_classes(keys, defined, rows, order)
 
     def of_text(chosen: DataFrame, kind: str) -> DataFrame:
         return chosen.join(texts.where(F.col("kind") == kind), ["project", "name"]).select("project", "at", "name", "text")
 
-    def of_map(found: DataFrame) -> DataFrame:
-        return found.select("project", F.lit(0).cast("long").alias("at"), F.col("module").alias("name"), F.concat_ws(": ", "module", "names").alias("text"))
+    def of_map(found: DataFrame, name: str) -> DataFrame:
+        return found.select("project", F.lit(0).cast("long").alias("at"), F.lit(name).alias("name"), "text")
 
     at = F.col("ord").cast("long").alias("at")
     functions = of_text(path.select("project", at, F.col("node").alias("name")), "excerpt")
     outlines = lambda some: of_text(some.select("project", at, F.col("cls").alias("name")), "outline")
-    head, mapped = functions.where(F.col("at") <= PATH_HEAD), of_map(structure.api_map(shown))
+    ranked = functions.withColumn("_nth", F.row_number().over(Window.partitionBy("project").orderBy("at")))
+    head, mapped = ranked.where(F.col("_nth") <= PATH_HEAD).drop("_nth"), of_map(structure.api_map(shown), "api")
     reads = texts.where("env and kind = 'excerpt'").select("project", F.lit(0).cast("long").alias("at"), "name", "text")
     sections = {
         "overview": [mapped, head, outlines(keys)],
-        "dependencies": [of_map(structure.third_party_map(rows, files))],
+        "dependencies": [of_map(structure.third_party_map(rows, files, limit), "imports")],
         "key classes and functions": [outlines(keys)],
         "data flow": [functions],
         "integration points": [mapped, head, outlines(parts), reads],
@@ -112,7 +124,7 @@ def contexts(found: DataFrame, chunks: int = 10, chunk_size: int = 2000) -> Data
     """(project, section, taken): names of ``candidates`` in order while their texts fit the structural share; ones met before or empty are skipped."""
     first = found.groupBy("project", "section", "name").agg(F.min(F.struct("ord", "text")).alias("f"))
     sized = first.select(F.struct("project", "section").alias("of"), "name", F.col("f.ord").alias("ord"), F.length("f.text").alias("size"))
-    filled = greedy_fill(sized, "of", "ord", "name", "size", int(structure.SHARE * chunks * chunk_size), structure.CANDIDATES)
+    filled = greedy_fill(sized, "of", "ord", "name", "size", share(chunks, chunk_size), structure.CANDIDATES)
     return filled.select("of.project", "of.section", "taken")
 
 

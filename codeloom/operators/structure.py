@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codeloom.functions.text import is_main_class
+from codeloom.functions.text import import_base, is_main_class, is_test_name
 
 from .budget import greedy_fill
 from .facts import of_kind
@@ -41,24 +41,42 @@ def top_packages(files: DataFrame) -> DataFrame:
 
 
 def exports(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """(project, module, ord, name): what top packages import from their own project, first mention first."""
-    found = of_kind(rows, "import").join(top_packages(files).select("project", "module"), ["project", "module"], "left_semi")
+    """(project, name, at): absolute names that top packages import from their own project, test code aside; at: package and place of the first mention."""
+    found = of_kind(rows, "import").join(top_packages(files.where(~is_test_name(F.col("module")))).select("project", "module"), ["project", "module"], "left_semi")
     placed = place_imports(found.select("project", "module", "is_package", F.col("name").alias("imported"), "ord"), files.select("project", "module"), ("project",))
-    inside = placed.where("kind = 'internal'").withColumn("name", F.element_at(F.split("imported", r"\."), -1))
-    return inside.groupBy("project", "module", "name").agg(F.min("ord").alias("ord"))
+    level, plain = F.length(F.regexp_extract("imported", r"^(\.*)", 1)), F.regexp_replace("imported", r"^\.+", "")
+    name = F.when(level > 0, import_base(F.col("module"), F.col("is_package"), plain, level)).otherwise(plain)
+    return placed.where("kind = 'internal'").groupBy("project", name.alias("name")).agg(F.min(F.struct("module", "ord")).alias("at"))
 
 
 def api_map(exported: DataFrame) -> DataFrame:
-    """(project, module, names): exports of each module in order, joined by commas."""
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "name")))
-    return exported.groupBy("project", "module").agg(F.array_join(F.transform(ordered, lambda x: x["name"]), ", ").alias("names"))
+    """(project, text): what the package exports (``exports``), a line for each module that defines some of it."""
+    some = exported.where(F.contains("name", F.lit("."))).withColumns({"home": F.regexp_replace("name", r"\.[^.]+$", ""), "short": F.substring_index("name", ".", -1)})
+    lines = some.groupBy("project", "home").agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "short"))).alias("_names"))
+    lines = lines.select("project", "at", F.concat("home", F.lit(": "), F.array_join(F.transform("_names", lambda x: x["short"]), ", ")).alias("line"))
+    return _titled(lines, "Names the package exports, by the module that defines them:")
 
 
-def third_party_map(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """(project, module, names): third-party imports of each module, first mention first."""
+def third_party(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """(project, module, names): third-party imports of each module as they are written, first mention first."""
     asked = of_kind(rows, "import").select("project", "module", "is_package", F.col("name").alias("imported"), "ord")
     placed = place_imports(asked, files.select("project", "module"), ("project",)).where("kind = 'third_party'")
-    return api_map(placed.groupBy("project", "module", F.col("target").alias("name")).agg(F.min("ord").alias("ord")))
+    first = placed.groupBy("project", "module", "imported").agg(F.min("ord").alias("ord"))
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "imported")))
+    return first.groupBy("project", "module").agg(F.array_join(F.transform(ordered, lambda x: x["imported"]), ", ").alias("names"))
+
+
+def third_party_map(rows: DataFrame, files: DataFrame, budget: int) -> DataFrame:
+    """(project, text): ``third_party``, test code aside, cut after the last whole line within ``budget``."""
+    lines = third_party(rows.where(~is_test_name(F.col("module"))), files).select("project", F.col("module").alias("at"), F.concat("module", F.lit(": "), "names").alias("line"))
+    whole = _titled(lines, "Third-party imports, by module:")
+    return whole.select("project", F.when(F.length("text") <= budget, F.col("text")).otherwise(F.regexp_replace(F.substring("text", 1, budget), r"\n[^\n]*$", "")).alias("text"))
+
+
+def _titled(lines: DataFrame, title: str) -> DataFrame:
+    """(project, text): ``lines`` (project, at, line) in order under a title."""
+    ordered = F.array_sort(F.collect_list(F.struct("at", "line")))
+    return lines.groupBy("project").agg(F.concat_ws("\n", F.lit(title), F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")).alias("text"))
 
 
 def most_used_classes(edges: DataFrame, classes: DataFrame, k: int = 10) -> DataFrame:

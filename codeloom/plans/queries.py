@@ -377,6 +377,16 @@ def reach_counts(spark, sf):
     return graph.reach(tables.part_graph(spark, sf))
 
 
+@query("""WITH RECURSIVE m AS (SELECT max(p_partkey) + 1 AS n FROM part),
+e AS (SELECT p_partkey AS src, (3 * p_partkey + p_size) % n AS dst FROM part, m UNION SELECT p_partkey, (7 * p_partkey + p_size * p_size) % n FROM part, m),
+r AS (SELECT src AS node, dst AS seen FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.seen),
+n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)
+SELECT 'net' AS project, n.node, count(r.seen) FILTER (r.seen <> n.node) AS reach FROM n LEFT JOIN r ON r.node = n.node GROUP BY n.node""")
+def reach_net(spark, sf):
+    """Reach in one project of all parts, most of which reach each other."""
+    return graph.reach(tables.part_net(spark, sf))
+
+
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS src, 3 * p_partkey + p_size AS dst FROM part),
 n AS (SELECT src AS node FROM e UNION SELECT dst FROM e),
 r AS (SELECT src AS node, dst AS seen FROM e UNION SELECT r.node, e.dst FROM r JOIN e ON e.src = r.seen)
@@ -564,10 +574,10 @@ def section_contexts(spark, sf):
 
 
 @query(_MODULES + """, t AS (SELECT p.*, 'pkg' || CAST(o % 5 AS VARCHAR) AS head, 'pkg' || CAST(o % 5 AS VARCHAR) || '.m' || CAST(o AS VARCHAR) AS target FROM p)
-SELECT t.project, t.module, t.head AS names FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.project = t.project AND p.module = t.target)""")
+SELECT t.project, t.module, t.target || '.Thing' || CAST(t.o AS VARCHAR) AS names FROM t WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.project = t.project AND p.module = t.target)""")
 def third_party_map(spark, sf):
     files = tables.modules(spark, sf)
-    return structure.third_party_map(_facts(spark, sf, "imports"), files)
+    return structure.third_party(_facts(spark, sf, "imports"), files)
 
 
 @query(_MODULES + """, u AS (SELECT a.project, c.module || '.Thing' || CAST(c.k AS VARCHAR) AS cls, count(*) AS users FROM p a JOIN p c ON c.project = a.project AND c.k = a.o AND c.k <> a.k GROUP BY ALL)
@@ -659,6 +669,32 @@ def _tree_facts(spark, sf):
     return stored(calls.call_edges(rows), "edges"), defined, calls.lineage(calls.class_bases(rows, defined, calls.aliases(rows)))
 
 
+_SETS = """
+WITH p AS (SELECT p_partkey // 50 AS g, p_partkey AS k, (p_partkey % 50 * 7 + p_size) % 50 + p_partkey // 50 * 50 AS o, p_size % 10 AS shape FROM part),
+t AS (SELECT p.*, q.k IS NOT NULL AS i, q.o AS o2, r.k IS NOT NULL AS i2, 'app.m' || p.k || '.' AS m, 'app.m' || p.o || '.Part' || p.o AS other, 'app.m' || p.k || '.Part' || p.k AS own, 'app.m' || p.o || '.build' AS made, 'app.m' || q.o || '.Part' || q.o AS third
+  FROM p LEFT JOIN p q ON q.k = p.o LEFT JOIN p r ON r.k = q.o),
+c AS (SELECT g, m || 'use' AS caller, CASE WHEN i THEN other || '.start' ELSE 'start' END AS named FROM t WHERE shape = 0
+  UNION SELECT g, m || 'use', unnest([CASE WHEN i THEN other || '.start' ELSE 'start' END, CASE WHEN i THEN other || '.stop' ELSE 'stop' END, CASE WHEN i AND o <> k THEN 'stop' ELSE own || '.stop' END]) FROM t WHERE shape = 1
+  UNION SELECT g, m || 'use', unnest(['make', 'stop', 'start']) FROM t WHERE shape = 2
+  UNION SELECT g, m || 'use', unnest(CASE WHEN i THEN [made, other || '.again', other || '.stop', other || '.start'] ELSE ['make', 'again', 'stop', 'start'] END) FROM t WHERE shape = 3
+  UNION SELECT g, m || 'Box.__init__', CASE WHEN i THEN made ELSE 'make' END FROM t WHERE shape = 4
+  UNION SELECT g, m || 'Box.use', unnest([CASE WHEN i THEN other || '.start' ELSE 'start' END, CASE WHEN i AND i2 THEN third || '.stop' ELSE 'stop' END]) FROM t WHERE shape = 4
+  UNION SELECT g, m || 'use', unnest([CASE WHEN i THEN other ELSE 'P' END, own, CASE WHEN i AND o <> k THEN 'start' ELSE own || '.start' END]) FROM t WHERE shape = 5
+  UNION SELECT g, m || 'use', unnest(['make', 'start']) FROM t WHERE shape = 6
+  UNION SELECT g, m || 'Kid.start', unnest([CASE WHEN i THEN other || '.start' ELSE 'start' END, CASE WHEN i THEN other || '.stop' ELSE 'stop' END, CASE WHEN i AND i2 THEN third || '.start' ELSE 'start' END]) FROM t WHERE shape = 7
+  UNION SELECT g, m || 'use', unnest([CASE WHEN i THEN made ELSE 'build' END, CASE WHEN i THEN other || '.stop' ELSE 'stop' END, 'nothing']) FROM t WHERE shape = 8
+  UNION SELECT g, m || 'use', unnest([m || 'fetch', 'inner']) FROM t WHERE shape = 9
+  UNION SELECT g, m || 'use.inner', unnest([CASE WHEN i THEN other || '.stop' ELSE 'stop' END, 'make']) FROM t WHERE shape = 9)
+"""
+
+
+@query(_SETS + "SELECT 'set' || CAST(g AS VARCHAR) AS project, caller, named, contains(named, '.') AS is_internal FROM c")
+def shaped_calls(spark, sf):
+    """Calls of modules in ten shapes: names from names, unions, shadows, results, receivers, rebinding, inheritance, modules, closures."""
+    rows = stored(facts.facts(tables.shaped_modules(spark, sf), *calls.GROUPS), "facts", by="kind")
+    return calls.call_edges(rows).select("project", "caller", "named", "is_internal").distinct()
+
+
 @query(_TREES + "SELECT project, caller, named, contains(named, '.') AS is_internal FROM c")
 def tree_calls(spark, sf):
     """Calls through attributes, constructors, annotated results, super() and functions of other modules."""

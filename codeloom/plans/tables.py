@@ -43,6 +43,14 @@ def part_graph(spark, sf_dir) -> DataFrame:
     return p.select(F.col("p_brand").alias("project"), F.col("p_partkey").alias("ord"), (F.col("p_partkey") % 200).alias("src"), ((3 * F.col("p_partkey") + F.col("p_size")) % 200).alias("dst"))
 
 
+def part_net(spark, sf_dir) -> DataFrame:
+    """(project, src, dst): one project of all parts, each with two edges to any others, so that most reach each other; grows with the table."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    n = p.agg(F.max("k").alias("n"))
+    ends = F.explode(F.array((3 * F.col("k") + F.col("s")) % (F.col("n") + 1), (7 * F.col("k") + F.col("s") * F.col("s")) % (F.col("n") + 1)))
+    return p.join(F.broadcast(n)).select(F.lit("net").alias("project"), F.col("k").alias("src"), ends.alias("dst"))  # one row
+
+
 def part_chain(spark, sf_dir) -> DataFrame:
     """(project, ord, src, dst): one project of all parts, each with an edge to a later key; grows with the table."""
     p = table(spark, sf_dir, "part")
@@ -88,6 +96,34 @@ def part_trees(spark, sf_dir) -> DataFrame:
     return p.select("project", F.format_string("app.m%d", "j").alias("module"), F.lit(False).alias("is_package"), F.when(F.col("j") % 2 == 0, even).otherwise(odd).alias("content"), "j")
 
 
+#: What a module does with the class P and the function make of another, by turns; {k} is its own number, {o} the other's.
+SHAPES = (
+    "def use(e: P):\n    d = e\n    f = d\n    f.start()\n",
+    "def use(e: P | int, g: 'None | P', h: P | Part{k}):\n    e.start()\n    g.stop()\n    h.stop()\n",
+    "def use(make, *P, **rest):\n    make()\n    P.stop()\n    rest.start()\n",
+    "def use():\n    make().again().stop()\n    x = make().again()\n    x.start()\n",
+    "class Box:\n    def __init__(this):\n        this.held = make()\n\n    def use(this):\n        with this.held as h:\n            h.start()\n        this.held.twin.stop()\n",
+    "def use():\n    x = P()\n    x = Part{k}()\n    x.start()\n",
+    "def use(items, pair):\n    for make in items:\n        make()\n    P, _ = pair\n    P.start()\n",
+    "class Kid(P):\n    def start(self):\n        super().start()\n        self.stop()\n        self.twin.start()\n",
+    "import app.m{o}\n\n\ndef use():\n    app.m{o}.build()\n    app.m{o}.Part{o}.stop(None)\n    app.m{o}.nothing()\n",
+    "async def fetch() -> P: ...\n\n\nasync def use():\n    p = await fetch()\n\n    def inner(make):\n        p.stop()\n        make()\n    inner(1)\n",
+)
+
+
+def shaped_modules(spark, sf_dir) -> DataFrame:
+    """(project, module, is_package, content): a module for each part, fifty in a project, of the shape that its size says, and a package; it uses the module of another part."""
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(F.format_string("set%d", F.floor(k / 50)).alias("project"), k.alias("k"), ((k % 50 * 7 + F.col("p_size")) % 50 + F.floor(k / 50) * 50).alias("o"), (F.col("p_size") % len(SHAPES) + 1).cast("int").alias("shape"))
+    number = lambda c: F.col(c).cast("string")
+    head = F.format_string("from app.m%d import Part%d as P, build as make\n\n\n", "o", "o")
+    own = F.format_string('class Part%d:\n    def start(self): ...\n    def stop(self): ...\n    def again(self) -> "Part%d": ...\n    @property\n    def twin(self) -> P: ...\n\n\ndef build() -> Part%d: ...\n\n\n', "k", "k", "k")
+    body = F.element_at(F.array(*map(F.lit, SHAPES)), F.col("shape"))
+    text = F.concat(head, own, F.replace(F.replace(body, F.lit("{k}"), number("k")), F.lit("{o}"), number("o")))
+    made = p.select("project", F.format_string("app.m%d", "k").alias("module"), F.lit(False).alias("is_package"), text.alias("content"))
+    return made.unionByName(p.select("project", F.lit("app").alias("module"), F.lit(True).alias("is_package"), F.lit("").alias("content")).distinct())
+
+
 def diagram_lines(spark, sf_dir) -> DataFrame:
     """(diagram_id, diagram_type, line_no, line): a small diagram for each part, flawed by turns."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("diagram_id"), F.col("p_partkey").alias("k"), F.col("p_size").alias("s"), F.col("p_name").alias("n"))

@@ -179,7 +179,7 @@ def test_structure(spark, rows):
 
     files = spark.createDataFrame([("p", "shop", True, "from .models import Order\nfrom shop.api import place, Order"), ("p", "shop.models", False, ""), ("p", "shop.api", False, "")], "project string, module string, is_package boolean, content string")
     found = structure.exports(facts.facts(files), files)
-    assert [tuple(r) for r in structure.api_map(found).collect()] == [("p", "shop", "Order, place")]
+    assert [tuple(r) for r in structure.api_map(found).collect()] == [("p", "Names the package exports, by the module that defines them:\nshop.models: Order\nshop.api: place, Order")]
     order = spark.createDataFrame([("p", "B", 0, "B"), ("p", "B", 1, "A"), ("p", "C", 0, "C"), ("p", "C", 1, "A")], "project string, cls string, ord int, base string")
     firsts = spark.createDataFrame([("p", 0, "B"), ("p", 1, "C")], "project string, ord int, cls string")
     assert [r["cls"] for r in structure.key_classes(firsts, order).orderBy("ord").collect()] == ["B", "A", "C"]

@@ -9,7 +9,7 @@ FILES = {
     "app": (True, "from .core import Engine\nfrom .core import _Hidden\nimport numpy\n"),
     "app.core": (False, "import os\nfrom app.parts import Wheel\n\nclass Base:\n    def stop(self): return 0\n\nclass Engine(Base):\n    wheel = Wheel\n    spare = Wheel()\n    def start(self):\n        self.stop()\n        self.turn()\n    def turn(self):\n        return read()\n\nclass _Hidden:\n    pass\n\ndef read():\n    return os.getenv('A')\n"),
     "app.parts": (False, "class Round:\n    pass\n\nclass Wheel(Round):\n    pass\n"),
-    "tests.test_core": (False, "from app.core import Engine\n\ndef test_start():\n    e = Engine()\n    e.start()\n"),
+    "tests.test_core": (False, "import os, pytest\nfrom app.core import Engine\n\ndef env():\n    return os.environ\n\ndef test_start():\n    e = Engine()\n    e.start()\n"),
 }
 
 
@@ -22,14 +22,15 @@ def test_candidates_of_sections(spark):
     taken = {r["section"]: r["taken"] for r in sections.contexts(found).collect()}
     core = "app.core."  # turn reaches read, so it comes before stop; of those that reach nothing, the one found first
     assert taken == {
-        "overview": ["app", core + "Engine.start", core + "Engine.turn", core + "Engine", core + "Base"],
-        "dependencies": ["app"],
-        "key classes and functions": [core + "Engine", core + "Base"],
+        "overview": ["api", core + "Engine.start", core + "Engine.turn", core + "Engine", core + "Base", core + "_Hidden"],
+        "dependencies": ["imports"],
+        "key classes and functions": [core + "Engine", core + "Base", core + "_Hidden"],
         "data flow": [core + "Engine.start", core + "Engine.turn", core + "Base.stop", core + "read"],
-        "integration points": ["app", core + "Engine.start", core + "Engine.turn", "app.parts.Wheel", "app.parts.Round", core + "read"],
+        "integration points": ["api", core + "Engine.start", core + "Engine.turn", "app.parts.Wheel", "app.parts.Round", core + "read"],
     }
-    texts = {r["name"]: r["text"] for r in found.where("section = 'overview'").collect()}
-    assert texts["app"] == "app: Engine, _Hidden"
+    texts = {r["name"]: r["text"] for r in found.collect()}
+    assert texts["api"] == "Names the package exports, by the module that defines them:\napp.core: Engine, _Hidden"
+    assert texts["imports"] == "Third-party imports, by module:\napp: numpy"
 
 
 def test_selection_of_sections(spark):
@@ -88,11 +89,19 @@ def test_index_and_sections_are_kept(spark, tmp_path):
     assert {tuple(r) for r in chunks.read().collect()} == {("c", "c1")} and made == [["a", "b"], ["b", "c"], ["c"]]
 
     cache = incremental.Store(spark, f"{tmp_path}/sections", "section string, key_hash string, content string")
-    generate = lambda due: due.selectExpr("section", "key_hash", "concat(section, key_hash) as content", "section = 'cut' as truncated")
+    calls_ = spark.sparkContext.accumulator(0)
+
+    def model(batches):
+        for batch in batches:
+            calls_.add(batch.num_rows)
+            yield batch
+
+    generate = lambda due: due.mapInArrow(model, due.schema).selectExpr("section", "key_hash", "concat(section, key_hash) as content", "section = 'cut' as truncated")
     wanted = lambda key: spark.createDataFrame([("flow", key), ("cut", key)], "section string, key_hash string")
     runs = [{(r["section"], r["content"], r["cached"]) for r in incremental.run_sections(cache, wanted(k), generate, refresh).collect()} for k, refresh in (("1", False), ("1", False), ("2", False), ("2", True))]
     assert runs == [{("flow", "flow1", False), ("cut", "cut1", False)}, {("flow", "flow1", True), ("cut", "cut1", False)}, {("flow", "flow2", False), ("cut", "cut2", False)}, {("flow", "flow2", False), ("cut", "cut2", False)}]
     assert {tuple(r) for r in cache.read().collect()} == {("flow", "2", "flow2")}
+    assert calls_.value == 2 + 1 + 2 + 2  # once for each section that isn't cached
 
 
 def best_first_by_hand(follow, reach, start, most):
