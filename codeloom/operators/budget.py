@@ -9,34 +9,54 @@ from pyspark.sql.window import Window
 from .store import stored
 
 
+#: Items of a group that one round folds.
+ROUND = 4096
+
+
 def greedy_fill(rows: DataFrame, group: str, order: str, key: str, size: str, budget: int, limit: int | None = None) -> DataFrame:
     """(``group``, taken): keys in order; one that is empty or no longer fits is skipped, and later ones may still fit.
 
     A skipped item uses no budget, so a running sum would be wrong; the state is
-    folded over the group's ordered items (key and size only), of which
-    ``limit`` are looked at. Items over the whole budget, and without a
-    ``limit`` empty ones, are gone before anything is gathered; so a group's
-    list is as long as its items that could fit, which is not bounded unless
-    there is a ``limit``.
+    folded over the group's ordered items (key and size only), of which ``limit``
+    are looked at. A round folds the first ROUND items of each group and hands on
+    what they left of the budget; items that no longer fit in that go, wherever they
+    stand, and the next round begins with the first that still does. What is
+    gathered is ROUND items of a group, and its taken keys, at most ``budget`` of
+    them, however long the group is; there are few rounds, as each leaves only
+    items that fit in what is left.
     """
     rows = rows.where(F.col(size).isNotNull())
     if limit is not None:
         rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(order, key, size))).where(F.col("_place") <= limit)
-    groups = rows.select(group).distinct()
-    rows = rows.where(F.col(size).between(1, budget))
-    items = F.array_sort(F.collect_list(F.struct(order, key, size)))
-    kind = rows.schema[key].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{kind}>").alias("taken"))
-
-    def step(state, item):
-        fits = (item[size] > 0) & (state["used"] + item[size] <= budget)
-        return F.struct(
-            F.when(fits, state["used"] + item[size]).otherwise(state["used"]).cast("long").alias("used"),
-            F.when(fits, F.concat(state["taken"], F.array(item[key]))).otherwise(state["taken"]).alias("taken"),
-        )
-
-    found = rows.groupBy(F.col(group).alias("_g")).agg(F.aggregate(items, start, step, lambda s: s["taken"]).alias("taken"))
-    return groups.join(found, groups[group].eqNullSafe(found["_g"]), "left").select(group, F.coalesce("taken", F.array().cast(f"array<{kind}>")).alias("taken"))
+    rows = rows.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col(key).alias("_k"), F.col(size).cast("long").alias("_s"))
+    groups = rows.select("_g").distinct()
+    left = stored(rows.where(F.col("_s").between(1, budget)).withColumn("_m", F.monotonically_increasing_id()), "fill")
+    kind = left.schema["_k"].dataType.simpleString()
+    item = ("_o", "_k", "_s", "_m")  # the last tells equal ones apart
+    used, taken, nth = left.select("_g").distinct().withColumn("_used", F.lit(0).cast("long")), [], 0
+    while not left.isEmpty():
+        nth += 1
+        place = F.row_number().over(Window.partitionBy("_g").orderBy(*item))
+        first = left.withColumn("_place", place).where(F.col("_place") <= ROUND).groupBy("_g").agg(F.array_sort(F.collect_list(F.struct(*item))).alias("items"))
+        first = first.join(used.withColumnRenamed("_g", "_h"), F.col("_g").eqNullSafe(F.col("_h"))).drop("_h")
+        start = F.struct(F.col("_used").alias("used"), F.array().cast(f"array<{kind}>").alias("taken"))
+
+        def step(state, one):
+            fits = state["used"] + one["_s"] <= budget
+            return F.struct(F.when(fits, state["used"] + one["_s"]).otherwise(state["used"]).alias("used"), F.when(fits, F.array_append(state["taken"], one["_k"])).otherwise(state["taken"]).alias("taken"))
+
+        folded = first.select("_g", F.aggregate("items", start, step).alias("state"), F.element_at("items", -1).alias("last"))
+        folded = stored(folded.select("_g", F.col("state.used").alias("_used"), F.col("state.taken").alias("taken"), "last"), "fill")
+        taken.append(folded.select("_g", F.struct(F.lit(nth).alias("nth"), "taken").alias("some")))
+        used = folded.select("_g", "_used")
+        behind = folded.select(F.col("_g").alias("_h"), (F.lit(budget) - F.col("_used")).alias("_room"), "last")
+        met = left.join(behind, F.col("_g").eqNullSafe(F.col("_h")))
+        left = stored(met.where((F.col("_s") <= F.col("_room")) & (F.struct(*item) > F.col("last"))).select(*left.columns), "fill")
+    found = groups.withColumn("some", F.lit(None).cast(f"struct<nth:int,taken:array<{kind}>>"))
+    for some in taken:
+        found = found.unionByName(some)
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list("some")), lambda x: x["taken"]))
+    return found.groupBy("_g").agg(whole.alias("taken")).select(F.col("_g").alias(group), "taken")
 
 
 def running_cut(rows: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:

@@ -24,41 +24,6 @@ def query(sql: str | None = None):
     return add
 
 
-NATION_SQL = """
-WITH e AS (
-  SELECT DISTINCT a.n_name AS src, b.n_name AS dst
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
-    JOIN supplier ON l_suppkey = s_suppkey JOIN nation a ON a.n_nationkey = c_nationkey JOIN nation b ON b.n_nationkey = s_nationkey
-  WHERE o_orderstatus = 'F' AND o_totalprice > 300000 AND l_quantity >= 45),
-d AS (SELECT node, CAST(count(*) AS BIGINT) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node),
-top AS (SELECT node, degree FROM d ORDER BY degree DESC, node LIMIT 10)
-"""
-
-
-@query(NATION_SQL + "SELECT node, degree FROM top")
-def degree_top_k(spark, sf):
-    return graph.most_connected(tables.nation_edges(spark, sf), 10)
-
-
-@query(NATION_SQL + "SELECT src, dst FROM e WHERE src IN (SELECT node FROM top) AND dst IN (SELECT node FROM top)")
-def induced_edges(spark, sf):
-    edges = tables.nation_edges(spark, sf)
-    return graph.induced(edges, graph.most_connected(edges, 10))
-
-
-@query(NATION_SQL + "SELECT count(*) AS n_nodes, count(*) > 10 AS truncated, CASE WHEN count(*) > 10 THEN 'the 10 most connected nodes' END AS note FROM d")
-def truncation_note(spark, sf):
-    return graph.truncation(tables.nation_edges(spark, sf), 10)
-
-
-@query(NATION_SQL + """, n AS (SELECT n_name AS node, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey)
-SELECT g.region, x.target FROM (SELECT DISTINCT region FROM n) g LEFT JOIN (
-  SELECT DISTINCT a.region, b.region AS target FROM e JOIN n a ON a.node = src JOIN n b ON b.node = dst WHERE a.region <> b.region) x ON x.region = g.region""")
-def edge_rollup_keep_isolated(spark, sf):
-    nodes = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("node"), F.col("r_name").alias("region"))
-    return graph.roll_up(tables.nation_edges(spark, sf), nodes, "region")
-
-
 TRADE_SQL = """
 WITH e AS (SELECT DISTINCT 'c' || CAST(o_custkey AS VARCHAR) AS src, 's' || CAST(l_suppkey AS VARCHAR) AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
 d AS (SELECT node, CAST(count(*) AS BIGINT) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node)
@@ -321,30 +286,17 @@ def running_cut(spark, sf):
     return budget.running_cut(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), "source", ["doc_id"], "n_chars", 12_000)
 
 
-_NEAR = """
-WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings c ON q.vec_id < 3),
+_NEAR_ALL = """
+WITH s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 9) AS score FROM embeddings q JOIN embeddings c ON q.vec_id % 100 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 """
 
 
-_NEAR_ALL = _NEAR.replace("q.vec_id < 3", "q.vec_id % 100 = 0")
-
-
-def _questions(spark, sf, which="vec_id < 3"):
+def _questions(spark, sf, which):
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     return v.where(which).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), v
 
 
-@query(_NEAR + "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10")
-def similarity_top_k(spark, sf):
-    return retrieval.nearest(*_questions(spark, sf), 10).drop("v").withColumn("score", F.round("score", 6))
-
-
-@query(_NEAR + "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10 AND score >= 0.2")
-def similarity_threshold(spark, sf):
-    return retrieval.nearest(*_questions(spark, sf), 10, 0.2).drop("v").withColumn("score", F.round("score", 6))
-
-
 @query(_NEAR_ALL + "SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10")
 def similarity_top_k_all(spark, sf):
     return retrieval.nearest(*_questions(spark, sf, "vec_id % 100 = 0"), 10).drop("v").withColumn("score", F.round("score", 6))
@@ -412,14 +364,6 @@ def entry_walk(spark, sf):
     return graph.best_first(edges, reached, graph.entry_points(edges, reached))
 
 
-@query()
-def sequence_plan(spark, sf):
-    named = lambda c: F.concat(F.lit("c"), (F.col(c) % 10).cast("string"), F.lit(".f"), F.col(c).cast("string"))
-    edges = tables.part_graph(spark, sf).select("project", "ord", named("src").alias("src"), named("dst").alias("dst"))
-    entries = graph.entry_points(edges, graph.reach(edges))
-    return sequence.plan(edges.withColumnsRenamed({"src": "caller", "dst": "callee"}), entries)
-
-
 @query("""WITH w AS (SELECT doc_id, text, unnest(range(0, CAST(greatest(0, ceil((length(text) - 2000) / 1800.0)) AS BIGINT) + 1)) AS chunk FROM documents WHERE length(text) > 0)
 SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, md5(substr(text, chunk * 1800 + 1, 2000)) AS digest FROM w""")
 def chunk_windows(spark, sf):

@@ -10,18 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def nation_edges(spark, sf_dir) -> DataFrame:
-    """(src, dst): nation of the customer to nation of the supplier, for large lines of dear finished orders only, as its queries' SQL says."""
-    t = lambda n: table(spark, sf_dir, n)
-    orders = t("orders").where("o_orderstatus = 'F' and o_totalprice > 300000")
-    buyers = orders.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
-    lines = t("lineitem").where("l_quantity >= 45").join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).select("l_suppkey", "c_nationkey")
-    sold = lines.join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("c_nationkey", "s_nationkey").distinct()
-    names = t("nation").select("n_nationkey", "n_name")
-    a, b = names.toDF("c_nationkey", "src"), names.toDF("s_nationkey", "dst")
-    return sold.join(F.broadcast(a), "c_nationkey").join(F.broadcast(b), "s_nationkey").select("src", "dst")  # nation: 25 rows at every scale
-
-
 def trade_edges(spark, sf_dir) -> DataFrame:
     """(src, dst): customer to supplier, for every line of every order; grows with the tables."""
     t = lambda n: table(spark, sf_dir, n)

@@ -3,6 +3,8 @@
 import time
 
 import numpy as np
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,22 @@ def test_greedy_fill_goes_on_after_a_skip(spark):
     assert budget.greedy_fill(rows, "g", "o", "k", "n", 10).first()["taken"] == ["a", "d"]
 
 
+def test_long_groups_are_filled_in_rounds(spark):
+    rng = random.Random(2)
+    n = 2 * budget.ROUND + 500  # one round of small ones that stay, then sizes that fit less and less; one group is null
+    rows = [(g, k, f"{g}{k}", rng.choice([0, 1, 1, 2, 900, 40_000]) if k > 100 else rng.choice([900, 2000])) for g in ("a", None) for k in range(n)] + [("b", 1, "b1", None), ("c", 1, "c1", 0)]
+    rows += [("same", 1, "twin", 3)] * 5000
+    want = {"b": None, "c": []}
+    for g in ("a", None, "same"):
+        used, taken = 0, []
+        for _, _, k, s in sorted(r for r in rows if r[0] == g) if g else sorted((r for r in rows if r[0] is None), key=lambda r: r[1:]):
+            if s and used + s <= 100_000:
+                used, taken = used + s, [*taken, k]
+        want[g] = taken
+    found = {r["g"]: r["taken"] for r in budget.greedy_fill(spark.createDataFrame(rows, "g string, o int, k string, n int"), "g", "o", "k", "n", 100_000).collect()}
+    assert {g: found.get(g) for g in want} == want
+
+
 def test_context_without_excerpts_is_not_cut(spark):
     schema = "g string, ord int, source string, text string"
     chunks = spark.createDataFrame([("g", 1, "f", "x" * 50), ("g", 2, "f", "head\nmore")], schema)
