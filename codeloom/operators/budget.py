@@ -10,7 +10,7 @@ from .store import stored
 
 
 #: Items of a group that one round folds.
-ROUND = 4096
+ROUND = 1000  # Spark cuts windows to so many rows before it moves them
 
 
 def greedy_fill(rows: DataFrame, group: str, order: str, key: str, size: str, budget: int, limit: int | None = None) -> DataFrame:

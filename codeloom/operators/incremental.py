@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from .store import stored
+from .store import stored, work_path
+from .versions import Conflict, Store
 
+__all__ = ["Conflict", "Store", "cache_stats", "classify", "invalidate", "keep_and_append", "missing", "ordered_hash", "project_key", "reusable", "run_sections", "settings_key", "suspects", "update_index", "work_path"]
 FRESH_SECONDS = 2.0
 
 
@@ -70,58 +69,26 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("entries"), F.coalesce(F.sum(F.octet_length("content")), F.lit(0)).alias("bytes"))
 
 
-class Store:
-    """A table of a project's state (file states, sections, chunks) that is replaced as a whole.
-
-    Each version is a folder of its own below ``path``, and a row of the table
-    of versions makes it the current one once it is written, so a job that
-    dies leaves the last one. Older versions stay, for readers that still use them.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _versions(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema("version int, folder string").parquet(f"{self.path}/versions")
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-
-    def _last(self):
-        found = self._versions()
-        return None if found is None else found.orderBy(F.desc("version"), "folder").first()
-
-    def read(self) -> DataFrame | None:
-        """The current rows, null if nothing was ever written."""
-        last = self._last()
-        return None if last is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/{last['folder']}")
-
-    def write(self, rows: DataFrame) -> None:
-        last, folder = self._last(), f"rows-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{folder}")
-        version = 1 if last is None else last["version"] + 1
-        self.spark.createDataFrame([(version, folder)], "version int, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/versions")
-
-
 def update_index(states: Store, chunks: Store, current: DataFrame, fresh, refresh: bool = False) -> DataFrame:
     """Bring ``chunks`` up to date with ``current`` (path, content_hash) and give (path, status).
 
-    ``fresh`` makes chunks (path, ...) of the paths it is given. Without a table,
-    or to ``refresh``, all are made anew; if nothing changed, nothing is written.
+    ``fresh`` makes chunks (path, ...) of the paths it is given. Without a table
+    that can be read, or to ``refresh``, all are made anew; if nothing changed,
+    nothing is written. If another writer is faster ``Conflict`` is raised, and
+    states never tell of chunks that aren't there: they are written last.
     """
+    at = [max(s.versions(), default=0) for s in (states, chunks)]
     known, held = (None, None) if refresh else (states.read(), chunks.read())
     if known is None or held is None:
         statuses = current.select("path", F.lit("new").alias("status"))
-        chunks.write(fresh(current))
+        chunks.write(fresh(current), at[1])
     else:
         statuses = classify(current, known)
         if statuses.where("status <> 'unchanged'").isEmpty():
             return statuses
         due = current.join(statuses.where("status in ('new', 'changed')").select("path"), "path", "left_semi")
-        chunks.write(keep_and_append(held, fresh(due), statuses))
-    states.write(current)
+        chunks.write(keep_and_append(held, fresh(due), statuses), at[1])
+    states.write(current, at[0])
     return statuses
 
 

@@ -5,21 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write ``df`` below the cluster's shared checkpoint folder (a temporary one only where none is set on a local master) and read it again.
-
-    ``by`` parts the table into folders by a column of few values, so that readers of some values open only theirs.
-    """
-    spark = df.sparkSession
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the cluster's shared checkpoint folder (a temporary one only where none is set on a local master)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` below the shared folder and read it again.
+
+    ``by`` parts the table into folders by a column of few values, so that readers of some values open only theirs.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, name)
     (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])

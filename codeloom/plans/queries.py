@@ -249,6 +249,29 @@ def cache_invalidate(spark, sf):
     return incremental.invalidate(cache, t.where("turn in (2, 5)").select(F.col("turn").alias("path")).distinct()).select("section")
 
 
+@query("""SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 5 = 0 THEN 'new' WHEN doc_id % 3 = 0 THEN 'changed' ELSE 'unchanged' END AS status, md5(text) AS digest FROM documents
+UNION ALL SELECT 'old' || CAST(doc_id AS VARCHAR), 'deleted', NULL FROM documents WHERE doc_id % 7 = 0""")
+def index_upkeep(spark, sf):
+    """Two runs over an index that is kept: documents as they were before, then as they are; statuses of the second, and what the index holds."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    files = lambda path, content: F.struct(path.alias("path"), content.alias("content"))
+    number = F.col("doc_id").cast("string")
+    then = docs.select(F.explode(F.filter(F.array(
+        F.when(F.col("doc_id") % 5 != 0, files(number, F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("before "), "text")).otherwise(F.col("text")))),
+        F.when(F.col("doc_id") % 7 == 0, files(F.concat(F.lit("old"), number), F.lit("gone"))),
+    ), lambda f: f.isNotNull())).alias("f")).select("f.*")
+    now = docs.select(files(number, F.col("text")).alias("f")).select("f.*")
+    base = incremental.work_path(spark, "index")
+    states = incremental.Store(spark, f"{base}/states", "path string, content_hash string")
+    chunks = incremental.Store(spark, f"{base}/chunks", "path string, digest string")
+    for content in (then, now):
+        hashed = content.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
+        digests = content.select("path", F.md5("content").alias("digest"))
+        statuses = incremental.update_index(states, chunks, hashed, lambda due, d=digests: d.join(due.select("path"), "path", "left_semi"))
+        statuses = stored(statuses, "statuses") if content is now else statuses
+    return statuses.join(chunks.read(), "path", "left")
+
+
 @query("SELECT DISTINCT source, substr(sha256(source), 1, 16) AS key FROM documents")
 def project_keys(spark, sf):
     return table(spark, sf, "documents").select("source").distinct().withColumn("key", incremental.project_key(F.col("source")))
