@@ -73,9 +73,10 @@ def running_cut(rows: DataFrame, group: str, order: list[str], size: str, budget
     return out.withColumn("before", F.col("_start") + F.col("_within")).withColumn("kept", kept).select(*rows.columns, "before", "kept")
 
 
-def cut_at_line(text, budget: int):
-    """A text over ``budget`` characters, cut after its last whole line within it."""
-    head = F.substring(text, 1, budget)
+def cut_at_line(text, budget):
+    """A text over ``budget`` (a number or column) characters, cut after its last whole line within it."""
+    budget = F.lit(budget) if isinstance(budget, int) else budget
+    head = F.substring(text, F.lit(1), budget)
     return F.when(F.length(text) <= budget, text).otherwise(F.concat(F.regexp_replace(head, r"[^\n]*$", ""), F.lit("... (cut off)")))
 
 

@@ -61,3 +61,17 @@ def neighbours(rows: DataFrame, group: str, order: str, value: str) -> DataFrame
 def find(components: DataFrame, name: str | None = None, kind: str | None = None) -> DataFrame:
     """The rows of ``registry`` of a name, of a type, or of both."""
     return components.where(F.lit(True) if name is None else F.col("name") == name).where(F.lit(True) if kind is None else F.col("type") == kind)
+
+
+def package_of(name, is_package):
+    """The package that a module belongs to: itself if it is one, or stands in none."""
+    return F.when(is_package, name).otherwise(F.regexp_replace(name, r"\.[^.]+$", ""))
+
+
+def package_edges(placed: DataFrame, files: DataFrame) -> DataFrame:
+    """(project, src, dst, kind): which packages import which packages or third parties, by ``placed`` imports (``names.place_imports``) of ``files``; none itself."""
+    homes = files.select("project", F.col("module").alias("target"), package_of(F.col("module"), F.col("is_package")).alias("_home"))
+    met = placed.where("kind in ('internal', 'third_party')").join(homes, ["project", "target"], "left")
+    dst = F.when(F.col("kind") == "internal", F.col("_home")).otherwise(F.col("target"))
+    edges = met.select("project", package_of(F.col("module"), F.col("is_package")).alias("src"), dst.alias("dst"), "kind")
+    return edges.where("src <> dst").distinct()

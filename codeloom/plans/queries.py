@@ -593,10 +593,7 @@ def dependency_diagram(spark, sf):
     files = tables.modules(spark, sf)
     rows = facts.of_kind(_facts(spark, sf, "imports"), "import").select("project", "module", "is_package", F.col("name").alias("imported"))
     placed = names.place_imports(rows, files.select("project", "module"), ("project",))
-    package = lambda c: F.regexp_replace(c, r"\.[^.]+$", "")
-    dst = F.when(F.col("kind") == "internal", package(F.col("target"))).otherwise(F.col("target"))
-    edges = placed.where("kind in ('internal', 'third_party')").select("project", package(F.col("module")).alias("src"), dst.alias("dst"), "kind").where("src <> dst").distinct()
-    return diagrams.dependency(edges)
+    return diagrams.dependency(xref.package_edges(placed, files))
 
 
 @query(_MODULES + """, f AS (SELECT project, 'Thing' || CAST(k AS VARCHAR) AS id, 'Thing' || CAST(o AS VARCHAR) AS base, row_number() OVER (PARTITION BY project ORDER BY module, 'Thing' || CAST(k AS VARCHAR)) AS r FROM p),

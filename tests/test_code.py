@@ -150,13 +150,13 @@ def test_entry_point_leaves_tests_out(spark):
 
 
 def test_tree_keeps_packages_and_prunes(spark, tmp_path):
-    for path, text in {"p/__init__.py": "", "p/a.py": "x = 1\r\n", "p/empty.py": " ", "p/_b.py": "y", "venv/c.py": "z", "q/pyvenv.cfg": "", "q/d.py": "w", "gen/e_gen.py": "v"}.items():
+    for path, text in {"p/__init__.py": "", "p/a.py": "x = 1\r\n", "p/empty.py": "", "p/blank.py": " ", "p/_b.py": "y", "venv/c.py": "z", "q/pyvenv.cfg": "", "q/d.py": "w", "gen/e_gen.py": "v"}.items():
         (tmp_path / path).parent.mkdir(exist_ok=True)
         (tmp_path / path).write_bytes(text.encode())
     (tmp_path / "p/bad.py").write_bytes(b"\xff\xfe")
     (tmp_path / "out.py").symlink_to("/etc/hostname")
     good, bad = read_tree(spark, str(tmp_path), exclude=("*_gen.py",))
-    assert {r["path"]: r["content"] for r in good.collect()} == {"p/__init__.py": "", "p/a.py": "x = 1\n", "p/_b.py": "y"}
+    assert {r["path"]: r["content"] for r in good.collect()} == {"p/__init__.py": "", "p/a.py": "x = 1\n", "p/_b.py": "y", "p/blank.py": " "}
     assert {r["path"] for r in bad.collect()} == {"p/empty.py", "p/bad.py"}
 
 
