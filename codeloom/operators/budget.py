@@ -80,10 +80,33 @@ def cut_at_line(text, budget):
     return F.when(F.length(text) <= budget, text).otherwise(F.concat(F.regexp_replace(head, r"[^\n]*$", ""), F.lit("... (cut off)")))
 
 
+def _anchor(line):
+    """The longest word of a line that has blanks on both sides in it; so a text that holds the line has it as a word. Null if there is none."""
+    words = F.split(line, " ")
+    inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.lit(0), F.size(words) - 2)), lambda w: w != "")
+    return F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+
+
 def drop_repeats(chunks: DataFrame, excerpts: DataFrame) -> DataFrame:
-    """``chunks`` (source, text) that hold the first line of no excerpt (source, text) of their source."""
+    """``chunks`` (source, text) that hold the first line of no excerpt (source, text) of their source.
+
+    A line is looked for only in chunks that have its anchor, one of its inner
+    words, which source and word find in a join; lines without inner words, of
+    two words at most, are looked for in all chunks of their source.
+    """
     first = excerpts.select(F.col("source").alias("_source"), F.element_at(F.split(F.trim("text"), "\n"), 1).alias("_line")).where("_line <> ''").distinct()
-    return chunks.join(first, (F.col("source") == F.col("_source")) & F.contains(F.col("text"), F.col("_line")), "left_anti")
+    lines = stored(first.withColumn("_anchor", _anchor(F.col("_line"))), "lines")
+    held = stored(chunks.withColumn("_m", F.monotonically_increasing_id()), "chunks")
+    words = held.select(F.col("source").alias("_source"), "_m", F.explode(F.array_distinct(F.split("text", " "))).alias("_anchor"))
+    wanted = lines.where("_anchor is not null")
+    words = words.join(wanted.select("_source", "_anchor").distinct(), ["_source", "_anchor"], "left_semi")
+    near = words.join(wanted, ["_source", "_anchor"]).select("_m", "_line")
+    found = held.select("_m", "text").join(near, "_m").where(F.contains(F.col("text"), F.col("_line"))).select("_m")
+    short = lines.where("_anchor is null")
+    if not short.isEmpty():
+        plain = held.join(short, (F.col("source") == F.col("_source")) & F.contains(F.col("text"), F.col("_line"))).select("_m")
+        found = found.unionByName(plain)
+    return held.join(found.distinct(), "_m", "left_anti").select(*[f"`{c}`" for c in chunks.columns])
 
 
 def assemble(excerpts: DataFrame, chunks: DataFrame, group: str, budget: int) -> DataFrame:

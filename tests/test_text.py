@@ -65,6 +65,19 @@ def test_long_groups_are_filled_in_rounds(spark):
     assert {g: found.get(g) for g in want} == want
 
 
+def test_repeats_are_found_by_their_anchors(spark):
+    rng = random.Random(7)
+    words = ["a", "bb", "ccc", "dd", "e.e", "", "f\tg"]
+    line = lambda n: " ".join(rng.choices(words, k=n))
+    excerpts = [(rng.choice("xy"), "  " + line(rng.randrange(1, 7)) + rng.choice(["", "\nmore"])) for _ in range(60)] + [("x", ""), ("z", "a bb"), (None, "a")]
+    chunks = [(k, rng.choice(["x", "y", "z", None]), rng.choice(["", "\n"]).join([line(rng.randrange(0, 9)), line(3)])) for k in range(400)]
+    chunks += [(400, "x", None)]
+    lines = {(s, t.strip(" ").split("\n")[0]) for s, t in excerpts if t.strip(" ").split("\n")[0]}
+    want = {k for k, s, t in chunks if not any(s == of and s is not None and t is not None and text_ in t for of, text_ in lines)}
+    found = budget.drop_repeats(spark.createDataFrame(chunks, "k int, source string, text string"), spark.createDataFrame(excerpts, "source string, text string"))
+    assert found.columns == ["k", "source", "text"] and {r["k"] for r in found.collect()} == want and 100 < len(want) < 400
+
+
 def test_context_without_excerpts_is_not_cut(spark):
     schema = "g string, ord int, source string, text string"
     chunks = spark.createDataFrame([("g", 1, "f", "x" * 50), ("g", 2, "f", "head\nmore")], schema)
