@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from .store import stored, work_path
 from .versions import Conflict, Store
 
-__all__ = ["Conflict", "Store", "cache_stats", "classify", "invalidate", "keep_and_append", "missing", "ordered_hash", "project_key", "reusable", "run_sections", "settings_key", "suspects", "update_index", "work_path"]
+__all__ = ["Conflict", "Store", "cache_stats", "classify", "invalidate", "keep_and_append", "missing", "ordered_hash", "project_key", "reusable", "part_digests", "run_sections", "section_hashes", "suspects", "update_index", "work_path"]
 FRESH_SECONDS = 2.0
 
 
-def suspects(current: DataFrame, known: DataFrame) -> DataFrame:
-    """``current`` (path, mtime, size) that a look at time and size can't call unchanged: their contents must be hashed."""
+def suspects(current: DataFrame, known: DataFrame, hash_only: bool = False) -> DataFrame:
+    """``current`` (path, mtime, size) that a look at time and size can't call unchanged, or all if ``hash_only``: their contents must be hashed."""
+    if hash_only:
+        return current
     k = known.select("path", F.col("mtime").alias("_m"), F.col("size").alias("_s"), F.col("last_analyzed").alias("_a"))
     same = (F.col("mtime") == F.col("_m")) & (F.col("size") == F.col("_s")) & (F.col("_a") - F.col("mtime") > FRESH_SECONDS)
     return current.join(k, "path", "left").where(~F.coalesce(same, F.lit(False))).select(*current.columns)
@@ -41,9 +43,34 @@ def ordered_hash(rows: DataFrame, group: str, order: str, value: str) -> DataFra
     return rows.groupBy(group).agg(F.sha2(text.cast("binary"), 256).alias("hash"))
 
 
-def settings_key(settings: dict[str, str]):
-    """One literal for the settings that generated content depends on."""
-    return F.lit("\u0000".join(f"{k}={settings[k]}" for k in sorted(settings)))
+def part_digests(files: DataFrame, rows: DataFrame) -> DataFrame:
+    """(project, path, part, digest) of ``files`` (project, module, content) by what a section may depend on: ``all`` its content, ``imports``, or ``entities`` (name, kind and docstring of each, by name), from ``rows`` (facts)."""
+    path = F.col("module").alias("path")
+    digest = lambda v: F.sha2(v.cast("binary"), 256).alias("digest")
+    lines = lambda c: F.array_join(F.array_sort(F.collect_list(c)), "\n")
+    whole = files.select("project", path, F.lit("all").alias("part"), digest(F.col("content")))
+    some = rows.groupBy("project", "module").agg(
+        lines(F.when(F.col("kind") == "import", F.col("name"))).alias("imports"),
+        lines(F.when(F.col("kind") == "entity", F.concat_ws("\u0000", "name", "flags", "value"))).alias("entities"),
+    )
+    some = files.select("project", "module").join(some, ["project", "module"], "left")
+    parts = [some.select("project", path, F.lit(p).alias("part"), digest(F.coalesce(p, F.lit("")))) for p in ("imports", "entities")]
+    return whole.unionByName(parts[0]).unionByName(parts[1])
+
+
+def section_hashes(sections: DataFrame, parts: DataFrame) -> DataFrame:
+    """(project, section, key_hash): ``sections`` (project, section, part, model, prompt, settings) with a hash of all that their text depends on.
+
+    The key changes with the model, the prompt sent, the other settings, a file
+    that comes or goes, or a file's ``part`` (``part_digests``). Digests of files
+    are combined in two levels, 256 groups by path, so no row gathers a project.
+    """
+    list_ = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col(value).alias("v")))), lambda x: F.concat_ws("\u0000", x["k"], x["v"])), "\n")
+    grouped = parts.withColumn("_g", F.substring(F.md5(F.col("path").cast("binary")), 1, 2)).groupBy("project", "part", "_g").agg(F.sha2(list_("path", "digest").cast("binary"), 256).alias("_d"))
+    whole = grouped.groupBy("project", "part").agg(list_("_g", "_d").alias("_files"))
+    met = sections.join(whole, ["project", "part"], "left")
+    text = F.concat_ws("\u0000", "model", "prompt", "settings", F.coalesce("_files", F.lit("")))
+    return met.select("project", "section", F.sha2(text.cast("binary"), 256).alias("key_hash"))
 
 
 def reusable(sections: DataFrame, cache: DataFrame) -> DataFrame:

@@ -534,6 +534,25 @@ def code_documents(spark, sf):
     return structure.documents(_facts(spark, sf, "entities"), files)
 
 
+@query(_MODULES + r""", t AS (SELECT project, module AS path, k, o, 'pkg' || CAST(o % 5 AS VARCHAR) || '.m' || CAST(o AS VARCHAR) AS target, n, chr(10) AS nl, repeat('"', 3) AS q FROM p),
+d AS (SELECT project, path, 'all' AS part, sha256(concat(q, n, '.', q, nl, 'import os', nl, 'from ', target, ' import Thing', o, nl, nl, nl, 'class Thing', k, '(Thing', o, '):', nl, '    ', q, 'A ', n, '.', q, nl, nl,
+    '    def run(self, other: Thing', o, '):', nl, '        helper', k, '()', nl, '        other.stop()', nl, '        return self.step()', nl, nl, '    def step(self):', nl, '        return Thing', o, '()', nl, nl, nl, 'def helper', k, '():', nl, '    return os.getcwd()', nl)) AS digest FROM t
+  UNION ALL SELECT project, path, 'imports', sha256(concat('os', nl, target, '.Thing', o)) FROM t
+  UNION ALL SELECT project, path, 'entities', sha256(concat('Thing', k, chr(0), 'class', chr(0), 'A ', n, '.', nl, 'helper', k, chr(0), 'function', chr(0))) FROM t),
+g AS (SELECT project, part, substr(md5(path), 1, 2) AS g, sha256(string_agg(path || chr(0) || digest, chr(10) ORDER BY path)) AS d FROM d GROUP BY ALL),
+w AS (SELECT project, part, string_agg(g || chr(0) || d, chr(10) ORDER BY g) AS files FROM g GROUP BY ALL)
+SELECT project, section, sha256(concat_ws(chr(0), 'model-a', 'Write about ' || section, 'length=2', files)) AS key_hash
+FROM w JOIN (VALUES ('overview', 'all'), ('dependencies', 'imports'), ('key classes', 'entities')) AS s(section, part) USING (part)""")
+def section_cache_keys(spark, sf):
+    """What each section's cached text is valid for: model, prompt, settings, and contents, imports or entities of the project's files."""
+    files = tables.modules(spark, sf)
+    parts = incremental.part_digests(files, _facts(spark, sf, "entities", "imports"))
+    kinds = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(p).alias("part")) for s, p in (("overview", "all"), ("dependencies", "imports"), ("key classes", "entities"))])
+    asked = files.select("project").distinct().select("project", F.explode(kinds).alias("s")).select("project", "s.section", "s.part")
+    asked = asked.withColumns({"model": F.lit("model-a"), "prompt": F.concat(F.lit("Write about "), "section"), "settings": F.lit("length=2")})
+    return incremental.section_hashes(asked, parts)
+
+
 @query()
 def section_contexts(spark, sf):
     rows = facts.facts(tables.modules(spark, sf), "texts").where("kind = 'outline'")

@@ -180,3 +180,27 @@ def test_chunks_of_documents(spark, sf):
             assert not text[end:at].strip() and end - at <= 200
             end = at + len(piece)
         assert not text[end:].strip()
+
+
+def test_section_hashes_change_with_what_they_depend_on(spark):
+    def keys(content, model="m", prompt="ask", settings="", extra=()):
+        files = spark.createDataFrame([("p", "a", False, content), ("p", "b", False, "import os\n"), *extra], "project string, module string, is_package boolean, content string")
+        asked = spark.createDataFrame([("p", s, s, model, prompt, settings) for s in ("all", "imports", "entities")] + [("none", "all", "all", model, prompt, settings)], "project string, section string, part string, model string, prompt string, settings string")
+        rows = facts.facts(files, "entities", "imports")
+        return {(r["project"], r["section"]): r["key_hash"] for r in incremental.section_hashes(asked, incremental.part_digests(files, rows)).collect()}
+
+    first = keys("import os\n\ndef f():\n    '''Doc.'''\n")
+    assert keys("import os\n\ndef f():\n    '''Doc.'''\n") == first and len(set(first.values())) == 4
+    moved = lambda other: {s for (_, s), h in other.items() if h != first["p", s]}
+    inside = {k: v for k, v in keys("import os\n\ndef f():\n    '''Doc.'''\n    return 1\n").items() if k[0] == "p"}
+    assert moved(inside) == {"all"}
+    doc = {k: v for k, v in keys("import os\n\ndef f():\n    '''Other.'''\n").items() if k[0] == "p"}
+    assert moved(doc) == {"all", "entities"}
+    for more in ({"model": "n"}, {"prompt": "x"}, {"settings": "y"}, {"extra": (("p", "c", False, ""),)}):
+        assert moved({k: v for k, v in keys("import os\n\ndef f():\n    '''Doc.'''\n", **more).items() if k[0] == "p"}) == {"all", "imports", "entities"}
+
+
+def test_hash_only_suspects_all(spark):
+    now = spark.createDataFrame([("a", 1.0, 2), ("b", 1.0, 2)], "path string, mtime double, size long")
+    known = spark.createDataFrame([("a", 1.0, 2, 100.0)], "path string, mtime double, size long, last_analyzed double")
+    assert {r["path"] for r in incremental.suspects(now, known).collect()} == {"b"} and incremental.suspects(now, known, hash_only=True).count() == 2
