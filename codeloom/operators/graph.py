@@ -97,11 +97,6 @@ def best_first(edges: DataFrame, reached: DataFrame, starts: DataFrame, most: in
     return rows.groupBy("project").applyInPandas(run, f"project string, ord int, node {kind}")
 
 
-def group_nodes(nodes: DataFrame, group: str) -> DataFrame:
-    """(``group``, members): nodes of each group in order."""
-    return nodes.groupBy(group).agg(F.array_sort(F.collect_set("node")).alias("members"))
-
-
 def clashing_labels(names: DataFrame) -> DataFrame:
     """(name, label): the last dotted part where no other name has it, else the full name."""
     short = F.element_at(F.split("name", r"\."), -1)

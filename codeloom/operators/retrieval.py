@@ -78,17 +78,6 @@ def hashing_embedder(dim: int = 64):
     return embed
 
 
-#: Embedding functions by name; the lookup ignores case.
-PROVIDERS = {"hashing": hashing_embedder}
-
-
-def provider(name: str):
-    try:
-        return PROVIDERS[name.lower()]
-    except KeyError:
-        raise ValueError(f"unknown embedding provider {name!r}; known: {', '.join(sorted(PROVIDERS))}") from None
-
-
 SHARD_ROWS = 16_384
 BLOCK_QUESTIONS = 4_096
 
