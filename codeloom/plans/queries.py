@@ -580,9 +580,9 @@ note AS (SELECT project, 9 AS s, '' AS a, '' AS b, '' AS c, '    truncation_noti
 """
 
 
-@query(_MODULES + """, e AS (SELECT DISTINCT a.project, a.module AS src, c.module AS dst FROM p a JOIN p c ON c.project = a.project AND c.k = a.o AND c.k <> a.k)""" + _TOP + """,
+@query(_MODULES + """, e AS (SELECT DISTINCT a.project, a.module AS src, c.module AS dst FROM p a JOIN p c ON c.project = a.project AND c.k = a.o AND c.k <> a.k)""" + _TOP.replace("d AS (", "x AS (").replace("\ntop AS", "\nd AS (SELECT p.project, p.module AS node, coalesce(x.n, 0) AS n FROM p LEFT JOIN x ON x.project = p.project AND x.node = p.module),\ntop AS") + """,
 g AS (SELECT project, node, split_part(node, '.', 1) AS grp FROM top),
-l AS (SELECT project, 0 AS s, '' AS a, '' AS b, '' AS c, 'graph TD' AS line FROM e
+l AS (SELECT project, 0 AS s, '' AS a, '' AS b, '' AS c, 'graph TD' AS line FROM d
   UNION SELECT project, 1, grp, '0', '', '    subgraph ' || grp || '__group["' || grp || '"]' FROM g
   UNION SELECT project, 1, grp, '1', node, '        ' || replace(node, '.', '_') || '["' || split_part(node, '.', 2) || '"]' FROM g
   UNION SELECT project, 1, grp, '2', '', '    end' FROM g
@@ -593,7 +593,7 @@ def architecture_diagram(spark, sf):
     files = tables.modules(spark, sf)
     edges = module_imports(spark, sf).where("target is not null").select("project", F.col("module").alias("src"), F.col("target").alias("dst"))
     groups = files.select("project", F.col("module").alias("node"), F.regexp_replace("module", r"\.[^.]+$", "").alias("group"))
-    return diagrams.grouped_graph(edges, groups)
+    return diagrams.grouped_graph(edges, groups, nodes=files.select("project", F.col("module").alias("node")))
 
 
 @query(_MODULES + """, x AS (SELECT DISTINCT a.project, 'pkg' || CAST(a.k % 5 AS VARCHAR) AS src, 'pkg' || CAST(a.o % 5 AS VARCHAR) AS dst, c.k IS NULL AS outside FROM p a LEFT JOIN p c ON c.project = a.project AND c.k = a.o WHERE a.k % 5 <> a.o % 5),
