@@ -252,6 +252,7 @@ def manifest(docs: DataFrame, candidate=None, fields=FIELDS, paths: bool = False
     tree = F.coalesce(F.concat(F.lit("1"), F.col("source")), F.lit("0")).alias("tree")
     other = F.lit(None).cast("string") if candidate is None else candidate
     leaves = docs.select(tree, F.col("doc_id").cast("long").alias("doc_id"), row_digest(fields).alias("digest"), other.alias("candidate"))
+    leaves = stored(leaves, "merkle-rows")  # else texts are read and hashed again to draw the ranges' bounds
     leaves = stored(placed(leaves, "doc_id", "digest", "candidate"), "merkle-leaves")
     made = rounds(leaves)
     roots = made[-1].select("tree", F.col("digest").alias("subroot"))
