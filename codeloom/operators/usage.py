@@ -17,6 +17,22 @@ def by_model(events: DataFrame) -> DataFrame:
     )
 
 
+# How models say that an answer stopped at the output limit.
+LIMIT_REASONS = {"stop_reason": "max_tokens", "finish_reason": "length"}
+
+
+def is_truncated(reported) -> F.Column:
+    """Whether what a model reported of an answer (a map of strings) says that it was cut off; null counts as not."""
+    said = [F.coalesce(F.try_element_at(reported, F.lit(k)) == v, F.lit(False)) for k, v in LIMIT_REASONS.items()]
+    return said[0] | said[1]
+
+
+def by_run(events: DataFrame) -> DataFrame:
+    """(run, input_tokens, output_tokens, truncated) of ``events`` (run, input_tokens, output_tokens, reported): sums, and whether any answer was cut off."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens")]
+    return events.groupBy("run").agg(*sums, F.bool_or(is_truncated(F.col("reported"))).alias("truncated"))
+
+
 def with_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """``usage`` with ``cost`` from ``prices`` (model, input_per_million, output_per_million); an unknown model costs 0 and is not ``priced``."""
     found = usage.join(prices, "model", "left")

@@ -199,6 +199,16 @@ def usage_cost(spark, sf):
     return _costs(spark, sf)
 
 
+@query("""SELECT user_id AS run, CAST(sum(event_id % 100) AS BIGINT) AS input_tokens, CAST(sum(event_id % 30) AS BIGINT) AS output_tokens, bool_or(event_type = 'purchase' AND event_id % 4 < 2) AS truncated FROM events GROUP BY user_id""")
+def usage_by_run(spark, sf):
+    """Tokens of each user's events, and whether a model stopped at its limit in one, said in one way or another."""
+    hit = F.col("event_type") == "purchase"
+    key = F.element_at(F.array(*map(F.lit, ("stop_reason", "finish_reason", "other", "stop_reason"))), (F.col("event_id") % 4 + 1).cast("int"))
+    said = F.when(hit, F.create_map(key, F.when(F.col("event_id") % 4 == 1, "length").when(F.col("event_id") % 4 == 3, "end_turn").otherwise("max_tokens")))
+    events = table(spark, sf, "events").select(F.col("user_id").alias("run"), (F.col("event_id") % 100).alias("input_tokens"), (F.col("event_id") % 30).alias("output_tokens"), said.alias("reported"))
+    return usage.by_run(events)
+
+
 @query(_USAGE + "SELECT round(sum(cost), 6) AS cost, CAST(sum(requests) AS BIGINT) AS requests, round(100.0 * sum(cached_requests) / sum(requests), 6) AS hit_rate FROM c")
 def usage_totals(spark, sf):
     return usage.totals(_costs(spark, sf)).withColumns({"cost": F.round("cost", 6), "hit_rate": F.round("hit_rate", 6)})
