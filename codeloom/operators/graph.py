@@ -1,9 +1,8 @@
 """Graphs of edges (src, dst): degrees, top nodes, induced edges, reach, walks.
 
 Degrees, top-k and induced edges are plain aggregations and semi-joins; ``reach``
-is in a module of its own. Best-first walks are
-sequential inside one project, so they run as grouped maps; the limit is that
-one project's edges fit one Python worker.
+is in a module of its own. Best-first walks go in rounds over the part of a
+project that they can come to.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .reach import reach
+from .store import stored
 
 
 def degrees(edges: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -72,29 +72,56 @@ def entry_points(edges: DataFrame, reached: DataFrame, is_test=None) -> DataFram
     return free.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+#: Projects of at most so many edges are fetched as a whole; one task holds them.
+WHOLE = 50_000
+
+
 def best_first(edges: DataFrame, reached: DataFrame, starts: DataFrame, most: int = 200) -> DataFrame:
-    """(project, ord, node): the nodes visited from each project's start, always the known one that reaches most next, ties by discovery."""
+    """(project, ord, node): the nodes visited from each project's start, always the known one that reaches most next, ties by discovery.
+
+    Of a project of more than WHOLE edges only what can be among the first ``most`` is fetched: a round walks
+    over the edges fetched so far until it comes to a node whose edges are missing,
+    and names the nodes that may be visited from there, at most ``most``; their edges
+    come by a join, of each node the ``most`` whose ends reach most. So a task holds
+    at most ``most`` times ``most`` edges of a round, not a project's.
+    """
     kind = edges.schema["src"].dataType.simpleString()
-    heads = starts.select("project", F.col("node").alias("start"))
-    goals = reached.select("project", F.col("node").alias("dst"), F.col("reach").alias("dst_reach"))
-    rows = edges.select("project", "ord", "src", "dst").join(heads, "project").join(goals, ["project", "dst"])
+    goals = reached.select("project", F.col("node").alias("dst"), F.col("reach").alias("goal"))
+    first = edges.groupBy("project", "src", "dst").agg(F.min("ord").alias("ord"))
+    roots = starts.select("project", F.col("node").alias("start")).distinct()
+    schema = f"project string, ord int, node {kind}, missing boolean"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["src", "ord", "dst"])
-        follow = {s: list(dict.fromkeys(zip(g["dst"], g["dst_reach"]))) for s, g in pdf.groupby("src")}
-        start, out, found = pdf["start"].iloc[0], [], 0
-        heap, seen = [(0, 0, start)], {start}
-        while heap and len(out) < most:
-            _, _, node = heapq.heappop(heap)
-            out.append(node)
-            for n, r in follow.get(node, ()):
-                if n not in seen:
-                    seen.add(n)
+        start, asked = pdf["start"].iloc[0], set(pdf["src"])
+        some = pdf[pdf["dst"].notna()].sort_values(["src", "ord", "dst"])
+        follow = {s: list(zip(g["dst"].astype(pdf["start"].dtype), g["goal"])) for s, g in some.groupby("src")}
+        heap, seen, out, found = [(0, 0, start)], {start}, [], 0
+        while heap and len(out) < most and heap[0][2] in asked:
+            node = heapq.heappop(heap)[2]
+            out.append((key[0], len(out) + 1, node, False))
+            for other, goal in follow.get(node, ()):
+                if other not in seen:
+                    seen.add(other)
                     found += 1
-                    heapq.heappush(heap, (-r, found, n))
-        return pd.DataFrame({"project": key[0], "ord": range(1, len(out) + 1), "node": out})
-
-    return rows.groupBy("project").applyInPandas(run, f"project string, ord int, node {kind}")
+                    heapq.heappush(heap, (-goal, found, other))
+        if heap and len(out) < most:  # a node's edges are missing; so may be those of what comes after it
+            out += [(key[0], 0, n, True) for _, _, n in heapq.nsmallest(most - len(out), heap) if n not in asked]
+        return pd.DataFrame(out, columns=["project", "ord", "node", "missing"])
+
+    small = first.groupBy("project").count().where(F.col("count") <= WHOLE)
+    asked = roots.select("project", F.col("start").alias("src")).unionByName(first.join(small, "project", "left_semi").join(roots, "project", "left_semi").select("project", "src")).distinct()
+    # ends without edges of their own are known to have none
+    ends = first.join(small, "project", "left_semi").join(roots, "project", "left_semi").select("project", F.col("dst").alias("src"))
+    asked, known = asked.unionByName(ends).distinct(), None
+    while True:
+        rank = F.row_number().over(Window.partitionBy("project", "src").orderBy(F.desc("goal"), "ord", "dst"))
+        fetched = first.join(asked, ["project", "src"], "left_semi").join(goals, ["project", "dst"]).withColumn("_k", rank).where(F.col("_k") <= most).drop("_k")
+        fetched = stored(asked.join(fetched, ["project", "src"], "left").select("project", "src", "dst", "ord", "goal"), "fetched")
+        known = fetched if known is None else known.unionByName(fetched)
+        walked = stored(known.join(roots, "project").groupBy("project").applyInPandas(run, schema), "walk")
+        asked = walked.where("missing").select("project", F.col("node").alias("src"))
+        if asked.isEmpty():
+            return walked.select("project", "ord", "node")
 
 
 def clashing_labels(names: DataFrame) -> DataFrame:

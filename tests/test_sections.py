@@ -118,6 +118,36 @@ def best_first_by_hand(follow, reach, start, most):
     return out
 
 
+@pytest.mark.parametrize("whole", [0, 50_000])
+def test_walks_of_many_rounds_equal_plain_walks(spark, monkeypatch, whole):
+    import random
+
+    from codeloom.operators import graph
+
+    monkeypatch.setattr(graph, "WHOLE", whole)
+    rng = random.Random(11)
+    edges, reach, starts = [], {}, {}
+    for project, n, fan in (("deep", 6, 1), ("wide", 400, 30), ("mixed", 300, 3)):
+        starts[project] = 0
+        for s in range(n):
+            edges += [(project, k, s, rng.randrange(n) if project != "deep" else s + 1) for k in range(rng.randrange(fan + 1) if s else fan + 2)]
+        edges += [("deep", 9, s, s + 1) for s in range(n)] if project == "deep" else []
+        reach[project] = {k: rng.randrange(6) for k in range(n + 1)}
+    follow = {p: {} for p in starts}
+    for p, k, s, d in sorted(edges):
+        follow[p].setdefault(s, []).append(d)
+    args = (
+        spark.createDataFrame(edges, "project string, ord int, src long, dst long"),
+        spark.createDataFrame([(p, k, r) for p, some in reach.items() for k, r in some.items()], "project string, node long, reach long"),
+        spark.createDataFrame([*starts.items(), ("alone", 5)], "project string, node long"),
+    )
+    for most in (200, 7) if whole else (40,):
+        found = {}
+        for r in graph.best_first(*args, most).orderBy("project", "ord").collect():
+            found.setdefault(r["project"], []).append(r["node"])
+        assert found == {p: best_first_by_hand(follow[p], reach[p], 0, most) for p in starts} | {"alone": [5]}
+
+
 def test_entry_walk_equals_a_plain_walk(spark, sf):
     from codeloom.operators import graph
     from codeloom.plans import tables
