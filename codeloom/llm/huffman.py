@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import byte_characters
-from .common import read, stored, text_bytes, work_dir
+from .common import read, release, small_batches, stored, text_bytes, work_dir
 
 LIMIT = 16
 STRIDE = 256
@@ -210,6 +210,13 @@ class PieceEncoder:
 _encoders: dict[str, PieceEncoder] = {}
 
 
+def _let_go() -> None:
+    """Give up the encoder: workers outlive their tasks and would hold its pieces through the later stages."""
+    if _encoders:
+        _encoders.clear()
+        release()
+
+
 def _groups(texts: pa.Array, size: int = 1 << 22):
     """(first, end) of stretches of about ``size`` bytes."""
     ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
@@ -235,6 +242,7 @@ def _tokenize(path: str):
                 column = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((ends * width).astype(np.int32)), pa.py_buffer(flat.tobytes())])
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, b - a), column, pa.array(sizes), pa.array(before + ends[:-1])], names=["doc_id", "ids", "n", "local"])
                 before += int(ends[-1])
+        release()
 
     return run
 
@@ -348,6 +356,7 @@ _BLOCK = "start long, doc_ids array<{kind}>, sizes array<long>, bits binary, che
 
 
 def _counts(batches):
+    _let_go()
     total = np.zeros(1, np.int64)
     for batch in batches:
         ids = _flat(batch)
@@ -375,6 +384,7 @@ def _flat(batch) -> np.ndarray:
 
 def _pack_blocks(lengths: np.ndarray):
     def run(batches):
+        _let_go()
         codes = canonical_codes(lengths)
         for batch in batches:
             ids, n, part = _flat(batch), np.asarray(batch["n"]), np.asarray(batch["part"])
@@ -397,6 +407,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, limit: int = LIMIT) ->
     """Encode ``docs`` (doc_id, text) and write their ids below ``path``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
+    small_batches(spark)
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     tokens = stored(ordered.mapInArrow(_tokenize(tokenizer), f"doc_id {kind}, ids binary, n long, local long").withColumn("part", F.spark_partition_id()), "ids")
     # one row for each partition: few, whatever the size of the table
@@ -417,6 +428,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, limit: int = LIMIT) ->
 
 def _unpack_blocks(lengths: np.ndarray):
     def run(batches):
+        _let_go()
         decoder = Decoder(lengths)
         for batch in batches:
             for a in range(0, batch.num_rows, 8):
