@@ -47,6 +47,7 @@ WINDOW = 200
 HOT = 2048
 BLOCK = 1 << 20
 SPAN = 1024  # window starts in a region at most
+SLICED = 1 << 21  # bytes of pieces that a task holds at once, beside its texts
 
 _KEY = ["_id", "_th"]
 _PIECE = "_id long, _th int, first int, last int, off int, anchor long, fp long"
@@ -134,22 +135,30 @@ def _match(window: int, size: int):
                 [table["anchor"].take(rows).combine_chunks(), table["fp"].take(rows).combine_chunks(), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32))],
                 names=["anchor", "fp", "lo", "hi"],
             )
+        release()
 
     return run
 
 
-def _slices(batches):
-    """Bytes of the listed pieces of each text."""
+def _slices(batches, size: int = SLICED):
+    """Bytes of the listed pieces of each text, in batches of about ``size`` bytes."""
     for batch in batches:
         raw, offsets = text_bytes(batch["text"])
-        anchor, fp, side, out = [], [], [], []
-        for k, wanted in enumerate(batch["wanted"].to_pylist()):
-            for w in wanted:
-                anchor.append(w["anchor"])
-                fp.append(w["fp"])
-                side.append(w["side"])
-                out.append(raw[offsets[k] + w["first"] : offsets[k] + w["last"] + w["extra"]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(fp, pa.int64()), pa.array(side, pa.int32()), pa.array(out, pa.binary())], names=["anchor", "fp", "side", "piece"])
+        wanted = batch["wanted"].flatten()
+        ask = lambda name: np.asarray(pa.compute.struct_field(wanted, name)).astype(np.int64)  # noqa: E731,B023
+        base = offsets[np.asarray(pa.compute.list_parent_indices(batch["wanted"]))]
+        begin, lengths = base + ask("first"), ask("last") + ask("extra") - ask("first")
+        total, a = np.cumsum(lengths), 0
+        while a < len(begin):
+            b = max(int(np.searchsorted(total, (total[a - 1] if a else 0) + size, "right")), a + 1)
+            n = lengths[a:b]
+            ends = np.cumsum(n)
+            piece = raw[np.repeat(begin[a:b] - (ends - n), n) + np.arange(ends[-1])]
+            column = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(piece)])
+            rest = [pa.compute.struct_field(wanted.slice(a, b - a), name) for name in ("anchor", "fp", "side")]
+            yield pa.RecordBatch.from_arrays([*rest, column], names=["anchor", "fp", "side", "piece"])
+            a = b
+    release()
 
 
 def regions(places: DataFrame, by: list[str]) -> DataFrame:
@@ -170,6 +179,7 @@ def _found(batches):
         symbols[np.arange(len(raw)) + np.repeat(np.arange(len(lengths)), lengths)] = raw
         again = RunIndex(symbols).occur(*text_bytes(batch["b"]))
         yield pa.RecordBatch.from_arrays([batch["region"].filter(pa.array(again))], names=["region"])
+    release()
 
 
 def _windows(window: int, flush: int = 1 << 17):
@@ -196,6 +206,7 @@ def _windows(window: int, flush: int = 1 << 17):
                     pieces, digests = [], []
             if pieces:
                 yield batch_of(pieces, digests)
+        release()
 
     return run
 
@@ -283,6 +294,7 @@ def _remove(batches):
         names = [c for c in batch.schema.names if c not in ("text", "spans")]
         size = np.diff(offsets)
         yield pa.RecordBatch.from_arrays([*rest, pa.array(kept, pa.binary()), pa.array(size), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=[*names, "_kept", "_size", "_removed", "_spans"])
+    release()
 
 
 _OWN = ("doc_id", "text")
@@ -304,6 +316,7 @@ def _clean(batches):
         text = [b.decode("utf-8", "ignore") for b in batch["_kept"].to_pylist()]
         names = [c for c in batch.schema.names if c != "_kept"]
         yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(text, pa.string())], names=[*names, "_text"])
+    release()
 
 
 def clean_documents(docs: DataFrame, window: int = WINDOW) -> DataFrame:
