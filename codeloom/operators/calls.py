@@ -17,7 +17,7 @@ from .facts import of_kind
 from .lineage import lineage
 from .names import Lookup
 from .receivers import receivers
-from .store import stored
+from .store import grows, kept
 
 
 #: Groups of facts that ``call_edges`` reads.
@@ -60,7 +60,7 @@ def bases_by(lookup: Lookup, rows: DataFrame, defined: DataFrame) -> DataFrame:
     uses = of_kind(rows, "base").where("not contains(owner, '.')").select("project", "module", F.col("name"), F.col("owner").alias("holder"), F.col("ord").alias("k"))
     found = lookup.resolved(uses).where("is_class")
     found = found.select("project", _qualified(F.col("module"), F.col("holder")).alias("cls"), F.col("k").alias("ord"), F.col("owner").alias("base"))
-    return classes.join(found, ["project", "cls"], "left")
+    return classes.join(grows(found), ["project", "cls"], "left")
 
 
 def class_bases(rows: DataFrame, defined: DataFrame, bound: DataFrame) -> DataFrame:
@@ -75,13 +75,13 @@ def call_edges(rows: DataFrame) -> DataFrame:
     class that is called means its (inherited) ``__init__`` if there is one,
     and ``named`` is the class itself.
     """
-    defined, bound = stored(definitions(rows), "defined"), aliases(rows)
+    defined, bound = kept(definitions(rows), "defined"), aliases(rows)
     lookup = lookup_of(rows, defined, bound)
     order = lineage(bases_by(lookup, rows, defined))
     methods = defined.where("what = 'method'").select("project", F.regexp_replace("qualified", r"\.[^.]+$", "").alias("base"), F.substring_index("qualified", ".", -1).alias("method"), F.col("qualified").alias("full"))
     along = order.join(methods, ["project", "base"]).groupBy("project", "cls", "method")
     # the first class of a lineage that has a method, and the first behind the class itself
-    both = stored(along.agg(F.min_by("full", "ord").alias("full"), F.min_by("full", F.when(F.col("ord") > 0, F.col("ord"))).alias("behind")), "methods")
+    both = kept(along.agg(F.min_by("full", "ord").alias("full"), F.min_by("full", F.when(F.col("ord") > 0, F.col("ord"))).alias("behind")), "methods")
     has, behind = both.select("project", "cls", "method", "full"), both.where("behind is not null").select("project", "cls", "method", F.col("behind").alias("full"))
     held = receivers(rows, lookup, order, has, behind)
 
@@ -93,7 +93,7 @@ def call_edges(rows: DataFrame) -> DataFrame:
     path = sites.where("mode = 'path'").withColumn("step", F.col("ref").cast("int")).join(held.final, ["project", "module", "step"]).join(of_class, method).select(*own, "found")
     above = sites.where("mode = 'super'").withColumn("cls", _qualified(F.col("module"), F.col("ref"))).join(behind.withColumnsRenamed({"method": "last", "full": "found"}), method).select(*own, "found")
     met = static.unionByName(path).unionByName(above).where("found is not null")
-    out = sites.where("mode = 'bare'").withColumn("found", F.lit(None).cast("string")).unionByName(sites.where("mode <> 'bare'").join(met, own, "left").select(*sites.columns, "found"))
+    out = sites.where("mode = 'bare'").withColumn("found", F.lit(None).cast("string")).unionByName(sites.where("mode <> 'bare'").join(grows(met), own, "left").select(*sites.columns, "found"))
     init = has.where("method = '__init__'").select("project", F.col("cls").alias("found"), F.col("full").alias("init"))
     out = out.join(init, ["project", "found"], "left")
     out = out.select("project", "caller", "ord", F.coalesce("init", "found", "last").alias("callee"), F.coalesce("found", "last").alias("named"), F.col("found").isNotNull().alias("is_internal"))

@@ -7,7 +7,7 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import grows, kept
 
 
 def _parts(name) -> F.Column:
@@ -32,7 +32,7 @@ def longest_prefix(rows: DataFrame, names: DataFrame, name: str = "name", scope:
     """(scope, name, match): for each distinct name the longest of ``names`` (known) that is a dotted prefix of it."""
     each = prefixes(rows.select(*scope, name).distinct(), name)
     known = names.select(*scope, F.col("known").alias("prefix")).distinct()
-    return each.join(known, [*scope, "prefix"]).groupBy(*scope, name).agg(F.max_by("prefix", "n_parts").alias("match"))
+    return each.join(grows(known), [*scope, "prefix"]).groupBy(*scope, name).agg(F.max_by("prefix", "n_parts").alias("match"))
 
 
 def standard_library() -> list[str]:
@@ -57,9 +57,9 @@ def place_imports(imports: DataFrame, modules: DataFrame, scope: tuple[str, ...]
     exact = longest_prefix(rows.where("_name is not null"), known, "_name", scope)
     tails = unique_suffixes(known, "known", scope)
     by_tail = longest_prefix(rows.where("_level = 0"), tails.select(*scope, F.col("suffix").alias("known")), "_name", scope).withColumnRenamed("match", "suffix")
-    by_tail = by_tail.join(tails, [*scope, "suffix"]).select(*scope, "_name", "owner")
+    by_tail = by_tail.join(grows(tails), [*scope, "suffix"]).select(*scope, "_name", "owner")
     top = F.element_at(_parts(F.col("_name")), 1)
-    out = rows.join(exact, [*scope, "_name"], "left").join(by_tail, [*scope, "_name"], "left")
+    out = rows.join(grows(exact), [*scope, "_name"], "left").join(grows(by_tail), [*scope, "_name"], "left")
     absolute = F.col("_level") == 0
     is_standard = top.isin(standard)
     kind = F.when(F.col("match").isNotNull(), "internal").when(absolute & is_standard, "stdlib").when(absolute & F.col("owner").isNotNull(), "internal").when(absolute, "third_party")
@@ -82,10 +82,10 @@ class Lookup:
         self.standard = [*standard_library(), "_typeshed"] if standard is None else standard
         known = definitions.select("project", "qualified", "what").unionByName(modules.select("project", F.col("module").alias("qualified"), F.lit("module").alias("what")))
         known = known.groupBy("project", "qualified").agg(F.max(F.col("what") == "class").alias("is_class"), F.max(F.col("what").isin("function", "method")).alias("is_function"))
-        self.known = stored(known, "known")
+        self.known = kept(known, "known")
         own = definitions.where("not contains(name, '.')").select("project", "module", F.col("name").alias("head"), F.col("qualified").alias("own"), F.lit(None).cast("string").alias("target"))
         bound = aliases.select("project", "module", F.col("name").alias("head"), F.lit(None).cast("string").alias("own"), "target")
-        self.found = stored(self._found(names.distinct(), own.unionByName(bound)), "names")
+        self.found = kept(self._found(names.distinct(), own.unionByName(bound)), "names")
 
     def _heads(self, scope: DataFrame) -> DataFrame:
         """(project, module, head, base): what the single names of ``scope`` (own, else target) mean; those that mean nothing known are left out."""
@@ -93,7 +93,7 @@ class Lookup:
         inside, outside = scope.where("own is not null").select("project", "module", "head", F.col("own").alias("base")), scope.where("own is null")
         met = outside.join(self.known.select("project", F.col("qualified").alias("target"), F.lit(True).alias("_is")), ["project", "target"], "left")
         exact = met.where("_is").select("project", "module", "head", F.col("target").alias("base"))
-        open_ = met.where(F.col("_is").isNull() & ~F.element_at(_parts(F.col("target")), 1).isin(self.standard)).select("project", "module", "head", F.col("target").alias("suffix"))
+        open_ = grows(met.where(F.col("_is").isNull() & ~F.element_at(_parts(F.col("target")), 1).isin(self.standard)).select("project", "module", "head", F.col("target").alias("suffix")))
         size = F.size(_parts(F.col("qualified")))
         tails = self.known.where(size > 1).select("project", "qualified", F.explode(F.sequence(F.lit(2), size)).alias("k"))
         tails = tails.select("project", "qualified", F.array_join(F.slice(_parts(F.col("qualified")), F.col("k"), size), ".").alias("suffix")).join(open_.select("project", "suffix").distinct(), ["project", "suffix"], "left_semi")
@@ -102,12 +102,12 @@ class Lookup:
 
     def _found(self, names: DataFrame, scope: DataFrame) -> DataFrame:
         names = names.withColumns({"head": F.substring_index("name", ".", 1), "_n": F.size(_parts(F.col("name")))})
-        names = names.join(self._heads(scope), ["project", "module", "head"]).withColumn("full", F.concat("base", F.expr("substr(name, length(head) + 1)")))
+        names = names.join(grows(self._heads(scope)), ["project", "module", "head"]).withColumn("full", F.concat("base", F.expr("substr(name, length(head) + 1)")))
         names = names.withColumns({"up": F.when(F.col("_n") > 1, F.expr("substr(full, 1, length(full) - 1 - length(substring_index(name, '.', -1)))")), "last": F.substring_index("name", ".", -1)})
         # parts between the head and the last but one have to be known as well; few names have any
         deep = names.where("_n > 3").select("project", "module", "name", "base", F.explode(F.sequence(F.lit(1), F.col("_n") - 3)).alias("k"))
         deep = deep.withColumn("qualified", F.concat_ws(".", "base", F.array_join(F.slice(_parts(F.col("name")), F.lit(2), F.col("k")), ".")))
-        missing = deep.join(self.known, ["project", "qualified"], "left_anti").select("project", "module", "name").distinct()
+        missing = grows(deep.join(self.known, ["project", "qualified"], "left_anti").select("project", "module", "name").distinct())
         names = names.join(missing, ["project", "module", "name"], "left_anti")
         full = self.known.select("project", F.col("qualified").alias("full"), "is_class", "is_function")
         up = self.known.select("project", F.col("qualified").alias("up"), F.col("is_class").alias("_of_class"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .facts import of_kind
 from .names import Lookup
-from .store import stored
+from .store import grows, kept
 
 _STEP = ["project", "module", "step"]
 
@@ -40,14 +40,14 @@ def receivers(rows: DataFrame, lookup: Lookup, order: DataFrame, has: DataFrame,
     ``order``: lineage; ``has``, ``behind``: (project, cls, method, full), the method
     that a class has, or has behind itself.
     """
-    steps = stored(steps_of(rows), "steps")
+    steps = kept(steps_of(rows), "steps")
     classes = lookup.known.where("is_class").select("project", F.col("qualified").alias("cls"))
 
     said = steps.where("kind = 'said'").select(*_STEP, F.explode(F.split("name", ",")).alias("name"))
     said = lookup.resolved(said).where("is_class").groupBy(*_STEP).agg(F.count_distinct("owner").alias("n"), F.max("owner").alias("cls")).where("n = 1").drop("n")
-    said = stored(said, "said")
+    said = kept(said, "said")
     gives = of_kind(rows, "returns").select("project", "module", F.col("ord").alias("step"), F.concat_ws(".", "module", "owner").alias("function"))
-    gives = stored(gives.join(said, _STEP).select("project", "function", "cls"), "gives")
+    gives = kept(gives.join(said, _STEP).select("project", "function", "cls"), "gives")
 
     receiver = steps.where("kind = 'known'").withColumn("cls", F.concat_ws(".", "module", "name")).join(classes, ["project", "cls"], "left_semi").select(*_STEP, "cls")
     made = lookup.resolved(steps.where("kind = 'made'").select(*_STEP, "name"))  # a name that means nothing known makes nothing known
@@ -58,21 +58,21 @@ def receivers(rows: DataFrame, lookup: Lookup, order: DataFrame, has: DataFrame,
     inherited = inherited.join(behind, ["project", "cls", "method"]).select(*_STEP, F.col("full").alias("function")).join(gives, ["project", "function"]).select(*_STEP, "cls")
     base = steps.where("needs is null").select(*_STEP)
     found = said.unionByName(receiver).unionByName(made).unionByName(inherited).where("cls is not null")
-    final = stored(base.join(found, _STEP, "left"), "held")
+    final = kept(base.join(found, _STEP, "left"), "held")
 
-    waiting = stored(steps.where("needs is not null"), "waiting")
-    entries = stored(_entries(rows, waiting, order, gives), "entries")
+    waiting = kept(steps.where("needs is not null"), "waiting")
+    entries = kept(_entries(rows, waiting, order, gives), "entries")
     while not waiting.isEmpty():
-        state = stored(_round(waiting, final, entries, has, gives), "held")
+        state = kept(_round(waiting, final, entries, has, gives), "held")
         settled = state.where("ready").select(*_STEP, "cls")
         if settled.isEmpty():  # a circle: its attributes make do with what they have
             circle = state.where("kind = 'slot'")
-            settled = stored((state if circle.isEmpty() else circle).select(*_STEP, F.when(F.col("kind") == "slot", F.col("so_far")).alias("cls")), "held")
-            waiting = stored(waiting.join(settled, _STEP, "left_anti"), "waiting")
+            settled = kept((state if circle.isEmpty() else circle).select(*_STEP, F.when(F.col("kind") == "slot", F.col("so_far")).alias("cls")), "held")
+            waiting = kept(waiting.join(settled, _STEP, "left_anti"), "waiting")
         else:
             waiting = state.where("not ready").select(*waiting.columns)
         final = final.unionByName(settled)
-    return Receivers(final.where("cls is not null"), gives)
+    return Receivers(grows(final.where("cls is not null")), gives)
 
 
 def _entries(rows: DataFrame, waiting: DataFrame, order: DataFrame, gives: DataFrame) -> DataFrame:
@@ -98,15 +98,15 @@ def _round(waiting: DataFrame, final: DataFrame, entries: DataFrame, has: DataFr
     met = waiting.join(met, _STEP).withColumn("on", F.when(F.col("kind").isin("attr", "result") & F.col("open").isNull(), F.col("any")))
 
     given = has.join(gives.select("project", F.col("function").alias("full"), F.col("cls").alias("result")), ["project", "full"])
-    met = met.join(given.select("project", F.col("cls").alias("on"), F.col("method").alias("name"), "result"), ["project", "on", "name"], "left")
+    met = met.join(grows(given.select("project", F.col("cls").alias("on"), F.col("method").alias("name"), "result")), ["project", "on", "name"], "left")
 
     lead = met.where("kind = 'attr' and on is not null").join(entries.withColumnRenamed("cls", "on"), ["project", "on", "name"])
     lead = lead.select(*_STEP, F.explode("entries").alias("e")).select(*_STEP, "e.rank", "e.at", "e.slot", F.col("e.of").alias("own"))
     slots = final.select("project", F.col("module").alias("at"), F.col("step").alias("slot"), F.col("cls").alias("held"), F.lit(True).alias("there"))
-    lead = lead.join(slots, ["project", "at", "slot"], "left")
+    lead = lead.join(grows(slots), ["project", "at", "slot"], "left")
     ends, waits = F.col("slot").isNull() | F.col("held").isNotNull(), F.col("slot").isNotNull() & F.col("there").isNull()
     lead = lead.groupBy(*_STEP).agg(F.min(F.when(ends, F.col("rank"))).alias("ends"), F.min(F.when(waits, F.col("rank"))).alias("waits"), F.min_by(F.coalesce("held", "own"), F.when(ends, F.col("rank"))).alias("attr"))
-    met = met.join(lead, _STEP, "left")
+    met = met.join(grows(lead), _STEP, "left")
 
     full = F.col("open").isNull()
     ready = F.when(F.col("kind") == "first", full | (F.col("hit") < F.col("open"))).when(F.col("kind") == "attr", full & (F.col("waits").isNull() | (F.col("ends") < F.col("waits")))).otherwise(full)

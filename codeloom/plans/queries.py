@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text
 from codeloom.operators import budget, calls, facts, graph, incremental, manifests, names, retrieval, sections, sequence, structure, usage, xref
-from codeloom.operators.store import stored
+from codeloom.operators.store import kept
 from codeloom.plans import diagrams, rules, tables
 from codeloom.plans.tables import table
 
@@ -278,7 +278,7 @@ def index_upkeep(spark, sf):
         hashed = content.select("path", F.sha2(F.col("content").cast("binary"), 256).alias("content_hash"))
         digests = content.select("path", F.md5("content").alias("digest"))
         statuses = incremental.update_index(states, chunks, hashed, lambda due, d=digests: d.join(due.select("path"), "path", "left_semi"))
-        statuses = stored(statuses, "statuses") if content is now else statuses
+        statuses = kept(statuses, "statuses") if content is now else statuses
     return statuses.join(chunks.read(), "path", "left")
 
 
@@ -479,7 +479,7 @@ def rule_verdicts(spark, sf):
 
 def _facts(spark, sf, *groups):
     """Facts of the derived modules, written once: several joins read them."""
-    return stored(facts.facts(tables.modules(spark, sf), *groups), "facts", by="kind")
+    return kept(facts.facts(tables.modules(spark, sf), *groups), "facts", by="kind")
 
 
 _MODULES = """
@@ -657,9 +657,9 @@ c AS (SELECT project, m || 'Part' || j || '.__init__' AS caller, coalesce(pa, 'P
 
 
 def _tree_facts(spark, sf):
-    rows = stored(facts.facts(tables.part_trees(spark, sf).drop("j"), *calls.GROUPS), "facts", by="kind")
+    rows = kept(facts.facts(tables.part_trees(spark, sf).drop("j"), *calls.GROUPS), "facts", by="kind")
     defined = calls.definitions(rows)
-    return stored(calls.call_edges(rows), "edges"), defined, calls.lineage(calls.class_bases(rows, defined, calls.aliases(rows)))
+    return kept(calls.call_edges(rows), "edges"), defined, calls.lineage(calls.class_bases(rows, defined, calls.aliases(rows)))
 
 
 _SETS = """
@@ -684,7 +684,7 @@ c AS (SELECT g, m || 'use' AS caller, CASE WHEN i THEN other || '.start' ELSE 's
 @query(_SETS + "SELECT 'set' || CAST(g AS VARCHAR) AS project, caller, named, contains(named, '.') AS is_internal FROM c")
 def shaped_calls(spark, sf):
     """Calls of modules in ten shapes: names from names, unions, shadows, results, receivers, rebinding, inheritance, modules, closures."""
-    rows = stored(facts.facts(tables.shaped_modules(spark, sf), *calls.GROUPS), "facts", by="kind")
+    rows = kept(facts.facts(tables.shaped_modules(spark, sf), *calls.GROUPS), "facts", by="kind")
     return calls.call_edges(rows).select("project", "caller", "named", "is_internal").distinct()
 
 
@@ -734,7 +734,7 @@ SELECT project, CAST(row_number() OVER (PARTITION BY project ORDER BY k, o, z) A
 def sequence_diagrams(spark, sf):
     """Sequence diagrams of ``project_sequences`` where participants are classes."""
     edges, defined, order = _tree_facts(spark, sf)
-    plan = stored(sequence.project_plan(edges, defined, order).where("kind = 'classes'"), "plan")
+    plan = kept(sequence.project_plan(edges, defined, order).where("kind = 'classes'"), "plan")
     modules = tables.part_trees(spark, sf).select("project", F.col("module").alias("known"))
     classes = defined.where("what = 'class'").select("project", F.col("qualified").alias("name"))
     return diagrams.sequence_diagram(plan, diagrams.participant_labels(plan, modules, classes))
@@ -743,11 +743,11 @@ def sequence_diagrams(spark, sf):
 @query()
 def section_excerpts(spark, sf):
     """For each section of a project's documentation, the excerpts that it is given, in order."""
-    files = stored(tables.part_trees(spark, sf).drop("j"), "files")
-    rows = stored(facts.facts(files), "facts", by="kind")
-    defined = stored(calls.definitions(rows), "defined")
-    order = stored(calls.lineage(calls.class_bases(rows, defined, calls.aliases(rows))), "order")
-    return sections.contexts(sections.candidates(rows, files, stored(calls.call_edges(rows), "edges"), defined, order))
+    files = kept(tables.part_trees(spark, sf).drop("j"), "files")
+    rows = kept(facts.facts(files), "facts", by="kind")
+    defined = kept(calls.definitions(rows), "defined")
+    order = kept(calls.lineage(calls.class_bases(rows, defined, calls.aliases(rows))), "order")
+    return sections.contexts(sections.candidates(rows, files, kept(calls.call_edges(rows), "edges"), defined, order))
 
 
 @query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
