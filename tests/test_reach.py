@@ -5,6 +5,7 @@ import random
 import pytest
 
 from codeloom.operators import graph
+from codeloom.operators import reach as reach_module
 from codeloom.operators.reach import GROUP, PART, components, numbered
 
 
@@ -78,3 +79,35 @@ def test_places(spark):
         want = [k for _, _, k in sorted((r for r in rows if r[0] == g), key=lambda r: r[1:])]
         assert [r["k"] for r in sorted((r for r in found if r["g"] == g), key=lambda r: r["place"])] == want
         assert sorted(r["place"] for r in found if r["g"] == g) == list(range(len(want)))
+
+
+def check(spark, rows):
+    found = {(r["project"], r["node"]): r["reach"] for r in graph.reach(spark.createDataFrame(rows, "project string, src long, dst long")).collect()}
+    want = {}
+    for p in {p for p, _, _ in rows}:
+        want |= {(p, k): r for k, r in plain([(s, d) for q, s, d in rows if q == p]).items()}
+    assert found == want
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_chains_circles_and_hubs(spark, monkeypatch, seed):
+    monkeypatch.setattr(reach_module, "_large", lambda nodes: nodes.select("project").distinct())
+    rng, rows = random.Random(seed), []
+    for p in range(25):
+        n, fan = rng.randrange(2, 60), rng.choice([0.5, 0.9, 1, 1.3, 2, 4])
+        rows += [(f"any{p}", rng.randrange(n), rng.randrange(n)) for _ in range(int(n * fan) + 1)]
+        rows += [(f"one{p}", k, rng.randrange(n)) for k in range(n)]  # trees that lead to circles
+        rows += [(f"down{p}", k, rng.randrange(k)) for k in range(1, n) for _ in range(rng.choice([1, 1, 2]))]  # without circles
+    check(spark, rows)
+
+
+def test_a_hub_that_is_far_away_is_given_up(spark, monkeypatch):
+    monkeypatch.setattr(reach_module, "_large", lambda nodes: nodes.select("project").distinct())
+    monkeypatch.setattr(reach_module, "WAVES", 3)
+    check(spark, [("ladder", k, k + j) for k in range(40) for j in (1, 2)])
+
+
+def test_most_of_a_large_net_reach_each_other(spark):
+    rng = random.Random(7)
+    n = PART + 2000
+    check(spark, [("net", k, rng.randrange(n)) for k in range(n) for _ in range(2)] + [("small", 1, 2), ("small", 2, 2)])
