@@ -107,6 +107,17 @@ def test_a_hub_that_is_far_away_is_given_up(spark, monkeypatch):
     check(spark, [("ladder", k, k + j) for k in range(40) for j in (1, 2)])
 
 
+def test_a_long_chain_takes_few_rounds(spark):
+    names = list(range(PART + 1000))
+    random.Random(3).shuffle(names)  # so that each step comes to another part
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    edges = spark.createDataFrame([("chain", a, b) for a, b in zip(names, names[1:])], "project string, src long, dst long")
+    found = {r["node"]: r["reach"] for r in graph.reach(edges).collect()}
+    assert found == {name: len(names) - 1 - k for k, name in enumerate(names)}
+    assert store.executionsCount() - before < 100
+
+
 def test_most_of_a_large_net_reach_each_other(spark):
     rng = random.Random(7)
     n = PART + 2000
