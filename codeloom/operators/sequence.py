@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import stored
+from .store import grows, kept
 
 DEPTH = 2
 KINDS = ("classes", "modules", "functions")
@@ -48,12 +48,12 @@ def _enter(moves: DataFrame, who: str) -> DataFrame:
 
 def _folded(front: DataFrame, steps: DataFrame, above: DataFrame) -> DataFrame:
     """``front`` and all states that folded calls reach from it, each at its least path."""
-    known = front = stored(_first(front, STATE, "stack"), "front")
+    known = front = kept(_first(front, STATE, "stack"), "front")
     while not front.isEmpty():
         step = _first(_enter(_moves(front, steps, above).where("stays and runs"), "participant"), STATE, "stack")
         before = known.select(*STATE, F.col("path").alias("before"))
-        front = stored(step.join(before, STATE, "left").where("before is null or path < before").drop("before"), "front")
-        known = stored(_first(known.unionByName(front), STATE, "stack"), "folded")
+        front = kept(step.join(before, STATE, "left").where("before is null or path < before").drop("before"), "front")
+        known = kept(_first(known.unionByName(front), STATE, "stack"), "folded")
     return known
 
 
@@ -75,7 +75,7 @@ def plan_calls(calls: DataFrame, known: DataFrame, above: DataFrame, entries: Da
     own = F.when(F.col("is_class"), F.col("name")).otherwise(F.col("cls"))
     targets = known.where("not is_class or made").select("project", F.col("name").alias("callee"), "is_class", by_mode(own))
     # a function is its own participant in the last mode, and so is a class that is called
-    steps = stored(calls.join(targets, ["project", "callee"]), "steps")
+    steps = kept(calls.join(targets, ["project", "callee"]), "steps")
     starts = entries.select("project", F.col("node").alias("name")).join(known.where("not is_class"), ["project", "name"])
     front = starts.select("project", F.col("name").alias("caller"), by_mode(F.coalesce("cls", "module", "name")), F.array(F.lit(0).cast("long")).alias("path"), F.array("name").alias("stack"))
     front = front.withColumn("participant", F.coalesce("receiver", "caller")).drop("receiver")
@@ -83,7 +83,7 @@ def plan_calls(calls: DataFrame, known: DataFrame, above: DataFrame, entries: Da
     for level in range(1, DEPTH + 1):
         step = _moves(_folded(front, steps, above), steps, above).where("not stays")
         step = step.withColumns({"sender": F.col("participant"), "label": F.element_at(F.split("callee", r"\."), -1), "level": F.lit(level)})
-        step = stored(_first(step, MESSAGE, "callee", "runs", "stack", "level"), "level")
+        step = kept(_first(step, MESSAGE, "callee", "runs", "stack", "level"), "level")
         found = step if found is None else found.unionByName(step)
         front = _enter(step.where("runs"), "receiver")
     chosen = Window.partitionBy("project")
@@ -112,9 +112,9 @@ def project_plan(edges: DataFrame, defined: DataFrame, order: DataFrame, limit:
     made = order.join(inits, ["project", "base"], "left_semi").select("project", F.col("cls").alias("name"), F.lit(True).alias("made")).distinct()
     is_class = F.col("what") == "class"
     cls = F.when(F.col("what") == "method", participant(F.col("qualified")))
-    known = defined.select("project", F.col("qualified").alias("name"), "module", cls.alias("cls"), is_class.alias("is_class")).join(made, ["project", "name"], "left").fillna({"made": False})
+    known = grows(defined.select("project", F.col("qualified").alias("name"), "module", cls.alias("cls"), is_class.alias("is_class")).join(grows(made), ["project", "name"], "left").fillna({"made": False}))
     runs = defined.where(~is_class).select("project", F.col("qualified").alias("dst"))
-    reached = stored(edges.select("project", F.col("caller").alias("src"), F.col("callee").alias("dst")).join(runs, ["project", "dst"], "left_semi").distinct(), "reached")
+    reached = kept(edges.select("project", F.col("caller").alias("src"), F.col("callee").alias("dst")).join(runs, ["project", "dst"], "left_semi").distinct(), "reached")
     entries = graph.entry_points(reached, graph.reach(reached), is_test_name)
     calls = edges.where("is_internal").select("project", "caller", "ord", F.col("named").alias("callee"))
     return plan_calls(calls, known, order.where("ord > 0"), entries, limit)
