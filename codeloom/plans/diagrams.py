@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from codeloom.functions.text import clean_identifier, quoted_label
 from codeloom.operators import graph
 from codeloom.operators import names as names_module
+from codeloom.operators.store import grows
 
 LIMIT = 50
 
@@ -132,7 +133,7 @@ def participant_labels(messages: DataFrame, modules: DataFrame, classes: DataFra
     held = names_module.longest_prefix(names, modules, "name", ("project",))
     whole = classes.select("project", "name").unionByName(modules.select("project", F.col("known").alias("name"))).distinct().withColumn("whole", F.lit(True))
     last, rest = F.element_at(F.split("name", r"\."), -1), F.expr("substring(name, length(match) + 2)")
-    some = names.join(held, ["project", "name"], "left").join(whole, ["project", "name"], "left")
+    some = names.join(grows(held), ["project", "name"], "left").join(grows(whole), ["project", "name"], "left")
     some = some.withColumn("short", F.when(F.col("whole"), last).when(F.col("match").isNotNull(), rest).otherwise(F.col("name")))
     clash = F.count("*").over(Window.partitionBy("project", "short")) > 1
     return some.select("project", "name", F.when(clash, F.col("name")).otherwise(F.col("short")).alias("label"))
