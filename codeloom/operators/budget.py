@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .store import stored
+from .store import kept, stored
 
 
 #: Items of a group that one round folds.
@@ -30,7 +30,7 @@ def greedy_fill(rows: DataFrame, group: str, order: str, key: str, size: str, bu
         rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy(order, key, size))).where(F.col("_place") <= limit)
     rows = rows.select(F.col(group).alias("_g"), F.col(order).alias("_o"), F.col(key).alias("_k"), F.col(size).cast("long").alias("_s"))
     groups = rows.select("_g").distinct()
-    left = stored(rows.where(F.col("_s").between(1, budget)).withColumn("_m", F.monotonically_increasing_id()), "fill")
+    left = kept(rows.where(F.col("_s").between(1, budget)).withColumn("_m", F.monotonically_increasing_id()), "fill")
     kind = left.schema["_k"].dataType.simpleString()
     item = ("_o", "_k", "_s", "_m")  # the last tells equal ones apart
     used, taken, nth = left.select("_g").distinct().withColumn("_used", F.lit(0).cast("long")), [], 0
@@ -46,12 +46,12 @@ def greedy_fill(rows: DataFrame, group: str, order: str, key: str, size: str, bu
             return F.struct(F.when(fits, state["used"] + one["_s"]).otherwise(state["used"]).alias("used"), F.when(fits, F.array_append(state["taken"], one["_k"])).otherwise(state["taken"]).alias("taken"))
 
         folded = first.select("_g", F.aggregate("items", start, step).alias("state"), F.element_at("items", -1).alias("last"))
-        folded = stored(folded.select("_g", F.col("state.used").alias("_used"), F.col("state.taken").alias("taken"), "last"), "fill")
+        folded = kept(folded.select("_g", F.col("state.used").alias("_used"), F.col("state.taken").alias("taken"), "last"), "fill")
         taken.append(folded.select("_g", F.struct(F.lit(nth).alias("nth"), "taken").alias("some")))
         used = folded.select("_g", "_used")
         behind = folded.select(F.col("_g").alias("_h"), (F.lit(budget) - F.col("_used")).alias("_room"), "last")
         met = left.join(behind, F.col("_g").eqNullSafe(F.col("_h")))
-        left = stored(met.where((F.col("_s") <= F.col("_room")) & (F.struct(*item) > F.col("last"))).select(*left.columns), "fill")
+        left = kept(met.where((F.col("_s") <= F.col("_room")) & (F.struct(*item) > F.col("last"))).select(*left.columns), "fill")
     found = groups.withColumn("some", F.lit(None).cast(f"struct<nth:int,taken:array<{kind}>>"))
     for some in taken:
         found = found.unionByName(some)

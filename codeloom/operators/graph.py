@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .reach import reach
-from .store import stored
+from .store import grows, kept
 
 
 def degrees(edges: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -86,9 +86,9 @@ def best_first(edges: DataFrame, reached: DataFrame, starts: DataFrame, most: in
     at most ``most`` times ``most`` edges of a round, not a project's.
     """
     kind = edges.schema["src"].dataType.simpleString()
-    goals = reached.select("project", F.col("node").alias("dst"), F.col("reach").alias("goal"))
+    goals = grows(reached.select("project", F.col("node").alias("dst"), F.col("reach").alias("goal")))
     first = edges.groupBy("project", "src", "dst").agg(F.min("ord").alias("ord"))
-    roots = starts.select("project", F.col("node").alias("start")).distinct()
+    roots = grows(starts.select("project", F.col("node").alias("start")).distinct())
     schema = f"project string, ord int, node {kind}, missing boolean"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -108,17 +108,17 @@ def best_first(edges: DataFrame, reached: DataFrame, starts: DataFrame, most: in
             out += [(key[0], 0, n, True) for _, _, n in heapq.nsmallest(most - len(out), heap) if n not in asked]
         return pd.DataFrame(out, columns=["project", "ord", "node", "missing"])
 
-    small = first.groupBy("project").count().where(F.col("count") <= WHOLE)
+    small = grows(first.groupBy("project").count().where(F.col("count") <= WHOLE))
     asked = roots.select("project", F.col("start").alias("src")).unionByName(first.join(small, "project", "left_semi").join(roots, "project", "left_semi").select("project", "src")).distinct()
     # ends without edges of their own are known to have none
     ends = first.join(small, "project", "left_semi").join(roots, "project", "left_semi").select("project", F.col("dst").alias("src"))
-    asked, known = asked.unionByName(ends).distinct(), None
+    asked, known = grows(asked.unionByName(ends).distinct()), None
     while True:
         rank = F.row_number().over(Window.partitionBy("project", "src").orderBy(F.desc("goal"), "ord", "dst"))
         fetched = first.join(asked, ["project", "src"], "left_semi").join(goals, ["project", "dst"]).withColumn("_k", rank).where(F.col("_k") <= most).drop("_k")
-        fetched = stored(asked.join(fetched, ["project", "src"], "left").select("project", "src", "dst", "ord", "goal"), "fetched")
+        fetched = kept(asked.join(fetched, ["project", "src"], "left").select("project", "src", "dst", "ord", "goal"), "fetched")
         known = fetched if known is None else known.unionByName(fetched)
-        walked = stored(known.join(roots, "project").groupBy("project").applyInPandas(run, schema), "walk")
+        walked = kept(known.join(roots, "project").groupBy("project").applyInPandas(run, schema), "walk")
         asked = walked.where("missing").select("project", F.col("node").alias("src"))
         if asked.isEmpty():
             return walked.select("project", "ord", "node")

@@ -14,7 +14,7 @@ from . import graph, structure
 from .budget import greedy_fill
 from .facts import of_kind
 from .sequence import participant
-from .store import stored
+from .store import grows, kept
 
 PATH_HEAD = 2
 
@@ -28,7 +28,7 @@ def class_named(uses: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFra
     brought = brought.groupBy("project", "module", F.element_at(F.split("cls", r"\."), -1).alias("name")).agg(F.min_by("cls", "ord").alias("_brought"))
     own = classes.select("project", F.col("cls").alias("_own")).distinct()
     found = uses.withColumn("_own", F.concat_ws(".", "module", "name")).join(own.withColumn("_is", F.lit(True)), ["project", "_own"], "left")
-    found = found.join(brought, ["project", "module", "name"], "left")
+    found = found.join(grows(brought), ["project", "module", "name"], "left")
     return found.select(*uses.columns, F.when(F.col("_is"), F.col("_own")).otherwise(F.col("_brought")).alias("cls"))
 
 
@@ -43,15 +43,15 @@ def entry_path(edges: DataFrame, defined: DataFrame) -> DataFrame:
     """(project, ord, node): the entry point and the functions that it runs, best first, without tests."""
     runs = defined.where("what <> 'class'").select("project", F.col("qualified").alias("dst"))
     every = edges.select("project", F.col("ord").cast("long").alias("ord"), F.col("caller").alias("src"), F.col("callee").alias("dst")).join(runs, ["project", "dst"], "left_semi")
-    every = stored(every.groupBy("project", "src", "dst").agg(F.min("ord").alias("ord")), "reached")
-    reached = stored(graph.reach(every), "reach")
+    every = kept(every.groupBy("project", "src", "dst").agg(F.min("ord").alias("ord")), "reached")
+    reached = kept(graph.reach(every), "reach")
     return graph.best_first(every.where(~is_test_name(F.col("dst"))), reached, graph.entry_points(every, reached, is_test_name))
 
 
 def key_classes(path: DataFrame, exported: DataFrame, used: DataFrame, main: DataFrame, order: DataFrame) -> DataFrame:
     """(project, ord, cls): classes that are ``exported`` (project, ord, cls), in projects without any the most ``used`` (project, cls, users), then main ones that hold functions of ``path``; each followed by its bases, first mention only."""
     keys, shown = main.select("project", "cls"), exported
-    ranked = used.join(shown.select("project").distinct(), "project", "left_anti")
+    ranked = used.join(grows(shown.select("project").distinct()), "project", "left_anti")
     ranked = ranked.withColumn("ord", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("users"), "cls")))
     held = path.withColumn("cls", participant(F.col("node"))).join(keys, ["project", "cls"], "left_semi")
     place = lambda some, side: some.select("project", F.struct(F.lit(side).alias("side"), F.col("ord").cast("long").alias("at")).alias("ord"), "cls")
@@ -86,15 +86,15 @@ def candidates(rows: DataFrame, files: DataFrame, edges: DataFrame, defined: Dat
     tested = ~is_test_name(F.col("module"))
     every, rows, defined = defined, rows.where(tested), defined.where(tested)
     texts = rows.where("kind in ('outline', 'excerpt')").select("project", "kind", full.alias("name"), F.col("value").alias("text"), F.coalesce(F.col("flags") == "env", F.lit(False)).alias("env"))
-    path = stored(entry_path(edges, every), "path")
+    path = kept(entry_path(edges, every), "path")
     classes = defined.where("what = 'class'").select("project", F.col("qualified").alias("cls"))
     shown = structure.exports(rows, files)
     nth = F.row_number().over(Window.partitionBy("project").orderBy("at"))
     exported = shown.withColumnRenamed("name", "cls").join(classes, ["project", "cls"], "left_semi").select("project", "cls", nth.alias("ord"))
-    main = stored(main_classes(defined, rows), "main")
+    main = kept(main_classes(defined, rows), "main")
     used = structure.most_used_classes(edges, main.withColumnRenamed("cls", "qualified"))
     keys = key_classes(path, exported, used, main, order).join(classes, ["project", "cls"], "left_semi")
-    keys = stored(keys, "keys")
+    keys = kept(keys, "keys")
     parts = component_classes(keys, defined, rows, order)
 
     def of_text(chosen: DataFrame, kind: str) -> DataFrame:
@@ -123,7 +123,7 @@ def candidates(rows: DataFrame, files: DataFrame, edges: DataFrame, defined: Dat
 def contexts(found: DataFrame, chunks: int = 10, chunk_size: int = 2000) -> DataFrame:
     """(project, section, taken): names of ``candidates`` in order while their texts fit the structural share; ones met before or empty are skipped."""
     first = found.groupBy("project", "section", "name").agg(F.min(F.struct("ord", "text")).alias("f"))
-    sized = first.select(F.struct("project", "section").alias("of"), "name", F.col("f.ord").alias("ord"), F.length("f.text").alias("size"))
+    sized = kept(first.select(F.struct("project", "section").alias("of"), "name", F.col("f.ord").alias("ord"), F.length("f.text").alias("size")), "sized")  # read twice
     filled = greedy_fill(sized, "of", "ord", "name", "size", share(chunks, chunk_size), structure.CANDIDATES)
     return filled.select("of.project", "of.section", "taken")
 

@@ -11,6 +11,7 @@ from codeloom.functions.text import import_base, is_main_class, is_test_name
 from .budget import greedy_fill
 from .facts import of_kind
 from .names import place_imports
+from .store import grows
 
 CANDIDATES, SHARE = 200, 0.6
 
@@ -83,7 +84,7 @@ def most_used_classes(edges: DataFrame, classes: DataFrame, k: int = 10) -> Data
     """(project, cls, users): classes by how many callers outside them call the class or its methods, ties by name."""
     own = classes.select("project", F.col("qualified").alias("cls"))
     holder = F.explode(F.array_distinct(F.array("callee", F.regexp_replace("callee", r"\.[^.]+$", ""))))
-    used = edges.where("is_internal").withColumn("cls", holder).join(own, ["project", "cls"])
+    used = edges.where("is_internal").withColumn("cls", holder).join(grows(own), ["project", "cls"])
     outside = used.where(~F.col("caller").startswith(F.concat("cls", F.lit("."))))
     counts = outside.groupBy("project", "cls").agg(F.count_distinct("caller").alias("users"))
     rank = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("users"), "cls"))
@@ -92,7 +93,7 @@ def most_used_classes(edges: DataFrame, classes: DataFrame, k: int = 10) -> Data
 
 def key_classes(firsts: DataFrame, order: DataFrame) -> DataFrame:
     """(project, ord, cls): ``firsts`` (project, ord, cls), each followed by its bases along ``order`` (lineage), first mention only."""
-    every = firsts.join(order.select("project", "cls", F.col("ord").alias("k"), "base"), ["project", "cls"])
+    every = firsts.join(grows(order.select("project", "cls", F.col("ord").alias("k"), "base")), ["project", "cls"])
     place = every.groupBy("project", "base").agg(F.min(F.struct("ord", "k")).alias("at"))
     w = Window.partitionBy("project").orderBy("at", "base")
     return place.select("project", F.row_number().over(w).alias("ord"), F.col("base").alias("cls"))

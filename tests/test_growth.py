@@ -23,7 +23,7 @@ def plans(spark, run):
     return [found.apply(k).physicalPlanDescription() for k in range(found.size())]
 
 
-@pytest.mark.parametrize("name", ["tree_calls", "reach_net", "call_graph_diagram", "sequence_diagrams"])
+@pytest.mark.parametrize("name", ["tree_calls", "reach_net", "call_graph_diagram", "sequence_diagrams", "section_excerpts"])
 def test_no_growing_table_is_broadcast(spark, tmp_path, name):
     folder = str(tmp_path)
     spark.range(60).selectExpr("id as p_partkey", "'Brand#1' as p_brand", "'a part' as p_name", "cast(id % 50 + 1 as int) as p_size").write.parquet(f"{folder}/part.parquet")
